@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, metric_join, minhash, mixing, quality, toxicity, url_filter
+from . import bpe, chat, html_extract, metric_join, minhash, mixing, quality, toxicity, url_filter, warc
 from .common import tuned
 
 
@@ -32,6 +32,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(table(tuned(spark), sf_dir, "documents"))
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(tuned(spark), sf_dir, "pages"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.groups(table(tuned(spark), sf_dir, "documents"))
 
@@ -40,6 +44,11 @@ def op6_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_join.links(table(tuned(spark), sf_dir, "embeddings"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every derived record, with a digest of its bytes in place of them."""
+    return warc.derivatives(warc.responses(table(tuned(spark), sf_dir, "pages"))).select("page_id", "target_uri", "record_type", "record_id", "refers_to", "concurrent_to", "content_type", "source_payload_digest", "block_digest", "content_length", F.sha2("warc", 256).alias("record_sha256"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(tuned(spark), sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -49,5 +58,10 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(tuned(spark), sf_dir, "documents"), vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_url_filter, op3_quality, op5_minhash, op6_metric_join, op8_toxicity, op9_bpe)}
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chat.lines(chat.as_calls(table(spark, sf_dir, "conversations")), chat.REPLY)
+    return found.select("conv_id", "order_turn", "order_index", "order_phase", "kind", "call_id", "status", "level", F.array_join("errors", ",").alias("errors"), "json")
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_url_filter, op3_quality, op4_html, op5_minhash, op6_metric_join, op7_warc, op8_toxicity, op9_bpe, op10_chat)}
 SQL: dict[str, str] = {}

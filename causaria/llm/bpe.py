@@ -26,8 +26,10 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import claim, memo
+
 #: Words kept with their tokens in each Python worker; when full, the table starts anew.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 400_000
 #: The pre-tokenizer's pattern for byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -140,7 +142,7 @@ class Tokenizer:
         self.added = added
         self.split = regex.compile(PATTERN).findall
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")").split if added else None
-        self.memo: dict[str, tuple[int, str, bytes]] = {}
+        self.memo: dict[str, tuple[int, str, bytes]] = memo({})
 
     def word(self, w: str) -> tuple[int, str, bytes]:
         """(number of tokens, their ids joined by commas, the arc labels emitted)."""
@@ -179,6 +181,7 @@ def _digests(path: str):
         import pyarrow as pa
 
         t = tokenizer(path)
+        claim(t.memo)
         for batch in batches:
             n, ids, back = [], [], []
             for text in batch.column(1).to_pylist():
@@ -207,6 +210,7 @@ def _encode(path: str):
         import pyarrow as pa
 
         t = tokenizer(path)
+        claim(t.memo)
         for batch in batches:
             ids = [None if x is None else t.encode(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
@@ -219,6 +223,7 @@ def _decode(path: str):
         import pyarrow as pa
 
         t = tokenizer(path)
+        claim(t.memo)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if x is None else t.decode(x) for x in batch.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 

@@ -18,6 +18,22 @@ SMALL_EDGES = 50_000
 BROADCAST_ROWS = 1_000_000
 
 
+_memos: list[dict] = []
+
+
+def memo(d: dict) -> dict:
+    """Registers a worker's table of words seen."""
+    _memos.append(d)
+    return d
+
+
+def claim(*own: dict) -> None:
+    """Empties all other operators' tables: a worker that serves several stages holds one stage's words at a time."""
+    for d in _memos:
+        if not any(d is o for o in own):
+            d.clear()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -23,6 +23,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import claim, memo
+
 BLOCK_TAGS = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Elements whose content is no text of the page.
@@ -111,8 +113,8 @@ def blocks(html: str | None) -> list[Block]:
 PATH, WORDS, FIGURES = 256, 16, 4
 HIDDEN = 16
 
-_paths: dict[tuple[str, ...], np.ndarray] = {}
-_word_memo: dict[str, int] = {}
+_paths: dict[tuple[str, ...], np.ndarray] = memo({})
+_word_memo: dict[str, int] = memo({})
 
 
 def _path_vector(path: tuple[str, ...]) -> np.ndarray:
@@ -342,6 +344,7 @@ def _extracted(net: Labeller):
     def run(batches):
         import pyarrow as pa
 
+        claim(_paths, _word_memo)
         for batch in batches:
             html = batch.column(2).to_pylist()
             text = [t for s in range(0, len(html), 500) for t in main_text(html[s : s + 500], net)]

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, small, staged
+from .common import claim, components, memo, small, staged
 
 ROWS, BANDS = 6, 32
 SHINGLE = 5
@@ -43,13 +43,13 @@ class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
 
 
-_words = _Words()
+_words = memo(_Words())
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -108,6 +108,7 @@ def band_keys(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
 def _signed(batches):
     import pyarrow as pa
 
+    claim(_words)
     seen: dict[tuple[int, int], list[int]] = {}
     for batch in batches:
         n, hi, lo, bands = [], [], [], []
@@ -129,6 +130,7 @@ def _signed(batches):
 def _sets(batches):
     import pyarrow as pa
 
+    claim(_words)
     for batch in batches:
         with np.errstate(over="ignore"):
             found = [shingles(t).tobytes() for t in batch.column(batch.num_columns - 1).to_pylist()]

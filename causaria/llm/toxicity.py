@@ -19,6 +19,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import claim, memo
+
 #: Labelled rows that the model is fitted on at most, the first by hash of doc_id.
 SAMPLE_ROWS = 8000
 #: Words (features) the model keeps, by falling association with toxic rows.
@@ -38,7 +40,10 @@ STEMS = (4, 5, 6, 7)
 #: A feature is kept if its log odds of toxicity exceed LEAST_ODDS by SURE standard errors.
 LEAST_ODDS, SURE = 1.0, 2.5
 
-_memo: dict[str, tuple[int, ...]] = {}
+#: Words a worker keeps the hashes of; when full, the table starts anew.
+MEMO_WORDS = 200_000
+_memo: dict[str, tuple[int, ...]] = memo({})
+_kept_memo: dict[str, tuple[int, ...]] = memo({})
 
 
 def parts(word: str) -> tuple[int, ...]:
@@ -57,7 +62,7 @@ def word_counts(text: str | None):
 
 def hashed(text: str | None) -> dict[int, int]:
     """Hashed lower-cased words (letters and digits) and stems of a text with their counts."""
-    if len(_memo) > 400_000:
+    if len(_memo) > MEMO_WORDS:
         _memo.clear()
     out: dict[int, int] = {}
     for w, n in word_counts(text):
@@ -76,28 +81,29 @@ class Model:
 
     def above(self, text: str | None) -> np.ndarray:
         """P(grade > k) for each threshold k."""
-        kept, memo = self._table
-        if len(memo) > 1_000_000:
-            memo.clear()
+        kept, seen = self._table, _kept_memo
+        if len(seen) > MEMO_WORDS:
+            seen.clear()
         counts: dict[int, int] = {}
         for w, n in word_counts(text):
-            if (hs := memo.get(w)) is None:
-                memo[w] = hs = tuple(h for h in parts(w) if h in kept)
+            if (hs := seen.get(w)) is None:
+                seen[w] = hs = tuple(h for h in parts(w) if h in kept)
             for h in hs:
                 counts[h] = counts.get(h, 0) + n
         return self.above_counts(counts)
 
     def above_counts(self, counts: dict[int, int]) -> np.ndarray:
-        kept = self._table[0]
+        kept = self._table
         z = sum(kept[h] * (1 + np.log(counts[h])) for h in sorted(counts) if h in kept)
         return 1 / (1 + np.exp(np.clip(self.thresholds - z, -40, 40)))
 
     @property
-    def _table(self) -> tuple[dict[int, float], dict[str, tuple[int, ...]]]:
-        """Weights by hash, and for each word seen its hashes that have one."""
+    def _table(self) -> dict[int, float]:
+        """Weights by hash. A worker's words seen are those of one model: a new one empties them."""
         if (t := self.__dict__.get("_t")) is None:
-            t = (dict(zip(self.features.tolist(), self.weights.tolist(), strict=True)), {})
+            t = dict(zip(self.features.tolist(), self.weights.tolist(), strict=True))
             object.__setattr__(self, "_t", t)
+            _kept_memo.clear()
         return t
 
     def __getstate__(self):
@@ -107,12 +113,28 @@ class Model:
 def _lists(batches):
     import pyarrow as pa
 
+    claim(_memo)
     for batch in batches:
         found = [hashed(t) for t in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array([list(x) for x in found], pa.list_(pa.int32())), pa.array([list(x.values()) for x in found], pa.list_(pa.int32())), batch.column(1)], ["words", "counts", "toxic"])
+        raw = lambda x: np.fromiter(x, np.int32).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([raw(x.keys()) for x in found], pa.binary()), pa.array([raw(x.values()) for x in found], pa.binary()), batch.column(1)], ["words", "counts", "toxic"])
+
+
+@dataclass(frozen=True)
+class Row:
+    """A labelled text: its hashed words, their counts, its label."""
+
+    words: np.ndarray
+    counts: np.ndarray
+    toxic: bool
+
+    @classmethod
+    def of(cls, text: str | None, toxic: bool) -> Row:
+        h = hashed(text)
+        return cls(np.array(list(h), np.int32), np.array(list(h.values()), np.int32), bool(toxic))
 
 
-def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list:
+def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list[Row]:
     """Up to rows labelled documents as (words, counts, toxic): a bounded number of rows, whole texts, by hash of doc_id.
 
     The labels are cut to the bound first, so that documents are only filtered
@@ -121,71 +143,59 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list:
     """
     ids = labels.select(F.col("doc_id").cast("long").alias("__id"), F.col("toxic").cast("int").alias("toxic")).dropna().groupBy("__id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("__id"), "__id").limit(rows)
     one = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "__id")
-    return one.select("text", "toxic").mapInArrow(_lists, "words array<int>, counts array<int>, toxic int").collect()
+    found = one.select("text", "toxic").mapInArrow(_lists, "words binary, counts binary, toxic int").toLocalIterator()
+    return [Row(np.frombuffer(bytes(r[0]), np.int32), np.frombuffer(bytes(r[1]), np.int32), r[2] > 0) for r in found]
 
 
-def shares(rows: list) -> list[float]:
+def shares(rows: list[Row]) -> np.ndarray:
     """1 over the number of rows with the same smallest (mixed) hashed word: near copies count as one text, about."""
-    least = [min(((w * 2654435761) & 0xFFFFFFFF for w in r["words"]), default=-1) for r in rows]
-    n: dict[int, int] = {}
-    for x in least:
-        n[x] = n.get(x, 0) + 1
-    return [1 / n[x] for x in least]
+    least = np.array([(r.words.astype(np.uint32) * np.uint32(2654435761)).min() if len(r.words) else 0 for r in rows], np.uint32)
+    _, at, n = np.unique(least, return_inverse=True, return_counts=True)
+    return 1 / n[at]
 
 
-def select_features(rows: list, n: int = FEATURES) -> np.ndarray:
+def select_features(rows: list[Row], n: int = FEATURES) -> np.ndarray:
     """Hashed words whose log odds of presence are surely high, the first n by odds times the toxic rows that hold them."""
-    pos: dict[int, float] = {}
-    neg: dict[int, float] = {}
-    share = shares(rows)
-    for r, part in zip(rows, share, strict=True):
-        to = pos if r["toxic"] > 0 else neg
-        for w in r["words"]:
-            to[w] = to.get(w, 0) + part
-    n_pos = sum(p for r, p in zip(rows, share, strict=True) if r["toxic"] > 0)
-    n_neg = sum(share) - n_pos
-    score = {}
-    for w, k in pos.items():
-        odds = np.log((k + 0.5) / (n_pos + 1)) - np.log((neg.get(w, 0) + 0.5) / (n_neg + 1))
-        if odds - SURE * np.sqrt(1 / (k + 0.5) + 1 / (neg.get(w, 0) + 0.5)) > LEAST_ODDS:
-            score[w] = k * odds
-    return np.array(sorted(sorted(score, key=lambda w: (-score[w], w))[:n]), np.int64)
-
-
-def grades(rows: list, features: np.ndarray, n_grades: int = GRADES) -> np.ndarray:
+    share, toxic = shares(rows), np.array([r.toxic for r in rows])
+    sizes = [len(r.words) for r in rows]
+    words, at = np.unique(np.concatenate([r.words for r in rows]), return_inverse=True)
+    weight, of_toxic = np.repeat(share, sizes), np.repeat(toxic, sizes)
+    pos, neg = (np.bincount(at, weight * k, len(words)) for k in (of_toxic, ~of_toxic))
+    n_pos, n_neg = share[toxic].sum(), share[~toxic].sum()
+    odds = np.log((pos + 0.5) / (n_pos + 1)) - np.log((neg + 0.5) / (n_neg + 1))
+    sure = odds - SURE * np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5)) > LEAST_ODDS
+    best = np.lexsort((words[sure], -(pos * odds)[sure].round(9)))[:n]
+    return np.sort(words[sure][best]).astype(np.int64)
+
+
+def grades(rows: list[Row], features: np.ndarray, n_grades: int = GRADES) -> np.ndarray:
     """0 where not toxic; toxic rows rise by thirds (n_grades - 1 parts) of how much of the kept words they hold."""
-    kept = set(features.tolist())
-    y = np.array([int(r["toxic"] > 0) for r in rows])
-    much = np.array([sum(1 + np.log(c) for w, c in zip(r["words"], r["counts"], strict=True) if w in kept) for r in rows])
+    y = np.array([int(r.toxic) for r in rows])
+    much = np.array([(1 + np.log(r.counts[np.isin(r.words, features)])).sum() for r in rows])
     if y.any() and n_grades > 2:
         cuts = np.quantile(much[y > 0], np.arange(1, n_grades - 1) / (n_grades - 1))
         y = np.where(y > 0, 1 + (much[:, None] > cuts).sum(1), 0)
     return y
 
 
-def fit(rows: list, n_features: int = FEATURES, n_grades: int = GRADES, steps: int = 400, penalty: float = 1e-4) -> Model:
+def fit(rows: list[Row], n_features: int = FEATURES, n_grades: int = GRADES, steps: int = 400, penalty: float = 1e-4) -> Model:
     """Maximum likelihood of the cumulative-link model by gradient steps (Adam); thresholds stay ordered as sums of exponentials.
 
     rows that are empty or of one class alone give a model that calls nothing toxic.
     """
-    y01 = [r["toxic"] > 0 for r in rows]
+    y01 = [r.toxic for r in rows]
     if not rows or not any(y01) or all(y01):
         return Model(np.zeros(0, np.int64), np.zeros(0), np.full(n_grades - 1, 40.0) + np.arange(n_grades - 1))
     features = select_features(rows, n_features)
     if not len(features):
         return Model(features, np.zeros(0), np.full(n_grades - 1, 40.0) + np.arange(n_grades - 1))
     y = grades(rows, features, n_grades)
-    at = {f: i for i, f in enumerate(features.tolist())}
-    r_ix, c_ix, val = [], [], []
-    for i, r in enumerate(rows):
-        for w, c in zip(r["words"], r["counts"], strict=True):
-            if (j := at.get(w)) is not None:
-                r_ix.append(i)
-                c_ix.append(j)
-                val.append(1 + np.log(c))
-    r_ix, c_ix, val = np.array(r_ix, np.int64), np.array(c_ix, np.int64), np.array(val)
+    sizes = [len(r.words) for r in rows]
+    every, count = np.concatenate([r.words for r in rows]), np.concatenate([r.counts for r in rows])
+    held = np.isin(every, features)
+    r_ix, c_ix, val = np.repeat(np.arange(len(rows)), sizes)[held], np.searchsorted(features, every[held]), 1 + np.log(count[held])
     n, k = len(rows), n_grades - 1
-    balance = np.array(shares(rows))  # near copies share one text's weight, and toxic rows weigh TOXIC_WEIGHT of all
+    balance = shares(rows)  # near copies share one text's weight, and toxic rows weigh TOXIC_WEIGHT of all
     balance = balance * np.where(y > 0, TOXIC_WEIGHT / balance[y > 0].sum(), (1 - TOXIC_WEIGHT) / balance[y == 0].sum()) * len(rows)
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     # theta: weights, first threshold, logs of the gaps
@@ -224,6 +234,7 @@ def _scored(model: Model):
     def run(batches):
         import pyarrow as pa
 
+        claim(_kept_memo)
         for batch in batches:
             p = np.array([model.above(t) for t in batch.column(1).to_pylist()]).reshape(-1, len(model.thresholds))
             toxic = p[:, 0] > TOXIC_ABOVE
@@ -246,6 +257,7 @@ def _clean(model: Model, at: int):
     def run(batches):
         import pyarrow as pa
 
+        claim(_kept_memo)
         for batch in batches:
             yield batch.filter(pa.array([bool(model.above(t)[0] <= TOXIC_ABOVE) for t in batch.column(at).to_pylist()], pa.bool_()))
 

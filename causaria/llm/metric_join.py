@@ -8,10 +8,15 @@ j: so y is copied to every cell i for which that holds, and, tighter, whose
 bisecting plane with its home is within r of y. Each home vector then finds all
 its partners in its own cell, and cells join independently.
 
-Equal vectors are one node with a multiplicity. Large cells are cut into chunks
-of home vectors; a chunk streams the cell's rows past its own, so memory is
-bounded whatever a cell holds. Links are counted, not listed: a chunk emits a
-count for each of its vectors and at most a few links per row it has seen.
+Equal vectors are one node with a multiplicity. A cell's join is a grid of
+tasks: home vectors are dealt to its rows, all of the cell's vectors to its
+columns, and a task streams its column past its row, so memory is bounded
+whatever a cell holds. Links are counted, not listed: a task emits a count for
+each of its home vectors and at most a few links per vector it has seen.
+
+How many pivots pay is estimated on the sample. Vectors spread evenly over a
+sphere of many dimensions lie near every bisecting plane: there each further
+pivot copies more than it saves, and few or one is the estimate's choice.
 """
 
 from __future__ import annotations
@@ -25,8 +30,10 @@ from .common import components, small, staged
 COSINE = 0.95
 #: Vectors that pivots are chosen on, by hash of the id, and pivots at most. Both only steer cost.
 SAMPLE_ROWS, MAX_PIVOTS = 4096, 1024
-#: Home vectors of one chunk.
-CHUNK_ROWS = 2048
+#: Comparisons of one task, about, and home vectors of one at most.
+TASK_PAIRS, TASK_ROWS = 100_000_000, 16_384
+#: What the estimate of cost takes a comparison of 64 components and a moved row to cost, in seconds.
+PAIR_COST, ROW_COST = 6e-9, 2e-5
 #: Added to the radius, so that rounding loses no link.
 SLACK = 1e-9
 
@@ -63,24 +70,30 @@ def choose_pivots(sample: np.ndarray, n: int, radius: float) -> np.ndarray:
     if len(sample) < 2:
         return sample[:1]
     rng, best = np.random.default_rng(7), None
-    for k in [1, 4, 8, 12, 16, 24, 32, 64, 128, 256, 512, 1024]:
+    for k in (1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024):
         if k > min(MAX_PIVOTS, max(1, len(sample) // 4)):
             break
         p = sample[rng.choice(len(sample), k, replace=False)].copy()
         for _ in range(8):
             home = (sample @ p.T).argmax(1)
             for c in range(k):
-                own = sample[home == c].sum(0)
-                if (size := np.linalg.norm(own)) > 0:
-                    p[c] = own / size
+                centre = sample[home == c].sum(0)
+                if (size := np.linalg.norm(centre)) > 0:
+                    p[c] = centre / size
         home, copies = cells(sample, p, radius)
-        natives = np.bincount(home, minlength=k)
-        cost = ((natives + copies.sum(0)) * natives).sum() * (n / len(sample)) ** 2 + n * k
-        if best is None or cost < 0.9 * best[0]:
+        own, other = np.bincount(home, minlength=k) * (n / len(sample)), copies.sum(0) * (n / len(sample))
+        sides = np.array([side(a, b) for a, b in zip(own, other, strict=True)])
+        cost = (own * (own + other)).sum() * PAIR_COST + ((2 * own + other) * sides).sum() * ROW_COST + n * k * PAIR_COST
+        if best is None or cost < 0.95 * best[0]:
             best = (cost, p)
     return best[1]
 
 
+def side(own: float, other: float) -> int:
+    """Rows, and columns, of a cell's grid of tasks."""
+    return max(1, int(np.ceil(np.sqrt(own * (own + other) / TASK_PAIRS))), int(np.ceil(own / TASK_ROWS)))
+
+
 def cells(x: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
     """(home cell of each unit vector, whether it is copied to each other cell)."""
     d2 = np.maximum((x**2).sum(1)[:, None] + (pivots**2).sum(1) - 2 * x @ pivots.T, 0)
@@ -105,8 +118,56 @@ def _assigned(pivots: np.ndarray, radius: float):
     return run
 
 
-def _joined(least: float):
-    """Rows sorted by part, own vectors first: (part, own, id, mult, unit) -> (a, b, n): counts have b null, links n null."""
+def _matrix(column, dims: int) -> np.ndarray:
+    """A binary column of doubles as a matrix, without a copy: all its values have one length."""
+    if not len(column):
+        return np.zeros((0, dims))
+    start = np.frombuffer(column.buffers()[1], np.int32, 1, 4 * column.offset)[0]
+    return np.frombuffer(column.buffers()[2], np.float64, len(column) * dims, start).reshape(len(column), dims)
+
+
+class _Task:
+    """One task's home vectors and what they have met."""
+
+    def __init__(self, least: float):
+        self.least, self.held, self.ids = least, [], None
+
+    def begin(self):
+        self.ids = np.concatenate([h[0] for h in self.held]) if self.held else np.zeros(0, np.int64)
+        self.x = np.concatenate([h[1] for h in self.held]) if self.held else np.zeros((0, 1))
+        self.x32, self.place = self.x.astype(np.float32), {i: k for k, i in enumerate(self.ids.tolist())}
+        self.counts, self.label = np.zeros(len(self.ids), np.int64), np.arange(len(self.ids))
+
+    def meet(self, ids, mult, y):
+        """Counts links of home vectors with these; returns links enough to connect what they connect.
+
+        Single precision finds who may be near, double precision decides.
+        """
+        a, b = [], []
+        for s in range(0, len(ids) if len(self.ids) else 0, 512):
+            ids2, mult2, some = ids[s : s + 512], mult[s : s + 512], y[s : s + 512]
+            near = self.x32 @ some.astype(np.float32).T >= np.float32(self.least - 1e-4)
+            for j, i in enumerate(ids2.tolist()):
+                if (k := self.place.get(i)) is not None:
+                    near[k, j] = False
+            cols = np.flatnonzero(near.any(0))
+            if not len(cols):
+                continue
+            rows = np.flatnonzero(near[:, cols].any(1))
+            hit = (self.x[rows] @ some[cols].T >= self.least) & near[np.ix_(rows, cols)]
+            self.counts[rows] += (hit * mult2[cols]).sum(1)
+            for j in np.flatnonzero(hit.any(0)):
+                mine = rows[hit[:, j]]
+                labels, first = np.unique(self.label[mine], return_index=True)
+                a += self.ids[mine[first]].tolist()
+                b += [ids2[cols[j]]] * len(first)
+                if len(labels) > 1:  # home vectors that were apart meet through this one
+                    self.label[np.isin(self.label, labels)] = labels[0]
+        return a, b
+
+
+def _joined(least: float, dims: int):
+    """Rows sorted by part, home vectors first: (part, own, id, mult, unit) -> (a, b, n): counts have b null, links n null."""
 
     def run(batches):
         import pyarrow as pa
@@ -114,87 +175,61 @@ def _joined(least: float):
         def table(a, b, n):
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (a, b, n)], ["a", "b", "n"])
 
-        def matrix(rows):
-            return np.frombuffer(b"".join(r[2] for r in rows), np.float64).reshape(len(rows), -1)
-
-        class Chunk:
-            def __init__(self):
-                self.own, self.ids = [], None
-
-            def meet(self, rows):
-                """Counts the rows' links with own vectors; links enough to connect what they connect."""
-                for s in range(0, len(rows) if self.own else 0, 1024):
-                    some = rows[s : s + 1024]
-                    ids2, mult2 = (np.array([r[k] for r in some], np.int64) for k in (0, 1))
-                    hit = (self.x @ matrix(some).T >= least) & (self.ids[:, None] != ids2)
-                    self.counts += (hit * mult2).sum(1)
-                    cols = np.flatnonzero(hit.any(0))
-                    low = np.where(hit[:, cols], self.label[:, None], len(self.ids)).min(0)
-                    high = np.where(hit[:, cols], self.label[:, None], -1).max(0)
-                    a, b = [], []
-                    for j, lo, hi in zip(cols.tolist(), low.tolist(), high.tolist(), strict=True):
-                        mine = np.flatnonzero(hit[:, j])
-                        a.append(self.ids[mine[0]])
-                        b.append(ids2[j])
-                        if lo != hi:  # own vectors that were apart meet through this row
-                            labels, first = np.unique(self.label[mine], return_index=True)
-                            a += self.ids[mine[first]].tolist()
-                            b += [ids2[j]] * len(first)
-                            self.label[np.isin(self.label, labels)] = labels[0]
-                    yield table(a, b, [None] * len(a))
+        def close():
+            if task.ids is None:
+                task.begin()
+            return table(task.ids, [None] * len(task.ids), task.counts)
 
-            def begin(self):
-                if self.ids is None:
-                    self.ids = np.array([r[0] for r in self.own], np.int64)
-                    self.x, self.counts, self.label = matrix(self.own) if self.own else None, np.zeros(len(self.own), np.int64), np.arange(len(self.own))
-                    yield from self.meet(self.own)
-
-            def add(self, own, rows):
-                if own:
-                    self.own += rows
-                else:
-                    yield from self.begin()
-                    yield from self.meet(rows)
-
-            def close(self):
-                yield from self.begin()
-                yield table(self.ids, [None] * len(self.ids), self.counts)
-
-        part, chunk = None, Chunk()
+        part, task = None, _Task(least)
         for batch in batches:
-            rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
-            at = 0
-            while at < len(rows):
-                to = at + 1
-                while to < len(rows) and rows[to][:2] == rows[at][:2]:
-                    to += 1
-                if rows[at][0] != part:
-                    yield from chunk.close()
-                    part, chunk = rows[at][0], Chunk()
-                yield from chunk.add(rows[at][1], [r[2:] for r in rows[at:to]])
-                at = to
-        yield from chunk.close()
+            parts, own, ids, mult = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            x = _matrix(batch.column(4), dims)
+            cuts = np.flatnonzero((parts[1:] != parts[:-1]) | (own[1:] != own[:-1])) + 1
+            for at, to in zip([0, *cuts], [*cuts, len(parts)], strict=True):
+                if at == to:
+                    continue
+                if parts[at] != part:
+                    if part is not None:
+                        yield close()
+                    part, task = parts[at], _Task(least)
+                if own[at]:
+                    task.held.append((ids[at:to].copy(), x[at:to].copy()))
+                else:
+                    if task.ids is None:
+                        task.begin()
+                    a, b = task.meet(ids[at:to], mult[at:to], x[at:to])
+                    yield table(a, b, [None] * len(a))
+        if part is not None:
+            yield close()
 
     return run
 
 
-def _parts(chunks: dict[int, int]):
-    """Own rows go to their chunk of the home cell, and every row to all chunks of its cells to be met."""
+def _parts(sides: dict[int, int]):
+    """Every vector to one row of its home's grid, as home vector, and to one column of each grid it is in, to be met."""
 
     def run(batches):
         import pyarrow as pa
 
-        names = ["part", "own", "id", "mult", "unit"]
         for batch in batches:
-            rows = []
-            for i, mult, raw, home, others in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                n = chunks.get(home, 1)
-                mine = (i * 2654435761) % 4294967296 % n
-                rows += [(f"{home}/{c}", c == mine, i, mult, raw) for c in range(n)]
-                rows += [(f"{o}/{c}", False, i, mult, raw) for o in others for c in range(chunks.get(o, 0))]
-            for s in range(0, len(rows), 4096):
-                cols = list(zip(*rows[s : s + 4096], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names)
+            ids, home = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 3))
+            dealt = ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
+            others = batch.column(4)
+            n_others = np.array([len(o) for o in others.to_pylist()], np.int64)
+            rows = np.concatenate([np.arange(len(ids)), np.repeat(np.arange(len(ids)), n_others)])
+            cell = np.concatenate([home, others.flatten().to_numpy(zero_copy_only=False)]).astype(np.int64)
+            g = np.array([sides.get(c, 0) for c in cell.tolist()], np.int64)
+            out = []
+            for own, r, c, n in ((True, rows[: len(ids)], cell[: len(ids)], g[: len(ids)]), (False, rows, cell, g)):
+                each = np.repeat(np.arange(len(r)), n)
+                k = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)  # 0 .. n - 1 for each row
+                mine = ((dealt[r[each]] >> np.uint64(0 if own else 16)) % n[each].astype(np.uint64)).astype(np.int64)
+                line, column = (mine, k) if own else (k, mine)
+                out.append((r[each], (c[each] << 40) + (line << 20) + column, np.full(len(each), own)))
+            at, part, own = (np.concatenate(x) for x in zip(*out, strict=True))
+            for s in range(0, len(at), 8192):
+                some = pa.array(at[s : s + 8192])
+                yield pa.RecordBatch.from_arrays([pa.array(part[s : s + 8192]), pa.array(own[s : s + 8192]), batch.column(0).take(some), batch.column(1).take(some), batch.column(2).take(some)], ["part", "own", "id", "mult", "unit"])
 
     return run
 
@@ -223,9 +258,11 @@ def links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     sample = [np.frombuffer(r[0], np.float64) for r in one.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).select("unit").collect()]
     pivots = choose_pivots(np.array(sample).reshape(-1, dims), n, radius) if sample else np.zeros((1, dims))
     at_home = staged(one.select("id", "mult", "unit").mapInArrow(_assigned(pivots, radius), "id long, mult long, unit binary, home int, others array<int>"))
-    chunks = {r["home"]: -(-r["count"] // CHUNK_ROWS) for r in at_home.groupBy("home").count().collect()}  # a row a pivot
-    parts = at_home.mapInArrow(_parts(chunks), "part string, own boolean, id long, mult long, unit binary")
-    found = staged(parts.repartition("part").sortWithinPartitions("part", F.col("own").desc(), "id").mapInArrow(_joined(cosine), "a long, b long, n long"))
+    own = {r["home"]: r["count"] for r in at_home.groupBy("home").count().collect()}  # a row a pivot
+    other = {r["c"]: r["count"] for r in at_home.select(F.explode("others").alias("c")).groupBy("c").count().collect()}
+    sides = {c: side(k, other.get(c, 0)) for c, k in own.items()}
+    parts = at_home.mapInArrow(_parts(sides), "part long, own boolean, id long, mult long, unit binary")
+    found = staged(parts.repartition("part").sortWithinPartitions("part", F.col("own").desc(), "id").mapInArrow(_joined(cosine, dims), "a long, b long, n long"))
     counts = found.where("n IS NOT NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     edges = components(found.where("b IS NOT NULL").select("a", "b"))
     nodes = staged(counts.join(edges.select(F.col("id").alias("rep"), "component"), "rep", "left"))

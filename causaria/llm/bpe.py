@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 
 from .common import claim, memo
 
-#: Words kept with their tokens in each Python worker; when full, the table starts anew.
-MEMO_WORDS = 400_000
+#: Words kept with their tokens in each Python worker: so many of late, and as many before that; words met again are carried over.
+MEMO_WORDS = 220_000
+#: Arcs kept with whether the automaton has them.
+MEMO_ARCS = 200_000
 #: The pre-tokenizer's pattern for byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -57,7 +59,7 @@ class Automaton:
         for k, (u, v) in enumerate(merges):
             self.gadget(k, vocab[u], vocab[v], vocab[u + v], u + v)
         self.longest = max(map(len, self.by_bytes))
-        self.known: dict[tuple[int, int], bool] = {}
+        self.known: dict[int, bool] = memo({})
 
     def gadget(self, k: int, u: int, v: int, uv: int, label: bytes) -> None:
         self.removed.setdefault((u, v), k)
@@ -66,7 +68,8 @@ class Automaton:
 
     def arc(self, state: int, token: int) -> bool:
         """Whether the state behind a token has an arc for another: the younger of the two goes back to what it was made from."""
-        if (found := self.known.get((state, token))) is not None:
+        pair = state << 32 | token
+        if (found := self.known.get(pair)) is not None:
             return found
         s, t, until = state, token, 1 << 60
         born = self.born
@@ -83,9 +86,9 @@ class Automaton:
                 until, s = a, self.right[s]
             else:
                 until, t = b + 1, self.left[t]
-        if len(self.known) >= 2_000_000:
+        if len(self.known) >= MEMO_ARCS:
             self.known.clear()
-        self.known[state, token] = ok
+        self.known[pair] = ok
         return ok
 
     def encode_word(self, word: bytes) -> list[int]:
@@ -143,13 +146,18 @@ class Tokenizer:
         self.split = regex.compile(PATTERN).findall
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")").split if added else None
         self.memo: dict[str, tuple[int, str, bytes]] = memo({})
+        self.older: dict[str, tuple[int, str, bytes]] = memo({})
 
     def word(self, w: str) -> tuple[int, str, bytes]:
         """(number of tokens, their ids joined by commas, the arc labels emitted)."""
-        ids = self.automaton.encode_word(w.encode())
+        if (out := self.older.get(w)) is None:
+            ids = self.automaton.encode_word(w.encode())
+            out = (len(ids), ",".join(map(str, ids)), self.automaton.decode(ids))
         if len(self.memo) >= MEMO_WORDS:
+            self.older.clear()
+            self.older.update(self.memo)
             self.memo.clear()
-        self.memo[w] = out = (len(ids), ",".join(map(str, ids)), self.automaton.decode(ids))
+        self.memo[w] = out
         return out
 
     def pieces(self, text: str) -> list[tuple[int, str, bytes]]:
@@ -181,7 +189,7 @@ def _digests(path: str):
         import pyarrow as pa
 
         t = tokenizer(path)
-        claim(t.memo)
+        claim(t.memo, t.older, t.automaton.known)
         for batch in batches:
             n, ids, back = [], [], []
             for text in batch.column(1).to_pylist():
@@ -210,7 +218,7 @@ def _encode(path: str):
         import pyarrow as pa
 
         t = tokenizer(path)
-        claim(t.memo)
+        claim(t.memo, t.older, t.automaton.known)
         for batch in batches:
             ids = [None if x is None else t.encode(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
@@ -223,7 +231,7 @@ def _decode(path: str):
         import pyarrow as pa
 
         t = tokenizer(path)
-        claim(t.memo)
+        claim(t.memo, t.older, t.automaton.known)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if x is None else t.decode(x) for x in batch.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 

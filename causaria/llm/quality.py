@@ -60,7 +60,7 @@ class Doc:
     @cached_property
     def n_upper(self) -> int:
         """Words of two letters or more that have capitals only."""
-        return sum(w.isupper() and len(w) > 1 for w in self.text.split())
+        return sum(w.isupper() and len(w) > 1 for w in b" ".join(self.words).decode().split(" "))
 
     @cached_property
     def n_stutters(self) -> int:

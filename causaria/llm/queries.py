@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html_extract, metric_join, minhash, mixing, quality, toxicity, url_filter, warc
+from . import bpe, chat, html_extract, metric_join, minhash, mixing, quality, sql, toxicity, url_filter, warc
 from .common import tuned
 
 
@@ -64,4 +64,4 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_url_filter, op3_quality, op4_html, op5_minhash, op6_metric_join, op7_warc, op8_toxicity, op9_bpe, op10_chat)}
-SQL: dict[str, str] = {}
+SQL = dict(sql.SQL)

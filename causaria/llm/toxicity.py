@@ -148,10 +148,15 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list[
 
 
 def shares(rows: list[Row]) -> np.ndarray:
-    """1 over the number of rows with the same smallest (mixed) hashed word: near copies count as one text, about."""
-    least = np.array([(r.words.astype(np.uint32) * np.uint32(2654435761)).min() if len(r.words) else 0 for r in rows], np.uint32)
-    _, at, n = np.unique(least, return_inverse=True, return_counts=True)
-    return 1 / n[at]
+    """1 over the number of rows whose word sets have the same three MinHash values: near copies count as one text, about."""
+    signs = np.zeros((len(rows), 3), np.uint32)
+    for i, r in enumerate(rows):
+        if len(r.words):
+            for k, m in enumerate((2654435761, 2246822519, 3266489917)):
+                x = r.words.astype(np.uint32) * np.uint32(m)
+                signs[i, k] = (x ^ x >> np.uint32(15)).min()
+    _, at, n = np.unique(signs, axis=0, return_inverse=True, return_counts=True)
+    return 1 / n[at.ravel()]
 
 
 def select_features(rows: list[Row], n: int = FEATURES) -> np.ndarray:

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import day
-from ..model import Domain, Factor
+from ..model import Domain, Factor, Hero
 from ..operators import gates, rules
+from ..operators import heroes as hero_rows
 from ..operators.features import self_feature
 
 
@@ -31,13 +32,13 @@ def rule_gate(r: Mapping, data: Mapping[str, DataFrame]) -> DataFrame:
     return rules.gate_of(name, rules.ballots_outcome(src, r.get("key", "ID"), r["outcomeField"], data[r["ballots"]], r["decisionField"], r["voteField"], **options))
 
 
-def validate(domain: Domain, data: Mapping[str, DataFrame], factors: list[Factor] = (), base: Mapping[str, DataFrame] | None = None, lookup_universe: DataFrame | None = None) -> DataFrame:
-    """Gates in order: closure, schema, factors, coverage, lookups, rules, stability, composition. A rule of an unknown entity raises before any job."""
+def validate(domain: Domain, data: Mapping[str, DataFrame], factors: list[Factor] = (), base: Mapping[str, DataFrame] | None = None, lookup_universe: DataFrame | None = None, heroes: list[Hero] = ()) -> DataFrame:
+    """Gates in order: heroes, closure, schema, factors, coverage, lookups, rules, stability, composition. A rule of an unknown entity raises before any job."""
     missing = [r["source"] for r in domain.rules if r["source"] not in data]
     if missing:
         raise ValueError(f"rules need entities that are missing: {', '.join(missing)}")
     here = {n: e for n, e in domain.entities.items() if n in data}
-    out: list[DataFrame] = []
+    out: list[DataFrame] = hero_rows.gates(data, list(heroes))
     for n, e in here.items():
         nullable = {f.name: f.nullable for f in e.fields}
         out += [gates.fk_closure(f"{n}.{k.field}", data[n], k.field, data[k.entity], k.target, nullable.get(k.field, False)) for k in e.foreign_keys if k.entity in data]

@@ -131,3 +131,24 @@ def decorated(df: DataFrame, entity: Entity, key: str, seed: int, catalogues: di
     from ..operators.generate import generated
 
     return generated(df, key, {f.name: f.generator for f in entity.fields if f.generator}, seed, catalogues)
+
+
+def replaced(spark: SparkSession, path: str, df: DataFrame) -> None:
+    """df in place of what it may itself read: written beside first, then from there over the old rows."""
+    beside = f"{path.rstrip('/')}.new"
+    df.write.mode("overwrite").parquet(beside)
+    spark.read.schema(df.schema).parquet(beside).write.mode("overwrite").parquet(path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(beside)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def upserted(spark: SparkSession, path: str, changed: DataFrame, key: list[str], partition: str) -> None:
+    """Changed rows in place of their old ones: only the partitions that hold any are written again, all others keep their files."""
+    rows = spark.read.parquet(path)
+    touched = changed.select(partition).distinct()
+    old = rows.join(touched, partition, "left_semi").join(changed.select(*key), key, "left_anti")
+    beside = f"{path.rstrip('/')}.new"
+    old.unionByName(changed.select(*rows.columns)).write.mode("overwrite").parquet(beside)
+    spark.read.schema(rows.schema).parquet(beside).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(beside)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)

@@ -19,6 +19,10 @@ from ..functions.rng import bernoulli, keyed, normal, stream, uniform
 from ..functions.scalars import logit, sigmoid
 from ..model import Dial, Era, Factor, Hero, Ladder, Motif
 from ..operators.calibrate import intercepts
+from ..operators.compose import ordinal
+
+#: Rows that a top-k may bring together in one task.
+TOP_K = 10_000
 
 
 def saved(df: DataFrame, folder: str | None = None) -> DataFrame:
@@ -94,9 +98,11 @@ def quota(m: Motif, n: int) -> int:
 
 
 def quota_sample(df: DataFrame, key: str, k: int, seed: int, purpose: str) -> DataFrame:
-    """Exactly k rows (or all, if fewer) by keyed order: a top-k, no full sort."""
+    """Exactly k rows (or all, if fewer) by keyed order: a top-k while k is small, beyond that by places counted in two steps, never in one task."""
     u = keyed(seed, F.col(key).cast("string"), 1, f"{purpose}:")
-    return df.orderBy(u, key).limit(k)
+    if k <= TOP_K:
+        return df.orderBy(u, key).limit(k)
+    return ordinal(df.withColumn("__u", u), ["__u", key], "__place").where(F.col("__place") <= k).drop("__u", "__place")
 
 
 def sample_motifs(population: DataFrame, key: str, motifs: list[Motif], seed: int, birth: str = "birth_cycle", hero: str = "hero") -> DataFrame:

@@ -187,6 +187,13 @@ def test_motifs(spark, world):
     assert simulate.inject(world.population, [{"id": "h", "hero": "h"}]).count() == PEOPLE + 1
 
 
+def test_large_quotas_take_the_same_rows(spark, monkeypatch):
+    df = spark.range(700)
+    a = {r["id"] for r in simulate.quota_sample(df, "id", 123, 4, "q").collect()}
+    monkeypatch.setattr(simulate, "TOP_K", 5)
+    assert {r["id"] for r in simulate.quota_sample(df, "id", 123, 4, "q").collect()} == a and len(a) == 123
+
+
 def test_ladder_kernel(spark):
     lad = Ladder("l", "P", (State("Trial", 2, exit_effects={"t": -1.0}), State("Active", 3, capacity=1), State("Gone", 1)))
     rows = [{"key": str(k), "ladder": "l", "state": "Trial", "tenure": 1, "enter_cycle": 0, "born": 0, "dials": {"t": 0.0}} for k in range(3)]

@@ -75,24 +75,27 @@ def parts(rows: DataFrame, order: list[str], size: int, last_part: int = 0, last
     return ordinal(rows, order, "__n").withColumn("part", at(F.col("__n"))).drop("__n")
 
 
-def ordinal(rows: DataFrame, order: list[str], name: str, buckets: int = 1024) -> DataFrame:
+def ordinal(rows: DataFrame, order: list[str], name: str, buckets: int = 256) -> DataFrame:
     """rows with their 1-based place in the order, which must be total.
 
-    Quantiles of the first key cut rows into buckets; counts of buckets are
-    summed (a row a bucket), and places within each come from a window on it.
-    A first key with one value for all rows makes one bucket.
+    Quantiles of the first key (of a bounded sample, if it is no number) cut
+    rows into buckets; the buckets' counts, at most buckets + 1 of them, are
+    summed on the driver, and places within each come from a window on it. A
+    first key with one value for all rows makes one bucket.
     """
     from pyspark.sql import Window
 
-    first = F.col(order[0])
-    kind = rows.schema[order[0]].dataType.typeName()
+    first, kind = F.col(order[0]), rows.schema[order[0]].dataType.typeName()
     if kind in ("integer", "long", "double", "float", "short"):
-        cuts = rows.agg(F.percentile_approx(first.cast("double"), [i / buckets for i in range(1, buckets)], 10 * buckets)).first()[0] or []
-        cuts = sorted(set(cuts))
-        bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= first.cast("double"))) if cuts else F.lit(0)
+        first = first.cast("double")
+        cuts = rows.agg(F.percentile_approx(first, [i / buckets for i in range(1, buckets)], 10 * buckets)).first()[0] or []
     else:
-        bucket = F.lit(0)
-    rows = rows.withColumn("__b", F.coalesce(bucket, F.lit(-1)))
-    before = rows.groupBy("__b").count().withColumn("__before", F.coalesce(F.sum("count").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    out = rows.withColumn("__r", F.row_number().over(Window.partitionBy("__b").orderBy(*order))).join(F.broadcast(before), "__b")
-    return out.withColumn(name, F.col("__r") + F.col("__before")).drop("__b", "__r", "__before")
+        some = sorted(r[0] for r in rows.select(order[0]).where(first.isNotNull()).orderBy(F.xxhash64(order[0])).limit(8 * buckets).collect())
+        cuts = some[8::8]
+    cuts = sorted(set(cuts))
+    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= first)) if cuts else F.lit(0)
+    rows = rows.withColumn("__b", F.when(first.isNull(), -1).otherwise(bucket))
+    counts = {r["__b"]: r["count"] for r in rows.groupBy("__b").count().collect()}
+    before = [sum(n for b, n in counts.items() if b < k) for k in range(-1, len(cuts) + 1)]
+    place = F.row_number().over(Window.partitionBy("__b").orderBy(*order))
+    return rows.withColumn(name, place + F.element_at(F.array(*[F.lit(b).cast("long") for b in before]), F.col("__b") + 2)).drop("__b")

@@ -86,6 +86,8 @@ def test_ordinal_and_parts(spark):
     df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k"))
     rows = compose.ordinal(df, ["k"], "n").collect()
     assert all(r["n"] == r["k"] + 1 for r in rows)
+    text = df.select(F.format_string("%04d", "k").alias("t")).union(spark.createDataFrame([(None,)], "t string"))
+    assert {r["t"]: r["n"] for r in compose.ordinal(text, ["t"], "n").collect()} == {None: 1, **{f"{k:04d}": k + 2 for k in range(1000)}}
     parts = compose.parts(df, ["k"], 100, 2, 50).groupBy("part").count().collect()
     assert {r["part"]: r["count"] for r in parts} == {2: 50, **dict.fromkeys(range(3, 12), 100), 12: 50}
 

@@ -32,7 +32,7 @@ SHINGLE = 5
 #: A link needs this many percent of the union in common.
 PERCENT = 85
 #: A candidate group beyond either bound is cut into blocks of about half of it.
-GROUP_ROWS, GROUP_SHINGLES = 4096, 3_000_000
+GROUP_ROWS, GROUP_SHINGLES = 1024, 3_000_000
 
 _A, _B, _C = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
 
@@ -109,9 +109,9 @@ def _signed(batches):
     import pyarrow as pa
 
     claim(_words)
-    seen: dict[tuple[int, int], list[int]] = {}
+    none, seen = np.zeros(0, np.int64), {}
     for batch in batches:
-        n, hi, lo, bands = [], [], [], []
+        n, prints, bands = [], [], []
         with np.errstate(over="ignore"):
             for text in batch.column(1).to_pylist():
                 s = shingles(text)
@@ -119,12 +119,14 @@ def _signed(batches):
                 if (keys := seen.get(f)) is None:
                     if len(seen) > 20_000:
                         seen.clear()
-                    seen[f] = keys = band_keys(signature(s)).tolist() if len(s) else []
+                    seen[f] = keys = band_keys(signature(s)) if len(s) else none
                 n.append(len(s))
-                hi.append(f[0])
-                lo.append(f[1])
+                prints.append(f)
                 bands.append(keys)
-        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in (n, hi, lo)], pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n", "hi", "lo", "bands"])
+        ends = np.concatenate([[0], np.cumsum([len(k) for k in bands])]).astype(np.int32)
+        hi, lo = (pa.array([f[k] for f in prints], pa.int64()) for k in (0, 1))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), hi, lo, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([none, *bands])))], ["doc_id", "n", "hi", "lo", "bands"])
+    _words.clear()  # hashing them anew costs less than the memory that an idle worker would hold
 
 
 def _sets(batches):
@@ -135,6 +137,7 @@ def _sets(batches):
         with np.errstate(over="ignore"):
             found = [shingles(t).tobytes() for t in batch.column(batch.num_columns - 1).to_pylist()]
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.binary())], [*batch.schema.names[:-1], "set"])
+    _words.clear()
 
 
 def links(ids: list[int], sets: list[np.ndarray], percent: int = PERCENT):

@@ -62,6 +62,16 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def first_by_hash(df: DataFrame, key: str, rows: int, n: int) -> DataFrame:
+    """The rows of df, of which there are n, with the smallest hashes of key, at most so many: a sample that reruns repeat.
+
+    Where most rows can't be among them, those are left out before the top-k, so that what tasks send is bounded.
+    """
+    if n > 3 * rows:
+        df = df.where(F.xxhash64(key) <= int(-(2**63) + 2**64 * 1.5 * rows / n))
+    return df.orderBy(F.xxhash64(key), key).limit(rows)
+
+
 def union_find(pairs):
     """Smallest id reachable, for each id in pairs."""
     parent: dict[int, int] = {}

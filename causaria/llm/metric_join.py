@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, small, staged
+from .common import components, first_by_hash, small, staged
 
 COSINE = 0.95
 #: Vectors that pivots are chosen on, by hash of the id, and pivots at most. Both only steer cost.
@@ -255,7 +255,7 @@ def links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     n = classes.count()
     one = valid.join(small(classes, n), ["hi", "lo"]).where("vec_id = rep").select(F.col("rep").alias("id"), "mult", "unit").dropDuplicates(["id", "unit"])
     one = staged(one)
-    sample = [np.frombuffer(r[0], np.float64) for r in one.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).select("unit").collect()]
+    sample = [np.frombuffer(r[0], np.float64) for r in first_by_hash(one, "id", SAMPLE_ROWS, n).select("unit").collect()]
     pivots = choose_pivots(np.array(sample).reshape(-1, dims), n, radius) if sample else np.zeros((1, dims))
     at_home = staged(one.select("id", "mult", "unit").mapInArrow(_assigned(pivots, radius), "id long, mult long, unit binary, home int, others array<int>"))
     own = {r["home"]: r["count"] for r in at_home.groupBy("home").count().collect()}  # a row a pivot

@@ -16,7 +16,8 @@ pi(sigma(x) + k), the second permutation circularly shifted by k.
    components.
 
 With R rows in each of B bands, a pair of Jaccard similarity s shares a bucket
-with probability 1 - (1 - s^R)^B: at 0.85 all but 3 in 10 million.
+with probability 1 - (1 - s^R)^B. bands() chooses B so that a pair at the
+threshold misses all of them with a probability below one in a million.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import claim, components, memo, small, staged
 
-ROWS, BANDS = 6, 32
+ROWS, MISSED = 6, 1e-6
 SHINGLE = 5
 #: A link needs this many percent of the union in common.
 PERCENT = 85
@@ -75,13 +76,18 @@ def shingles(text: str | bytes | None, size: int = SHINGLE) -> np.ndarray:
     return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) > 1 else x
 
 
+def bands(percent: int = PERCENT) -> int:
+    """Bands of ROWS rows that lose fewer than MISSED of the pairs at the threshold."""
+    return int(np.ceil(np.log(MISSED) / np.log1p(-((percent / 100) ** ROWS))))
+
+
 def fingerprint(s: np.ndarray) -> tuple[int, int]:
     """128 bits of a shingle set."""
     a, b = mix64(s + np.uint64(0x1234567)).sum(dtype=np.uint64), mix64(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)
     return int(np.array(a).view(np.int64)), int(np.array(b).view(np.int64))
 
 
-def signature(s: np.ndarray, n: int = ROWS * BANDS) -> np.ndarray:
+def signature(s: np.ndarray, n: int) -> np.ndarray:
     """n coordinates of a non-empty set: minima of the second permutation under circular shifts."""
     x = (mix64(s) >> np.uint64(32)).astype(np.uint32)  # sigma
     shift = np.arange(n, dtype=np.uint32)[:, None]
@@ -105,28 +111,31 @@ def band_keys(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _signed(batches):
-    import pyarrow as pa
-
-    claim(_words)
-    none, seen = np.zeros(0, np.int64), {}
-    for batch in batches:
-        n, prints, bands = [], [], []
-        with np.errstate(over="ignore"):
-            for text in batch.column(1).to_pylist():
-                s = shingles(text)
-                f = fingerprint(s)
-                if (keys := seen.get(f)) is None:
-                    if len(seen) > 20_000:
-                        seen.clear()
-                    seen[f] = keys = band_keys(signature(s)) if len(s) else none
-                n.append(len(s))
-                prints.append(f)
-                bands.append(keys)
-        ends = np.concatenate([[0], np.cumsum([len(k) for k in bands])]).astype(np.int32)
-        hi, lo = (pa.array([f[k] for f in prints], pa.int64()) for k in (0, 1))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), hi, lo, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([none, *bands])))], ["doc_id", "n", "hi", "lo", "bands"])
-    _words.clear()  # hashing them anew costs less than the memory that an idle worker would hold
+def _signed(n_bands: int):
+    def run(batches):
+        import pyarrow as pa
+
+        claim(_words)
+        none, seen = np.zeros(0, np.int64), {}
+        for batch in batches:
+            n, prints, found = [], [], []
+            with np.errstate(over="ignore"):
+                for text in batch.column(1).to_pylist():
+                    s = shingles(text)
+                    f = fingerprint(s)
+                    if (keys := seen.get(f)) is None:
+                        if len(seen) > 20_000:
+                            seen.clear()
+                        seen[f] = keys = band_keys(signature(s, ROWS * n_bands)) if len(s) else none
+                    n.append(len(s))
+                    prints.append(f)
+                    found.append(keys)
+            ends = np.concatenate([[0], np.cumsum([len(k) for k in found])]).astype(np.int32)
+            hi, lo = (pa.array([f[k] for f in prints], pa.int64()) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), hi, lo, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([none, *found])))], ["doc_id", "n", "hi", "lo", "bands"])
+        _words.clear()  # hashing them anew costs less than the memory that an idle worker would hold
+
+    return run
 
 
 def _sets(batches):
@@ -170,29 +179,33 @@ def links(ids: list[int], sets: list[np.ndarray], percent: int = PERCENT):
                 yield min(ids[p], ids[q]), max(ids[p], ids[q])
 
 
-def _verified(batches):
+def _verified(percent: int):
     """Rows sorted by part: (part, id, set) -> links (a, b)."""
-    import pyarrow as pa
 
-    def flush(ids, sets):
-        found = list(links(ids, sets)) if len(ids) > 1 else []
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+    def run(batches):
+        import pyarrow as pa
 
-    now, ids, sets = None, [], []
-    for batch in batches:
-        for part, i, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if part != now:
-                if len(ids) > 1:
-                    yield flush(ids, sets)
-                now, ids, sets = part, [], []
-            if len(raw):
-                ids.append(i)
-                sets.append(np.frombuffer(raw, np.uint64))
-    yield flush(ids, sets)
+        def flush(ids, sets):
+            found = list(links(ids, sets, percent)) if len(ids) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+        now, ids, sets = None, [], []
+        for batch in batches:
+            for part, i, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != now:
+                    if len(ids) > 1:
+                        yield flush(ids, sets)
+                    now, ids, sets = part, [], []
+                if len(raw):
+                    ids.append(i)
+                    sets.append(np.frombuffer(raw, np.uint64))
+        yield flush(ids, sets)
+
+    return run
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs.
+def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs; links need percent of the union in common.
 
     A null or empty text, or one of white space, has no shingles and is linked
     with nothing, not even with its like. Rows of one doc_id are one document:
@@ -200,7 +213,7 @@ def groups(docs: DataFrame) -> DataFrame:
     verdict. A null doc_id is linked with nothing: its component is null and it
     is kept. An empty table gives no rows; other columns are not looked at.
     """
-    signed = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(_signed, "doc_id long, n long, hi long, lo long, bands array<long>"))
+    signed = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(_signed(bands(percent)), "doc_id long, n long, hi long, lo long, bands array<long>"))
     classes = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rep"))
     classes = staged(classes)
     tagged = staged(signed.join(small(classes, classes.count()), ["hi", "lo", "n"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"), F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")))
@@ -219,14 +232,14 @@ def groups(docs: DataFrame) -> DataFrame:
     sets = texts.select("id", "component", "block", "blocks", "text").mapInArrow(_sets, "id long, component long, block int, blocks int, set binary")
     part = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(F.col("block"), j) * F.col("blocks") + F.greatest(F.col("block"), j)))
     parts = sets.select("id", "component", "set", F.explode(part).alias("pair")).select(F.concat_ws("/", "component", "pair").alias("part"), "id", "set")
-    linked = parts.repartition("part").sortWithinPartitions("part", "id").mapInArrow(_verified, "a long, b long")
+    linked = parts.repartition("part").sortWithinPartitions("part", "id").mapInArrow(_verified(percent), "a long, b long")
     found = components(linked)
     out = tagged.select("doc_id", F.col("n").alias("n_shingles"), "rep").join(small(found.select(F.col("id").alias("rep"), "component"), found.count()), "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def filtered(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose document isn't its group's smallest; docs' own columns."""
-    gone = staged(groups(docs).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct())
+def filtered(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """docs without the rows whose document isn't its group's smallest, at a similarity of 0.8 or more; docs' own columns."""
+    gone = staged(groups(docs, percent).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct())
     return docs.join(small(gone, gone.count()), docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, memo
+from .common import claim, first_by_hash, memo
 
 #: Labelled rows that the model is fitted on at most, the first by hash of doc_id.
 SAMPLE_ROWS = 8000
@@ -141,7 +141,8 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list[
     by a broadcast of at most that many ids. Null labels and ids are left out;
     an id labelled twice counts once, as toxic if any label says so.
     """
-    ids = labels.select(F.col("doc_id").cast("long").alias("__id"), F.col("toxic").cast("int").alias("toxic")).dropna().groupBy("__id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("__id"), "__id").limit(rows)
+    ids = labels.select(F.col("doc_id").cast("long").alias("__id"), F.col("toxic").cast("int").alias("toxic")).dropna().groupBy("__id").agg(F.max("toxic").alias("toxic"))
+    ids = first_by_hash(ids, "__id", rows, labels.count())
     one = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "__id")
     found = one.select("text", "toxic").mapInArrow(_lists, "words binary, counts binary, toxic int").toLocalIterator()
     return [Row(np.frombuffer(bytes(r[0]), np.int32), np.frombuffer(bytes(r[1]), np.int32), r[2] > 0) for r in found]

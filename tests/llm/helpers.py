@@ -26,7 +26,7 @@ def shingle_set(text):
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-def near_duplicates(texts: dict):
+def near_duplicates(texts: dict, percent: int = 85):
     sets, index, common = {i: shingle_set(t) for i, t in texts.items()}, defaultdict(list), Counter()
     for i, s in sets.items():
         for x in s:
@@ -35,7 +35,7 @@ def near_duplicates(texts: dict):
         for k, a in enumerate(ids):
             for b in ids[k + 1 :]:
                 common[min(a, b), max(a, b)] += 1
-    links = [(a, b) for (a, b), c in common.items() if 100 * c >= 85 * (len(sets[a]) + len(sets[b]) - c)]
+    links = [(a, b) for (a, b), c in common.items() if 100 * c >= percent * (len(sets[a]) + len(sets[b]) - c)]
     return sets, roots(sets, links)
 
 

@@ -181,6 +181,13 @@ def test_groups_edges(spark):
     assert sorted(r["doc_id"] or 0 for r in left.collect()) == [0, 1, 2, 3, 4, 6, 7] and left.columns == docs(spark, EDGE).columns
 
 
+def test_bands_and_threshold(spark):
+    assert all((1 - (p / 100) ** minhash.ROWS) ** minhash.bands(p) <= minhash.MISSED for p in (70, 80, 85, 95))
+    base = [f"v{k}" for k in range(100)]
+    texts = {0: " ".join(base), 1: " ".join([*base[:90], *[f"x{k}" for k in range(9)]])}  # 86 of 105
+    assert [sum(r["kept"] for r in rows(minhash.groups(docs(spark, list(texts.items())), p))) for p in (80, 85)] == [1, 2]
+
+
 def test_signature_estimates_jaccard():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 2**63, 3000).astype(np.uint64)

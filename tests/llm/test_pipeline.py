@@ -19,7 +19,7 @@ def test_run_equals_plain_stages(spark):
     model = toxicity.train(docs, table(spark, SF, "labels"))
     kept = [r for r in docs.collect() if model.above(r["text"])[0] <= toxicity.TOXIC_ABOVE]
     kept = [r for r in kept if quality.passes(quality.Doc(r["text"]), quality.RULES)]
-    comp = near_duplicates({r["doc_id"]: r["text"] for r in kept})[1]
+    comp = near_duplicates({r["doc_id"]: r["text"] for r in kept}, 80)[1]
     kept = [r for r in kept if comp[r["doc_id"]] == r["doc_id"]]
     copies = {r["doc_id"]: r["copies"] for r in mixing.plan(spark.createDataFrame(kept, docs.schema)).collect()}
     theirs, want = Tokenizer.from_file(corpus_pipeline.vocabulary()), Counter()

@@ -69,7 +69,7 @@ def cycle_field(schema: StructType, declared: str | None = None) -> str | None:
 
 def row_year(schema: StructType, field: str, c: Name | None = None) -> Column:
     """The year that a cycle field gives: a number as it is, a date's or text's year."""
-    x = col(c or field)
+    x = col(field if c is None else c)
     kind = schema[field].dataType.typeName()
     if kind in ("integer", "long", "double", "short"):
         return x.cast("long")

@@ -58,6 +58,18 @@ def from_catalogue(u: Column, on: Column | None, buckets: Mapping[str, list], ma
     return hit.otherwise(out)
 
 
+def condition_value(df: DataFrame, path: str, parents: list[tuple[str, DataFrame, str]], name: str = "__condition") -> DataFrame:
+    """df with the value that a condition names: a field of the row, or parent.Field of its first parent (foreign key, parent, its key) that has the field."""
+    if not path.startswith("parent."):
+        return df.withColumn(name, F.col(path))
+    field = path.removeprefix("parent.")
+    for fk, parent, key in parents:
+        if field in parent.columns:
+            side = parent.select(norm(parent[key]).alias("__pk"), parent[field].alias(name)).dropDuplicates(["__pk"])
+            return df.join(side, norm(df[fk]) == F.col("__pk"), "left").drop("__pk")
+    raise ValueError(f"no parent has {field}")
+
+
 def generated(df: DataFrame, key: str, fields: Mapping[str, Mapping], seed: int, catalogues: Mapping[str, Mapping[str, list]] | None = None) -> DataFrame:
     """df with generated fields, in order, later ones seeing earlier ones. Draws are keyed by row and field.
 

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import day
+from ..functions.dates import cycle_field, day, row_year
 from ..model import Domain, Factor, Hero
-from ..operators import gates, rules
+from ..operators import eras, gates, rules
 from ..operators import heroes as hero_rows
-from ..operators.features import self_feature
+from ..operators.features import fall_through, self_feature
 
 
 def rule_gate(r: Mapping, data: Mapping[str, DataFrame]) -> DataFrame:
@@ -32,8 +33,67 @@ def rule_gate(r: Mapping, data: Mapping[str, DataFrame]) -> DataFrame:
     return rules.gate_of(name, rules.ballots_outcome(src, r.get("key", "ID"), r["outcomeField"], data[r["ballots"]], r["decisionField"], r["voteField"], **options))
 
 
-def validate(domain: Domain, data: Mapping[str, DataFrame], factors: list[Factor] = (), base: Mapping[str, DataFrame] | None = None, lookup_universe: DataFrame | None = None, heroes: list[Hero] = ()) -> DataFrame:
-    """Gates in order: heroes, closure, schema, factors, coverage, lookups, rules, stability, composition. A rule of an unknown entity raises before any job."""
+def dated(domain: Domain, name: str, df: DataFrame) -> tuple[Column | None, str]:
+    """(the row's year, why there is none): by the declared cycle field, else by the one field that can date a row; several can't decide it."""
+    e = domain.entity(name)
+    if not e.cycle_field:
+        likely = [f.name for f in e.fields if f.type == "date" and not re.fullmatch(r"(?i)(dob|dateofbirth|birthdate|createdat|updatedat)", f.name)]
+        if len(likely) > 1:
+            return None, f"{name} has several dates and no cycle field: {', '.join(likely)}"
+    field = cycle_field(df.schema, e.cycle_field)
+    return (row_year(df.schema, field, df[field]), "") if field else (None, f"{name} has no field that dates a row")
+
+
+def _failed(df: DataFrame, name: str, why: str) -> DataFrame:
+    return df.sparkSession.range(1).select(*gates.gate(name, "era", F.lit(False), F.lit(0), "a dated entity", F.lit(why)))
+
+
+def era_gates(domain: Domain, data: Mapping[str, DataFrame], ruleset: Mapping[str, list]) -> list[DataFrame]:
+    """A gate for each volume multiplier and factor shift of each era and cycle. An entity that can't be dated fails."""
+    out, rows = [], ruleset.get("eras", [])
+    multiplied = {e: sorted({c for era in rows for n, _, _ in era.volumes if n == e for c in era.cycles}) for e in data}
+    for era in rows:
+        for name, m, where in era.volumes:
+            if name not in data:
+                continue
+            df, label = data[name], f"{era.name or 'era'}: {name}"
+            year, why = dated(domain, name, df)
+            if year is None:
+                out.append(_failed(df, label, why))
+                continue
+            parents = [(k.field, data[k.entity], k.target) for k in domain.entity(name).foreign_keys if k.entity in data]
+            if where:
+                df = fall_through(df, dict(where), parents)
+                year = dated(domain, name, df)[0]
+            by = eras.by_year(df, year, F.col("__scoped") if where else None)
+            for cycle in era.cycles:
+                if where:
+                    above = 1.0
+                    for k in domain.entity(name).foreign_keys:
+                        if k.dependent:
+                            for other in rows:
+                                for n, x, w in other.volumes if cycle in other.cycles else ():
+                                    above *= x if n == k.entity and w is None else 1.0
+                    out.append(eras.scoped_volume(f"{label} in {cycle}", by, cycle, m, multiplied[name], above))
+                else:
+                    scoped = [(cycle, x) for other in rows if cycle in other.cycles for n, x, w in other.volumes if w and n in domain.entities and any(k.entity == name and k.dependent for k in domain.entity(n).foreign_keys)]
+                    out.append(eras.volume(f"{label} in {cycle}", by, cycle, m, multiplied[name], eras.retention(scoped, cycle)))
+        for f in ruleset.get("factors", []):
+            if f.id in era.factors and f.entity in data:
+                df = data[f.entity]
+                year, why = dated(domain, f.entity, df)
+                label = f"{era.name or 'era'}: {f.id}"
+                if year is None:
+                    out.append(_failed(df, label, why))
+                    continue
+                shifted = sorted({c for x in rows if f.id in x.factors for c in x.cycles})
+                by = eras.by_year(df, year, None, self_feature(df, f.outcome))
+                out += [eras.factor_shift(f"{label} in {c}", by, c, era.factors[f.id], shifted) for c in era.cycles]
+    return out
+
+
+def validate(domain: Domain, data: Mapping[str, DataFrame], factors: list[Factor] = (), base: Mapping[str, DataFrame] | None = None, lookup_universe: DataFrame | None = None, heroes: list[Hero] = (), ruleset: Mapping[str, list] | None = None) -> DataFrame:
+    """Gates in order: heroes, closure, schema, factors, eras, coverage, lookups, rules, stability, composition. A rule of an unknown entity raises before any job."""
     missing = [r["source"] for r in domain.rules if r["source"] not in data]
     if missing:
         raise ValueError(f"rules need entities that are missing: {', '.join(missing)}")
@@ -48,6 +108,7 @@ def validate(domain: Domain, data: Mapping[str, DataFrame], factors: list[Factor
         own = [f for f in factors if f.entity == n]
         if own:
             out.append(gates.factor_gates(data[n], [(f.id, self_feature(data[n], f.outcome), f.target, f.tolerance) for f in own]))
+    out += era_gates(domain, data, ruleset) if ruleset else []
     for n, e in here.items():
         out += [gates.dependent_coverage(f"{k.entity} has {n}", data[k.entity], k.target, data[n], k.field) for k in e.foreign_keys if k.dependent and k.entity in data]
     if lookup_universe is not None:

@@ -258,6 +258,26 @@ def test_generate_validate_accumulate(spark):
         accumulate.cycle(data, {"Org": orgs.withColumn("Name", F.lit("z"))}, {"Org": ["ID"]}, {"Org"})
 
 
+def test_era_gates_of_a_domain(spark):
+    d = parse_domain({"name": "x", "namespace": NS, "entities": {"Order": {"fields": {"ID": {"isPrimaryKey": True}, "OrderDate": {"type": "date"}, "Status": {}, "KindID": {"nullable": True}}, "foreignKeys": {"KindID": {"targetEntity": "Kind"}}}, "Kind": {"fields": {"ID": {"isPrimaryKey": True}, "Category": {}}}, "Two": {"fields": {"ID": {"isPrimaryKey": True}, "A": {"type": "date"}, "B": {"type": "date"}}}}})
+    rows = [(f"{y}-{k}", date(y, 1, 1), "Paid" if k % 2 else "Open", "hard" if k < h else "soft") for y, n, h in ((2021, 40, 20), (2022, 20, 10), (2023, 20, 0)) for k in range(n)]
+    data = {"Order": spark.createDataFrame(rows, "ID string, OrderDate date, Status string, KindID string"), "Kind": spark.createDataFrame([("HARD", "Hardware"), ("soft", "Software")], "ID string, Category string"), "Two": spark.createDataFrame([("t", date(2022, 1, 1), date(2022, 1, 1))], "ID string, A date, B date")}
+    half = Era((2022,), "half", {}, (("Order", 0.5, None),))
+    none = Era((2023,), "none", {}, (("Order", 0.0, (("Category", "hardware"),)),))
+    shift = Era((2022,), "shift", {"paid": -1.0}, (("Two", 0.5, None),))
+    f = Factor("paid", "Order", 0.5, 0.1, {"where": {"Status": "Paid"}})
+    got = {r["name"]: (r["passed"], r["actual"]) for r in validate(d, data, ruleset={"eras": [half, none, shift], "factors": [f]}).where("category = 'era'").collect()}
+    assert got["half: Order in 2022"][0] and got["none: Order in 2023"] == (True, "20 / 0")
+    assert not got["shift: paid in 2022"][0] and "several dates" in got["shift: Two"][1]
+
+
+def test_condition_of_a_parent(spark):
+    df, up = spark.createDataFrame([("1", "A"), ("2", None)], "ID string, P string"), spark.createDataFrame([("a", "F")], "ID string, Gender string")
+    assert {r["ID"]: r["__condition"] for r in generate.condition_value(df, "parent.Gender", [("P", up, "ID")]).collect()} == {"1": "F", "2": None}
+    with pytest.raises(ValueError):
+        generate.condition_value(df, "parent.Size", [("P", up, "ID")])
+
+
 def test_rules_need_their_entities(spark):
     d = parse_domain({**DOMAIN, "relationalRules": [{"kind": "path-match", "source": "Person", "path": [{"field": "OrgID", "entity": "Org"}], "targetField": "Name"}]})
     with pytest.raises(ValueError, match="Person"):

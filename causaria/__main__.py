@@ -31,9 +31,9 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     names = list(state.load_checkpoint(p.output / runs.CHECKPOINT).counts) if (p.output / runs.CHECKPOINT).exists() else []
     if o.command == "accumulate":
-        new, checkpoint = runs.next_cycle(spark, p, plans.load(o.plan) if o.plan else None, o.seed, o.units)
-        runs.commit(p, new, checkpoint, records.read(spark, p.domain, str(p.output), names))
-        print(f"as of {checkpoint.as_of}: {', '.join(f'{n}: {c}' for n, c in checkpoint.counts.items())}")
+        done = runs.next_cycle(spark, p, plans.load(o.plan) if o.plan else None, o.seed, o.units)
+        runs.commit(spark, p, done, records.read(spark, p.domain, str(p.output), names))
+        print(f"as of {done.checkpoint.as_of}: {', '.join(f'{n}: {c}' for n, c in done.checkpoint.counts.items())}")
         return 0
     data = records.read(spark, p.domain, str(p.output), names)
     if o.command == "decorate":

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..model import Factor
 from ..operators import generate, heroes
+from ..operators.delta import status_transitions
 from ..sources import project as projects
 from ..sources import records, state
 from ..streaming import accumulate, ladders, simulate
@@ -25,6 +26,18 @@ CHECKPOINT = "checkpoint.json"
 class Built:
     data: dict[str, DataFrame]
     checkpoint: accumulate.Checkpoint
+    states: DataFrame | None = None
+
+
+@dataclass(frozen=True)
+class Cycle:
+    """What a cycle adds, which entities' rows change (whole, as they will be), ladders' states, transitions, and the checkpoint."""
+
+    new: dict[str, DataFrame]
+    updated: dict[str, DataFrame]
+    states: DataFrame | None
+    transitions: list[DataFrame]
+    checkpoint: accumulate.Checkpoint
 
 
 def _catalogues(spark: SparkSession, p: projects.Project) -> dict:
@@ -48,8 +61,8 @@ def _cycles(p: projects.Project) -> list[int]:
     return list(range(p.start_cycle, p.release.year + 1))
 
 
-def _unrolled(p: projects.Project, name: str, df: DataFrame, factors: list[Factor], seed: int) -> DataFrame:
-    """df with its factors' outcomes of the last cycle written to their fields, and its ladders' states."""
+def _unrolled(p: projects.Project, name: str, df: DataFrame, factors: list[Factor], seed: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(df with its factors' outcomes of the last cycle and its ladders' states written to their fields, those states)."""
     cycles, key = _cycles(p), p.domain.entity(name).primary[0]
     span = len(cycles)
     born = (F.pmod(F.xxhash64(key), F.lit(span)) + cycles[0]).cast("int")
@@ -67,36 +80,61 @@ def _unrolled(p: projects.Project, name: str, df: DataFrame, factors: list[Facto
             values = {x.name: list(x.values) for x in p.domain.entity(name).fields}
             field = next(iter(f.outcome["where"]))
             out = simulate.written_back(out, key, outcomes, f, values.get(field))
+    kept = []
     for lad in p.rules.get("ladders", ()):
         if lad.entity == name and lad.binding and lad.binding.get("field"):
             states = ladders.enrol(people, key, lad, cycles[0], seed).withColumn("key", F.col("key").cast("string")).withColumn("dials", F.create_map().cast("map<string,double>"))
             for c in cycles[1:]:
                 states = simulate.saved(ladders.step(states, lad, c).where("NOT exited").drop("from_state", "exited"))
+            kept.append(states)
             out = ladders.bind(out, key, states, lad, lad.binding["field"])
-    return out
+    return out, kept
 
 
 def build(spark: SparkSession, p: projects.Project, seed: int = 42) -> Built:
     """The project's dataset, unrolled through its cycles; nothing is written."""
     volume = lambda n: int(p.params.get(f"volume_{n}", p.params.get("volume_default", 10)))
     data = generated(spark, p, volume, seed, catalogues=_catalogues(spark, p))
+    states: DataFrame | None = None
     for name in list(data):
         own = [f for f in p.rules.get("factors", ()) if f.entity == name]
         if own or any(x.entity == name and x.binding for x in p.rules.get("ladders", ())):
-            data[name] = _unrolled(p, name, data[name], own, seed)
+            data[name], kept = _unrolled(p, name, data[name], own, seed)
+            for k in kept:
+                states = k if states is None else states.unionByName(k)
     counts = {n: volume(n) for n in data}
-    return Built(data, accumulate.Checkpoint(p.domain.name, seed, p.release.year, p.release, p.domain.namespace, counts))
+    return Built(data, accumulate.Checkpoint(p.domain.name, seed, p.release.year, p.release, p.domain.namespace, counts), states)
 
 
 def write(p: projects.Project, built: Built) -> None:
     """Data first, the checkpoint last."""
     records.write(p.domain, built.data, str(p.output), mode="overwrite")
     Path(p.output).mkdir(parents=True, exist_ok=True)
+    if built.states is not None:
+        built.states.write.mode("overwrite").parquet(_states(p, built.checkpoint.cycle))
     state.save_checkpoint(Path(p.output) / CHECKPOINT, built.checkpoint)
 
 
-def next_cycle(spark: SparkSession, p: projects.Project, plan: Plan | None = None, seed: int | None = None, units: int = 1) -> tuple[dict[str, DataFrame], accumulate.Checkpoint]:
-    """The new rows of one cycle on the project's committed state, and the checkpoint that will stand for it. Nothing is written."""
+def _states(p: projects.Project, cycle: int) -> str:
+    return f"{p.output}/_ladders/cycle-{cycle}"
+
+
+def _stepped(spark: SparkSession, p: projects.Project, data: dict[str, DataFrame], cycle: int, by: int) -> tuple[DataFrame | None, dict[str, DataFrame]]:
+    """(ladders' states a cycle on, rows of entities whose bound fields they change)."""
+    bound = [x for x in p.rules.get("ladders", ()) if x.binding and x.binding.get("field") and x.entity in data]
+    if not bound or not Path(_states(p, cycle)).exists():
+        return None, {}
+    states, out, rows = spark.read.parquet(_states(p, cycle)), None, {}
+    for lad in bound:
+        own = simulate.saved(ladders.step(states, lad, cycle + 1, by).where("NOT exited").drop("from_state", "exited"))
+        out = own if out is None else out.unionByName(own)
+        df = rows.get(lad.entity, data[lad.entity])
+        rows[lad.entity] = ladders.bind(df, p.domain.entity(lad.entity).primary[0], own, lad, lad.binding["field"])
+    return out, rows
+
+
+def next_cycle(spark: SparkSession, p: projects.Project, plan: Plan | None = None, seed: int | None = None, units: int = 1) -> Cycle:
+    """One cycle on the project's committed state. All guards have passed when it returns, and nothing is written."""
     prior = state.load_checkpoint(Path(p.output) / CHECKPOINT)
     if prior is None:
         raise accumulate.ContinuityError(f"{p.output}: no checkpoint to go on from")
@@ -120,15 +158,26 @@ def next_cycle(spark: SparkSession, p: projects.Project, plan: Plan | None = Non
     new = {n: simulate.saved(df) for n, df in new.items()}
     keys = {n: p.domain.entity(n).primary for n in prior.counts}
     pairs = {tuple(sorted((e.name, c.entity))) for e in p.domain.entities.values() for c in e.compositions if c.kind == "isA"}
-    current = {n: data[n].unionByName(new[n], allowMissingColumns=True) if n in new else data[n] for n in data}
-    accumulate.cycle(data, current, keys, {n for n in data if p.domain.entity(n).immutable}, pairs)
+    states, moved = _stepped(spark, p, data, prior.cycle, units)
+    moved = {n: simulate.saved(df) for n, df in moved.items()}
+    now = {n: moved.get(n, data[n]) for n in data}
+    current = {n: now[n].unionByName(new[n], allowMissingColumns=True) if n in new else now[n] for n in data}
+    found = accumulate.cycle(data, current, keys, {n for n in data if p.domain.entity(n).immutable}, pairs)
     added = {n: df.count() for n, df in new.items()}
-    return new, accumulate.committed(prior, end, added)
-
-
-def commit(p: projects.Project, new: dict[str, DataFrame], checkpoint: accumulate.Checkpoint, prior: dict[str, DataFrame]) -> None:
-    records.append(p.domain, str(p.output), new, prior)
-    state.save_checkpoint(Path(p.output) / CHECKPOINT, checkpoint)
+    fields = {x.entity: x.binding["field"] for x in p.rules.get("ladders", ()) if x.entity in moved}
+    transitions = [status_transitions(found[n], n, f, prior.cycle + 1) for n, f in fields.items()]
+    updated = {n: df for n, df in moved.items() if found[n].where("change = 'changed'").limit(1).count()}
+    return Cycle(new, updated, states, transitions, accumulate.committed(prior, end, added))
+
+
+def commit(spark: SparkSession, p: projects.Project, cycle: Cycle, prior: dict[str, DataFrame]) -> None:
+    """Changed entities in place, new rows as new files, states, and the checkpoint last."""
+    for n, df in cycle.updated.items():
+        records.replaced(spark, f"{p.output}/{n}", df)
+    records.append(p.domain, str(p.output), cycle.new, {n: cycle.updated.get(n, df) for n, df in prior.items()})
+    if cycle.states is not None:
+        cycle.states.write.mode("overwrite").parquet(_states(p, cycle.checkpoint.cycle))
+    state.save_checkpoint(Path(p.output) / CHECKPOINT, cycle.checkpoint)
 
 
 def as_of(p: projects.Project) -> date | None:

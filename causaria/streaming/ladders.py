@@ -10,12 +10,9 @@ entities in enrolment order.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rng import keyed
 from ..model import Ladder, State
 
 
@@ -93,14 +90,12 @@ def step(states: DataFrame, ladder: Ladder, cycle: int, by: int = 1, order: str
 
     A ladder without capacities is stepped row by row in whatever partitions
     there are. With capacities, occupancy is order-dependent by definition, so
-    its rows pass through one task in order, streamed.
+    its rows pass through one task in order of enrolment, streamed.
     """
     own = states.where(F.col("ladder") == ladder.id)
     limited = any(s.capacity is not None for s in ladder.states)
     counts = {r["state"]: r["count"] for r in own.groupBy("state").count().collect()} if limited else {}
-    ordered = own.coalesce(1).sortWithinPartitions("enter_cycle", order) if limited else own
-    if limited:
-        ordered = own.repartitionByRange(1, "enter_cycle", order).sortWithinPartitions("enter_cycle", order)
+    ordered = own.repartition(1).sortWithinPartitions("born", order) if limited else own
 
     def run(batches):
         import pandas as pd
@@ -200,11 +195,3 @@ def processor(ladder: Ladder):
             pass
 
     return Progress
-
-
-def as_json(ladder: Ladder) -> str:
-    return json.dumps({"id": ladder.id, "states": [(s.name, s.duration, s.capacity) for s in ladder.states]})
-
-
-def keyed_order(key: Column, seed: int, purpose: str) -> Column:
-    return keyed(seed, key.cast("string"), 1, f"{purpose}:")

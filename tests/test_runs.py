@@ -95,3 +95,22 @@ def test_upsert_and_replace(spark, tmp_path):
     assert {r["ID"]: r["v"] for r in spark.read.parquet(path).collect()} == {1: "z", 2: "b", 3: "c"} and all(p.read_bytes() == b for p, b in kept.items())
     records.replaced(spark, path, spark.read.parquet(path).withColumn("v", F.upper("v")))
     assert {r["v"] for r in spark.read.parquet(path).collect()} == {"Z", "B", "C"} and not Path(f"{path}.new").exists()
+
+
+def test_ladders_go_on_between_cycles(spark, root):
+    rules = json.loads((root / "ruleset" / "common.json").read_text())
+    rules["ladders"] = [{"id": "life", "entity": "Person", "share": 1.0, "binding": {"field": "Stage"}, "states": [{"name": "Trial", "duration": 3}, {"name": "Active", "duration": 1, "capacity": 4, "stored": "A"}, {"name": "Gone", "duration": 9}]}]
+    (root / "ruleset" / "common.json").write_text(json.dumps(rules))
+    domain = json.loads((root / "domain.json").read_text())
+    domain["entities"]["Person"]["fields"]["Stage"] = {"nullable": True}
+    (root / "domain.json").write_text(json.dumps(domain))
+    p = project.load(root)
+    runs.write(p, runs.build(spark, p))
+    stage = lambda: {r["Stage"]: r["count"] for r in spark.read.parquet(f"{root}/data/Person").groupBy("Stage").count().collect()}
+    assert stage() == {"Trial": 10}
+    seen = []
+    for _ in range(3):
+        done = runs.next_cycle(spark, p)
+        seen.append(sum(t.count() for t in done.transitions))
+        runs.commit(spark, p, done, records.read(spark, p.domain, str(p.output)))
+    assert seen == [4, 8, 6] and stage() == {"Gone": 8, "A": 2, None: 6}

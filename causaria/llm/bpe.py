@@ -26,7 +26,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, memo
+from .common import claim, memo, only
 
 #: Words kept with their tokens in each Python worker: so many of late, and as many before that; words met again are carried over.
 MEMO_WORDS = 220_000
@@ -210,7 +210,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     empty table gives none, and other columns are not looked at. path is the
     vocabulary file, at the same place on every executor.
     """
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_digests(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_digests(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def _encode(path: str):
@@ -240,9 +240,9 @@ def _decode(path: str):
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids (array<int>) of each whole text; null for a null text, an empty array for an empty one."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_encode(path), "doc_id long, ids array<int>")
+    return only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_encode(path), "doc_id long, ids array<int>")
 
 
 def decode(tokens: DataFrame, path: str) -> DataFrame:
     """doc_id, text of each row's ids; invalid UTF-8 becomes U+FFFD; an id outside the vocabulary raises."""
-    return tokens.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(_decode(path), "doc_id long, text string")
+    return only(tokens, "doc_id", "ids").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(_decode(path), "doc_id long, text string")

@@ -43,6 +43,26 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def only(df: DataFrame, *names: str) -> DataFrame:
+    """The named columns alone, by exact name and first place, whatever else df has (Text beside text, or a name twice)."""
+    found = [c.lower() for c in df.columns]
+    if all(found.count(n.lower()) == 1 for n in names):
+        return df.select(*names)
+    at = [df.columns.index(n) for n in names]
+    return numbered(df).select(*[F.col(f"__c{i}").alias(n) for i, n in zip(at, names, strict=True)])
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns named by place, so that no name clashes."""
+    return df.toDF(*[f"__c{i}" for i in range(len(df.columns))])
+
+
+def rows_by(df: DataFrame, run) -> DataFrame:
+    """df after a function of its Arrow batches that leaves columns as they are."""
+    d = numbered(df)
+    return d.mapInArrow(run, d.schema).toDF(*df.columns)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back: lineage ends here and lost executors cost no recomputation."""
     spark = df.sparkSession

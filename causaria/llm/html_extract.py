@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, memo
+from .common import claim, memo, only
 
 BLOCK_TAGS = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -360,4 +360,4 @@ def extract(pages: DataFrame, net: Labeller | None = None) -> DataFrame:
     ids and urls stay null; rows are treated one by one, so repeated rows
     repeat; an empty table gives none; other columns are not looked at.
     """
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(_extracted(net or labeller()), "page_id long, url string, text string, n_chars long")
+    return only(pages, "page_id", "url", "html").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(_extracted(net or labeller()), "page_id long, url string, text string, n_chars long")

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, first_by_hash, small, staged
+from .common import components, first_by_hash, only, small, staged
 
 COSINE = 0.95
 #: Vectors that pivots are chosen on, by hash of the id, and pivots at most. Both only steer cost.
@@ -247,7 +247,7 @@ def links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     if not 0 < cosine <= 1:
         raise ValueError(f"cosine must be in (0, 1]: {cosine}")
     radius = float(np.sqrt(max(2 - 2 * cosine, 0)))
-    raw = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    raw = only(vectors, "vec_id", "embedding").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     dims = max(1, raw.agg(F.max(F.size("embedding"))).first()[0] or 0)
     base = staged(raw.select("vec_id", "embedding", F.xxhash64("embedding", F.lit(1)).alias("hi"), F.xxhash64("embedding", F.lit("b")).alias("lo")).mapInArrow(_units(dims), "vec_id long, hi long, lo long, unit binary"))
     valid = base.where("unit IS NOT NULL AND vec_id IS NOT NULL")

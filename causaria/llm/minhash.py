@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, components, memo, small, staged
+from .common import claim, components, memo, numbered, only, small, staged
 
 ROWS, MISSED = 6, 1e-6
 SHINGLE = 5
@@ -213,6 +213,7 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     verdict. A null doc_id is linked with nothing: its component is null and it
     is kept. An empty table gives no rows; other columns are not looked at.
     """
+    docs = only(docs, "doc_id", "text")
     signed = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(_signed(bands(percent)), "doc_id long, n long, hi long, lo long, bands array<long>"))
     classes = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rep"))
     classes = staged(classes)
@@ -242,4 +243,5 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def filtered(docs: DataFrame, percent: int = 80) -> DataFrame:
     """docs without the rows whose document isn't its group's smallest, at a similarity of 0.8 or more; docs' own columns."""
     gone = staged(groups(docs, percent).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(small(gone, gone.count()), docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+    d = numbered(docs)
+    return d.join(small(gone, gone.count()), F.col(f"__c{docs.columns.index('doc_id')}").cast("long") == F.col("__gone"), "left_anti").toDF(*docs.columns)

@@ -16,6 +16,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import only, rows_by
+
 #: What separates words, and the characters that count as symbols.
 SPACES = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -136,7 +138,7 @@ class Estimate:
 
 def estimate(docs: DataFrame, rules=RULES, rows: int = SAMPLE_ROWS) -> list[Estimate]:
     """Cost (seconds a document, with all that the rule itself must work out) and rejected share of each rule."""
-    texts = [r[0] for r in docs.select(F.col("text").cast("string")).take(rows)]
+    texts = [r[0] for r in only(docs, "text").select(F.col("text").cast("string")).take(rows)]
     out = []
     for rule in rules:
         began, hits = time.perf_counter(), 0
@@ -185,7 +187,7 @@ def measure(docs: DataFrame, rules=RULES) -> DataFrame:
     rows; columns other than doc_id and text are not looked at.
     """
     rules = ordered(rules, estimate(docs, rules))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_measured(rules), MEASURES)
+    return only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_measured(rules), MEASURES)
 
 
 def _kept(rules, at: int):
@@ -201,4 +203,4 @@ def _kept(rules, at: int):
 def filtered(docs: DataFrame, rules=RULES) -> DataFrame:
     """The rows of docs that no rule rejects, with docs' own columns, whatever they are; rows with null or empty text go."""
     rules = ordered(rules, estimate(docs, rules))
-    return docs.mapInArrow(_kept(rules, docs.columns.index("text")), docs.schema)
+    return rows_by(docs, _kept(rules, docs.columns.index("text")))

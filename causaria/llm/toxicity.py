@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, first_by_hash, memo
+from .common import claim, first_by_hash, memo, only, rows_by
 
 #: Labelled rows that the model is fitted on at most, the first by hash of doc_id.
 SAMPLE_ROWS = 8000
@@ -141,11 +141,13 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list[
     by a broadcast of at most that many ids. Null labels and ids are left out;
     an id labelled twice counts once, as toxic if any label says so.
     """
+    labels = only(labels, "doc_id", "toxic")
     ids = labels.select(F.col("doc_id").cast("long").alias("__id"), F.col("toxic").cast("int").alias("toxic")).dropna().groupBy("__id").agg(F.max("toxic").alias("toxic"))
     ids = first_by_hash(ids, "__id", rows, labels.count())
-    one = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "__id")
+    one = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "__id")
     found = one.select("text", "toxic").mapInArrow(_lists, "words binary, counts binary, toxic int").toLocalIterator()
-    return [Row(np.frombuffer(bytes(r[0]), np.int32), np.frombuffer(bytes(r[1]), np.int32), r[2] > 0) for r in found]
+    out = [Row(np.frombuffer(bytes(r[0]), np.int32), np.frombuffer(bytes(r[1]), np.int32), r[2] > 0) for r in found]
+    return sorted(out, key=lambda r: (len(r.words), r.words.tobytes(), r.toxic))  # sums in one order, so that reruns agree
 
 
 def shares(rows: list[Row]) -> np.ndarray:
@@ -257,7 +259,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     thresholds alone, and it isn't toxic. Rows are judged one by one; repeated
     rows repeat, an empty table gives none, other columns are not looked at.
     """
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_scored(model), SCORES)
+    return only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_scored(model), SCORES)
 
 
 def _clean(model: Model, at: int):
@@ -274,4 +276,4 @@ def _clean(model: Model, at: int):
 
 def filtered(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs that aren't toxic, with docs' own columns, whatever they are. Null and empty texts stay."""
-    return docs.mapInArrow(_clean(model, docs.columns.index("text")), docs.schema)
+    return rows_by(docs, _clean(model, docs.columns.index("text")))

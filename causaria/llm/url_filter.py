@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import only, staged
 
 #: Keys that one shard's task builds its cascade from, about.
 SHARD_KEYS = 250_000
@@ -210,7 +210,7 @@ def judge(pages: DataFrame, rules=RULES, names=LISTED_NAMES) -> DataFrame:
     Repeated rows repeat; an empty table gives none; other columns are not read.
     """
     h, p = host(F.col("url")), path(F.col("url"))
-    rows = pages.select("page_id", h.alias("host"), p.alias("path"))
+    rows = only(pages, "page_id", "url").select("page_id", h.alias("host"), p.alias("path"))
     keys = rows.select(F.col("host").alias("key")).distinct()
     filters, shards = build(keys.withColumn("listed", listed_host(F.col("key"), names)))
     name, verdict = rule(F.col("host"), F.col("path"), rules)

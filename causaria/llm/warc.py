@@ -21,6 +21,7 @@ from urllib.parse import urljoin
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import only
 from .html_extract import blocks
 
 #: The namespace of derived record ids.
@@ -118,11 +119,12 @@ def derivatives(responses: DataFrame) -> DataFrame:
     give repeated records of the same ids; an empty table gives none; other
     columns are not looked at.
     """
-    return responses.select(F.col("page_id").cast("long").alias("page_id"), "record_id", "target_uri", "date", "payload_digest", "block").mapInArrow(_derived, RECORDS)
+    return only(responses, "page_id", "record_id", "target_uri", "date", "payload_digest", "block").select(F.col("page_id").cast("long").alias("page_id"), "record_id", "target_uri", "date", "payload_digest", "block").mapInArrow(_derived, RECORDS)
 
 
 def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
     """(page_id, url, html) as response records, with ids by page and url, for tables that hold pages and not archives."""
+    pages = only(pages, "page_id", "url", "html")
     body = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     key = F.sha1(F.concat_ws("\x1f", F.lit("response"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce(F.col("url"), F.lit(""))))
     part = lambda a, n: F.substring(key, a, n)

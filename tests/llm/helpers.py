@@ -53,4 +53,5 @@ def docs(spark, rows, extra=True):
         from pyspark.sql import functions as F
 
         df = df.withColumns({"kept": F.lit("mine"), "size": F.lit(-1), "rep": F.lit("r"), "component": F.lit(0), "key": F.lit("k"), "__n": F.lit(5), "target": F.lit("t"), "id": F.lit("i")})
+        df = df.select("*", F.lit("shout").alias("Text"), F.lit(-5).alias("DOC_ID"))
     return df

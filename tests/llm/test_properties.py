@@ -1,0 +1,70 @@
+"""Properties on any input: cases are drawn by hypothesis, reproducibly."""
+
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from causaria.llm import bpe, html_extract, minhash, mixing, quality, url_filter, warc
+from tests.llm.helpers import WORD, repeat_words, shingle_set
+
+few = settings(max_examples=150, deadline=None, derandomize=True)
+merges = [(b"a", b"b"), (b"ab", b"ab"), (b"b", b"b"), (b"a", b"bb"), (b"abab", b"a")]
+automaton = bpe.Automaton({bytes([b]): b for b in range(256)} | {u + v: 256 + k for k, (u, v) in enumerate(merges)}, merges)
+
+
+@few
+@given(st.binary(max_size=30))
+def test_any_bytes_come_back(word):
+    assert automaton.decode(automaton.encode_word(word)) == word
+
+
+@few
+@given(st.text(alphabet="ab \n\t\x0b\xa0é", max_size=80))
+def test_words_and_repeats(text):
+    d = quality.Doc(text)
+    w = WORD.findall(text)
+    assert [x.decode() for x in d.words] == w and d.n_repeat_words == repeat_words(w)
+    assert d.word_chars == sum(map(len, w))
+
+
+@few
+@given(st.text(alphabet="aAbBéÉ \n", max_size=60), st.text(alphabet="aAbBéÉ \n", max_size=60))
+def test_shingle_sets_agree_as_texts_do(a, b):
+    with np.errstate(over="ignore"):
+        x, y = minhash.shingles(a), minhash.shingles(b)
+        assert len(x) == len(shingle_set(a)) and (minhash.fingerprint(x) == minhash.fingerprint(y)) == (shingle_set(a) == shingle_set(b))
+
+
+@few
+@given(st.lists(st.tuples(st.integers(0, 2**63 - 1), st.booleans()), max_size=60, unique_by=lambda t: t[0]))
+def test_cascades_are_exact(keys):
+    a = np.array([k for k, _ in keys], np.uint64)
+    listed = np.array([x for _, x in keys], bool)
+    with np.errstate(over="ignore"):
+        b = a * np.uint64(3) + np.uint64(1)
+    assert (url_filter.Cascade.build(a, b, listed).listed(a, b) == listed).all()
+
+
+@few
+@given(st.text(max_size=200))
+def test_any_text_parses_as_html(text):
+    for b in html_extract.blocks(text):
+        assert b.text and b.text == b.text.strip(" ") and 0 <= b.linked <= 1
+
+
+@few
+@given(st.binary(max_size=200), st.text(max_size=20))
+def test_any_response_derives_and_parses(block, uri):
+    found = warc.derive("<r>", uri, "d", None, block)
+    assert [t[0] for t in found] == ["metadata", "conversion"]
+    for t in found:
+        ((head, data),) = warc.parse(t[8])
+        assert head["warc-refers-to"] == "<r>" and warc.digest(data) == t[6]
+
+
+@few
+@given(st.lists(st.floats(0, 5), min_size=2, max_size=6).filter(lambda w: sum(w) > 0.1))
+def test_schedules_integrate_to_one(weights):
+    pieces = mixing.segments([(k / (len(weights) - 1), w) for k, w in enumerate(weights)])
+    t0, t1, w0, w1, done = pieces[-1]
+    assert abs(done + (t1 - t0) * (w0 + w1) / 2 - 1) < 1e-9

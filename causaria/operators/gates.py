@@ -142,8 +142,8 @@ def factor_gates(df: DataFrame, factors: list[tuple[str, Column, float, float]])
 
 
 def distinctness(name: str, df: DataFrame, field: str, least: float = 0.99) -> DataFrame:
-    """Share of distinct images among data URIs, by decoded content; an empty table fails."""
-    body = F.try_to_binary(F.regexp_extract(df[field], r"(?s)^data:[^,]*;base64,(.*)$", 1), F.lit("base64"))
+    """Share of distinct images, by decoded content where they are data URIs, else by address; an empty table fails."""
+    body = F.try_to_binary(F.nullif(F.regexp_extract(df[field], r"(?s)^data:[^,]*;base64,(.*)$", 1), F.lit("")), F.lit("base64"))
     c = df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.coalesce(F.sha2(body, 256), df[field])).alias("d"))
     share = F.try_divide(F.col("d").cast("double"), F.col("n"))
     return c.select(*gate(name, "identity", (F.col("n") > 0) & (share >= least), F.col("n"), f">= {least}", F.round(share, 6)))

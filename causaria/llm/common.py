@@ -14,7 +14,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Edges at or below which one task may finish a component search: two longs each, 2 MB in all.
 SMALL_EDGES = 50_000
 
-#: Rows of (long, long) that may be broadcast: 16 MB at most, checked by a count before the hint.
+#: Rows of two to five longs that may be broadcast: some 70 MB at most, checked by a count before the hint.
 BROADCAST_ROWS = 1_000_000
 
 

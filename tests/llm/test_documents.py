@@ -150,6 +150,22 @@ def test_groups_against_brute_force(spark):
     assert all(r["n_shingles"] == len(sets[i]) and r["kept"] == (comp[i] == i) for i, r in got.items())
 
 
+def test_beyond_the_broadcast_bound(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", -1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        d = docs(spark, EDGE)
+        got = minhash.groups(d)
+        assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted(tuple(r) for r in got.dropna().collect()) == sorted((i, n, c, k) for i, n, c, k in ((1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 1, 4, True), (5, 1, 4, False), (5, 1, 4, False), (6, len(minhash.shingles(LONG)), 6, True), (7, 2, 7, True), (8, 2, 7, False)))
+        assert minhash.filtered(d).count() == 7 and mixing.plan(d).count() == len(EDGE)
+        assert mixing.mix(docs(spark, [r for r in EDGE if r[0] != 6])).count() > 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
 def test_a_chain_and_a_star_are_whole():
     """Links that exist only through a middle text: all of them, and no more."""
     rng = random.Random(2)

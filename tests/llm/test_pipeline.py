@@ -37,6 +37,21 @@ def test_stages_keep_the_columns_and_shrink_or_repeat(spark):
         assert stage(spark, docs, SF).columns == docs.columns
 
 
+def test_stages_take_empty_tables_and_nulls(spark):
+    odd = docs([(None, None, None), (1, None, "a"), (2, "", None), (3, "one", "a"), (3, "one", "a"), (4, " ".join(f"w{k}" for k in range(30)), "b")])(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, odd.limit(0), SF).count() == 0, name
+        kept = sorted(r["doc_id"] or 0 for r in stage(spark, odd, SF).collect())
+        if name == "mixing":
+            assert set(kept) == {3, 4}
+        else:
+            assert kept == {"toxicity": [0, 1, 2, 3, 3, 4], "quality": [4], "near_dedup": [0, 1, 2, 3, 3, 4], "bpe": [0, 1, 2, 3, 3, 4]}[name]
+
+
+def docs(rows):
+    return lambda spark: spark.createDataFrame([(i, t, None, s, None) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+
 def test_mixed_rows_follow_their_positions(spark):
     docs = table(spark, SF, "documents")
     out = mixing.mix(docs).collect()

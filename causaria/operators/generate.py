@@ -190,9 +190,12 @@ def thinned(rows_: DataFrame, key: str, multiplier: float | Column, seed: int, p
     return rows_.where(keyed(seed, F.col(key).cast("string"), 1, f"{purpose}:") < multiplier)
 
 
-def scheduled(parents: DataFrame, schedule: DataFrame) -> DataFrame:
-    """Every parent with every window of a schedule, which is a handful of declared rows."""
-    return parents.crossJoin(F.broadcast(schedule))
+def scheduled(parents: DataFrame, schedule: list[dict]) -> DataFrame:
+    """Every parent with every window of a declared schedule: an explode of literals, not a join."""
+    if not schedule:
+        return parents.limit(0)
+    windows = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in w.items()]) for w in schedule])
+    return parents.select("*", F.inline(windows))
 
 
 def seated(parents: DataFrame, key: str, candidates: DataFrame, actor: str, seats: int, seed: int, taken: DataFrame | None = None, pool: int = 64) -> DataFrame:

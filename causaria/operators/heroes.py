@@ -46,7 +46,7 @@ def gates(data: Mapping[str, DataFrame], heroes: list[Hero]) -> list[DataFrame]:
     """A gate per hero: exactly one row matches, and all its pins hold."""
     out = []
     for h in heroes:
-        n = match(data[h.entity], [h]).agg(F.count("hero").alias("n"))
-        p = pins(data[h.entity], h, data).agg(F.count_if(~F.col("held")).alias("broken"))
-        out.append(n.crossJoin(p).select(*gate(f"hero {h.key}", "hero", (F.col("n") == 1) & (F.col("broken") == 0), F.col("n"), "1 row, 0 broken pins", F.format_string("%d rows, %d broken pins", "n", "broken"))))
+        rows = match(data[h.entity], [h]).where("hero IS NOT NULL").select(F.lit(1).alias("n"), F.lit(True).alias("held"))
+        found = rows.union(pins(data[h.entity], h, data).select(F.lit(0), "held")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(~F.col("held")).alias("broken"))
+        out.append(found.select(*gate(f"hero {h.key}", "hero", (F.col("n") == 1) & (F.col("broken") == 0), F.col("n"), "1 row, 0 broken pins", F.format_string("%d rows, %d broken pins", "n", "broken"))))
     return out

@@ -57,10 +57,10 @@ def coherence(name: str, cancellations: DataFrame, sales: DataFrame, cancel_line
     s = sales.select(F.col("id").alias("sid"), F.col("customer").alias("sc"), F.col("day").alias("sd"))
     heads = cancellations.join(s, F.col("link") == F.col("sid"), "left")
     bad_head = F.col("sid").isNull() | ~F.col("customer").eqNullSafe(F.col("sc")) | (F.col("day") < F.col("sd"))
-    h = heads.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(bad_head, F.lit(True))).alias("bad_heads"))
+    h = heads.select(F.lit(1).alias("n"), F.coalesce(bad_head, F.lit(True)).alias("bad"))
     l2 = sale_lines.select(F.col("order").alias("so"), F.col("line").alias("sl"), F.col("quantity").alias("sq"), F.col("amount").alias("sa"))
     lined = cancel_lines.join(cancellations.select(F.col("id").alias("order"), "link"), "order").join(l2, (F.col("link") == F.col("so")) & (F.col("line") == F.col("sl")), "left")
     bad_line: Column = F.col("so").isNull() | (F.abs(F.col("quantity") + F.col("sq")) > cents) | (F.col("amount") * F.col("sa") > 0)
-    ln = lined.agg(F.count_if(F.coalesce(bad_line, F.lit(True))).alias("bad_lines"))
-    bad = F.col("bad_heads") + F.col("bad_lines")
-    return h.crossJoin(ln).select(*gate(name, "reversal", (F.col("n") > 0) & (bad == 0), F.col("n"), "0 incoherent, at least 1", bad))
+    ln = lined.select(F.lit(0).alias("n"), F.coalesce(bad_line, F.lit(True)).alias("bad"))
+    both, bad = h.union(ln).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if("bad").alias("bad")), F.col("bad")
+    return both.select(*gate(name, "reversal", (F.col("n") > 0) & (bad == 0), F.col("n"), "0 incoherent, at least 1", bad))

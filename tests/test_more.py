@@ -74,3 +74,9 @@ def test_report_and_years(spark):
     r = gates.report(gates.all_gates([gates.schema_gates("T", df, ["ID"]), gates.fk_closure("x", df, "P", up, "ID")])).first()
     assert (r["passed"], r["failed"], r["examined"]) == (1, 1, 4)
     assert gates.distinctness("x", df, "P").first()["passed"] and not gates.distinctness("x", df.limit(0), "P").first()["passed"]
+
+
+def test_schedules_are_no_join(spark):
+    out = generate.scheduled(spark.range(3).toDF("id"), [{"role": "chair", "start": 2021}, {"role": "clerk", "start": 2022}])
+    assert out.count() == 6 and out.columns == ["id", "role", "start"] and "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    assert generate.scheduled(spark.range(3), []).count() == 0

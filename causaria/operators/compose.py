@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import norm
+from ..functions.keys import norm, pair
 
 
 def with_collection(parent: DataFrame, key: str, child: DataFrame, fk: str, name: str, child_key: list[str]) -> DataFrame:
@@ -17,8 +17,9 @@ def with_collection(parent: DataFrame, key: str, child: DataFrame, fk: str, name
     """
     kept = [c for c in child.columns if c != fk]
     order = [*child_key, *[c for c in kept if c not in child_key]]
-    rows = child.groupBy(norm(child[fk]).alias("__p")).agg(F.array_sort(F.collect_list(F.struct(*[child[c] for c in order]))).alias(name))
-    return parent.join(rows, norm(parent[key]) == F.col("__p"), "left").drop("__p").withColumn(name, F.coalesce(F.col(name), F.array().cast(rows.schema[name].dataType)))
+    own, theirs = pair(parent, key, child, fk)
+    rows = child.groupBy(theirs.alias("__p")).agg(F.array_sort(F.collect_list(F.struct(*[child[c] for c in order]))).alias(name))
+    return parent.join(rows, own == F.col("__p"), "left").drop("__p").withColumn(name, F.coalesce(F.col(name), F.array().cast(rows.schema[name].dataType)))
 
 
 def with_extension(parent: DataFrame, key: str, child: DataFrame, child_key: str, name: str) -> DataFrame:
@@ -49,7 +50,8 @@ def without_embed(parent: DataFrame, name: str, child_key: str) -> DataFrame:
 
 def orphans(child: DataFrame, fk: str, parent: DataFrame, key: str) -> DataFrame:
     """Child rows that no parent could hold."""
-    return child.join(parent.select(norm(parent[key]).alias("__p")).distinct(), norm(child[fk]) == F.col("__p"), "left_anti")
+    own, theirs = pair(child, fk, parent, key)
+    return child.join(parent.select(theirs.alias("__p")).distinct(), own == F.col("__p"), "left_anti")
 
 
 def overlapping_extensions(extensions: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
-from ..functions.keys import norm
+from ..functions.keys import norm, pair
 from ..functions.scalars import number
 
 AGGREGATES = ("count", "exists", "sum", "avg", "min", "max")
@@ -51,8 +51,10 @@ def children(df: DataFrame, child: DataFrame, key: str, fks: str | list[str], fe
     and exists aside).
     """
     fks = [fks] if isinstance(fks, str) else fks
+    own = norm(df[key])
     if len(fks) == 1:
-        linked = child.withColumn("__to", norm(child[fks[0]]))
+        own, theirs = pair(df, key, child, fks[0])
+        linked = child.withColumn("__to", theirs)
     else:  # a child that points to one parent twice counts once
         linked = child.withColumn("__to", F.explode(F.array_distinct(F.array_compact(F.array(*[norm(child[k]) for k in fks])))))
     aggs = []
@@ -68,7 +70,7 @@ def children(df: DataFrame, child: DataFrame, key: str, fks: str | list[str], fe
             value = x if raw else (x.cast("double") if kind(child, q["field"]) == "boolean" else x.try_cast("double"))
             aggs.append(getattr(F, a)(F.when(hit, value)).alias(name))
     found = linked.where("__to IS NOT NULL").groupBy("__to").agg(*aggs)
-    out = df.withColumn("__key", norm(df[key])).join(found, F.col("__key") == F.col("__to"), "left")
+    out = df.withColumn("__key", own).join(found, F.col("__key") == F.col("__to"), "left")
     empty = {n: F.lit(0) if features[n]["aggregation"] == "count" else F.lit(False) if features[n]["aggregation"] == "exists" else None if raw else F.lit(0.0) for n in features}
     return out.withColumns({n: F.coalesce(F.col(n), e) for n, e in empty.items() if e is not None}).drop("__key", "__to")
 
@@ -79,11 +81,12 @@ def path(df: DataFrame, hops: list[tuple[str, DataFrame, str]], field: str, name
     A broken hop gives 0, or null if raw. Only keys and the last field of the
     targets are read.
     """
-    out = df.withColumn("__k0", norm(df[hops[0][0]]))
-    for i, (_, target, key) in enumerate(hops):
+    sides = [pair(df if i == 0 else hops[i - 1][1], fk, target, key) for i, (fk, target, key) in enumerate(hops)]
+    out = df.withColumn("__k0", sides[0][0])
+    for i, (_, target, _) in enumerate(hops):
         last = i == len(hops) - 1
-        onward = target[field] if last and raw else number(target[field], kind(target, field)) if last else norm(target[hops[i + 1][0]])
-        side = target.select(norm(target[key]).alias(f"__j{i}"), onward.alias(name if last else f"__k{i + 1}")).where(F.col(f"__j{i}").isNotNull()).dropDuplicates([f"__j{i}"])
+        onward = target[field] if last and raw else number(target[field], kind(target, field)) if last else sides[i + 1][0]
+        side = target.select(sides[i][1].alias(f"__j{i}"), onward.alias(name if last else f"__k{i + 1}")).where(F.col(f"__j{i}").isNotNull()).dropDuplicates([f"__j{i}"])
         out = out.join(side, F.col(f"__k{i}") == F.col(f"__j{i}"), "left").drop(f"__k{i}", f"__j{i}")
     return out if raw else out.withColumn(name, F.coalesce(F.col(name), F.lit(0.0)))
 

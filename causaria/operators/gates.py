@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import filled, lookup_parts, norm, primary_key
+from ..functions.keys import filled, lookup_parts, pair, primary_key
 
 GATE = ("name", "category", "passed", "population_count", "expected", "actual", "message")
 
@@ -33,20 +33,22 @@ def report(gates: DataFrame) -> DataFrame:
 # Referential
 
 
-def keys_of(df: DataFrame, key: str) -> DataFrame:
-    """The distinct normal keys there are: one narrow column."""
-    return df.select(norm(df[key]).alias("__t")).where("__t IS NOT NULL").distinct()
+def keys_of(df: DataFrame, key: Column) -> DataFrame:
+    """The distinct keys there are: one narrow column."""
+    return df.select(key.alias("__t")).where("__t IS NOT NULL").distinct()
 
 
 def dangling(child: DataFrame, fk: str, target: DataFrame, key: str) -> DataFrame:
     """Child rows whose filled key is in no target row."""
-    return child.where(filled(child[fk]).isNotNull()).join(keys_of(target, key), norm(child[fk]) == F.col("__t"), "left_anti")
+    own, theirs = pair(child, fk, target, key)
+    return child.where(filled(child[fk]).isNotNull()).join(keys_of(target, theirs), own == F.col("__t"), "left_anti")
 
 
 def fk_counts(child: DataFrame, fk: str, target: DataFrame, key: str) -> DataFrame:
     """examined, dangling, missing: keys are counted by value first, so a hot key crosses the join once."""
-    grouped = child.select(norm(child[fk]).alias("__k")).groupBy("__k").agg(F.count(F.lit(1)).alias("__n"))
-    joined = grouped.join(keys_of(target, key).withColumn("__hit", F.lit(True)), F.col("__k") == F.col("__t"), "left")
+    own, theirs = pair(child, fk, target, key)
+    grouped = child.select(own.alias("__k")).groupBy("__k").agg(F.count(F.lit(1)).alias("__n"))
+    joined = grouped.join(keys_of(target, theirs).withColumn("__hit", F.lit(True)), F.col("__k") == F.col("__t"), "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     return joined.agg(zero(F.sum("__n")).alias("examined"), zero(F.sum(F.when(F.col("__k").isNotNull() & F.col("__hit").isNull(), F.col("__n")))).alias("dangling"), zero(F.sum(F.when(F.col("__k").isNull(), F.col("__n")))).alias("missing"))
 
@@ -59,7 +61,8 @@ def fk_closure(name: str, child: DataFrame, fk: str, target: DataFrame, key: str
 
 def dependent_coverage(name: str, parent: DataFrame, key: str, child: DataFrame, fk: str) -> DataFrame:
     """Every parent has a child; the ratio that has one."""
-    flagged = parent.select(norm(parent[key]).alias("__k")).join(keys_of(child, fk).withColumn("__hit", F.lit(True)), F.col("__k") == F.col("__t"), "left")
+    own, theirs = pair(parent, key, child, fk)
+    flagged = parent.select(own.alias("__k")).join(keys_of(child, theirs).withColumn("__hit", F.lit(True)), F.col("__k") == F.col("__t"), "left")
     agg = flagged.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("__hit")).alias("hit"))
     return agg.select(*gate(name, "referential", F.col("hit") == F.col("n"), F.col("n"), "1.0", F.round(F.coalesce(F.try_divide(F.col("hit").cast("double"), F.col("n")), F.lit(1.0)), 6)))
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import within
-from ..functions.keys import filled, norm
+from ..functions.keys import filled, norm, pair
 from .features import path
 from .gates import gate
 
@@ -50,11 +50,12 @@ def date_window(source: DataFrame, date: Column, key: str, windows: DataFrame, w
     One aggregate over an equi join: windows are gathered by nothing but their
     key, and rows by a distinct (key, date).
     """
-    w = windows.select(norm(windows[window_key]).alias("__w"), start.alias("__s"), end.alias("__e"))
-    dated = source.select(norm(source[key]).alias("__k"), date.alias("__d")).dropna().distinct()
+    own, theirs = pair(source, key, windows, window_key)
+    w = windows.select(theirs.alias("__w"), start.alias("__s"), end.alias("__e"))
+    dated = source.select(own.alias("__k"), date.alias("__d")).dropna().distinct()
     met = dated.join(w, F.col("__k") == F.col("__w"), "left").groupBy("__k", "__d").agg(F.bool_or(F.col("__w").isNotNull()).alias("__any"), F.bool_or(F.col("__w").isNotNull() & within("__d", "__s", "__e")).alias("__in"))
     met = met.withColumnsRenamed({"__k": "__mk", "__d": "__md"})
-    out = source.withColumn("__date", date).withColumn("__key", norm(source[key])).join(met, (F.col("__key") == F.col("__mk")) & (F.col("__date") == F.col("__md")), "left")
+    out = source.withColumn("__date", date).withColumn("__key", own).join(met, (F.col("__key") == F.col("__mk")) & (F.col("__date") == F.col("__md")), "left")
     lost = F.coalesce("__any", F.lit(False)) & ~F.coalesce("__in", F.lit(False))
     bad = (lost | ~F.coalesce("__any", F.lit(False))) if require else lost
     return out.withColumn("violated", F.col("__date").isNotNull() & bad).select(*source.columns, "violated")

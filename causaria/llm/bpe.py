@@ -143,6 +143,7 @@ class Tokenizer:
         self.automaton = Automaton(vocab, [(raw(a), raw(b)) for a, b in pairs])
         self.automaton.labels |= {i: t.encode() for t, i in added.items()}
         self.added = added
+        self.digits = {i: str(i) for i in self.automaton.labels}
         self.split = regex.compile(PATTERN).findall
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")").split if added else None
         self.memo: dict[str, tuple[int, str, bytes]] = memo({})
@@ -152,11 +153,10 @@ class Tokenizer:
         """(number of tokens, their ids joined by commas, the arc labels emitted)."""
         if (out := self.older.get(w)) is None:
             ids = self.automaton.encode_word(w.encode())
-            out = (len(ids), ",".join(map(str, ids)), self.automaton.decode(ids))
+            out = (len(ids), ",".join(map(self.digits.__getitem__, ids)), self.automaton.decode(ids))
         if len(self.memo) >= MEMO_WORDS:
             self.older.clear()
-            self.older.update(self.memo)
-            self.memo.clear()
+            self.memo, self.older = self.older, self.memo
         self.memo[w] = out
         return out
 

@@ -32,6 +32,21 @@ def claim(*own: dict) -> None:
     for d in _memos:
         if not any(d is o for o in own):
             d.clear()
+    release()
+
+
+def release() -> None:
+    """Gives memory that Arrow and the C library hold free back to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -133,7 +133,7 @@ def _signed(n_bands: int):
             ends = np.concatenate([[0], np.cumsum([len(k) for k in found])]).astype(np.int32)
             hi, lo = (pa.array([f[k] for f in prints], pa.int64()) for k in (0, 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), hi, lo, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([none, *found])))], ["doc_id", "n", "hi", "lo", "bands"])
-        _words.clear()  # hashing them anew costs less than the memory that an idle worker would hold
+        claim()  # hashing words anew costs less than the memory that an idle worker would hold
 
     return run
 
@@ -146,7 +146,7 @@ def _sets(batches):
         with np.errstate(over="ignore"):
             found = [shingles(t).tobytes() for t in batch.column(batch.num_columns - 1).to_pylist()]
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.binary())], [*batch.schema.names[:-1], "set"])
-    _words.clear()
+    claim()
 
 
 def links(ids: list[int], sets: list[np.ndarray], percent: int = PERCENT):

@@ -247,7 +247,7 @@ def _scored(model: Model):
             p = np.array([model.above(t) for t in batch.column(1).to_pylist()]).reshape(-1, len(model.thresholds))
             toxic = p[:, 0] > TOXIC_ABOVE
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p.sum(1).round(9)), pa.array((p > 0.5).sum(1).astype(np.int32)), pa.array(toxic), pa.array(~toxic)], ["doc_id", "expected_severity", "grade", "toxic", "kept"])
-        _kept_memo.clear()
+        claim()
 
     return run
 
@@ -269,7 +269,7 @@ def _clean(model: Model, at: int):
         claim(_kept_memo)
         for batch in batches:
             yield batch.filter(pa.array([bool(model.above(t)[0] <= TOXIC_ABOVE) for t in batch.column(at).to_pylist()], pa.bool_()))
-        _kept_memo.clear()
+        claim()
 
     return run
 

@@ -82,7 +82,9 @@ def lines(messages: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]])
     Status of a call: answered, unanswered, or repeated for the second and
     later calls of one id (by turn and place), which nothing links to; its
     errors are those of its arguments. Status of a result: linked or orphan;
-    an orphan stands at its own turn. Null turns count as before all others;
+    an orphan stands at its own turn. A text beside calls is the content of the
+    first of them; a message that answers and also calls gives a result, which
+    has its text, and its calls. Null turns count as before all others;
     a null conversation is one of its own; null and empty texts are kept, null
     as an absent key; repeated rows repeat; an empty table gives no rows; other
     columns are not looked at.
@@ -90,7 +92,8 @@ def lines(messages: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]])
     m = only(messages, "conv_id", "turn", "role", "text", "calls", "answers").select("conv_id", F.coalesce("turn", F.lit(-1)).cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"), "calls", "answers")
     conv = F.coalesce(F.col("conv_id").cast("string"), F.lit("\x00"))
     plain = m.where("answers IS NULL AND (calls IS NULL OR size(calls) = 0)")
-    sent = m.where("answers IS NULL AND size(calls) > 0").select("conv_id", conv.alias("conv"), "turn", "role", F.posexplode("calls").alias("place", "c")).select("conv_id", "conv", "turn", "role", "place", "c.id", "c.name", "c.arguments")
+    beside = F.when((F.col("place") == 0) & F.col("answers").isNull(), F.col("text"))
+    sent = m.where("size(calls) > 0").select("conv_id", conv.alias("conv"), "turn", "role", "text", "answers", F.posexplode("calls").alias("place", "c")).select("conv_id", "conv", "turn", "role", beside.alias("beside"), "place", "c.id", "c.name", "c.arguments")
     got = m.where("answers IS NOT NULL").select("conv_id", conv.alias("conv"), "turn", "role", "text", F.col("answers").alias("id"))
     firsts = sent.groupBy("conv", "id").agg(F.min(F.struct("turn", "place")).alias("first"))
     answered = got.groupBy("conv", "id").agg(F.count(F.lit(1)).alias("results"))
@@ -105,7 +108,7 @@ def lines(messages: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]])
         keys = keys.withColumn("level", F.lit(0))
     calls = sent.join(keys, ["conv", "id"], "left")
     own = F.col("first") == F.struct("turn", "place")
-    call_json = F.to_json(F.struct(F.coalesce(canonical(F.col("arguments")), F.to_json(F.struct(F.col("arguments").alias("invalid")))).alias("arguments"), F.col("conv_id"), F.col("id"), F.col("name"), F.col("role"), F.lit("call").alias("type")))
+    call_json = F.to_json(F.struct(F.coalesce(canonical(F.col("arguments")), F.to_json(F.struct(F.col("arguments").alias("invalid")))).alias("arguments"), F.col("beside").alias("content"), F.col("conv_id"), F.col("id"), F.col("name"), F.col("role"), F.lit("call").alias("type")))
     calls = calls.select("conv_id", F.col("turn").alias("order_turn"), F.col("place").alias("order_index"), F.lit(0).alias("order_phase"), F.lit("call").alias("kind"), F.col("id").alias("call_id"), F.when(own, F.when(F.col("results") > 0, "answered").otherwise("unanswered")).otherwise("repeated").alias("status"), F.coalesce("level", F.lit(0)).alias("level"), argument_errors(F.col("name"), F.col("arguments"), schemas).alias("errors"), call_json.alias("json"))
     linked = got.join(keys.select("conv", "id", "first", "level"), ["conv", "id"], "left")
     result_json = F.to_json(F.struct(F.col("text").alias("content"), F.col("conv_id"), F.col("id"), F.col("role"), F.lit("result").alias("type")))
@@ -121,8 +124,8 @@ REPLY = {"reply": {"text": ("string", True), "turn": ("integer", True)}}
 
 
 def as_calls(conversations: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text) as messages for lines(): a user's turn t calls reply with its text, and an assistant's turn t answers turn t - 1."""
+    """(conv_id, turn, role, text) as messages for lines(): a user's turn t calls reply with its text, which moves into the arguments, and an assistant's turn t answers turn t - 1."""
     c = only(conversations, "conv_id", "turn", "role", "text").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     id_ = lambda t: F.concat_ws("-", F.lit("call"), F.col("conv_id").cast("string"), t.cast("string"))
     call = F.struct(id_(F.col("turn")).alias("id"), F.lit("reply").alias("name"), F.to_json(F.struct("turn", "text")).alias("arguments"))
-    return c.select("conv_id", "turn", "role", "text", F.when(F.col("role") == "user", F.array(call)).alias("calls"), F.when(F.col("role") == "assistant", id_(F.col("turn") - 1)).alias("answers"))
+    return c.select("conv_id", "turn", "role", F.when(F.col("role") == "user", F.lit(None)).otherwise(F.col("text")).alias("text"), F.when(F.col("role") == "user", F.array(call)).alias("calls"), F.when(F.col("role") == "assistant", id_(F.col("turn") - 1)).alias("answers"))

@@ -250,6 +250,25 @@ def test_chat_linking(spark):
     assert sum(r["kind"] == "message" for r in got) == 4 and chat.lines(df.limit(0), SCHEMAS).count() == 0
 
 
+def test_chat_loses_no_text_or_call(spark):
+    m = [
+        (1, 0, "assistant", "beside", [("a", "add", '{"a":1}'), ("b", "add", '{"a":2}')], None),
+        (1, 1, "tool", "both", [("c", "add", '{"a":3}')], "a"),
+        (1, 2, "tool", "last", None, "c"),
+        (1, 3, "assistant", "", [("d", "add", '{"a":4}')], None),
+        (1, 4, "assistant", None, [("e", "add", '{"a":5}')], None),
+        (1, 5, "user", "plain", None, None),
+        (1, 6, "tool", None, [("f", "add", '{"a":6}')], "nobody"),
+    ]
+    got = rows(chat.lines(spark.createDataFrame(m, MESSAGE), SCHEMAS))
+    texts = [json.loads(r["json"]).get("content") for r in got]
+    assert sorted(t for t in texts if t is not None) == sorted(x[3] for x in m if x[3] is not None)
+    assert sorted(r["call_id"] for r in got if r["kind"] == "call") == list("abcdef") and len(got) == 10
+    at = {(r["kind"], r["call_id"]): (r["status"], json.loads(r["json"]).get("content")) for r in got}
+    assert at["call", "a"] == ("answered", "beside") and at["call", "b"] == ("unanswered", None) and at["call", "c"] == ("answered", None)
+    assert at["result", "a"] == ("linked", "both") and at["result", "c"] == ("linked", "last") and at["result", "nobody"] == ("orphan", None)
+
+
 def test_chat_is_native(spark):
     plan = chat.lines(chat.as_calls(spark.read.parquet(f"{SF}/conversations.parquet")), chat.REPLY)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|CartesianProduct|BroadcastNestedLoop", plan)

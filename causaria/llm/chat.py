@@ -8,7 +8,9 @@ of canonical JSON: keys sorted, no white space, absent values left out.
 
 Lines are rows: a conversation is never gathered, so its length isn't bounded.
 (conv_id, order_turn, order_index, order_phase) sorts lines so that a result
-follows its call, and a call whatever it refers to.
+follows its call, and a call whatever it refers to and the results of that: a
+call's turn and index are its own place in the conversation, moved back where
+it refers to what comes later. Calls in or behind a cycle stay where they are.
 """
 
 from __future__ import annotations
@@ -52,18 +54,28 @@ def argument_errors(name: Column, arguments: Column, schemas: dict[str, dict[str
 def levels(calls: DataFrame) -> DataFrame:
     """(conv_id, id, refs array<string>) -> (conv_id, id, level): 0 without references, else 1 above the highest; -1 in or behind a cycle.
 
-    References to calls that don't exist count for nothing. Each round joins
-    the calls of the last level to what refers to them.
+    References to calls that don't exist count for nothing.
     """
-    known = calls.select("conv_id", "id").distinct()
-    edges = calls.select("conv_id", "id", F.explode(F.array_distinct("refs")).alias("ref")).join(known.withColumnRenamed("id", "ref"), ["conv_id", "ref"], "left_semi")
+    return placed(calls.select("conv_id", "id", "refs", F.struct(F.lit(0).cast("long").alias("turn"), F.lit(0).alias("place")).alias("at"))).drop("at")
+
+
+def placed(calls: DataFrame) -> DataFrame:
+    """(conv_id, id, refs, at struct<turn, place>) -> (conv_id, id, at, level as of levels()).
+
+    A call's at is its own (the least of an id), or, where that isn't behind
+    all it refers to, one place behind the last of those; in or behind a cycle
+    it stays. Each round joins the calls that have levels to what refers to them.
+    """
+    known = staged(calls.groupBy("conv_id", "id").agg(F.min("at").alias("at")))
+    edges = calls.select("conv_id", "id", F.explode(F.array_distinct("refs")).alias("ref")).join(known.select("conv_id", F.col("id").alias("ref")), ["conv_id", "ref"], "left_semi")
     edges = staged(edges.distinct())
     done = staged(known.join(edges.select("conv_id", "id"), ["conv_id", "id"], "left_anti").withColumn("level", F.lit(0)))
     if edges.isEmpty():
         return done
     for level in range(1, MAX_LEVELS + 1):
-        waiting = edges.join(done.select("conv_id", F.col("id").alias("ref"), F.lit(True).alias("ok")), ["conv_id", "ref"], "left").groupBy("conv_id", "id").agg(F.bool_and(F.coalesce("ok", F.lit(False))).alias("ready")).where("ready")
-        new = staged(waiting.select("conv_id", "id").join(done, ["conv_id", "id"], "left_anti").withColumn("level", F.lit(level)))
+        behind = F.struct("at.turn", (F.col("at.place") + 1).alias("place")).alias("behind")
+        waiting = edges.join(done.select("conv_id", F.col("id").alias("ref"), behind), ["conv_id", "ref"], "left").groupBy("conv_id", "id").agg(F.bool_and(F.col("behind").isNotNull()).alias("ready"), F.max("behind").alias("behind")).where("ready")
+        new = staged(waiting.join(done, ["conv_id", "id"], "left_anti").join(known, ["conv_id", "id"]).select("conv_id", "id", F.greatest("at", "behind").alias("at"), F.lit(level).alias("level")))
         if new.isEmpty():
             break
         done = staged(done.union(new))
@@ -101,18 +113,24 @@ def lines(messages: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]])
     refs = F.regexp_extract_all("arguments", F.lit(r'\{\s*"\$ref"\s*:\s*"([^"]*)"\s*\}'), F.lit(1))
     with_refs = staged(sent.where(F.col("arguments").contains('"$ref"')).select(F.col("conv").alias("conv_id"), "id", refs.alias("refs")))
     n_refs = with_refs.count()
+    calls = sent.join(keys, ["conv", "id"], "left")
+    at = F.struct("turn", "place")
+    own = F.col("first") == at
     if n_refs:
-        all_refs = sent.select(F.col("conv").alias("conv_id"), "id", F.coalesce(refs, F.array().cast("array<string>")).alias("refs"))
-        keys = keys.join(levels(all_refs).withColumnRenamed("conv_id", "conv"), ["conv", "id"], "left")
+        # An id stands for its first call; the others, which nothing refers to, refer under names of their own.
+        node = F.when(own, F.col("id")).otherwise(F.concat(F.lit("\x00"), F.coalesce("id", F.lit("")), F.lit("\x00"), F.concat_ws("\x00", "turn", "place")))
+        calls = calls.withColumn("node", node)
+        found = staged(placed(calls.select(F.col("conv").alias("conv_id"), F.col("node").alias("id"), F.coalesce(refs, F.array().cast("array<string>")).alias("refs"), at.alias("at"))).withColumnRenamed("conv_id", "conv"))
+        calls = calls.join(found.withColumnRenamed("id", "node"), ["conv", "node"], "left")
+        keys = keys.join(found, ["conv", "id"], "left")
     else:
-        keys = keys.withColumn("level", F.lit(0))
-    calls = sent.join(keys, ["conv", "id"], "left")
-    own = F.col("first") == F.struct("turn", "place")
+        calls = calls.withColumns({"at": at, "level": F.lit(0)})
+        keys = keys.withColumns({"at": F.col("first"), "level": F.lit(0)})
     call_json = F.to_json(F.struct(F.coalesce(canonical(F.col("arguments")), F.to_json(F.struct(F.col("arguments").alias("invalid")))).alias("arguments"), F.col("beside").alias("content"), F.col("conv_id"), F.col("id"), F.col("name"), F.col("role"), F.lit("call").alias("type")))
-    calls = calls.select("conv_id", F.col("turn").alias("order_turn"), F.col("place").alias("order_index"), F.lit(0).alias("order_phase"), F.lit("call").alias("kind"), F.col("id").alias("call_id"), F.when(own, F.when(F.col("results") > 0, "answered").otherwise("unanswered")).otherwise("repeated").alias("status"), F.coalesce("level", F.lit(0)).alias("level"), argument_errors(F.col("name"), F.col("arguments"), schemas).alias("errors"), call_json.alias("json"))
-    linked = got.join(keys.select("conv", "id", "first", "level"), ["conv", "id"], "left")
+    calls = calls.select("conv_id", F.col("at.turn").alias("order_turn"), F.col("at.place").alias("order_index"), F.lit(0).alias("order_phase"), F.lit("call").alias("kind"), F.col("id").alias("call_id"), F.when(own, F.when(F.col("results") > 0, "answered").otherwise("unanswered")).otherwise("repeated").alias("status"), F.coalesce("level", F.lit(0)).alias("level"), argument_errors(F.col("name"), F.col("arguments"), schemas).alias("errors"), call_json.alias("json"))
+    linked = got.join(keys.select("conv", "id", "first", "at", "level"), ["conv", "id"], "left")
     result_json = F.to_json(F.struct(F.col("text").alias("content"), F.col("conv_id"), F.col("id"), F.col("role"), F.lit("result").alias("type")))
-    results = linked.select("conv_id", F.coalesce("first.turn", "turn").alias("order_turn"), F.coalesce("first.place", F.lit(0)).alias("order_index"), F.when(F.col("first").isNull(), 0).otherwise(1).alias("order_phase"), F.lit("result").alias("kind"), F.col("id").alias("call_id"), F.when(F.col("first").isNull(), "orphan").otherwise("linked").alias("status"), F.coalesce("level", F.lit(0)).alias("level"), F.array().cast("array<string>").alias("errors"), result_json.alias("json"))
+    results = linked.select("conv_id", F.coalesce("at.turn", "turn").alias("order_turn"), F.coalesce("at.place", F.lit(0)).alias("order_index"), F.when(F.col("first").isNull(), 0).otherwise(1).alias("order_phase"), F.lit("result").alias("kind"), F.col("id").alias("call_id"), F.when(F.col("first").isNull(), "orphan").otherwise("linked").alias("status"), F.coalesce("level", F.lit(0)).alias("level"), F.array().cast("array<string>").alias("errors"), result_json.alias("json"))
     json = F.to_json(F.struct(F.col("text").alias("content"), F.col("conv_id"), F.col("role"), F.col("turn"), F.lit("message").alias("type")))
     none = F.lit(None).cast("string")
     rest = plain.select("conv_id", F.col("turn").alias("order_turn"), F.lit(0).alias("order_index"), F.lit(0).alias("order_phase"), F.lit("message").alias("kind"), none.alias("call_id"), none.alias("status"), F.lit(0).alias("level"), F.array().cast("array<string>").alias("errors"), json.alias("json"))

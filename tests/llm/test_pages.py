@@ -280,6 +280,26 @@ def test_chat_order_is_topological(spark):
     assert all(at[c, "call"] < place for (c, kind), place in at.items() if kind == "result" and (c, "call") in at)
 
 
+def test_chat_calls_sort_after_what_they_refer_to(spark):
+    ref = lambda *ids: json.dumps({"a": 1, **{f"r{k}": {"$ref": i} for k, i in enumerate(ids)}})
+    sent = {0: [("e", ref("d", "a")), ("a", ref("b")), ("b", ref("c")), ("c", ref())], 1: [("f", ref("e")), ("d", ref())], 2: [("a", ref("f", "a")), ("g", ref("nobody"))], 3: [("p", ref("q")), ("q", ref("p"))]}
+    m = [(c, t, "assistant", None, [(i, "add", x) for i, x in calls], None) for c in (1, 2) for t, calls in sent.items()] + [(1, 4, "tool", "9", None, i) for i in "abcdefg"]
+    got = rows(chat.lines(spark.createDataFrame(m, MESSAGE), SCHEMAS))
+    assert len(got) == 27 and [r["status"] for r in got if r["kind"] == "result"] == ["linked"] * 7
+    at = lambda r: (r["order_turn"], r["order_index"], r["order_phase"])
+    n = 0
+    for c in got:
+        if c["kind"] == "call" and c["level"] >= 0:
+            for i in re.findall(r'"\$ref":"([^"]*)"', json.loads(c["json"])["arguments"]):
+                for r in got:
+                    if r["conv_id"] == c["conv_id"] and r["call_id"] == i and r["status"] != "repeated":
+                        assert at(r) < at(c), (c["call_id"], i)
+                        n += 1
+    assert n == 21
+    calls = {(r["call_id"], r["status"] == "repeated"): (r["order_turn"], r["order_index"], r["level"]) for r in got if r["kind"] == "call" and r["conv_id"] == 2}
+    assert calls == {("c", False): (0, 3, 0), ("b", False): (0, 4, 1), ("a", False): (0, 5, 2), ("d", False): (1, 1, 0), ("e", False): (1, 2, 3), ("f", False): (1, 3, 4), ("a", True): (2, 0, 5), ("g", False): (2, 1, 0), ("p", False): (3, 0, -1), ("q", False): (3, 1, -1)}
+
+
 def test_random_graph_levels(spark):
     rng = random.Random(1)
     refs = {f"c{k}": [f"c{j}" for j in range(k) if rng.random() < 0.2] + ["nobody"] for k in range(25)}

@@ -15,6 +15,8 @@ it refers to what comes later. Calls in or behind a cycle stay where they are.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +24,6 @@ from .common import only, staged
 
 #: Argument types of schemas and the variant types that fit them.
 TYPES = {"string": r"^STRING$", "integer": r"^BIGINT$", "number": r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$", "boolean": r"^BOOLEAN$", "array": r"^ARRAY<.*$", "object": r"^OBJECT<.*$"}
-#: Rounds after which calls without a level count as cyclic; each round is one level of reference.
-MAX_LEVELS = 32
 
 
 def canonical(json: Column) -> Column:
@@ -64,7 +64,8 @@ def placed(calls: DataFrame) -> DataFrame:
 
     A call's at is its own (the least of an id), or, where that isn't behind
     all it refers to, one place behind the last of those; in or behind a cycle
-    it stays. Each round joins the calls that have levels to what refers to them.
+    it stays. Each round joins the calls that have levels to what refers to them,
+    until one adds nothing: what is left then is in or behind a cycle.
     """
     known = staged(calls.groupBy("conv_id", "id").agg(F.min("at").alias("at")))
     edges = calls.select("conv_id", "id", F.explode(F.array_distinct("refs")).alias("ref")).join(known.select("conv_id", F.col("id").alias("ref")), ["conv_id", "ref"], "left_semi")
@@ -72,7 +73,7 @@ def placed(calls: DataFrame) -> DataFrame:
     done = staged(known.join(edges.select("conv_id", "id"), ["conv_id", "id"], "left_anti").withColumn("level", F.lit(0)))
     if edges.isEmpty():
         return done
-    for level in range(1, MAX_LEVELS + 1):
+    for level in count(1):
         behind = F.struct("at.turn", (F.col("at.place") + 1).alias("place")).alias("behind")
         waiting = edges.join(done.select("conv_id", F.col("id").alias("ref"), behind), ["conv_id", "ref"], "left").groupBy("conv_id", "id").agg(F.bool_and(F.col("behind").isNotNull()).alias("ready"), F.max("behind").alias("behind")).where("ready")
         new = staged(waiting.join(done, ["conv_id", "id"], "left_anti").join(known, ["conv_id", "id"]).select("conv_id", "id", F.greatest("at", "behind").alias("at"), F.lit(level).alias("level")))

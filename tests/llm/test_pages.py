@@ -308,3 +308,10 @@ def test_random_graph_levels(spark):
         want[k] = max([want[j] + 1 for j in r if j in want], default=0)
     df = spark.createDataFrame([("x", k, r) for k, r in refs.items()], "conv_id string, id string, refs array<string>")
     assert {r["id"]: r["level"] for r in chat.levels(df).collect()} == want
+
+
+def test_long_chains_have_levels(spark):
+    chain = [("x", f"c{k}", [f"c{k - 1}"] if k else []) for k in range(40)]
+    cycle = [("x", "p", ["q", "c39"]), ("x", "q", ["p"]), ("x", "r", ["p"])]
+    df = spark.createDataFrame(chain + cycle, "conv_id string, id string, refs array<string>")
+    assert {r["id"]: r["level"] for r in chat.levels(df).collect()} == {f"c{k}": k for k in range(40)} | {"p": -1, "q": -1, "r": -1}

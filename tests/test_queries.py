@@ -1,3 +1,6 @@
+from collections import defaultdict
+from datetime import timedelta
+
 import pytest
 
 from causaria.queries import QUERIES, SQL
@@ -28,3 +31,16 @@ def test_plans_prune_and_push(spark):
     assert "PushedFilters: [IsNotNull(l_shipdate)" in plan and "l_comment" not in plan
     plan = QUERIES["fk_closure"](spark, f"{DATA}/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<l_partkey:bigint>" in plan and "Python" not in plan
+
+
+def test_temporal_role_takes_all_events(spark):
+    folder = f"{DATA}/sf0.001"
+    events = spark.read.parquet(f"{folder}/events.parquet").selectExpr("event_id", "user_id", "event_type", "to_date(ts) AS day", "value").collect()
+    days = defaultdict(list)
+    for e in events:
+        days[e["user_id"], e["event_type"]].append(e["day"])
+    roles = [(u, kind, min(d), max(d) - timedelta(5)) for (u, kind), d in days.items()]
+    want = {(e["event_id"], u) for e in events for u, kind, a, b in roles if kind == e["event_type"] and a <= e["day"] <= b}
+    got = [tuple(r) for r in QUERIES["temporal_role_all"](spark, folder).select("event_id", "actor").collect()]
+    assert sorted(got) == sorted(want)
+    assert {e for e, _ in want} & {e["event_id"] for e in events if e["value"] <= 95}

@@ -251,6 +251,12 @@ def test_toxicity_ordinal_form():
     assert toxicity.fit([]).above("idiot")[0] < 0.5 and toxicity.fit([toxicity.Row.of("x", True)]).above("x")[0] < 0.5
 
 
+def test_toxicity_sample_is_full_with_repeated_labels(spark):
+    d = docs(spark, [(i, f"word{i} text", "a") for i in range(100)])
+    labels = spark.range(4000).selectExpr("id % 100 AS doc_id", "CAST(id % 2 AS int) AS toxic")
+    assert len(toxicity.sample(d, labels, 30)) == 30
+
+
 def test_toxicity_edges(spark):
     model = _toy([("calm words", 0), ("idiot scum", 1)])
     d = docs(spark, [*EDGE, (30, "an IDIOT, a scum")])

@@ -234,9 +234,14 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     part = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(F.col("block"), j) * F.col("blocks") + F.greatest(F.col("block"), j)))
     parts = sets.select("id", "component", "set", F.explode(part).alias("pair")).select(F.concat_ws("/", "component", "pair").alias("part"), "id", "set")
     linked = parts.repartition("part").sortWithinPartitions("part", "id").mapInArrow(_verified(percent), "a long, b long")
+    # A doc_id whose rows stand for several classes, or for one and an empty text, ties them together.
+    stands = tagged.select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
+    several = staged(stands.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("doc_id"))
+    if n_several := several.count():
+        linked = linked.union(stands.where("rep <> doc_id").join(small(several, n_several), "doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct())
     found = components(linked)
-    out = tagged.select("doc_id", F.col("n").alias("n_shingles"), "rep").join(small(found.select(F.col("id").alias("rep"), "component"), found.count()), "rep", "left")
-    component = F.coalesce("component", "rep", "doc_id")
+    out = stands.select("doc_id", F.col("n").alias("n_shingles"), "rep").join(small(found.select(F.col("id").alias("rep"), "component"), found.count()), "rep", "left")
+    component = F.coalesce("component", "rep")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 

@@ -197,6 +197,14 @@ def test_groups_edges(spark):
     assert sorted(r["doc_id"] or 0 for r in left.collect()) == [0, 1, 2, 3, 4, 6, 7] and left.columns == docs(spark, EDGE).columns
 
 
+def test_rows_of_one_id_share_a_verdict(spark):
+    w = [f"w{k}" for k in range(200)]
+    a, b, c = " ".join(w), " ".join(f"x{x}" for x in w), " ".join([*(f"x{x}" for x in w[:-1]), "end"])
+    table = [(3, a, "a"), (5, a, "a"), (5, b, "a"), (7, c, "a"), (8, "", "a"), (9, None, "a"), (10, b, "a"), (10, "", "a"), (11, "a lone text of its own words", "a"), (11, "", "a")]
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in rows(minhash.groups(docs(spark, table)))}
+    assert got == {(3, 3, True), (5, 3, False), (7, 3, False), (8, 8, True), (9, 9, True), (10, 3, False), (11, 11, True)}
+
+
 def test_bands_and_threshold(spark):
     assert all((1 - (p / 100) ** minhash.ROWS) ** minhash.bands(p) <= minhash.MISSED for p in (70, 80, 85, 95))
     base = [f"v{k}" for k in range(100)]

@@ -34,6 +34,8 @@ HOLDERS = BLOCK_TAGS - frozenset("p h1 h2 h3 h4 h5 h6".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: A slash that belongs to an attribute's value and closes nothing.
+_UNQUOTED = re.compile(r"""=\s*[^\s"']*/$""")
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
 
@@ -82,6 +84,9 @@ def blocks(html: str | None) -> list[Block]:
                     del stack[k:]
                     break
             continue
+        attrs = m[3] or m[6] or ""
+        if tag == "svg" and attrs.endswith("/") and not _UNQUOTED.search(attrs):  # empty
+            continue
         if tag in RAW_TAGS:
             end = re.compile(f"</{tag}[^>]*>", re.I).search(html, pos)
             pos = end.end() if end else len(html)
@@ -99,7 +104,6 @@ def blocks(html: str | None) -> list[Block]:
                 if stack[k][0] in HOLDERS:
                     break
         if tag not in VOID_TAGS:
-            attrs = m[3] or m[6] or ""
             names = tuple(f".{n.lower()}" for g in _NAMES.findall(attrs) for n in "".join(g).split()) if "=" in attrs else ()
             stack.append((tag, (tag, *names)))
             links += tag == "a"

@@ -315,3 +315,9 @@ def test_long_chains_have_levels(spark):
     cycle = [("x", "p", ["q", "c39"]), ("x", "q", ["p"]), ("x", "r", ["p"])]
     df = spark.createDataFrame(chain + cycle, "conv_id string, id string, refs array<string>")
     assert {r["id"]: r["level"] for r in chat.levels(df).collect()} == {f"c{k}": k for k in range(40)} | {"p": -1, "q": -1, "r": -1}
+
+
+def test_self_closed_svg_hides_nothing():
+    texts = lambda html: [b.text for b in html_extract.blocks(html)]
+    assert texts("<p>a</p><svg/><p>b</p><SVG class='x' viewBox=\"0 0 1 1\" /><p>c</p><svg><path/>no</svg><p>d") == ["a", "b", "c", "d"]
+    assert texts("<p>a</p><svg class=x/>no</svg><p>b</p><script/>no</script><p>c") == ["a", "b", "c"]

@@ -161,7 +161,7 @@ def applied(spark: SparkSession, plan: Plan, domain: Domain, data: dict[str, Dat
         ids = [x.get(domain.entity(name).primary[0]) for x in made]
         bad += [f"{name}: two records have the key {k}" for k in {k for k in ids if k and ids.count(k) > 1}]
         if name in data:
-            taken = data[name].where(F.lower("ID").isin([k for k in ids if k])).select("ID").limit(20).collect()
+            taken = data[name].where(F.lower("ID").isin([k for k in ids if k])).select("ID").collect()
             bad += [f"{name}: {t['ID']} exists already" for t in taken]
     bad += [f"intake of unknown entity {k!r}" for k in plan.intake if k not in domain.entities]
     if bad:

@@ -84,10 +84,15 @@ def check_continuity(prior: Checkpoint, domain: str, namespace: str, seed: int |
     return [f"seed {seed} replaces {prior.seed}"] if seed is not None and seed != prior.seed else []
 
 
+#: Shared ids that an error names one by one.
+SHARED_SHOWN = 3
+
+
 def cycle(prior: dict[str, DataFrame], new: dict[str, DataFrame], keys: dict[str, list[str]], immutable: set[str], is_a: set[tuple[str, str]] = frozenset()) -> dict[str, DataFrame]:
     """Deltas by entity, after all guards: nothing deleted, nothing immutable changed, no id shared by unrelated entities.
 
-    new holds the entities' full current rows. Raises ContinuityError with every problem before anything is returned.
+    new holds the entities' full current rows. Raises ContinuityError with every problem before anything is returned;
+    of more than SHARED_SHOWN shared ids, so many and the number of all.
     """
     bad, out = [], {}
     for name, current in new.items():
@@ -98,8 +103,11 @@ def cycle(prior: dict[str, DataFrame], new: dict[str, DataFrame], keys: dict[str
         if name in immutable and counts.get("changed"):
             bad.append(f"{name}: {counts['changed']} immutable rows have changed")
         out[name] = d
-    shared = deltas.reused_ids({n: df.select(primary_key([df[k] for k in keys[n]]).alias("ID")) for n, df in new.items()}, set(is_a)).limit(3).collect() if len(new) > 1 else []
-    bad += [f"id {r['id']} is used by {', '.join(r['entities'])}" for r in shared]
+    shared = deltas.reused_ids({n: df.select(primary_key([df[k] for k in keys[n]]).alias("ID")) for n, df in new.items()}, set(is_a)) if len(new) > 1 else None
+    if shared is not None and (some := shared.limit(SHARED_SHOWN + 1).collect()):
+        bad += [f"id {r['id']} is used by {', '.join(r['entities'])}" for r in some[:SHARED_SHOWN]]
+        if len(some) > SHARED_SHOWN:
+            bad.append(f"{shared.count()} ids in all are used by unrelated entities")
     if bad:
         raise ContinuityError("; ".join(bad))
     return out

@@ -351,3 +351,16 @@ def test_lines_roll_up(spark):
     total = generate.rolled_up(parents, "ID", lines, "ID", "extended_price", "Total")
     assert 50 <= lines.count() <= 100 and total.where("Total <= 0").count() == 0
     assert generate.thinned(parents, "ID", 0.5, 1, "era").count() < 50
+
+
+def test_errors_name_every_clash(spark):
+    d = parse_domain(DOMAIN)
+    none = generate.rows(spark, d, d.entity("Org"), 1, 42, {}).drop("i").limit(0)
+    many = plan.parse({"asOf": "2024-01-01", "summary": "s", "records": [{"entity": "Org", "fields": {"Name": f"Org {i}"}} for i in range(25)]})
+    orgs = plan.applied(spark, many, d, {"Org": none})["Org"]
+    with pytest.raises(plan.PlanError) as e:
+        plan.applied(spark, many, d, {"Org": orgs})
+    assert str(e.value).count("exists already") == 25
+    with pytest.raises(accumulate.ContinuityError) as e:
+        accumulate.cycle({}, {"Org": orgs, "Other": orgs}, {"Org": ["ID"], "Other": ["ID"]}, set())
+    assert str(e.value).count("is used by") == 3 and "25 ids in all" in str(e.value)

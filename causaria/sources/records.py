@@ -2,27 +2,44 @@
 
 from __future__ import annotations
 
+import json as json_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 from ..model import Domain, Entity
 from ..operators import compose
 from ..plans.graph import composed, directories
+from . import files
 
 #: Records of one file at most.
 PART_ROWS = 5000
+#: The files that name a folder's entity and the order of folders; readers of records pass them over.
+SIDECAR, ORDER = "_entity.json", "_order.json"
+
 
+def read_wrapped(spark: SparkSession, path: str, schema: StructType, key: list[str], entity: str | None = None) -> DataFrame:
+    """Rows of files that each hold an array of {primaryKey, fields}, or one such record a line.
 
-def read_wrapped(spark: SparkSession, path: str, schema: StructType, key: list[str]) -> DataFrame:
-    """Rows of files that hold arrays of {primaryKey, fields}; a file that doesn't parse or an element without either fails the read."""
+    A file that doesn't parse, one that is neither, or an element without
+    either part fails the read; an empty file or array has no rows. Where
+    entity is given, the folder's sidecar must name it. Files are parsed whole:
+    write() puts at most PART_ROWS records in one.
+    """
     from pyspark.sql.types import StructField
 
-    wrapped = StructType([StructField("primaryKey", StructType([schema[k] for k in key])), StructField("fields", StructType([f for f in schema if f.name not in key]))])
-    df = spark.read.schema(wrapped).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    stop = lambda what: F.raise_error(F.lit(f"{path}: an element without {what}"))
-    df = df.withColumn("primaryKey", F.when(F.col("primaryKey").isNull(), stop("primaryKey")).otherwise(F.col("primaryKey"))).withColumn("fields", F.when(F.col("fields").isNull(), stop("fields")).otherwise(F.col("fields")))
-    return df.select(*[F.col(f"primaryKey.{k}") for k in key], *[F.col(f"fields.{f.name}") for f in schema if f.name not in key])
+    if entity is not None:
+        check_sidecar(spark, path, entity)
+    element = StructType([StructField("primaryKey", StructType([schema[k] for k in key])), StructField("fields", StructType([f for f in schema if f.name not in key]))])
+    text = F.regexp_replace("value", r"^[\s\x{FEFF}]+|\s+$", "")
+    files = spark.read.text(path, wholetext=True).select(text.alias("text")).where("text <> ''")
+    lines = F.filter(F.split("text", r"[\r\n]+"), lambda x: F.trim(x) != "")
+    arrays = F.when(F.col("text").rlike(r"(?s)^\[.*\]$"), F.array("text")).when(F.col("text").startswith("{"), F.transform(lines, lambda x: F.concat(F.lit("["), x, F.lit("]")))).otherwise(F.raise_error(F.lit(f"{path}: a file that is neither an array nor records")).cast("array<string>"))
+    rows = files.select(F.explode(arrays).alias("array")).select(F.explode(F.from_json("array", ArrayType(element), {"mode": "FAILFAST"})).alias("row"))
+    part = lambda x: F.when(F.col(f"row.{x}").isNull(), F.raise_error(F.lit(f"{path}: an element without {x}"))).otherwise(F.col(f"row.{x}"))
+    rows = rows.select(part("primaryKey").alias("primaryKey"), part("fields").alias("fields"))
+    return rows.select(*[F.col(f"primaryKey.{k}") for k in key], *[F.col(f"fields.{f.name}") for f in schema if f.name not in key])
 
 
 def wrapped(df: DataFrame, key: list[str]) -> DataFrame:
@@ -30,6 +47,33 @@ def wrapped(df: DataFrame, key: list[str]) -> DataFrame:
     return df.select(F.struct(*[df[k] for k in key]).alias("primaryKey"), F.struct(*[df[c] for c in df.columns if c not in key]).alias("fields"))
 
 
+def write_wrapped(df: DataFrame, path: str, entity: str, key: list[str], mode: str = "errorifexists") -> None:
+    """df as files of one JSON array of PART_ROWS records each, in order of the key, and a sidecar that names the entity.
+
+    Absent values are left out of a record, as the reader takes them for null.
+    A part is gathered in one task, and holds PART_ROWS records at most.
+    """
+    numbered = compose.ordinal(df, key, "__n").withColumn("__part", F.floor((F.col("__n") - 1) / PART_ROWS))
+    record = F.struct(F.struct(*[F.col(k) for k in key]).alias("primaryKey"), F.struct(*[F.col(c) for c in df.columns if c not in key]).alias("fields"))
+    parts = numbered.groupBy("__part").agg(F.array_sort(F.collect_list(F.struct("__n", F.to_json(record).alias("json")))).alias("rows"))
+    text = F.concat(F.lit("["), F.array_join(F.transform("rows", lambda r: r["json"]), ",\n"), F.lit("]"))
+    parts.select(text.alias("value")).write.mode(mode).option("maxRecordsPerFile", 1).text(path)
+    files.write_text(df.sparkSession, f"{path}/{SIDECAR}", json_.dumps({"entity": entity, "primaryKey": key}))
+
+
+def check_sidecar(spark: SparkSession, path: str, entity: str) -> None:
+    """Raises unless the folder's sidecar is there and names the entity."""
+    at = f"{path.rstrip('/')}/{SIDECAR}"
+    if not files.exists(spark, at):
+        raise ValueError(f"{at}: missing")
+    try:
+        found = json_.loads(files.read_text(spark, at)).get("entity")
+    except (ValueError, AttributeError) as e:
+        raise ValueError(f"{at}: {e}") from e
+    if found != entity:
+        raise ValueError(f"{at}: holds {found!r}, not {entity!r}")
+
+
 def nested(domain: Domain, data: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Entities with their own directory, what they hold composed into them; children that no parent could hold raise when read."""
     out = {}
@@ -100,13 +144,16 @@ def write(domain: Domain, data: dict[str, DataFrame], folder: str, mode: str = "
     whole = nested(domain, data) if json else {n: data[n] for n in data}
     order = [n for n in directories(domain) if n in whole] + [n for n in whole if n in composed(domain)]
     for n in order:
-        w = (wrapped(whole[n], domain.entity(n).primary) if json else whole[n]).write.mode(mode)
         if json:
-            w.option("maxRecordsPerFile", PART_ROWS).json(f"{folder}/{n}")
-        elif year and n in year:
+            write_wrapped(whole[n], f"{folder}/{n}", n, domain.entity(n).primary, mode)
+            continue
+        w = whole[n].write.mode(mode)
+        if year and n in year:
             w.partitionBy(year[n]).parquet(f"{folder}/{n}")
         else:
             w.parquet(f"{folder}/{n}")
+    if json and order:
+        files.write_text(whole[order[0]].sparkSession, f"{folder}/{ORDER}", json_.dumps({"directoryOrder": order}))
     return order
 
 
@@ -134,21 +181,23 @@ def decorated(df: DataFrame, entity: Entity, key: str, seed: int, catalogues: di
 
 
 def replaced(spark: SparkSession, path: str, df: DataFrame) -> None:
-    """df in place of what it may itself read: written beside first, then from there over the old rows."""
+    """df in place of what it may itself read: written beside first, then swapped in by renames."""
+    files.recovered(spark, path)
     beside = f"{path.rstrip('/')}.new"
     df.write.mode("overwrite").parquet(beside)
-    spark.read.schema(df.schema).parquet(beside).write.mode("overwrite").parquet(path)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(beside)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    files.swap(spark, path, beside)
 
 
 def upserted(spark: SparkSession, path: str, changed: DataFrame, key: list[str], partition: str) -> None:
-    """Changed rows in place of their old ones: only the partitions that hold any are written again, all others keep their files."""
+    """Changed rows in place of their old ones: only the partitions that hold any are written again and swapped in, all others keep their files."""
+    live, beside = path.rstrip("/"), f"{path.rstrip('/')}.new"
     rows = spark.read.parquet(path)
     touched = changed.select(partition).distinct()
     old = rows.join(touched, partition, "left_semi").join(changed.select(*key), key, "left_anti")
-    beside = f"{path.rstrip('/')}.new"
-    old.unionByName(changed.select(*rows.columns)).write.mode("overwrite").parquet(beside)
-    spark.read.schema(rows.schema).parquet(beside).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(beside)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    old.unionByName(changed.select(*rows.columns)).write.mode("overwrite").partitionBy(partition).parquet(beside)
+    for part in files.folders(spark, beside):
+        aside = f"{live}/_{part}"  # hidden from readers while it waits to be deleted
+        files.move(spark, f"{live}/{part}", aside)
+        files.move(spark, f"{beside}/{part}", f"{live}/{part}")
+        files.delete(spark, aside)
+    files.delete(spark, beside)

@@ -78,10 +78,47 @@ def test_write_append_read(spark, tmp_path):
     with pytest.raises(ValueError, match="without a parent"):
         records.append(d, str(tmp_path), {"Person": data["Person"].withColumn("OrgID", F.lit("zz"))}, data)
     records.write(d, data, str(tmp_path / "json"), json=True)
-    got = records.read_wrapped(spark, str(tmp_path / "json" / "Org"), data["Org"].schema, ["ID"])
+    got = records.read_wrapped(spark, str(tmp_path / "json" / "Org"), data["Org"].schema, ["ID"], "Org")
+    assert json.loads((tmp_path / "json" / "_order.json").read_text()) == {"directoryOrder": ["Org"]}
     assert got.collect() == data["Org"].collect()
 
 
+def test_wrapped_records(spark, tmp_path, monkeypatch):
+    df = spark.range(25).select(F.format_string("k%02d", "id").alias("ID"), F.when(F.col("id") % 5 > 0, F.format_string('say "%d"\nand [go]', "id")).alias("Name"), F.col("id").cast("double").alias("n"))
+    monkeypatch.setattr(records, "PART_ROWS", 10)
+    path = str(tmp_path / "Org")
+    records.write_wrapped(df, path, "Org", ["ID"])
+    texts = [p.read_text() for p in (tmp_path / "Org").glob("part-*")]
+    assert sorted(len(json.loads(t)) for t in texts) == [5, 10, 10]
+    read = lambda at, **k: sorted(map(tuple, records.read_wrapped(spark, str(at), df.schema, ["ID"], **k).collect()))
+    assert read(path, entity="Org") == sorted(map(tuple, df.collect()))
+    with pytest.raises(ValueError, match="holds 'Org', not 'Person'"):
+        read(path, entity="Person")
+    with pytest.raises(ValueError, match="missing"):
+        read(tmp_path / "none", entity="Org")
+    row = lambda k: {"primaryKey": {"ID": k}, "fields": {"Name": "x", "n": 1.0}}
+    kinds = {"lines": "\n".join(json.dumps(row(f"l{i}")) for i in range(3)) + "\n", "pretty": json.dumps([row("p0"), row("p1")], indent=2), "empty": "", "none": "[]\n"}
+    (tmp_path / "mixed").mkdir()
+    for name, text in kinds.items():
+        (tmp_path / "mixed" / f"{name}.json").write_text(text)
+    assert [r[0] for r in read(tmp_path / "mixed")] == ["l0", "l1", "l2", "p0", "p1"]
+    for broken in ('[{"primaryKey": {"ID": "a"}, "fields": {"Na', '[{"primaryKey": {"ID": "a"}}]', '[{"fields": {"Name": "x"}}]', "no json"):
+        (tmp_path / "bad").mkdir(exist_ok=True)
+        (tmp_path / "bad" / "x.json").write_text(broken)
+        with pytest.raises(Exception):
+            read(tmp_path / "bad")
+    records.write_wrapped(df.limit(0), str(tmp_path / "no"), "Org", ["ID"])
+    assert read(tmp_path / "no", entity="Org") == []
+
+
+def test_a_swap_cut_short_loses_nothing(spark, tmp_path):
+    live = str(tmp_path / "t")
+    spark.range(3).write.parquet(live)
+    (tmp_path / "t").rename(tmp_path / "t.old")
+    records.replaced(spark, live, spark.range(4))
+    assert spark.read.parquet(live).count() == 4 and not (tmp_path / "t.old").exists()
+
+
 def test_ordinal_and_parts(spark):
     df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k"))
     rows = compose.ordinal(df, ["k"], "n").collect()

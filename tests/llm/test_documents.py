@@ -308,24 +308,62 @@ def test_every_token_is_its_own_encoding(vocabulary):
     assert all(a.encode_word(b) == [t] for b, t in a.by_bytes.items())
 
 
-def test_small_automaton_against_the_merge_loop():
-    merges = [(b"a", b"a"), (b"aa", b"b"), (b"b", b"a"), (b"a", b"ba"), (b"aa", b"a"), (b"ba", b"ba")]
-    vocab = {bytes([b]): b for b in range(256)} | {u + v: 256 + k for k, (u, v) in enumerate(merges)}
-    a, rng = bpe.Automaton(vocab, merges), random.Random(1)
-
-    def loop(word):
-        parts = [bytes([b]) for b in word]
-        for u, v in merges:
-            i = 0
-            while i < len(parts) - 1:
-                if parts[i] == u and parts[i + 1] == v:
-                    parts[i : i + 2] = [u + v]
-                i += 1
-        return [vocab[p] for p in parts]
-
-    for _ in range(3000):
-        w = bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 14)))
-        assert a.encode_word(w) == loop(w), w
+def merge_loop(merges, vocab, word):
+    parts = [bytes([b]) for b in word]
+    for u, v in merges:
+        i = 0
+        while i < len(parts) - 1:
+            if parts[i] == u and parts[i + 1] == v:
+                parts[i : i + 2] = [u + v]
+            i += 1
+    return [vocab[p] for p in parts]
+
+
+def random_merges(rng, letters, n):
+    """Merges of tokens there are, each to a new token; some can never be reached."""
+    tokens, merges = [bytes([b]) for b in letters], []
+    while len(merges) < n:
+        u, v = rng.choice(tokens), rng.choice(tokens)
+        if u + v not in tokens and len(u + v) < 8:
+            merges.append((u, v))
+            tokens.append(u + v)
+    return merges
+
+
+def test_small_automata_against_the_merge_loop(monkeypatch):
+    rng = random.Random(1)
+    first = [(b"a", b"a"), (b"aa", b"b"), (b"b", b"a"), (b"a", b"ba"), (b"aa", b"a"), (b"ba", b"ba")]
+    for k, merges in enumerate([first, *(random_merges(rng, b"abc"[: 2 + k % 2], 3 + k % 12) for k in range(60))]):
+        monkeypatch.setattr(bpe, "FEW", (0, 2, 24)[k % 3])
+        vocab = {bytes([b]): b for b in range(256)} | {u + v: 256 + k for k, (u, v) in enumerate(merges)}
+        a = bpe.Automaton(vocab, merges, 40 if k % 4 else 10**6)  # a table that is full now and then
+        for _ in range(300):
+            w = bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 14)))
+            assert a.encode_word(w) == merge_loop(merges, vocab, w), (merges, w)
+
+
+def test_one_transition_a_byte_and_none_undone(vocabulary):
+    """Each state reached holds the last token of the prefix's own encoding: nothing that a later byte could undo. The table has one next state for a state and a byte."""
+    a, rng = bpe.Tokenizer(vocabulary).automaton, random.Random(3)
+    for _ in range(400):
+        w = bytes(rng.choice(b"abcdehinorst 0-=\xc3\xa9") for _ in range(rng.randint(1, 40)))
+        path = a.run(w)
+        assert len(path) == len(w)
+        for k, s in enumerate(path):
+            assert s.last == a.encode_word(w[: k + 1])[-1] and len(a.labels[s.last]) == s.size
+        before = a.arcs
+        assert all(x is y for x, y in zip(a.run(w), path, strict=True)) and a.arcs == before  # compiled once
+    assert a.arcs == sum(map(len, a.states.values()))
+
+
+def test_long_words_and_full_tables_stay_bounded(vocabulary, theirs, monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO_BYTES", 20_000)
+    t, rng = bpe.Tokenizer(vocabulary), random.Random(4)
+    t.automaton.max_arcs = 2000
+    texts = ["".join(rng.choice("abcdefghijklmnop") for _ in range(n)) for n in (50_000, 20_000)] + [" ".join("".join(rng.choice("aeiourst") for _ in range(7)) for _ in range(400)) for _ in range(20)]
+    for x, e in zip(texts, theirs.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert t.encode(x) == e.ids
+        assert t.kept <= 21_000 and sum(map(len, t.memo)) < 21_000 and all(len(v[1]) <= bpe.LONGEST_WORD for v in t.memo.values())
 
 
 def test_bpe_digests_and_round_trip(spark, vocabulary, theirs):

@@ -73,6 +73,22 @@ def test_mix_is_the_plan_in_order(spark):
     assert mixing.mix(d.limit(0)).count() == 0 and mixing.plan(d.limit(0)).count() == 0
 
 
+def test_one_id_may_hold_most_rows(spark, monkeypatch):
+    """Rows alike beyond REPEATS: numbered in parts, and no plan or row lost."""
+    text = "a b c d e f g"
+    table = [(None, text, "a")] * 90 + [(7, text, "a")] * 40 + [(k, f"x{k} y z", "b") for k in range(100, 130)]
+    d = docs(spark, table).repartition(3)
+    whole = sorted((r["doc_id"] or 0, r["source"], r["start"], r["taken"], r["copies"]) for r in mixing.plan(d).collect())
+    count = lambda x: sorted(((r["doc_id"] or 0, r["source"]), r["count"]) for r in common.only(x, "doc_id", "source").groupBy("doc_id", "source").count().collect())
+    mixed = count(mixing.mix(d))
+    monkeypatch.setattr(mixing, "REPEATS", 25)
+    assert sorted((r["doc_id"] or 0, r["source"], r["start"], r["taken"], r["copies"]) for r in mixing.plan(d).collect()) == whole and len(whole) == len(table)
+    assert count(mixing.mix(d)) == mixed
+    assert dict(mixed)[0, "a"] == sum(c for i, s, _, _, c in whole if (i, s) == (0, "a"))
+    numbered = mixing.placed(common.only(d, "doc_id").select(F.coalesce("doc_id", F.lit(-1)).alias("k")), "k").groupBy("k").agg(F.count_distinct("__place").alias("n"), F.max("__place").alias("top")).collect()
+    assert all(r["n"] == r["top"] + 1 for r in numbered) and {r["k"]: r["n"] for r in numbered}[-1] == 90
+
+
 def test_schedule_inverse_against_integration(spark):
     for knots in (*mixing.SCHEDULES, ((0.0, 0.0), (0.3, 2.0), (1.0, 0.0))):
         t = np.linspace(0, 1, 200_001)

@@ -31,8 +31,15 @@ def canonical(json: Column) -> Column:
     return F.to_json(F.try_parse_json(json))
 
 
+#: An argument that stands for another call's result, whatever its type.
+REFERENCE = r"^OBJECT<`?\$ref`?: STRING>$"
+
+
 def argument_errors(name: Column, arguments: Column, schemas: dict[str, dict[str, tuple[str, bool]]]) -> Column:
-    """Sorted problems of a call. schemas: tool -> argument -> (type of TYPES, whether it is required); other arguments are errors."""
+    """Sorted problems of a call. schemas: tool -> argument -> (type of TYPES, whether it is required); other arguments are errors.
+
+    {"$ref": id} fits any type: what it stands for is known only when the call is made.
+    """
     value = F.try_parse_json(arguments)
     kind = F.schema_of_variant(value)
     per_tool = None
@@ -41,7 +48,7 @@ def argument_errors(name: Column, arguments: Column, schemas: dict[str, dict[str
         for f, (type_, required) in sorted(fields.items()):
             at = F.try_variant_get(value, f"$.{f}", "variant")
             there = F.array_contains(F.coalesce(F.json_object_keys(arguments), F.array().cast("array<string>")), f)
-            bad = F.when(there & ~F.coalesce(F.schema_of_variant(at), F.lit("VOID")).rlike(TYPES[type_]), F.lit(f"type of {f}"))
+            bad = F.when(there & ~F.coalesce(F.schema_of_variant(at), F.lit("VOID")).rlike(f"{TYPES[type_]}|{REFERENCE}"), F.lit(f"type of {f}"))
             found.append(F.when(~there, F.lit(f"missing {f}")).otherwise(bad) if required else bad)
         extra = F.transform(F.array_except(F.json_object_keys(arguments), F.array(*map(F.lit, sorted(fields))).cast("array<string>")), lambda k: F.concat(F.lit("unknown "), k))
         errors = F.array_sort(F.concat(F.array_compact(F.array(*found)), F.coalesce(extra, F.array().cast("array<string>"))))
@@ -139,12 +146,31 @@ def lines(messages: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]])
 
 
 #: The tool that every user turn of the driver's conversations calls, for want of tool calls in the table.
-REPLY = {"reply": {"text": ("string", True), "turn": ("integer", True)}}
+REPLY = {"reply": {"after": ("string", False), "text": ("string", True), "turn": ("integer", True)}}
+#: Calls refer to the user's call before them, but for the first and every CHAIN-th one.
+CHAIN = 4
+#: A text of fewer characters gets an argument that the schema doesn't have.
+SHORT = 60
 
 
 def as_calls(conversations: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text) as messages for lines(): a user's turn t calls reply with its text, which moves into the arguments, and an assistant's turn t answers turn t - 1."""
+    """(conv_id, turn, role, text) as messages for lines().
+
+    A user's turn t calls reply with its text, which moves into the arguments,
+    and an assistant's turn t answers turn t - 1. So that all of the operator
+    has work, calls refer to the call two turns before ({"$ref": id}), but for
+    every CHAIN-th; every fifth turn is given as text, and short texts get an
+    argument "short", which are errors by the schema.
+    """
     c = only(conversations, "conv_id", "turn", "role", "text").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     id_ = lambda t: F.concat_ws("-", F.lit("call"), F.col("conv_id").cast("string"), t.cast("string"))
-    call = F.struct(id_(F.col("turn")).alias("id"), F.lit("reply").alias("name"), F.to_json(F.struct("turn", "text")).alias("arguments"))
-    return c.select("conv_id", "turn", "role", F.when(F.col("role") == "user", F.lit(None)).otherwise(F.col("text")).alias("text"), F.when(F.col("role") == "user", F.array(call)).alias("calls"), F.when(F.col("role") == "assistant", id_(F.col("turn") - 1)).alias("answers"))
+    turn = F.col("turn")
+    after = F.when((turn >= 2) & (F.floor(turn / 2) % CHAIN != 0), F.struct(id_(turn - 2).alias("$ref")))
+    number = F.when(turn % 5 == 4, F.concat(F.lit('"'), turn.cast("string"), F.lit('"'))).otherwise(turn.cast("string"))
+    rest = F.to_json(F.struct(after.alias("after"), F.when(F.length("text") < SHORT, F.lit(True)).alias("short"), F.col("text")))
+    # The turn is a number in one call and a text in another: joined to the rest as JSON.
+    arguments = F.when(F.col("__rest") == "{}", F.concat(F.lit('{"turn":'), number, F.lit("}"))).otherwise(F.concat(F.expr("left(__rest, length(__rest) - 1)"), F.lit(',"turn":'), number, F.lit("}")))
+    c = c.withColumn("__rest", rest)
+    c = c.withColumn("arguments", F.when(turn.isNull(), F.col("__rest")).otherwise(arguments))
+    call = F.struct(id_(turn).alias("id"), F.lit("reply").alias("name"), F.col("arguments"))
+    return c.select("conv_id", "turn", "role", F.when(F.col("role") == "user", F.lit(None)).otherwise(F.col("text")).alias("text"), F.when(F.col("role") == "user", F.array(call)).alias("calls"), F.when(F.col("role") == "assistant", id_(turn - 1)).alias("answers"))

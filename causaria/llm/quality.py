@@ -1,9 +1,15 @@
 """Quality rules as a short-circuit cascade.
 
-Rules are estimated on a bounded sample: what each costs and what share of the
-documents it rejects. They then run in order of rejection per cost, and a
-document's first failed rule ends its evaluation. The verdict is that no rule
-rejects, so it doesn't depend on the order; only the time does.
+The cascade is built on a bounded sample, rule by rule: the next one is the rule
+that rejects most per cost among the documents that those before it let pass,
+where what they have worked out already (words, lines, repeats) costs nothing
+any more. In the run, a document's first failed rule ends its evaluation, and
+nothing that only later rules ask of it is worked out. The verdict is that no
+rule rejects, so it doesn't depend on the order; only the time does.
+
+measure() returns the base measures of every document and so works them out
+first; its cascade holds the rules that base_failed hasn't decided, for the
+documents that it let pass. filtered() leaves everything to the cascade.
 """
 
 from __future__ import annotations
@@ -21,7 +27,7 @@ from .common import only, rows_by
 #: What separates words, and the characters that count as symbols.
 SPACES = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
-#: Documents that costs and selectivities are estimated on, taken from the first partitions.
+#: Documents that costs and selectivities are estimated on, the first by a hash of doc_id and text.
 SAMPLE_ROWS = 200
 
 
@@ -31,6 +37,12 @@ class Doc:
     def __init__(self, text: str | None):
         self.text = text or ""
 
+    def copy(self) -> Doc:
+        """The text with all that has been worked out so far."""
+        out = Doc(None)
+        out.__dict__.update(self.__dict__)
+        return out
+
     @cached_property
     def words(self) -> list[bytes]:
         return self.text.encode().split()  # bytes.split() splits at SPACES
@@ -125,8 +137,14 @@ RULES = (
 )
 
 
+#: Rules that base_failed decides.
+BASE = ("too_short", "repeated_passages")
+
+
 @dataclass(frozen=True)
 class Estimate:
+    """What a rule adds at its place in the cascade: seconds a document that gets there, and the share of those that it rejects."""
+
     name: str
     seconds: float
     rejected: float
@@ -136,28 +154,54 @@ class Estimate:
         return self.rejected / max(self.seconds, 1e-9)
 
 
-def estimate(docs: DataFrame, rules=RULES, rows: int = SAMPLE_ROWS) -> list[Estimate]:
-    """Cost (seconds a document, with all that the rule itself must work out) and rejected share of each rule."""
-    texts = [r[0] for r in only(docs, "text").select(F.col("text").cast("string")).take(rows)]
-    out = []
-    for rule in rules:
-        began, hits = time.perf_counter(), 0
-        for t in texts:
-            hits += bool(rule.rejects(Doc(t)))
-        out.append(Estimate(rule.name, (time.perf_counter() - began) / max(len(texts), 1), hits / max(len(texts), 1)))
-    return out
+def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[str | None]:
+    """Up to rows texts, the first by a hash of doc_id and text: the same whatever the partitions."""
+    found = only(docs, "doc_id", "text").select(F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text"))
+    n = docs.count()
+    if n > 20 * rows:  # most rows can't be among them: fewer texts to sort
+        few = found.where(F.col("h") <= int(-(2**63) + 2**64 * 4 * rows / n)).orderBy("h").limit(rows).collect()
+        if len(few) == rows:
+            return [r["text"] for r in few]
+    return [r["text"] for r in found.orderBy("h").limit(rows).collect()]
 
 
-def ordered(rules, estimates: list[Estimate]) -> tuple[Rule, ...]:
-    """Rules by falling rejection per cost; among rules that rejected nothing, the cheapest first; ties by name."""
-    by = {e.name: e for e in estimates}
-    return tuple(sorted(rules, key=lambda r: (-by[r.name].gain, by[r.name].seconds, r.name)))
+def cascade(texts: list[str | None], rules=RULES, prepare: Callable[[Doc], object] | None = None) -> tuple[tuple[Rule, ...], list[Estimate]]:
+    """The rules in order, and what each was estimated at when it was chosen.
+
+    prepare works out what is at hand before the cascade begins. Among rules
+    that reject nothing more, the cheapest is first; ties go by name.
+    """
+    left, order, found = list(rules), [], []
+    here = [Doc(t) for t in texts]
+    if prepare:
+        here = [d for d in here if not prepare(d)]
+    while left:
+        best = None
+        for rule in left:
+            after = [d.copy() for d in here]
+            began = time.perf_counter()
+            hits = [bool(rule.rejects(d)) for d in after]
+            spent = (time.perf_counter() - began) / max(len(after), 1)
+            e = Estimate(rule.name, spent, sum(hits) / max(len(after), 1))
+            if best is None or (-e.gain, e.seconds, e.name) < (-best[1].gain, best[1].seconds, best[1].name):
+                best = rule, e, [d for d, hit in zip(after, hits, strict=True) if not hit]
+        left.remove(best[0])
+        order.append(best[0])
+        found.append(best[1])
+        here = best[2] or here
+    return tuple(order), found
 
 
 def passes(doc: Doc, rules) -> bool:
     return not any(r.rejects(doc) for r in rules)
 
 
+def measured(doc: Doc) -> bool:
+    """Works out the base measures; whether they reject the document."""
+    _ = doc.word_chars, doc.n_symbols, doc.n_dup_lines
+    return doc.base_failed
+
+
 MEASURES = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
 
 
@@ -170,7 +214,8 @@ def _measured(rules):
             cols: list[list] = [[] for _ in names[1:]]
             for text in batch.column(1).to_pylist():
                 d = Doc(text)
-                row = (d.n_words, d.word_chars, d.n_symbols, d.n_dup_lines, d.n_repeat_words, d.base_failed, not d.base_failed and passes(d, rules))
+                failed = measured(d)
+                row = (d.n_words, d.word_chars, d.n_symbols, d.n_dup_lines, d.n_repeat_words, failed, not failed and passes(d, rules))
                 for c, x in zip(cols, row, strict=True):
                     c.append(x)
             kinds = [pa.int64()] * 5 + [pa.bool_()] * 2
@@ -186,7 +231,7 @@ def measure(docs: DataFrame, rules=RULES) -> DataFrame:
     are judged one by one, so repeated rows repeat; an empty table gives no
     rows; columns other than doc_id and text are not looked at.
     """
-    rules = ordered(rules, estimate(docs, rules))
+    rules, _ = cascade(sample(docs), [r for r in rules if r.name not in BASE], measured)
     return only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_measured(rules), MEASURES)
 
 
@@ -202,5 +247,5 @@ def _kept(rules, at: int):
 
 def filtered(docs: DataFrame, rules=RULES) -> DataFrame:
     """The rows of docs that no rule rejects, with docs' own columns, whatever they are; rows with null or empty text go."""
-    rules = ordered(rules, estimate(docs, rules))
+    rules, _ = cascade(sample(docs), rules)
     return rows_by(docs, _kept(rules, docs.columns.index("text")))

@@ -46,7 +46,7 @@ def op6_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every derived record, with a digest of its bytes in place of them."""
-    return warc.derivatives(warc.responses(table(tuned(spark), sf_dir, "pages"))).select("page_id", "target_uri", "record_type", "record_id", "refers_to", "concurrent_to", "content_type", "source_payload_digest", "block_digest", "content_length", F.sha2("warc", 256).alias("record_sha256"))
+    return warc.derivatives(warc.responses(table(tuned(spark), sf_dir, "pages"))).select("page_id", "target_uri", "record_type", "record_id", "refers_to", "linked_to", "content_type", "source_payload_digest", "block_digest", "content_length", F.sha2("warc", 256).alias("record_sha256"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .chat import REPLY
+from .chat import CHAIN, REPLY, SHORT
 from .mixing import MAX_EPOCHS, SCHEDULES, WEIGHTS, segments
-from .url_filter import LISTED_NAMES, RULES
+from .url_filter import RULES, domains
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -47,21 +47,32 @@ def url_filter() -> str:
         fits = f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN "
         cases["rule"] += f"{fits}'{h}{p}' "
         cases["verdict"] += f"{fits}'{v}' "
-    listed = f"list_has_any(string_split(host, '.'), {list(LISTED_NAMES)})"
+    listed = "(" + " OR ".join(f"host = '{d}' OR ends_with(host, '.{d}')" for d in domains()) + ")"
     return f"""WITH p AS (SELECT page_id, coalesce({host}, '') AS host, coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages)
 SELECT page_id, host, path, CASE {cases["rule"]}END AS rule, CASE {cases["verdict"]}WHEN {listed} THEN 'block' ELSE 'allow' END AS verdict, {listed} AS listed FROM p"""
 
 
 def chat() -> str:
-    """As the driver's conversations have their calls made from user turns, so has the SQL."""
-    assert REPLY == {"reply": {"text": ("string", True), "turn": ("integer", True)}}
+    """As the driver's conversations have their calls made from user turns, so has the SQL.
+
+    Levels are worked out from the chain of calls: call k of a chain refers to
+    the one two turns before, if that is a call.
+    """
+    assert REPLY == {"reply": {"after": ("string", False), "text": ("string", True), "turn": ("integer", True)}} and CHAIN == 4
     id_ = "'call-' || conv_id || '-' || {}"
     text = "CASE WHEN text IS NULL THEN '' ELSE '\"content\":' || to_json(text)::VARCHAR || ',' END"
-    arguments = "'{' || CASE WHEN text IS NULL THEN '' ELSE '\"text\":' || to_json(text)::VARCHAR || ',' END || '\"turn\":' || turn || '}'"
-    return f"""WITH m AS (SELECT conv_id, turn, role, text, {id_.format("turn")} AS id, {id_.format("(turn - 1)")} AS answers FROM conversations), u AS (SELECT id, count(*) AS n FROM m WHERE role = 'user' GROUP BY id), a AS (SELECT answers, count(*) AS n FROM m WHERE role = 'assistant' GROUP BY answers)
+    place = "((turn // 2) % 4)"
+    after = f"CASE WHEN turn >= 2 AND {place} <> 0 THEN '\"after\":{{\"$ref\":\"' || {id_.format('(turn - 2)')} || '\"}},' ELSE '' END"
+    short = f"CASE WHEN length(text) < {SHORT} THEN '\"short\":true,' ELSE '' END"
+    number = "CASE WHEN turn % 5 = 4 THEN '\"' || turn || '\"' ELSE turn::VARCHAR END"
+    arguments = f"'{{' || {after} || {short} || CASE WHEN text IS NULL THEN '' ELSE '\"text\":' || to_json(text)::VARCHAR || ',' END || '\"turn\":' || {number} || '}}'"
+    level = f"CASE WHEN turn < 2 OR {place} = 0 OR NOT l1 THEN 0 WHEN turn < 4 OR {place} = 1 OR NOT l2 THEN 1 WHEN turn < 6 OR {place} = 2 OR NOT l3 THEN 2 ELSE 3 END::INT"
+    errors = f"concat_ws(',', CASE WHEN text IS NULL THEN 'missing text' END, CASE WHEN turn % 5 = 4 THEN 'type of turn' END, CASE WHEN length(text) < {SHORT} THEN 'unknown short' END)"
+    there = ", ".join(f"EXISTS (SELECT 1 FROM k WHERE k.conv_id = c.conv_id AND k.turn = c.turn - {2 * n}) AS l{n}" for n in (1, 2, 3))
+    return f"""WITH m AS (SELECT conv_id, turn, role, text, {id_.format("turn")} AS id, {id_.format("(turn - 1)")} AS answers FROM conversations), k AS (SELECT DISTINCT conv_id, turn, id FROM m WHERE role = 'user'), u AS (SELECT c.id, {level} AS level FROM (SELECT *, {there} FROM k c) c), a AS (SELECT answers, count(*) AS n FROM m WHERE role = 'assistant' GROUP BY answers)
 SELECT conv_id, turn AS order_turn, 0::INT AS order_index, 0::INT AS order_phase, 'message' AS kind, NULL::VARCHAR AS call_id, NULL::VARCHAR AS status, 0::INT AS level, '' AS errors, '{{' || {text} || '"conv_id":' || conv_id || ',"role":' || to_json(role)::VARCHAR || ',"turn":' || turn || ',"type":"message"}}' AS json FROM m WHERE role NOT IN ('user', 'assistant')
-UNION ALL SELECT conv_id, turn, 0, 0, 'call', id, CASE WHEN a.n > 0 THEN 'answered' ELSE 'unanswered' END, 0, CASE WHEN text IS NULL THEN 'missing text' ELSE '' END, '{{"arguments":' || to_json({arguments})::VARCHAR || ',"conv_id":' || conv_id || ',"id":"' || id || '","name":"reply","role":"user","type":"call"}}' FROM m LEFT JOIN a ON m.id = a.answers WHERE role = 'user'
-UNION ALL SELECT conv_id, CASE WHEN u.n > 0 THEN turn - 1 ELSE turn END, 0, CASE WHEN u.n > 0 THEN 1 ELSE 0 END, 'result', m.answers, CASE WHEN u.n > 0 THEN 'linked' ELSE 'orphan' END, 0, '', '{{' || {text} || '"conv_id":' || conv_id || ',"id":"' || m.answers || '","role":"assistant","type":"result"}}' FROM m LEFT JOIN u ON m.answers = u.id WHERE role = 'assistant'"""
+UNION ALL SELECT conv_id, turn, 0, 0, 'call', m.id, CASE WHEN a.n > 0 THEN 'answered' ELSE 'unanswered' END, u.level, {errors}, '{{"arguments":' || to_json({arguments})::VARCHAR || ',"conv_id":' || conv_id || ',"id":"' || m.id || '","name":"reply","role":"user","type":"call"}}' FROM m JOIN u ON m.id = u.id LEFT JOIN a ON m.id = a.answers WHERE role = 'user'
+UNION ALL SELECT conv_id, CASE WHEN u.id IS NOT NULL THEN turn - 1 ELSE turn END, 0, CASE WHEN u.id IS NOT NULL THEN 1 ELSE 0 END, 'result', m.answers, CASE WHEN u.id IS NOT NULL THEN 'linked' ELSE 'orphan' END, coalesce(u.level, 0), '', '{{' || {text} || '"conv_id":' || conv_id || ',"id":"' || m.answers || '","role":"assistant","type":"result"}}' FROM m LEFT JOIN u ON m.answers = u.id WHERE role = 'assistant'"""
 
 
 def quality() -> str:

@@ -30,8 +30,11 @@ MAX_LEVELS = 64
 
 #: The production rules: (verdict, host, path). The longest that fits decides.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: The production list: hosts that have one of these as a name between dots are listed.
+#: The production list, as far as it is kept here: these names at these domains. A host is listed if it, or a domain it is in, is.
 LISTED_NAMES = ("spam-farm", "cheap-pills", "casino-win", "free-money")
+LISTED_AT = ("example.com", "example.net", "example.org", "net", "com")
+#: Rows that meet one shard's filter in one task, about, where filters aren't broadcast.
+SHARD_ROWS = 200_000
 
 
 def host(url: Column) -> Column:
@@ -48,6 +51,8 @@ def path(url: Column) -> Column:
 def rule(host_: Column, path_: Column, rules=RULES) -> tuple[Column, Column]:
     """(rule as text, verdict) of the longest rule that fits; nulls where none does. Equal lengths: the first in order."""
     name = verdict = None
+    if not rules:
+        return F.lit(None).cast("string"), F.lit(None).cast("string")
     for v, h, p in sorted(rules, key=lambda r: -len(r[1] + r[2])):
         fits = ((host_ == h) | host_.endswith("." + h)) & path_.startswith(p)
         name = F.when(fits, F.lit(h + p)) if name is None else name.when(fits, F.lit(h + p))
@@ -179,40 +184,61 @@ def _look_up_shard(left, right):
     return pd.concat([left.drop(columns=["shard", "salt", "a", "b"]), pd.Series(found, index=left.index, name="listed")], axis=1)
 
 
-def member(df: DataFrame, key: Column, filters: DataFrame, shards: int, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def member(df: DataFrame, key: Column, filters: DataFrame, shards: int, broadcast_bytes: int = BROADCAST_BYTES, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """df with a column listed: whether the row's key (one of the universe's) is listed.
 
     The filters are broadcast if their measured size allows it. Beyond that,
-    rows and filters meet by shard, with rows salted over SALTS parts of each.
+    rows and filters meet by shard, each shard's rows dealt to as many tasks as
+    the fullest shard needs at shard_rows a task: a hot key is spread over them.
     """
     a, b = fingerprints(key)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "listed boolean"])
     keyed = df.select("*", a.alias("a"), b.alias("b"))
     if (filters.agg(F.sum(F.length("filter"))).first()[0] or 0) <= broadcast_bytes:
         return keyed.mapInArrow(_look_up({r[0]: bytes(r[1]) for r in filters.collect()}, shards), schema)
-    salts = 64
-    keyed = keyed.withColumn("shard", F.pmod("a", F.lit(shards)).cast("int")).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    keyed = keyed.withColumn("shard", F.pmod("a", F.lit(shards)).cast("int"))
+    fullest = keyed.groupBy("shard").count().agg(F.max("count")).first()[0] or 0
+    salts = max(1, -(-fullest // shard_rows))
+    keyed = keyed.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
     dealt = filters.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return keyed.groupBy("shard", "salt").cogroup(dealt.groupBy("shard", "salt")).applyInPandas(_look_up_shard, schema)
 
 
-def listed_host(host_: Column, names=LISTED_NAMES) -> Column:
-    """Whether one of the host's names between dots is on the list."""
-    return F.arrays_overlap(F.split(host_, r"\."), F.array(*map(F.lit, names)))
+def domains(names=LISTED_NAMES, at=LISTED_AT) -> list[str]:
+    """Each name at each domain."""
+    return [f"{n}.{d}" for n in names for d in at]
 
 
-def judge(pages: DataFrame, rules=RULES, names=LISTED_NAMES) -> DataFrame:
+def flagged(hosts: DataFrame, listed: DataFrame) -> DataFrame:
+    """(key, listed) for each distinct host: whether it, or a domain it is in, is among listed's keys.
+
+    What the cascade is built from, over hosts, each once. Both sides are
+    shuffled by domain; one that many hosts are in is split by AQE's skew join,
+    which splits the left side of a semi-join.
+    """
+    dots = F.array_append(F.transform(F.filter(F.sequence(F.lit(1), F.length("key")), lambda i: F.substring("key", i, F.lit(1)) == "."), lambda i: i + 1), F.lit(1))
+    inside = hosts.where("key <> ''").select("key", F.explode(dots).alias("at")).select("key", F.expr("substring(key, at)").alias("domain"))
+    known = listed.select(F.col(listed.columns[0]).cast("string").alias("domain")).where("domain <> ''").distinct()
+    hit = inside.join(known, "domain", "left_semi").select("key").distinct().withColumn("hit", F.lit(True))
+    return hosts.where("key IS NOT NULL").join(hit, "key", "left").select("key", F.coalesce("hit", F.lit(False)).alias("listed"))
+
+
+def judge(pages: DataFrame, rules=RULES, listed: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, listed for every row of pages.
 
     verdict is the longest fitting rule's; where none fits, block if the host
-    is listed, by the cascade over all hosts of pages, and else allow. A null
-    url, or one without ://, has empty host and path, no rule, and is allowed.
+    is listed, by the cascade over all hosts of pages, and else allow. listed
+    is a table of any size whose first column has host names in lower case; a
+    host is listed if it or a domain it is in is there (the production list if
+    None); nulls, empty and repeated names count for nothing. A null url, or
+    one without ://, has empty host and path, no rule, and is allowed.
     Repeated rows repeat; an empty table gives none; other columns are not read.
     """
+    if listed is None:
+        listed = pages.sparkSession.createDataFrame([(x,) for x in domains()], "key string")
     h, p = host(F.col("url")), path(F.col("url"))
     rows = only(pages, "page_id", "url").select("page_id", h.alias("host"), p.alias("path"))
-    keys = rows.select(F.col("host").alias("key")).distinct()
-    filters, shards = build(keys.withColumn("listed", listed_host(F.col("key"), names)))
+    filters, shards = build(flagged(rows.select(F.col("host").alias("key")).distinct(), listed))
     name, verdict = rule(F.col("host"), F.col("path"), rules)
     found = member(rows, F.col("host"), filters, shards)
     return found.select("page_id", "host", "path", name.alias("rule"), F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"), "listed")

@@ -123,15 +123,44 @@ def test_cascade_order_changes_no_verdict():
     doc = [quality.Doc(t) for t in ("a b", "### " * 40, "fine words that nobody has said twice in this short text of ours today", "UP UP " * 20)]
     verdicts = {tuple(quality.passes(d, o) for d in doc) for o in (quality.RULES, quality.RULES[::-1])}
     assert len(verdicts) == 1
-    e = [quality.Estimate("a", 1.0, 0.5), quality.Estimate("b", 0.1, 0.4), quality.Estimate("c", 0.01, 0.0)]
-    r = {n: quality.Rule(n, lambda d: False) for n in "abc"}
-    assert [x.name for x in quality.ordered(r.values(), e)] == ["b", "a", "c"]
 
 
-def test_cascade_stops_at_the_first_rule():
+def test_cascade_goes_by_rejection_per_cost_among_what_is_left():
+    work = lambda n: sum(range(n))
+    rules = [
+        quality.Rule("dear", lambda d: work(40_000) and d.text < "8"),  # rejects most, at a high cost
+        quality.Rule("cheap", lambda d: work(400) and d.text < "5"),
+        quality.Rule("same", lambda d: work(2000) and d.text < "5"),  # good alone, rejects nothing after cheap
+        quality.Rule("never", lambda d: False),
+    ]
+    order, found = quality.cascade([str(k % 10) for k in range(100)], rules)
+    assert [r.name for r in order] == ["cheap", "dear", "never", "same"]
+    assert [round(e.rejected, 2) for e in found] == [0.5, 0.6, 0.0, 0.0]
+    # Words are worked out by the first rule that needs them and cost the next one nothing.
+    text = " ".join(f"w{k}" for k in range(20_000))
+    first, second = quality.cascade([text] * 5, [quality.Rule("a", lambda d: d.n_words < 3), quality.Rule("b", lambda d: d.n_words < 2)])[1]
+    assert first.seconds > 20 * second.seconds
+    assert quality.cascade([], quality.RULES)[0]
+
+
+def test_cascade_evaluates_nothing_beyond_the_first_failure():
     seen = []
     rules = [quality.Rule("x", lambda d: seen.append("x") or True), quality.Rule("y", lambda d: seen.append("y") or True)]
     assert not quality.passes(quality.Doc("t"), rules) and seen == ["x"]
+    d = quality.Doc("word " * 40)
+    order = [r for r in quality.RULES if r.name == "repeated_passages"] + [r for r in quality.RULES if r.name != "repeated_passages"]
+    assert not quality.passes(d, order) and not {"n_symbols", "lines", "n_dup_lines", "n_stutters", "n_upper", "word_chars"} & set(d.__dict__)
+    rest = [r for r in quality.RULES if r.name not in quality.BASE]
+    d = quality.Doc("word " * 40)
+    assert quality.measured(d) and not {"n_stutters", "n_upper"} & set(d.__dict__)
+    assert len(rest) == len(quality.RULES) - 2 and all(r.rejects(quality.Doc("a b")) for r in quality.RULES if r.name == "too_short")
+
+
+def test_quality_sample_is_the_same_whatever_the_partitions(spark):
+    d = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
+    assert quality.sample(d, 20) == quality.sample(d.repartition(7), 20) and len(quality.sample(d, 20)) == 20
+    same = spark.range(5000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("x").alias("text"))
+    assert quality.sample(same, 20) == ["x"] * 20 and quality.sample(d.limit(0)) == []
 
 
 def test_quality_filter_keeps_columns_and_clean_rows(spark):

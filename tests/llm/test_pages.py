@@ -1,10 +1,14 @@
 """URL filter, HTML extraction, WARC derivatives, embeddings and chats."""
 
+import base64
+import gzip
 import hashlib
 import json
 import random
 import re
 from html import unescape
+from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import numpy as np
 import pytest
@@ -52,10 +56,24 @@ def test_cascade_is_exact(spark, monkeypatch, broadcast):
     assert shards == 4
     found = url_filter.member(keys.withColumnRenamed("listed", "want"), F.col("key"), filters, shards, broadcast)
     assert found.where("want <> listed").count() == 0 and found.count() == 6000
+    assert url_filter.member(keys.withColumnRenamed("listed", "want"), F.col("key"), filters, shards, broadcast, 300).where("want <> listed").count() == 0
     size = filters.agg(F.sum(F.length("filter"))).first()[0]
     assert size < 6000 * 2  # fewer bytes than any list of the keys
 
 
+def test_a_million_listed_keys(spark):
+    """The list is a table: what of it no host matches is left out, all else is found by the cascade alone, for hosts and what is below them."""
+    listed = spark.range(1_000_000).select(F.concat(F.lit("bad"), "id", F.lit(".example")).alias("key")).union(spark.createDataFrame([("bad1.example",), (None,), ("",)], "key string"))
+    pages = spark.range(0, 400_000).select("id", F.concat(F.when(F.col("id") % 3 == 0, "http://bad").when(F.col("id") % 3 == 1, "http://a.b.bad").otherwise("http://good"), (F.col("id") * 7).cast("string"), F.when(F.col("id") % 4 == 3, ".example.net/x").otherwise(".example/x")).alias("url")).toDF("page_id", "url")
+    got = url_filter.judge(pages, rules=(), listed=listed)
+    want = (F.col("page_id") % 3 < 2) & (F.col("page_id") % 4 != 3) & (F.col("page_id") * 7 < 1_000_000)
+    assert got.where(F.col("listed") != want).count() == 0 and got.where("listed").count() == got.where("verdict = 'block'").count() > 50_000
+
+
+def test_suffixes():
+    assert url_filter.RULES and url_filter.domains(["a", "b"], ["x.y"]) == ["a.x.y", "b.x.y"]
+
+
 def test_cascade_round_trip_and_empty():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 2**63, (2, 500)).astype(np.uint64)
@@ -131,34 +149,110 @@ def test_lstm_gradients_against_differences():
 # WARC
 
 
-def test_warc_records(spark):
-    p = spark.read.parquet(f"{SF}/pages.parquet").limit(20)
+class PlainText(HTMLParser):
+    """The blocks of a page by the standard library's parser: a second implementation, to compare with."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.now, self.hidden, self.title, self.links = [], "", 0, None, []
+
+    def cut(self):
+        if text := re.sub(r"[\x20\x09-\x0D]+", " ", self.now).strip(" "):
+            self.out.append(text)
+        self.now = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("script", "style"):
+            self.hidden += 1
+        elif tag == "br":
+            self.now += " "
+        elif tag in html_extract.BLOCK_TAGS:
+            self.cut()
+        if tag == "a" and dict(attrs).get("href") is not None:
+            self.links.append(dict(attrs)["href"])
+        if tag == "title":
+            self.title = ""
+
+    def handle_endtag(self, tag):
+        if tag in ("script", "style"):
+            self.hidden -= 1
+        if tag == "title":
+            self.title = " ".join(self.now.split())
+        if tag in html_extract.BLOCK_TAGS:
+            self.cut()
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.now += data
+
+
+def plain_record(kind, record_id, source, block):
+    return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in [("WARC-Type", kind), ("WARC-Record-ID", record_id), *source, ("Content-Length", len(block))]).encode() + b"\r\n" + block + b"\r\n\r\n"
+
+
+def test_warc_records_against_a_second_implementation(spark):
+    p = spark.read.parquet(f"{DATA}/sf0.01/pages.parquet")
     src = {r["page_id"]: r for r in warc.responses(p).collect()}
     found = warc.derivatives(warc.responses(p)).collect()
-    assert len(found) == 40
+    assert len(found) == 2 * len(src) == 500
     for r in found:
-        (head, block), *rest = warc.parse(bytes(r["warc"]))
-        s = src[r["page_id"]]
-        assert not rest and head["warc-type"] == r["record_type"] and head["warc-refers-to"] == s["record_id"] == r["refers_to"] and head["warc-target-uri"] == s["target_uri"]
-        assert head["warc-block-digest"] == warc.digest(block) == r["block_digest"] and len(block) == r["content_length"]
-        html = bytes(s["block"]).split(b"\r\n\r\n", 1)[1]
+        data = bytes(r["warc"])
+        top, rest = data.split(b"\r\n\r\n", 1)
+        block, end = rest[: r["content_length"]], rest[r["content_length"] :]
+        version, *lines = top.decode().split("\r\n")
+        head, s = dict(x.split(": ", 1) for x in lines), src[r["page_id"]]
+        assert version == "WARC/1.1" and end == b"\r\n\r\n" and "WARC-Concurrent-To" not in head and int(head["Content-Length"]) == len(block)
+        assert head["WARC-Type"] == r["record_type"] and head["WARC-Refers-To"] == s["record_id"] == r["refers_to"] and head["WARC-Target-URI"] == s["target_uri"] and head["WARC-Record-ID"] == r["record_id"]
+        assert head["WARC-Block-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode() == r["block_digest"]
+        html = bytes(s["block"]).split(b"\r\n\r\n", 1)[1].decode()
+        plain = PlainText()
+        plain.feed(html)
+        plain.cut()
         if r["record_type"] == "metadata":
             m = json.loads(block)
-            assert m["source"]["payload_digest"] == warc.digest(html) and m["source"]["headers"][0] == ["Content-Type", "text/html; charset=utf-8"] and m["page"]["links"]
+            assert block.decode() == json.dumps(m, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+            assert m["source"]["payload_digest"] == warc.digest(html.encode()) == r["source_payload_digest"] and m["source"]["headers"][0] == ["Content-Type", "text/html; charset=utf-8"]
+            assert m["conversion"] == r["linked_to"] and dict(m["source"]["warc_headers"])["WARC-Record-ID"] == s["record_id"]
+            assert m["page"]["title"] == plain.title and m["page"]["links"] == [urljoin(s["target_uri"], x) for x in plain.links] and m["page"]["n_chars"] == len("\n".join(plain.out))
         else:
-            text = block.decode()
-            assert text == "\n".join(b.text for b in html_extract.blocks(html.decode())) and "track(" not in text and "<p>" not in text
-    pair = {r["record_id"]: r["concurrent_to"] for r in found}
-    assert all(pair[b] == a for a, b in pair.items()) and len(pair) == 40
+            assert block.decode() == "\n".join(plain.out)
+    pair = {r["record_id"]: r["linked_to"] for r in found}
+    assert all(pair[b] == a for a, b in pair.items()) and len(pair) == 500
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_archives_are_read_record_by_record(spark, tmp_path, packed):
+    pages = {f"<urn:uuid:{k}>": b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nX-A: b\r\n\r\n" + f"<title>t{k}</title><p>WARC/1.0 \r\n\r\n text {k}".encode() + b"y" * (3_000_000 if k == 3 else 10) for k in range(6)}
+    records = [plain_record("warcinfo", "<i>", [], b"software: x\r\n")]
+    for i, block in pages.items():
+        source = [("WARC-Date", "2020-05-05T00:00:00Z"), ("WARC-Target-URI", f"http://h/{i[-2]}"), ("WARC-Payload-Digest", "sha1:GIVEN"), ("WARC-IP-Address", "192.0.2.7"), ("X-Long", "one\r\n two")]
+        records += [plain_record("request", "<q>", [], b"GET / HTTP/1.1\r\n\r\n"), plain_record("response", i, source, block)]
+    for k in range(2):
+        some = records[k::2] if k else records[::2]
+        (tmp_path / f"{k}.warc{'.gz' if packed else ''}").write_bytes(b"".join(gzip.compress(r) if packed else r for r in some))
+    (tmp_path / "empty.warc").write_bytes(b"")
+    found = warc.archives(spark, str(tmp_path))
+    assert {r["record_id"]: bytes(r["block"]) for r in found.collect()} == pages
+    meta = [json.loads(warc.parse(bytes(r["warc"]))[0][1]) for r in warc.derivatives(found).collect() if r["record_type"] == "metadata"]
+    assert len(meta) == 6
+    for m in meta:
+        head = dict(m["source"]["warc_headers"])
+        assert head["WARC-IP-Address"] == "192.0.2.7" and head["X-Long"] == "one two" and m["source"]["date"] == "2020-05-05T00:00:00Z" and m["source"]["payload_digest"] == "sha1:GIVEN" and ["X-A", "b"] in m["source"]["headers"]
+    whole = (gzip.compress(records[2]) if packed else records[2])[:-40]
+    (tmp_path / "cut").mkdir()
+    (tmp_path / "cut" / "x.warc").write_bytes(whole)
+    with pytest.raises(Exception, match="ends inside a record"):
+        warc.archives(spark, str(tmp_path / "cut")).count()
 
 
 def test_warc_digest_and_edges(spark):
     assert warc.digest(b"") == "sha1:3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ" and len(hashlib.sha1(b"").digest()) == 20
-    df = spark.createDataFrame([(1, "<urn:uuid:x>", None, "2024-01-01T00:00:00Z", "sha1:GIVEN", None), (2, "<r>", "http://a/\r\nX: y", "d", None, bytearray(b"no header <a href='//['>t</a>")), (3, "<r>", "u", "d", None, bytearray("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=nonsense\r\n\r\n<p>é".encode()))], "page_id long, record_id string, target_uri string, date string, payload_digest string, block binary").withColumn("warc", F.lit("mine"))
+    table = [(1, "<urn:uuid:x>", None, "2024-01-01T00:00:00Z", "sha1:GIVEN", None, None), (2, "<r>", "http://a/\r\nX: y", "d", None, "[]", bytearray(b"no header <a href='//['>t</a>")), (3, "<r>", "u", "d", None, None, bytearray("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=nonsense\r\n\r\n<p>é".encode())), (None, None, None, None, None, None, None)]
+    df = spark.createDataFrame(table, warc.SOURCE).withColumns({"warc": F.lit("mine"), "content_type": F.lit(0), "record_type": F.lit("x")})
     got = rows(warc.derivatives(df))
-    assert len(got) == 6 and {r["source_payload_digest"] for r in got if r["page_id"] == 1} == {"sha1:GIVEN"}
+    assert len(got) == 8 and {r["source_payload_digest"] for r in got if r["page_id"] == 1} == {"sha1:GIVEN"}
     assert all(b"\r\nX: y" not in bytes(r["warc"]) for r in got) and any(bytes(r["warc"]).endswith("é\r\n\r\n".encode()) for r in got)
-    assert warc.derivatives(df.limit(0)).count() == 0
+    assert warc.derivatives(df.union(df)).count() == 16 and warc.derivatives(df.limit(0)).count() == 0
 
 
 # Embeddings
@@ -240,7 +334,7 @@ def test_chat_linking(spark):
     assert calls[1, "c1", 3]["status"] == "answered" and calls[1, "c1", 5]["status"] == "repeated" and calls[1, "c2", 3]["status"] == "unanswered"
     assert calls[1, "c2", 3]["level"] == 1 and calls[1, "c1", 3]["level"] == 0 and calls[3, "p", 0]["level"] == calls[3, "q", 0]["level"] == -1
     assert calls[1, "c1", 5]["errors"] == ["missing a"] and calls[1, "c3", 5]["errors"] == ["not a JSON object"] and calls[1, "c4", 5]["errors"] == ["type of a", "unknown z"]
-    assert calls[1, "c2", 3]["errors"] == ["type of b"] and calls[1, "c1", 3]["errors"] == []
+    assert calls[1, "c2", 3]["errors"] == [] and calls[3, "p", 0]["errors"] == [] and calls[1, "c1", 3]["errors"] == []
     assert json.loads(calls[1, "c1", 3]["json"])["arguments"] == '{"a":7,"b":2.5}'
     results = [r for r in got if r["kind"] == "result"]
     assert sorted((r["conv_id"], r["status"], r["order_turn"], r["order_phase"]) for r in results) == [(1, "linked", 3, 1), (1, "linked", 3, 1), (2, "orphan", 0, 0)]
@@ -250,6 +344,22 @@ def test_chat_linking(spark):
     assert sum(r["kind"] == "message" for r in got) == 4 and chat.lines(df.limit(0), SCHEMAS).count() == 0
 
 
+def test_references_fit_any_type_and_nothing_else_does(spark):
+    schemas = {"t": {k: (k, False) for k in chat.TYPES}}
+    values = {"string": '"x"', "integer": "1", "number": "1.5", "boolean": "true", "array": "[1]", "object": '{"k":1}', "ref": '{"$ref":"a"}', "two": '{"$ref":"a","k":1}', "number ref": '{"$ref":1}', "null": "null"}
+    rows_ = [(k, v, f'{{"{k}":{x}}}') for k in chat.TYPES for v, x in values.items()]
+    df = spark.createDataFrame(rows_, "k string, v string, a string").select("k", "v", F.size(chat.argument_errors(F.lit("t"), F.col("a"), schemas)).alias("n"))
+    fits = {(r["k"], r["v"]) for r in df.collect() if not r["n"]}
+    assert fits == {(k, k) for k in chat.TYPES} | {(k, "ref") for k in chat.TYPES} | {("number", "integer"), ("object", "two"), ("object", "number ref")}
+
+
+def test_chat_query_has_references_and_errors(spark):
+    got = rows(queries.op10_chat(spark, f"{DATA}/sf0.01"))
+    calls = [r for r in got if r["kind"] == "call"]
+    assert {r["level"] for r in calls} == {0, 1, 2, 3} and {e for r in calls for e in r["errors"].split(",")} >= {"", "type of turn", "unknown short"}
+    assert {r["status"] for r in got} >= {None, "answered", "unanswered", "linked"}
+
+
 def test_chat_loses_no_text_or_call(spark):
     m = [
         (1, 0, "assistant", "beside", [("a", "add", '{"a":1}'), ("b", "add", '{"a":2}')], None),

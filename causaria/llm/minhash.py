@@ -9,11 +9,18 @@ pi(sigma(x) + k), the second permutation circularly shifted by k.
 2. Documents of one fingerprint are one class; its smallest id stands for it.
 3. In each band bucket every representative is tied to the bucket's smallest:
    as many ties as members, never pairs. Connected ties form candidate groups;
-   all candidate pairs lie within one.
-4. The groups' texts, and only they, are read again. Within a group, every pair
-   not yet connected is compared on full sets; large groups are cut into blocks
-   and pairs of blocks, each a task of bounded memory. Verified links give the
-   components.
+   all candidate pairs lie within one. The texts of candidates, and only they,
+   are read again, and pairs are compared on full sets.
+4. A group of up to GROUP_ROWS is compared whole: each set is sent once.
+5. Larger ones are either many near copies or chains of chance ties, which grow
+   with the corpus. They aren't compared as groups, but bucket by bucket, each
+   set of members once: first, in a few bands, blocks of a bucket's members
+   among themselves and with its smallest, which connects near copies at a cost
+   that is linear in their number; then in all bands those buckets that still
+   hold several components, their largest component's members against the
+   others alone. So every pair of a bucket is compared or already connected,
+   and no task sees more than GROUP_ROWS rows or GROUP_SHINGLES shingles beyond
+   two single sets.
 
 With R rows in each of B bands, a pair of Jaccard similarity s shares a bucket
 with probability 1 - (1 - s^R)^B. bands() chooses B so that a pair at the
@@ -26,14 +33,19 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .common import claim, components, memo, numbered, only, small, staged
 
 ROWS, MISSED = 6, 1e-6
 SHINGLE = 5
 #: A link needs this many percent of the union in common.
 PERCENT = 85
-#: A candidate group beyond either bound is cut into blocks of about half of it.
-GROUP_ROWS, GROUP_SHINGLES = 1024, 3_000_000
+#: What one task may compare. Larger groups are compared by buckets, and large buckets in blocks.
+GROUP_ROWS, GROUP_SHINGLES = 512, 3_000_000
+#: Bands that large groups are first connected by.
+FIRST_BANDS = 6
+#: Longs of the bitmap that texts are filtered by where candidates are too many to broadcast.
+BITMAP = 1_000_000
 
 _A, _B, _C = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
 
@@ -139,20 +151,31 @@ def _signed(n_bands: int):
 
 
 def _sets(batches):
+    """The last column, texts, as sets. Rows of one id and text (the first column) that follow in a task are one: none is sent on twice, or hardly."""
     import pyarrow as pa
 
     claim(_words)
+    seen: set[tuple[int, int]] = set()
     for batch in batches:
+        texts = batch.column(batch.num_columns - 1).to_pylist()
+        new = []
+        for i, t in zip(batch.column(0).to_pylist(), texts, strict=True):
+            row = i, hash(t)
+            new.append(row not in seen)
+            if len(seen) > 50_000:
+                seen.clear()
+            seen.add(row)
         with np.errstate(over="ignore"):
-            found = [shingles(t).tobytes() for t in batch.column(batch.num_columns - 1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.binary())], [*batch.schema.names[:-1], "set"])
+            found = [shingles(t).tobytes() for t, n in zip(texts, new, strict=True) if n]
+        kept = batch.filter(pa.array(new))
+        yield pa.RecordBatch.from_arrays([*kept.columns[:-1], pa.array(found, pa.binary())], [*batch.schema.names[:-1], "set"])
     claim()
 
 
-def links(ids: list[int], sets: list[np.ndarray], percent: int = PERCENT):
+def links(ids: list[int], sets: list[np.ndarray], percent: int = PERCENT, labels: list[int] | None = None):
     """Links (smaller id, larger id) that connect exactly what all pairs' links would connect.
 
-    A pair already connected isn't compared. Each row in turn marks its
+    A pair already connected, by links found here or by equal labels, isn't compared. Each row in turn marks its
     shingles and meets all later rows that aren't connected to it at once.
     """
     m, sizes = len(ids), np.array([len(s) for s in sets])
@@ -160,7 +183,7 @@ def links(ids: list[int], sets: list[np.ndarray], percent: int = PERCENT):
     ends = np.cumsum(sizes)
     starts = ends - sizes
     mark = np.zeros(int(where.max()) + 1, np.int32)
-    label = np.arange(m)
+    label = np.arange(m) if labels is None else np.unique(labels, return_inverse=True)[1]
     for p in range(m - 1):
         rest = p + 1 + np.flatnonzero(label[p + 1 :] != label[p])
         rest = rest[(100 * sizes[rest] >= percent * sizes[p]) & (100 * sizes[p] >= percent * sizes[rest])]
@@ -180,30 +203,89 @@ def links(ids: list[int], sets: list[np.ndarray], percent: int = PERCENT):
 
 
 def _verified(percent: int):
-    """Rows sorted by part: (part, id, set) -> links (a, b)."""
+    """Rows sorted by part: (part, id, label, set) -> links (a, b)."""
 
     def run(batches):
         import pyarrow as pa
 
-        def flush(ids, sets):
-            found = list(links(ids, sets, percent)) if len(ids) > 1 else []
+        def flush(ids, labels, sets):
+            found = list(links(ids, sets, percent, labels)) if len(ids) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-        now, ids, sets = None, [], []
+        now, ids, labels, sets, last = None, [], [], [], None
         for batch in batches:
-            for part, i, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for part, i, label, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if part != now:
                     if len(ids) > 1:
-                        yield flush(ids, sets)
-                    now, ids, sets = part, [], []
-                if len(raw):
+                        yield flush(ids, labels, sets)
+                    now, ids, labels, sets, last = part, [], [], [], None
+                if len(raw) and (i, raw) != last:
                     ids.append(i)
+                    labels.append(label)
                     sets.append(np.frombuffer(raw, np.uint64))
-        yield flush(ids, sets)
+                    last = i, raw
+        yield flush(ids, labels, sets)
 
     return run
 
 
+def only_of(docs: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """docs whose key (a long) may be among ids: all that are, and few others, without a shuffle of docs.
+
+    One hash of each id sets a bit of BITMAP longs; the longs are broadcast,
+    BITMAP rows at most.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP * 64))
+    words = ids.select(bit("id").alias("h")).groupBy(F.expr("h div 64").alias("__word")).agg(F.expr("bit_or(shiftleft(1L, CAST(h % 64 AS INT)))").alias("__bits"))
+    marked = docs.withColumn("__h", bit(key)).join(F.broadcast(words), F.expr("__h div 64") == F.col("__word"))
+    return marked.where(F.expr("shiftright(__bits, CAST(__h % 64 AS INT)) & 1L = 1L")).drop("__h", "__word", "__bits")
+
+
+def verified(docs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """parts (id, label, part): links (a, b) found by comparing, in each part, all rows of different labels on their full sets.
+
+    docs: (id, text). An id's parts are gathered into one row, so that its text
+    is joined and its set worked out once.
+    """
+    parts = staged(parts)
+    dealt = staged(parts.groupBy("id").agg(F.min("label").alias("label"), F.collect_list("part").alias("parts")))
+    n = parts.count()
+    texts = docs if n <= common.BROADCAST_ROWS else only_of(docs, "id", dealt)
+    sets = texts.join(small(dealt, n), "id").select("id", "label", "parts", "text").mapInArrow(_sets, "id long, label long, parts array<long>, set binary")
+    rows = sets.select(F.explode("parts").alias("part"), "id", "label", "set")
+    return rows.repartition("part").sortWithinPartitions("part", "id", "set").mapInArrow(_verified(percent), "a long, b long")
+
+
+def in_buckets(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Links among members (id, n, bands), found bucket by bucket. docs: (id, text)."""
+    m = staged(members.select("id", "n", F.posexplode("bands").alias("band", "key")))
+    load = lambda rows, total: F.greatest(F.col(rows) / GROUP_ROWS, F.col(total) / GROUP_SHINGLES)
+    x = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
+    buckets = m.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("total"), F.min(F.struct("band", "key")).alias("one"), F.min("id").alias("hub"), *x).where("rows > 1")
+    # Buckets that hold the same members are one.
+    buckets = buckets.groupBy("rows", "total", "hub", "x1", "x2").agg(F.min("one").alias("one")).select("one.*", "rows", "total", "hub")
+    buckets = staged(buckets.withColumn("blocks", F.greatest(F.lit(1), F.ceil(load("rows", "total"))).cast("int")))
+    block = F.when(F.col("id") == F.col("hub"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
+    first = m.drop("band").join(buckets.where(F.col("band") < FIRST_BANDS), "key").select("id", F.col("id").alias("label"), "key", F.explode(block).alias("block"))
+    found = staged(verified(docs, first.select("id", "label", F.xxhash64("key", "block").alias("part")), percent))
+    done = components(found)
+    known = m.drop("band").join(buckets.where((F.col("band") >= FIRST_BANDS) | (F.col("blocks") > 1)).select("key"), "key")
+    known = staged(known.join(small(done, done.count()), "id", "left").select("id", "n", "key", F.coalesce("component", "id").alias("label")))
+    per = known.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+    heads = per.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("c", "s", "label")).alias("main"), F.sum("c").alias("rows"), F.sum("s").alias("total")).where("labels > 1")
+    heads = heads.select("key", F.col("main.label").alias("main"), load("rows", "total").alias("whole"), F.col("main.c").alias("mc"), F.col("main.s").alias("ms"), (F.col("rows") - F.col("main.c")).alias("rc"), (F.col("total") - F.col("main.s")).alias("rs"))
+    cut = lambda rows, total: F.when(F.col("whole") <= 1, 1).otherwise(F.ceil(2 * load(rows, total))).cast("int")
+    heads = heads.select("key", "main", cut("mc", "ms").alias("mains"), cut("rc", "rs").alias("others"))
+    rows = known.join(heads, "key").withColumns({"b": F.pmod(F.xxhash64("id"), F.col("mains")).cast("int"), "i": F.pmod(F.xxhash64("id"), F.col("others")).cast("int")})
+    # A block of the main component meets each block of others, and those meet each other.
+    of_main = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda i: F.col("b") * F.col("others") + i)
+    of_other = F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda b: b * F.col("others") + F.col("i"))
+    among = F.when(F.col("others") > 1, F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda j: F.col("mains") * F.col("others") + F.least("i", j) * F.col("others") + F.greatest("i", j))).otherwise(F.array().cast("array<int>"))
+    dealt = F.when(F.col("label") == F.col("main"), of_main).otherwise(F.concat(of_other, among))
+    rest = rows.select("id", "label", "key", F.explode(dealt).alias("block")).select("id", "label", F.xxhash64("key", "block", F.lit("rest")).alias("part"))
+    return found.union(verified(docs, rest, percent))
+
+
 def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs; links need percent of the union in common.
 
@@ -222,18 +304,16 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     buckets = staged(keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub < top").select("key", "hub"))
     ties = keyed.join(small(buckets, buckets.count()), "key").where("rep > hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
     candidates = components(ties)
-    sized = candidates.join(tagged.where("bands IS NOT NULL").select(F.col("rep").alias("id"), "n").dropDuplicates(["id"]), "id")
-    cut = sized.groupBy("component").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("total")).where(f"rows > {GROUP_ROWS} OR total > {GROUP_SHINGLES}")
-    cut = staged(cut.select(F.col("component").alias("large"), F.ceil(F.greatest(F.col("rows") * 2 / GROUP_ROWS, F.col("total") * 2 / GROUP_SHINGLES)).cast("int").alias("blocks")))
-    n_members = candidates.count()
-    # Block b of n meets every block: the n parts (b, j) and (i, b). Other groups are one part.
-    members = candidates.join(small(cut, cut.count()), F.col("component") == F.col("large"), "left").withColumn("block", F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1))).cast("int"))
-    members = members.select("id", "component", "block", F.coalesce("blocks", F.lit(1)).alias("blocks"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").cast("binary").alias("text")).join(small(members, n_members), "id")
-    sets = texts.select("id", "component", "block", "blocks", "text").mapInArrow(_sets, "id long, component long, block int, blocks int, set binary")
-    part = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(F.col("block"), j) * F.col("blocks") + F.greatest(F.col("block"), j)))
-    parts = sets.select("id", "component", "set", F.explode(part).alias("pair")).select(F.concat_ws("/", "component", "pair").alias("part"), "id", "set")
-    linked = parts.repartition("part").sortWithinPartitions("part", "id").mapInArrow(_verified(percent), "a long, b long")
+    reps = tagged.where("bands IS NOT NULL").select(F.col("rep").alias("id"), "n", "bands").dropDuplicates(["id"])
+    sized = staged(candidates.join(reps, "id"))
+    large = sized.groupBy("component").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("total")).where(f"rows > {GROUP_ROWS} OR total > {GROUP_SHINGLES}").select("component")
+    large = staged(large)
+    n_large = large.count()
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").cast("binary").alias("text"))
+    whole = sized.join(small(large, n_large), "component", "left_anti")
+    linked = verified(texts, whole.select("id", F.col("id").alias("label"), F.col("component").alias("part")), percent)
+    if n_large:
+        linked = linked.union(in_buckets(texts, sized.join(small(large, n_large), "component", "left_semi").select("id", "n", "bands"), percent))
     # A doc_id whose rows stand for several classes, or for one and an empty text, ties them together.
     stands = tagged.select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
     several = staged(stands.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("doc_id"))

@@ -4,6 +4,7 @@ import random
 from hashlib import sha256
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -227,10 +228,39 @@ def test_large_groups_are_cut_and_stay_whole(spark, monkeypatch):
     rng = random.Random(4)
     base = [f"v{k}" for k in range(200)]
     texts = {k: " ".join(_edited(rng, base, 0.008)) for k in range(60)}
+    for k in range(60, 140):  # chains of chance ties: half of the words are the base's, none is linked but to its own few copies
+        own = base[:120] + [f"o{k // 3}x{j}" for j in range(60)]
+        texts[k] = " ".join(_edited(rng, own, 0.01))
     _, comp = near_duplicates(texts)
     assert {r["doc_id"]: r["component_id"] for r in rows(minhash.groups(docs(spark, list(texts.items()))))} == comp
 
 
+@pytest.mark.parametrize("percent", [60, 85])
+def test_buckets_of_many_components(spark, monkeypatch, percent):
+    """All that large groups go through: blocks, buckets that stay mixed, and texts met by a bitmap."""
+    monkeypatch.setattr(minhash, "GROUP_ROWS", 4)
+    monkeypatch.setattr(minhash, "FIRST_BANDS", 2)
+    monkeypatch.setattr(minhash, "BITMAP", 3)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 5)
+    rng = random.Random(percent)
+    base = [f"v{k}" for k in range(150)]
+    texts = {}
+    for k in range(70):
+        at = rng.randint(0, 70)
+        texts[k] = " ".join(_edited(rng, [*base[:at], *(f"n{k % 9}x{j}" for j in range(150 - at))], 0.004))
+    _, comp = near_duplicates(texts, percent)
+    assert 2 < len(set(comp.values())) < 60
+    assert {r["doc_id"]: r["component_id"] for r in rows(minhash.groups(docs(spark, list(texts.items())), percent))} == comp
+
+
+def test_a_repeated_row_is_compared_once(spark):
+    d = docs(spark, [(1, "a b c d e f g h", "x")] * 300 + [(2, "a b c d e f g h", "x")] * 3 + [(3, "a b c d e f g i", "x")])
+    seen = minhash.verified(common.only(d, "doc_id", "text").select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text")), spark.createDataFrame([(1, 1, 9), (3, 3, 9)], "id long, label long, part long"), 50)
+    assert [tuple(r) for r in seen.collect()] == [(1, 3)]
+    (batch,) = list(minhash._sets(iter([pa.RecordBatch.from_pydict({"id": [1] * 300, "text": [b"a b"] * 300})])))
+    assert batch.num_rows == 1
+
+
 def test_groups_edges(spark):
     got = rows(minhash.groups(docs(spark, EDGE)))
     assert len(got) == len(EDGE)

@@ -1,22 +1,25 @@
 """Main text of web pages by a recurrent block labeller.
 
 A page becomes the sequence of its text blocks: the leaves between two
-boundaries of block elements. Each block is a vector of its tag path (tags,
-classes, ids and roles of its ancestors, hashed), of its hashed words and of a
-few figures; a bidirectional LSTM in numpy reads the sequence both ways and
-labels every block main text or not, so that each label rests on the whole
-page. Blocks labelled main text are joined in page order.
-
-The labeller is trained here, on pages made up from templates (sample_page):
-the maker knows which blocks it meant as main text.
+boundaries of block elements. Each block is a vector of its tag path (tags, and
+the words that classes, ids and roles of its ancestors are made of, hashed), of
+its hashed words and of a few figures; a bidirectional LSTM in numpy reads the
+sequence both ways and labels every block main text or not, so that each label
+rests on the whole page. Blocks labelled main text are joined in page order.
+
+The labeller is trained here, on made-up pages of many layouts (pages.py), whose
+maker knows which blocks it meant as main text; parts of the names and of the
+words are left out in training, so that labels rest on all of them. The weights
+are kept beside this file; python -m causaria.llm.html_extract trains them anew.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
 from functools import lru_cache
 from html import unescape
+from pathlib import Path
+from typing import NamedTuple
 from zlib import crc32
 
 import numpy as np
@@ -39,35 +42,84 @@ _UNQUOTED = re.compile(r"""=\s*[^\s"']*/$""")
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
 
-@dataclass
-class Block:
-    path: tuple[str, ...]
+#: Widths of the hashed tag path, of its last two elements, of the hashed words, and the figures.
+PATH, NEAR, WORDS, FIGURES = 384, 128, 128, 13
+HIDDEN = 32
+#: A block whose probability is above this is main text.
+KEPT_ABOVE = 0.2
+#: Where the production labeller's weights are.
+WEIGHTS = Path(__file__).with_name("labeller.npz")
+
+_NAME = re.compile(r"[A-Z]?[a-z\u00e0-\uffff]+|[A-Z]+(?![a-z])|\d+")
+_named: dict[str, tuple[int, int]] = memo({})
+_paths: dict[tuple[int, int], np.ndarray] = memo({})
+_word_memo: dict[str, int] = memo({})
+
+
+class Block(NamedTuple):
     text: str
+    path: int  # bits of hashed names of all elements that it is in
+    near: int  # and of the last two
+    holder: int  # the number of the block element around its own: siblings share it
+    depth: int
     linked: float  # part of its characters in links
 
 
+def bits(tag: str, attrs: str = "") -> tuple[int, int]:
+    """Hashed bits of an element's tag and of the words in its class, id and role: (of PATH, of NEAR). Longer words also give their first four letters."""
+    key = tag + attrs
+    if (found := _named.get(key)) is None:
+        names = [tag]
+        for g in _NAMES.findall(attrs) if "=" in attrs else ():
+            for w in _NAME.findall("".join(g)[:500]):
+                names.append("." + w.lower())
+                if len(w) > 4:
+                    names.append("~" + w[:4].lower())
+        path = near = 0
+        for n in names:
+            h = crc32(n.encode())
+            path |= 1 << h % PATH
+            near |= 1 << (h >> 12) % NEAR
+        found = path, near
+        if len(key) < 300:
+            if len(_named) > 20_000:
+                _named.clear()
+            _named[key] = found
+    return found
+
+
 def blocks(html: str | None) -> list[Block]:
-    """The text blocks of a page in order; character references decoded, white space collapsed; empty blocks left out."""
+    """The text blocks of a page in order; character references decoded, white space collapsed; empty blocks left out.
+
+    An open element keeps a fixed number of bits, whatever it is in: memory and
+    time grow with the page's length alone.
+    """
     html, out = html or "", []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, int, int, int, int, int]] = []  # tag, path, near, own near, number of the innermost block element and of the one around it
+    open_: dict[str, int] = {}
     leaves: list[str] = []
-    link_chars, links, pos, path = 0, 0, 0, None
+    link_chars, pos, at, number = 0, 0, None, 0
 
     def flush():
-        nonlocal leaves, link_chars, path
+        nonlocal leaves, link_chars, at
         if leaves and (text := _SPACE.sub(" ", "".join(leaves)).strip(" ")):
-            out.append(Block(path, text, min(1.0, link_chars / len(text))))
-        leaves, link_chars, path = [], 0, None
+            out.append(Block(text, *at, min(1.0, link_chars / len(text))))
+        leaves, link_chars, at = [], 0, None
 
     def leaf(raw: str):
-        nonlocal link_chars, path
+        nonlocal link_chars, at
         text = unescape(raw) if "&" in raw else raw
         leaves.append(text)
-        if path is None and not text.isspace():
-            path = tuple(x for _, names in stack for x in names)
-        if links:
+        if at is None and not text.isspace():
+            at = (stack[-1][1], stack[-1][2], stack[-1][5], len(stack)) if stack else (0, 0, 0, 0)
+        if open_.get("a"):
             link_chars += len(text)
 
+    def close(k: int):
+        for t, *_ in stack[k:]:
+            open_[t] -= 1
+        del stack[k:]
+
     while m := _TAG.search(html, pos):
         if m.start() > pos:
             leaf(html[pos : m.start()])
@@ -78,11 +130,11 @@ def blocks(html: str | None) -> list[Block]:
         if m[1] or m[4]:  # an end tag closes what is open inside too; without a start it closes nothing
             if tag in BLOCK_TAGS:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    links -= sum(t == "a" for t, _ in stack[k:])
-                    del stack[k:]
-                    break
+            if open_.get(tag):
+                k = len(stack) - 1
+                while stack[k][0] != tag:
+                    k -= 1
+                close(k)
             continue
         attrs = m[3] or m[6] or ""
         if tag == "svg" and attrs.endswith("/") and not _UNQUOTED.search(attrs):  # empty
@@ -96,63 +148,80 @@ def blocks(html: str | None) -> list[Block]:
             continue
         if tag in BLOCK_TAGS:
             flush()
-            for k in range(len(stack) - 1, -1, -1):  # a block ends an open paragraph, an item an open item
-                if stack[k][0] == "p" or stack[k][0] == tag == "li":
-                    links -= sum(t == "a" for t, _ in stack[k:])
-                    del stack[k:]
-                    break
-                if stack[k][0] in HOLDERS:
-                    break
+            if open_.get("p") or tag == "li" and open_.get("li"):
+                for k in range(len(stack) - 1, -1, -1):  # a block ends an open paragraph, an item an open item
+                    if stack[k][0] == "p" or stack[k][0] == tag == "li":
+                        close(k)
+                        break
+                    if stack[k][0] in HOLDERS:
+                        break
         if tag not in VOID_TAGS:
-            names = tuple(f".{n.lower()}" for g in _NAMES.findall(attrs) for n in "".join(g).split()) if "=" in attrs else ()
-            stack.append((tag, (tag, *names)))
-            links += tag == "a"
+            path, own = bits(tag, attrs)
+            _, above, _, beside, block, holder = stack[-1] if stack else ("", 0, 0, 0, 0, 0)
+            if tag in BLOCK_TAGS:
+                number += 1
+                block, holder = number, block
+            stack.append((tag, above | path, beside | own, own, block, holder))
+            open_[tag] = open_.get(tag, 0) + 1
     if pos < len(html):
         leaf(html[pos:])
     flush()
     return out
 
 
-#: Widths of the hashed tag path, the hashed words and the figures.
-PATH, WORDS, FIGURES = 256, 16, 4
-HIDDEN = 16
-
-_paths: dict[tuple[str, ...], np.ndarray] = memo({})
-_word_memo: dict[str, int] = memo({})
-
-
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    if (v := _paths.get(path)) is None:
-        if len(_paths) > 20_000:
-            _paths.clear()
-        v = np.zeros(PATH)
-        v[[crc32(x.encode()) % PATH for x in path]] = 1
-        _paths[path] = v
-    return v
+def spread(path: int, near: int) -> np.ndarray:
+    """The bits as 0 and 1."""
+    raw = path.to_bytes(PATH // 8, "little") + near.to_bytes(NEAR // 8, "little")
+    return np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little").astype(np.float32)
 
 
-def features(page: list[Block]) -> np.ndarray:
-    out = np.zeros((len(page), PATH + WORDS + FIGURES), np.float32)
+def texts(page: list[Block]) -> np.ndarray:
+    """Each block's words (counts by signed hash, over the number of words) and figures."""
+    out = np.zeros((len(page), WORDS + FIGURES), np.float32)
     if len(_word_memo) > 200_000:
         _word_memo.clear()
     for i, b in enumerate(page):
-        out[i, :PATH] = _path_vector(b.path)
-        ws = b.text.split(" ")
+        t = b.text
+        ws = t.split(" ")
         h = []
         for w in ws:
             if (k := _word_memo.get(w)) is None:
-                _word_memo[w] = k = crc32(w.lower().encode()) & 0xFFFF
+                k = crc32(w.lower().strip(".,;:!?()[]\"'").encode()) & 0xFFFF
+                if len(w) < 40:
+                    _word_memo[w] = k
             h.append(k)
         h = np.array(h)
-        out[i, PATH : PATH + WORDS] = np.bincount(h % WORDS, 1 - 2.0 * ((h >> 8) & 1), WORDS) / len(ws)
-        out[i, PATH + WORDS :] = np.log1p(len(b.text)) / 8, b.linked, b.text[-1] in ".!?\"'", len(ws) < 4
+        n, chars = len(ws), len(t)
+        out[i, :WORDS] = np.bincount(h % WORDS, 1 - 2.0 * ((h >> 8) & 1), WORDS) * (3 / (n + 2))
+        out[i, WORDS:] = (
+            np.log1p(chars) / 8,
+            b.linked,
+            t[-1] in ".!?\"'\u201d\u3002\u2026:",
+            n < 4,
+            min(1.0, (t.count(",") + t.count(". ")) * 8 / (n + 4)),
+            min(1.0, sum(map(t.count, "0123456789")) * 4 / chars),
+            min(1.0, sum(map(t.count, "|\u00a9\u00bb\u203a\u00b7@/")) * 8 / chars),
+            t[0].islower(),
+            t[-1] == "?",
+            i / len(page),
+            min(1.0, b.depth / 16),
+            i > 0 and page[i - 1].holder == b.holder,
+            i + 1 < len(page) and page[i + 1].holder == b.holder,
+        )
     return out
 
 
+def features(page: list[Block]) -> np.ndarray:
+    """All of a page's blocks, as training sees them."""
+    if not page:
+        return np.zeros((0, PATH + NEAR + WORDS + FIGURES), np.float32)
+    return np.hstack([np.array([spread(b.path, b.near) for b in page]), texts(page)])
+
+
 class Labeller:
     """A bidirectional LSTM with one output per step; weights by name in p."""
 
-    def __init__(self, seed: int = 5, width: int = PATH + WORDS + FIGURES, hidden: int = HIDDEN):
+    def __init__(self, seed: int = 5, width: int = PATH + NEAR + WORDS + FIGURES, hidden: int = HIDDEN):
         rng = np.random.default_rng(seed)
         self.h = hidden
         self.p = {}
@@ -185,7 +254,11 @@ class Labeller:
         return out, tape
 
     def forward(self, x: np.ndarray, mask: np.ndarray, keep: bool = False):
-        runs = {d: self._run(d, x @ self.p[f"x{d}"], mask, keep) for d in "fb"}
+        return self._labelled({d: x @ self.p[f"x{d}"] for d in "fb"}, mask, keep)
+
+    def _labelled(self, z: dict[str, np.ndarray], mask: np.ndarray, keep: bool = False):
+        """z: by direction, (steps, pages, 4 hidden), the blocks' vectors times the input weights."""
+        runs = {d: self._run(d, z[d], mask, keep) for d in "fb"}
         both = np.concatenate([runs["f"][0], runs["b"][0]], axis=2)
         return self._sig((both @ self.p["o"])[:, :, 0] + self.p["oc"]), both, runs
 
@@ -210,20 +283,32 @@ class Labeller:
             g[f"c{d}"] = d_x.sum((0, 1))
         return g, p
 
-    def label(self, pages: list[np.ndarray]) -> list[np.ndarray]:
+    def projected(self, page: list[Block]) -> np.ndarray:
+        """A page's blocks times the input weights of both directions; what a path gives is worked out once and kept."""
+        w = np.hstack([self.p["xf"], self.p["xb"]])
+        out = texts(page) @ w[PATH + NEAR :]
+        if len(_paths) > 10_000:
+            _paths.clear()
+        for i, b in enumerate(page):
+            if (z := _paths.get(b[1:3])) is None:
+                _paths[b[1:3]] = z = spread(b.path, b.near) @ w[: PATH + NEAR]
+            out[i] += z
+        return out
+
+    def label(self, pages: list[list[Block]]) -> list[np.ndarray]:
         """Whether each block of each page is main text."""
         out: list = [np.zeros(0, bool)] * len(pages)
         order = sorted((i for i in range(len(pages)) if len(pages[i])), key=lambda i: len(pages[i]))
-        at = 0
+        at, k = 0, 4 * self.h
         while at < len(order):
             to = at + 1  # pages of like length together, 60,000 steps at most
             while to < len(order) and to - at < 256 and len(pages[order[to]]) * (to - at + 1) <= 60_000:
                 to += 1
             some = order[at:to]
-            x, mask = pad([pages[i] for i in some])
-            p = self.forward(x, mask)[0]
-            for k, i in enumerate(some):
-                out[i] = p[: len(pages[i]), k] > 0.5
+            z, mask = pad([self.projected(pages[i]) for i in some])
+            p = self._labelled({"f": z[:, :, :k], "b": z[:, :, k:]}, mask)[0]
+            for n, i in enumerate(some):
+                out[i] = p[: len(pages[i]), n] > KEPT_ABOVE
             at = to
         return out
 
@@ -236,119 +321,73 @@ def pad(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
-def sample_page(rng: np.random.Generator) -> tuple[str, list[str]]:
-    """A made-up page and its main text's blocks, in order."""
-    letters = np.array([*"etaoinshrdlucmé"])
-    word = lambda: "".join(rng.choice(letters, int(rng.integers(2, 9))))
-    words = lambda lo, hi: " ".join(word() for _ in range(int(rng.integers(lo, hi))))
-    pick = lambda *x: x[int(rng.integers(len(x)))]
-    maybe = lambda p: rng.random() < p
-    kept: list[str] = []
-
-    def keep(text: str) -> str:
-        kept.append(text)
-        return text
-
-    def item(inner: str) -> str:
-        return f'<li><a href="/{word()}">{inner}</a></li>' if maybe(0.9) else f"<li>{inner}</li>"
-
-    def menu(tag: str) -> str:
-        return f"<{tag}><ul>" + "".join(item(words(1, 3)) for _ in range(int(rng.integers(2, 8)))) + f"</ul></{tag.split()[0]}>"
-
-    def noise() -> str:
-        kind = pick("ad", "aside", "notice", "form", "share", "related", "script")
-        text = words(3, 25) + "."
-        return {
-            "ad": f'<div class="{pick("ad", "ads", "advert", "advertisement", "sponsor", "promo", "banner")}">{text}</div>',
-            "aside": f'<aside{pick("", " class=sidebar", f" id={word()}")}><h3>{words(1, 4)}</h3><p>{text}</p></aside>',
-            "notice": f'<div class="{pick("cookie", "notice", "cookie-banner", "consent", "alert", "popup")}"><p>{text}</p><button>{word()}</button></div>',
-            "form": f'<form action="/{word()}"><label>{words(1, 4)}</label><input name="q"><button>{word()}</button></form>',
-            "share": f'<div class="{pick("share", "social", "meta", "tags", "breadcrumb", "breadcrumbs")}"><a href="#">{word()}</a> <a href="#">{word()}</a></div>',
-            "related": f'<div class="{pick("related", "sidebar", "widget", "newsletter", "pagination")}"><h3>{words(1, 4)}</h3>{menu("div")}</div>',
-            "script": f"<script>var {word()}=1;</script><style>p{{margin:0}}</style>",
-        }[kind]
-
-    def body() -> str:
-        out = [f"<h1>{keep(words(2, 14))}</h1>"] if maybe(0.9) else []
-        for _ in range(int(rng.integers(1, 14))):
-            kind = rng.random()
-            if kind < 0.68:
-                text = keep(words(1, pick(3, 12, 60, 120)) + pick(".", ".", "", "!"))
-                out.append(f"<p>{text}</p>" if maybe(0.8) else f"<p><b>{text}<br>")
-            elif kind < 0.76:
-                out.append(f"<h{pick(2, 3)}>{keep(words(1, 8))}</h{2}>")
-            elif kind < 0.84:
-                out.append("<ul>" + "".join(f"<li>{keep(words(2, 20))}</li>" for _ in range(int(rng.integers(1, 5)))) + "</ul>")
-            elif kind < 0.9:
-                out.append(f"<{pick('blockquote', 'pre')}>{keep(words(4, 30))}</{pick('blockquote', 'pre')}>")
-            elif kind < 0.94:
-                out.append("<table><tr>" + "".join(f"<td>{keep(words(1, 5))}</td>" for _ in range(3)) + "</tr></table>")
-            else:
-                out.append(noise())
-        return "".join(out)
-
-    def comments() -> str:
-        return f'<{(t := pick("div", "section"))} {pick("id", "class")}="{pick("comments", "comment", "comment-list", "responses", "replies", "discussion")}"><h3>{words(1, 3)}</h3>' + "".join(f'<div class="comment"><p>{words(2, 40)}.</p></div>' for _ in range(int(rng.integers(1, 6)))) + f"</{t}>"
-
-    start = f"<!DOCTYPE html><html><head><title>{words(2, 10)}</title></head><body>"
-    top = [x for x in (f'<header>{pick(f"<h1>{words(1, 4)}</h1>", f"<p>{words(1, 6)}</p>")}</header>' if maybe(0.4) else "", menu(pick("nav", "nav", 'div class="menu"', 'div id="nav"', 'div role="navigation"')), f"<!-- {word()} -->", noise() if maybe(0.7) else "") if x]
-    opening, closing = pick(("<article>", "</article>"), ("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), ("<main><article>", "</article></main>"), (f'<div class="{pick("content", "post", "entry-content", "article-body", "post-content", "article")}">', "</div>"), ('<div id="content">', "</div>"), ('<section role="main">', "</section>"))
-    text = opening + body() + (comments() if maybe(0.1) else "") + closing
-    bottom = [comments() if maybe(0.3) else "", noise() if maybe(0.4) else "", f'<{(t := pick("footer", "footer", "footer", "div class=footer", "div id=footer"))}>&copy; {words(1, 4)} &middot; {words(3, 25)}.</{t.split()[0]}>' if maybe(0.95) else ""]
-    return start + "".join(top) + text + "".join(bottom) + ("</body></html>" if maybe(0.9) else ""), kept
-
-
-def train(pages: int = 700, epochs: int = 14, seed: int = 11) -> Labeller:
+def labelled(html: str, kept: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A made-up page's vectors and labels: the blocks that are, in order, those meant as main text."""
+    found, y, at = blocks(html), [], 0
+    for b in found:
+        y.append(at < len(kept) and b.text == kept[at])
+        at += y[-1]
+    if at < len(kept):
+        raise ValueError(f"{kept[at]!r} is no block of the page")
+    return features(found), np.array(y, np.float32)
+
+
+def train(pages: int = 12_000, epochs: int = 20, seed: int = 11, hidden: int = HIDDEN) -> Labeller:
     """Adam over made-up pages; the same arguments give the same labeller."""
+    from .pages import sample_page
+
     rng = np.random.default_rng(seed)
     data = []
-    for _ in range(pages):
-        html, kept = sample_page(rng)
-        found, y, at = blocks(html), [], 0
-        for b in found:
-            y.append(at < len(kept) and b.text == kept[at])
-            at += y[-1]
-        data.append((features(found), np.array(y, np.float32)))
+    while len(data) < pages:
+        try:
+            data.append(labelled(*sample_page(rng)))
+        except ValueError:  # loose text that ran into what follows it
+            continue
     data.sort(key=lambda d: len(d[0]))
-    groups = [data[i : i + 35] for i in range(0, len(data), 35)]
-    net = Labeller(seed)
-    m, v, step = ({k: np.zeros_like(a) for k, a in net.p.items()} for _ in range(2)), None, 0
-    m, v = m
+    groups = [data[i : i + 40] for i in range(0, len(data), 40)]
+    net = Labeller(seed, hidden=hidden)
+    m, v = ({k: np.zeros_like(a) for k, a in net.p.items()} for _ in range(2))
+    step = 0
     for epoch in range(epochs):
         for gi in rng.permutation(len(groups)):
             x, mask = pad([d[0] for d in groups[gi]])
             y = np.zeros(mask.shape, np.float32)
             for k, d in enumerate(groups[gi]):
                 y[: len(d[1]), k] = d[1]
-            # Some path entries are left out, so that labels rest on neighbours and words as well.
-            x[:, :, :PATH] *= rng.random((1, x.shape[1], PATH)) > 0.02
+            # Names or words are left out of some pages, and single entries of all, so that labels rest on what is left.
+            n = x.shape[1]
+            x[:, :, : PATH + NEAR] *= (rng.random((1, n, PATH + NEAR)) > 0.05) & (rng.random((1, n, 1)) > 0.06)
+            x[:, :, PATH + NEAR : PATH + NEAR + WORDS] *= (rng.random((1, n, WORDS)) > 0.05) & (rng.random((1, n, 1)) > 0.15)
             g, _ = net.gradients(x, mask, y)
+            size = np.sqrt(sum(float((a**2).sum()) for a in g.values()))
             step += 1
-            rate = 0.02 * (1 - 0.8 * epoch / epochs)
+            rate = 0.012 * (1 - 0.95 * epoch / epochs) * min(1.0, 1.0 / size if size > 0 else 1.0)
             for k in net.p:
                 m[k] = 0.9 * m[k] + 0.1 * g[k]
                 v[k] = 0.999 * v[k] + 0.001 * g[k] ** 2
-                net.p[k] = (net.p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+                net.p[k] = (net.p[k] * (1 - 1e-5) - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
     return net
 
 
 @lru_cache(maxsize=1)
 def labeller() -> Labeller:
-    """The production labeller, trained once in a process."""
-    return train()
+    """The production labeller: its kept weights, as train() gives them."""
+    with np.load(WEIGHTS) as kept:
+        out = Labeller(hidden=kept["hf"].shape[0])
+        out.p = {k: kept[k].astype(np.float32) for k in out.p}
+    return out
 
 
 def main_text(pages: list[str | None], net: Labeller) -> list[str]:
     found = [blocks(p) for p in pages]
-    kept = net.label([features(f) for f in found])
-    return ["\n".join(b.text for b, k in zip(f, ks, strict=True) if k) for f, ks in zip(found, kept, strict=True)]
+    return ["\n".join(b.text for b, k in zip(f, ks, strict=True) if k) for f, ks in zip(found, net.label(found), strict=True)]
 
 
 def _extracted(net: Labeller):
     def run(batches):
         import pyarrow as pa
 
-        claim(_paths, _word_memo)
+        claim(_paths, _word_memo, _named)
         for batch in batches:
             html = batch.column(2).to_pylist()
             text = [t for s in range(0, len(html), 500) for t in main_text(html[s : s + 500], net)]
@@ -365,3 +404,7 @@ def extract(pages: DataFrame, net: Labeller | None = None) -> DataFrame:
     repeat; an empty table gives none; other columns are not looked at.
     """
     return only(pages, "page_id", "url", "html").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(_extracted(net or labeller()), "page_id long, url string, text string, n_chars long")
+
+
+if __name__ == "__main__":
+    np.savez_compressed(WEIGHTS, **{k: v.astype(np.float16) for k, v in train().p.items()})

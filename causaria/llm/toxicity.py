@@ -6,9 +6,15 @@ moves it towards the others by the same amount. The output is the expected
 severity, the sum over k of P(grade > k).
 
 Features are sparse: 1 + log(count) of a text's hashed lower-cased words and
-word stems, over those whose presence surely tells toxic texts from the rest. The labels have
-toxic 0 or 1; GRADES orders the toxic ones further by how much of the words they
-hold that the sample itself shows to be tied to toxicity.
+word stems, over those whose presence surely tells toxic texts from the rest.
+
+What the grades can mean: the labels say toxic or not, and no table grades
+toxicity. Grade 0 is a row that is labelled not toxic. Toxic rows are dealt to
+grades 1 to GRADES - 1 in equal parts by how much they hold of the words that the
+sample ties to toxicity. So the first threshold rests on labels alone, and it
+alone decides a verdict; the higher ones order toxic texts by the density of
+such words, and an expected severity of 2 says no more than that. With graded
+labels, fit() takes them in place of grades().
 """
 
 from __future__ import annotations
@@ -186,8 +192,8 @@ def grades(rows: list[Row], features: np.ndarray, n_grades: int = GRADES) -> np.
     return y
 
 
-def fit(rows: list[Row], n_features: int = FEATURES, n_grades: int = GRADES, steps: int = 400, penalty: float = 1e-4) -> Model:
-    """Maximum likelihood of the cumulative-link model by gradient steps (Adam); thresholds stay ordered as sums of exponentials.
+def fit(rows: list[Row], n_features: int = FEATURES, n_grades: int = GRADES, steps: int = 400, penalty: float = 1e-4, graded: np.ndarray | None = None) -> Model:
+    """Maximum likelihood of the cumulative-link model by gradient steps (Adam); thresholds stay ordered as sums of exponentials. graded: the rows' grades, where labels have them.
 
     rows that are empty or of one class alone give a model that calls nothing toxic.
     """
@@ -197,7 +203,7 @@ def fit(rows: list[Row], n_features: int = FEATURES, n_grades: int = GRADES, ste
     features = select_features(rows, n_features)
     if not len(features):
         return Model(features, np.zeros(0), np.full(n_grades - 1, 40.0) + np.arange(n_grades - 1))
-    y = grades(rows, features, n_grades)
+    y = grades(rows, features, n_grades) if graded is None else np.asarray(graded)
     sizes = [len(r.words) for r in rows]
     every, count = np.concatenate([r.words for r in rows]), np.concatenate([r.counts for r in rows])
     held = np.isin(every, features)

@@ -334,6 +334,55 @@ def test_toxicity_ordinal_form():
     assert toxicity.fit([]).above("idiot")[0] < 0.5 and toxicity.fit([toxicity.Row.of("x", True)]).above("x")[0] < 0.5
 
 
+def _plain_loss(words, thresholds, rows_, y, weight):
+    """Mean weighted minus log likelihood of a cumulative-link model, row by row."""
+    import math
+
+    sig = lambda x: 1 / (1 + math.exp(-x))
+    total = 0.0
+    for r, grade, k in zip(rows_, y, weight, strict=True):
+        z = sum(words.get(int(h), 0.0) * (1 + math.log(c)) for h, c in zip(r.words, r.counts, strict=True))
+        above = [1.0, *(sig(z - t) for t in thresholds), 0.0]
+        total -= k * math.log(above[grade] - above[grade + 1])
+    return total / len(rows_) + 0.5e-4 * sum(w * w for w in words.values())
+
+
+def test_the_fit_is_the_best_by_a_second_likelihood():
+    """No small step of any weight or threshold from the fitted model lowers a loss that is worked out plainly; the penalty alone keeps weights finite."""
+    rng = random.Random(7)
+    bad = ["idiot", "scum", "moron", "creep", "filth"]
+    made = [toxicity.Row.of(" ".join([f"f{k}x{j}" for j in range(15)] + [rng.choice(bad) for _ in range(rng.randint(1, 5) if k % 3 == 0 else rng.random() < 0.08)]), k % 3 == 0) for k in range(300)]
+    model = toxicity.fit(made, steps=3000)
+    words = dict(zip(model.features.tolist(), model.weights.tolist(), strict=True))
+    y = toxicity.grades(made, toxicity.select_features(made))
+    share = toxicity.shares(made)
+    toxic = np.array([r.toxic for r in made])
+    weight = share * np.where(toxic, toxicity.TOXIC_WEIGHT / share[toxic].sum(), (1 - toxicity.TOXIC_WEIGHT) / share[~toxic].sum()) * len(made)
+    assert len(words) >= 4 and set(y) == {0, 1, 2, 3} and (y > 0).tolist() == toxic.tolist()
+    best = _plain_loss(words, model.thresholds, made, y, weight)
+    for step in (0.05, -0.05):
+        for h in words:
+            assert _plain_loss(words | {h: words[h] + step}, model.thresholds, made, y, weight) > best - 1e-5
+        for k in range(3):
+            moved = model.thresholds.copy()
+            moved[k] += step
+            assert _plain_loss(words, moved, made, y, weight) > best - 1e-5
+
+
+def test_thresholds_order_held_out_rows(spark):
+    """Grades 1 to 3 stand for how much of the toxic words a text holds: rows of labels not fitted on rise with them in severity, and each threshold is passed by fewer rows than the one before."""
+    d, lab = (spark.read.parquet(f"{DATA}/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(10))
+    model = toxicity.train(d, lab.where(fold < 7))
+    held = toxicity.sample(d, lab.where(fold >= 7), 2000)
+    grade = toxicity.grades(held, model.features)
+    severity = np.array([model.above_counts(dict(zip(r.words.tolist(), r.counts.tolist(), strict=True))).sum() for r in held])
+    mean = [severity[grade == k].mean() for k in range(4)]
+    assert mean[0] < 0.3 and all(a < b for a, b in zip(mean, mean[1:], strict=False))
+    above = np.array([model.above_counts(dict(zip(r.words.tolist(), r.counts.tolist(), strict=True))) for r in held])
+    assert all((above[:, k] >= above[:, k + 1]).all() for k in range(2)) and len({int((above[:, k] > 0.5).sum()) for k in range(3)}) == 3
+
+
 def test_toxicity_sample_is_full_with_repeated_labels(spark):
     d = docs(spark, [(i, f"word{i} text", "a") for i in range(100)])
     labels = spark.range(4000).selectExpr("id % 100 AS doc_id", "CAST(id % 2 AS int) AS toxic")

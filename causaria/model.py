@@ -6,6 +6,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql.types import BooleanType, DateType, DoubleType, StringType, StructField, StructType
 
+from . import forms
+
 #: Field types and what they are in Spark; json is kept as text.
 TYPES = {"string": StringType(), "number": DoubleType(), "boolean": BooleanType(), "date": DateType(), "uuid": StringType(), "json": StringType()}
 
@@ -88,6 +90,7 @@ class Arrow:
     beta: float
     dial: str | None = None
     feature: dict | None = None
+    name: str | None = None
 
 
 @dataclass(frozen=True)
@@ -127,6 +130,9 @@ class Hero:
     dials: dict[str, float] = field(default_factory=dict)
     #: (kind, cycle or None, what, op, expected)
     pins: tuple[tuple[str, int | None, object, str, object], ...] = ()
+    birth: int | None = None
+    #: (ladder, state, enter cycle, exit cycle or None)
+    ladders: tuple[tuple[str, str, int, int | None], ...] = ()
 
 
 @dataclass(frozen=True)
@@ -144,6 +150,8 @@ class Motif:
     #: child entity -> (low, high) rows a cycle
     children: dict[str, tuple[int, int]] = field(default_factory=dict)
     ladder: tuple[str, str] | None = None
+    #: (factor, arrow's name) -> the beta that its members have instead
+    betas: dict[tuple[str, str], float] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -157,6 +165,8 @@ class State:
     effects: dict[str, float] = field(default_factory=dict)
     exit_effects: dict[str, float] = field(default_factory=dict)
     stored: str | None = None
+    #: what being in the state adds to a factor's score
+    factor_effects: dict[str, float] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -169,20 +179,20 @@ class Ladder:
 
 
 def parse_field(name: str, d: dict) -> Field:
+    d = forms.field(d)
     return Field(name, d.get("type", "string"), bool(d.get("nullable", False)), bool(d.get("isPrimaryKey", False)), bool(d.get("unique", False)), d.get("maxLength"), tuple(d.get("values", ())), tuple(d.get("weights", ())), d.get("generator"), d.get("defaultValue"))
 
 
-def parse_entity(name: str, d: dict) -> Entity:
+def parse_entity(name: str, d: dict, held: list[tuple[str, str, str]] = ()) -> Entity:
     fks = tuple(ForeignKey(v.get("fieldName", k), v["targetEntity"], v.get("targetField", "ID"), bool(v.get("dependent", False)), v.get("lookupPattern")) for k, v in d.get("foreignKeys", {}).items())
-    parts = []
-    for kind, plural in (("isA", "isA"), ("collection", "collections"), ("embed", "embeds")):
-        held = d.get("composition", {}).get(plural, [])
-        parts += [Composition(kind, c["entity"], c.get("field", "ID")) for c in ([held] if isinstance(held, dict) else held)]
-    return Entity(name, tuple(parse_field(k, v) for k, v in d.get("fields", {}).items()), fks, tuple(d.get("businessKey", ())), tuple(parts), bool(d.get("isImmutable", False)), d.get("cycleField"), d.get("pack"))
+    parts = tuple(Composition(*c) for c in held)
+    return Entity(name, tuple(parse_field(k, v) for k, v in d.get("fields", {}).items()), fks, tuple(d.get("businessKey", ())), parts, bool(d.get("isImmutable", False)), d.get("cycleField"), d.get("pack"))
 
 
 def parse_domain(d: dict) -> Domain:
-    out = Domain(d["name"], d["namespace"], {k: parse_entity(k, v) for k, v in d.get("entities", {}).items()}, {k: tuple(v.get("dependsOn", ())) for k, v in d.get("packs", {}).items()}, tuple(d.get("relationalRules", ())))
+    declared = d.get("entities", {})
+    held = forms.compositions(declared)
+    out = Domain(d["name"], d["namespace"], {k: parse_entity(k, v, held.get(k, [])) for k, v in declared.items()}, {k: tuple(v.get("dependsOn", ())) for k, v in d.get("packs", {}).items()}, tuple(forms.rule(r, declared) for r in d.get("relationalRules", ())))
     check_domain(out)
     return out
 
@@ -200,24 +210,27 @@ def check_domain(domain: Domain) -> None:
         if e.pack and e.pack not in domain.packs:
             bad.append(f"{e.name}: unknown pack {e.pack!r}")
     for r in domain.rules:
-        if r.get("kind") not in ("path-match", "date-window", "text-contains-path", "outcome-derived-from-ballots"):
+        if r.get("kind") not in forms.RULES:
             bad.append(f"unknown rule kind {r.get('kind')!r}")
-        elif r["source"] not in domain.entities:
-            bad.append(f"rule {r.get('name', r['kind'])}: unknown entity {r['source']!r}")
+        else:
+            bad += [f"rule {r.get('name', r['kind'])}: unknown entity {n!r}" for n in forms.named(r) if n not in domain.entities]
     if bad:
         raise ModelError(bad)
 
 
 def parse_ruleset(d: dict) -> dict[str, list]:
     """factors, dials, eras, heroes, motifs and ladders of a ruleset module, with what is missing left empty."""
+    if strange := forms.unknown(d):
+        raise ModelError(strange)
+    d = forms.ruleset(d)
     bounds = lambda x: {k: (v.get("min"), v.get("max")) for k, v in x.items()}
     out: dict[str, list] = {}
-    out["factors"] = [Factor(f["id"], f["effect"], f["target"], f["tolerance"], f["outcome"], tuple(Arrow(a["beta"], a.get("dial"), a.get("feature")) for a in f.get("arrows", ()))) for f in d.get("factors", ())]
+    out["factors"] = [Factor(f["id"], f["effect"], f["target"], f["tolerance"], f["outcome"], tuple(Arrow(a["beta"], a.get("dial"), a.get("feature"), a.get("name")) for a in f.get("arrows", ()))) for f in d.get("factors", ())]
     out["dials"] = [Dial(x["name"], x.get("mean", 0.0), x.get("stdDev", 1.0), x.get("annualWanderStdDev", 0.0), x.get("correlations", {})) for x in d.get("dials", ())]
     out["eras"] = [Era(tuple(x["cycles"]), x.get("name", ""), {a["factor"]: a["deltaIntercept"] for a in x.get("factorAdjustments", ())}, tuple((v["entity"], v["multiplier"], tuple(v["where"].items()) if v.get("where") else None) for v in x.get("volumeMultipliers", ()))) for x in d.get("eras", ())]
-    out["heroes"] = [Hero(x["key"], x["entity"], x["match"], x.get("fixedFields", {}), x.get("dials", {}), tuple((p["kind"], p.get("cycle"), p["of"], p.get("op", "eq"), p.get("value")) for p in x.get("pins", ()))) for x in d.get("heroes", ())]
-    out["motifs"] = [Motif(x["id"], x["entity"], x["quota"]["value"], x["quota"].get("type", "count"), x["quota"].get("rounding", "round"), tuple(x.get("birthCycles", ())), bounds(x.get("dials", {})), x.get("trajectory", {}), x.get("fixedFields", {}), x.get("overrides", {}), {k: tuple(v) if isinstance(v, list) else (v, v) for k, v in x.get("childRates", {}).items()}, tuple(x["ladder"]) if x.get("ladder") else None) for x in d.get("motifs", ())]
-    state = lambda s: State(s["name"], s["duration"], s.get("capacity"), tuple(s.get("prior", ())), s.get("minCyclesSinceBirth"), bounds(s.get("dials", {})), s.get("effects", {}), s.get("exitEffects", {}), s.get("stored"))
+    out["heroes"] = [Hero(x["key"], x["entity"], x["match"], x.get("fixedFields", {}), x.get("dials", {}), tuple((p["kind"], p.get("cycle"), p["of"], p.get("op", "eq"), p.get("value")) for p in x.get("pins", ())), x.get("birthCycle"), tuple(map(tuple, x.get("ladders", ())))) for x in d.get("heroes", ())]
+    out["motifs"] = [Motif(x["id"], x["entity"], x["quota"]["value"], x["quota"].get("type", "count"), x["quota"].get("rounding", "round"), tuple(x.get("birthCycles", ())), bounds(x.get("dials", {})), x.get("trajectory", {}), x.get("fixedFields", {}), x.get("overrides", {}), {k: tuple(v) if isinstance(v, list) else (v, v) for k, v in x.get("childRates", {}).items()}, tuple(x["ladder"]) if x.get("ladder") else None, x.get("betas", {})) for x in d.get("motifs", ())]
+    state = lambda s: State(s["name"], s["duration"], s.get("capacity"), tuple(s.get("prior", ())), s.get("minCyclesSinceBirth"), bounds(s.get("dials", {})), s.get("effects", {}), s.get("exitEffects", {}), s.get("stored"), s.get("factorEffects", {}))
     out["ladders"] = [Ladder(x["id"], x["entity"], tuple(map(state, x["states"])), x.get("share", 1.0), x.get("binding")) for x in d.get("ladders", ())]
     return out
 

@@ -32,6 +32,8 @@ def saved(df: DataFrame, folder: str | None = None) -> DataFrame:
     if not base:
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that the cluster shares")
         base = f"file://{tempfile.mkdtemp(prefix='causaria-')}"
         spark.sparkContext.setCheckpointDir(base)
     at = f"{base.rstrip('/')}/state-{uuid.uuid4().hex}"
@@ -145,22 +147,79 @@ class World:
     motifs: list[Motif] = field(default_factory=list)
     heroes: list[Hero] = field(default_factory=list)
     ladders: list[Ladder] = field(default_factory=list)
+    #: set by unroll(): who stands on which ladder after the last cycle
+    states: DataFrame | None = None
 
 
-def score(f: Factor, features: dict[tuple[str, int], Column]) -> Column:
-    """Sum of beta x over a factor's arrows. features: (factor, arrow's place) -> column, for arrows that aren't dials."""
+def score(f: Factor, features: dict[tuple[str, int], Column], motifs: list[Motif] = (), ladders: list[Ladder] = ()) -> Column:
+    """Sum of beta x over a factor's arrows, and of what ladders' states add.
+
+    features: (factor, arrow's place) -> column, for arrows that aren't dials.
+    A motif's members have its own beta where it gives one.
+    """
     out = F.lit(0.0)
     for i, a in enumerate(f.arrows):
         x = F.col(a.dial) if a.dial else features[f.id, i]
-        out = out + F.lit(float(a.beta)) * x
+        beta = F.lit(float(a.beta))
+        for m in motifs:
+            if (own := m.betas.get((f.id, a.name))) is not None:
+                beta = F.when(F.col("motif") == m.id, F.lit(float(own))).otherwise(beta)
+        out = out + beta * x
+    for lad in ladders:
+        for s in lad.states:
+            if f.id in s.factor_effects:
+                out = out + F.when(F.col(f"__state_{lad.id}") == s.name, F.lit(float(s.factor_effects[f.id]))).otherwise(F.lit(0.0))
     return out
 
 
+def enrolled(w: World, cycle: int) -> DataFrame | None:
+    """Who stands on which ladder when the unrolling begins: the share of each, motifs' members in their first state, heroes where they enter that cycle or before."""
+    from . import ladders
+
+    out = None
+    for lad in w.ladders:
+        free = w.population.where("hero IS NULL")
+        states = ladders.enrol(free, w.key, lad, cycle, w.seed)
+        for m in w.motifs:
+            if m.ladder and m.ladder[0] == lad.id:
+                states = ladders.force(states, free.where(F.col("motif") == m.id).select(w.key), lad.id, m.ladder[1], cycle)
+        for h in w.heroes:
+            for name, state, enter, leave in h.ladders:
+                if name == lad.id and enter <= cycle and (leave is None or leave > cycle):
+                    states = ladders.force(states, w.population.where(F.col("hero") == h.key).select(w.key), lad.id, state, cycle)
+        states = states.withColumn("key", F.col("key").cast("string"))
+        out = states if out is None else out.unionByName(states)
+    return None if out is None else saved(out)
+
+
+def climbed(w: World, people: DataFrame, states: DataFrame, cycle: int) -> tuple[DataFrame, DataFrame]:
+    """(people, states) after a cycle on the ladders: prerequisites see the people's dials, and states entered and left move those."""
+    from . import ladders
+
+    dials = [d.name for d in w.dials]
+    for lad in w.ladders:
+        table = F.create_map(*[x for d in dials for x in (F.lit(d), F.col(d).cast("double"))]) if dials else F.create_map().cast("map<string,double>")
+        own = states.where(F.col("ladder") == lad.id).join(people.select(F.col(w.key).cast("string").alias("key"), table.alias("dials")), "key")
+        stepped = saved(ladders.step(own, lad, cycle))
+        changed = [d for d in dials if any(d in s.effects or d in s.exit_effects for s in lad.states)]
+        if changed:
+            moved = stepped.select(F.col("key").alias("__k"), *[F.col("dials")[d].alias(f"__d_{d}") for d in changed])
+            people = people.join(moved, people[w.key].cast("string") == F.col("__k"), "left").withColumns({d: F.coalesce(F.col(f"__d_{d}"), F.col(d)) for d in changed}).drop("__k", *[f"__d_{d}" for d in changed])
+            people = saved(people)
+        states = states.where(F.col("ladder") != lad.id).unionByName(stepped.where("NOT exited").select(*states.columns))
+        for h in w.heroes:
+            for name, state, enter, _ in h.ladders:
+                if name == lad.id and enter == cycle:
+                    states = ladders.force(states, people.where(F.col("hero") == h.key).select(F.col(w.key).cast("string").alias("key")), lad.id, state, cycle)
+        states = saved(states)
+    return people, states
+
+
 def unroll(world: World, cycles: list[int], features: dict[tuple[str, int], Column] | None = None) -> DataFrame:
     """(cycle, factor, key, probability, outcome) of everyone alive, cycle by cycle.
 
-    Per cycle: dials wander and follow motifs' trajectories; each factor's
-    scores are calibrated to its target over those who are no heroes and have
+    Per cycle: dials wander and follow motifs' trajectories; ladders are
+    climbed, by the dials as they then are, and move them; each factor's scores are calibrated to its target over those who are no heroes and have
     no override (over all without override if none is left), all factors in one
     aggregate a round; the eras' shifts are added; then the keyed draws are
     made, and heroes' pins conditioned on.
@@ -169,6 +228,7 @@ def unroll(world: World, cycles: list[int], features: dict[tuple[str, int], Colu
     people, out = w.population, None
     overrides = {(m.id, f): p for m in w.motifs for f, p in m.overrides.items()}
     pins = {(h.key, c, str(what)): expected for h in w.heroes for kind, c, what, _, expected in h.pins if kind == "outcome"}
+    w.states = enrolled(w, cycles[0]) if w.ladders else None
     for cycle in cycles:
         moves = {}
         for d in w.dials:
@@ -178,12 +238,17 @@ def unroll(world: World, cycles: list[int], features: dict[tuple[str, int], Colu
                     move = move + F.when(F.col("motif") == m.id, float(m.trajectory[d.name])).otherwise(0.0)
             moves[d.name] = F.when(F.col("birth_cycle") < cycle, F.col(d.name) + move).otherwise(F.col(d.name))
         people = saved(people.withColumns(moves)) if moves else people
+        if w.ladders and cycle > cycles[0]:
+            people, w.states = climbed(w, people, w.states, cycle)
         alive = people.where(F.col("birth_cycle") <= cycle)
+        for lad in w.ladders:
+            on = w.states.where(F.col("ladder") == lad.id).select(F.col("key").alias("__k"), F.col("state").alias(f"__state_{lad.id}"))
+            alive = alive.join(on, alive[key].cast("string") == F.col("__k"), "left").drop("__k")
         free = {}
         for f in w.factors:
             pinned = [m for m, fid in overrides if fid == f.id]
             open_ = ~F.coalesce(F.col("motif").isin(pinned), F.lit(False)) if pinned and "motif" in people.columns else F.lit(True)
-            free[f.id] = (score(f, features or {}), open_)
+            free[f.id] = (score(f, features or {}, w.motifs, w.ladders), open_)
         counts = alive.agg(*[F.count_if(o & F.col("hero").isNull()).alias(f"c{i}") for i, (_, o) in enumerate(free.values())]).first()
         b = intercepts(alive, {fid: (s, next(x.target for x in w.factors if x.id == fid), (o & F.col("hero").isNull()) if counts[f"c{i}"] else o) for i, (fid, (s, o)) in enumerate(free.items())})
         for f in w.factors:
@@ -209,24 +274,34 @@ def snapshot(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("cycle", "factor").agg(F.count_if("outcome").alias("positives"), F.count(F.lit(1)).alias("population"))
 
 
-def written_back(rows: DataFrame, key: str, outcomes: DataFrame, f: Factor, values: list | None = None, heroes: DataFrame | None = None) -> DataFrame:
+def written_back(rows: DataFrame, key: str, outcomes: DataFrame, f: Factor, values: dict[str, list] | list | None = None, heroes: DataFrame | None = None) -> DataFrame:
     """rows with the factor's conjunction realised: its fields' values where positive; where not, otherwise, the other boolean, or the other of two values.
 
-    heroes: (key, fixed field names) whose fixed fields win.
+    values: a field's declared values by name (or those of the only field).
+    heroes: (key, fixed array<string>): a row's fields that are fixed stay as they are.
     """
     last = outcomes.where(F.col("factor") == f.id).groupBy("key").agg(F.max_by("outcome", "cycle").alias("__o")).withColumnRenamed("key", "__key")
     out = rows.join(last, rows[key] == F.col("__key"), "left")
+    if heroes is not None:
+        out = out.join(heroes.select(F.col("key").alias("__hero"), F.col("fixed").alias("__fixed")), rows[key].cast("string") == F.col("__hero"), "left")
+    rest = f.outcome.get("otherwise")
     for name, yes in f.outcome["where"].items():
-        if f.outcome.get("otherwise") is not None:
-            no = f.outcome["otherwise"]
+        known = values.get(name) if isinstance(values, dict) else values
+        if isinstance(rest, dict) and name in rest:
+            no = rest[name]
+        elif rest is not None and not isinstance(rest, dict):
+            no = rest
         elif isinstance(yes, bool):
             no = not yes
-        elif values and len(values) == 2 and yes in values:
-            no = next(v for v in values if v != yes)
+        elif known and len(known) == 2 and yes in known:
+            no = next(v for v in known if v != yes)
         else:
             raise ValueError(f"{f.id}: no value of {name} for a negative outcome")
-        out = out.withColumn(name, F.when(F.col("__o"), F.lit(yes)).when(~F.col("__o"), F.lit(no)).otherwise(F.col(name)))
-    return out.drop("__key", "__o")
+        set_ = F.when(F.col("__o"), F.lit(yes)).when(~F.col("__o"), F.lit(no)).otherwise(F.col(name))
+        if heroes is not None:
+            set_ = F.when(F.array_contains(F.coalesce("__fixed", F.array().cast("array<string>")), name), F.col(name)).otherwise(set_)
+        out = out.withColumn(name, set_)
+    return out.drop("__key", "__o", "__hero", "__fixed")
 
 
 def motif_children(people: DataFrame, key: str, motif: Motif, child: str, cycles: list[int], seed: int, multiplier: dict[int, float] | None = None) -> DataFrame:

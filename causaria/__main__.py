@@ -44,7 +44,8 @@ def main(argv: list[str] | None = None) -> int:
                 records.replaced(spark, f"{p.output}/{n}", records.decorated(df, e, e.primary[0], o.seed if o.seed is not None else 42, cats))
         return 0
     base = {n: state.base(spark, o.base, n)[0] for n in data} if o.base else None
-    found = validate(p.domain, data, p.rules.get("factors", []), base, heroes=p.rules.get("heroes", []), ruleset=p.rules)
+    also = {n: project.catalogue(spark, f) for n, f in p.catalogues.items()}
+    found = validate(p.domain, data, p.rules.get("factors", []), base, heroes=p.rules.get("heroes", []), ruleset=p.rules, catalogues=also, names=project.given_names(also))
     print(summary(found))
     return int(found.where("NOT passed").count() > 0)
 

@@ -190,7 +190,7 @@ def rule(r: Mapping, entities: Mapping[str, Mapping]) -> dict:
         if p := r.get("inclusion"):
             out["inclusion"] = {"entity": p["poolEntity"], "item": p["poolItemField"], "container": p["poolContainerField"], "sourceItem": p["sourceItemField"]}
     elif r["kind"] == "date-window":
-        out |= {"dateField": r["dateField"], "key": r.get("linkSourceField") if r.get("linkEntity") else None, "window": r["windowEntity"], "windowKey": r["windowForeignKey"], "startField": r["windowStartField"], "endField": r["windowEndField"], "requireWindow": bool(r.get("requireWindow")), "timing": r.get("timing"), "roleWindows": r.get("roleWindows")}
+        out |= {"dateField": r["dateField"], "key": r.get("linkSourceField") if r.get("linkEntity") else None, "window": r["windowEntity"], "windowKey": r["windowForeignKey"], "startField": r["windowStartField"], "endField": r["windowEndField"], "requireWindow": bool(r.get("requireWindow")), "timing": timing(r.get("timing")), "roleWindows": r.get("roleWindows")}
         if r.get("linkEntity"):
             out["link"] = {"entity": r["linkEntity"], "source": r["linkSourceField"], "target": r["linkTargetField"]}
         out["key"] = r["windowForeignKey"]
@@ -205,6 +205,19 @@ def rule(r: Mapping, entities: Mapping[str, Mapping]) -> dict:
     return out
 
 
+def timing(t: Mapping | None) -> dict | None:
+    """A timing as functions/dates.py reads it."""
+    if not t or "kind" in t:
+        return dict(t) if t else None
+    if t["type"] == "const":
+        return {"kind": "const", "days": t["days"]}
+    if t["type"] == "uniformDays":
+        return {"kind": "uniform", "min": t["min"], "max": t["max"]}
+    if t["type"] == "lognormalDays":
+        return {"kind": "lognormal", "median": t["medianDays"], "sigma": t["sigma"], **{k: t[j] for k, j in (("min", "minDays"), ("cap", "capDays")) if j in t}}
+    return {"kind": "mixture", "parts": [{"weight": w, "timing": timing(x)} for x, w in t["bands"]]}
+
+
 def named(r: Mapping) -> list[str]:
     """Every entity that a rule speaks of."""
     out = [r["source"], *[h["entity"] for h in r.get("path", ()) if isinstance(h, Mapping)]]

@@ -15,6 +15,7 @@ from pyspark.sql.types import BooleanType, StringType
 
 from ..functions.keys import norm, pair
 from ..functions.scalars import number
+from ..model import Domain
 
 AGGREGATES = ("count", "exists", "sum", "avg", "min", "max")
 
@@ -91,6 +92,25 @@ def path(df: DataFrame, hops: list[tuple[str, DataFrame, str]], field: str, name
     return out if raw else out.withColumn(name, F.coalesce(F.col(name), F.lit(0.0)))
 
 
+def resolved(query: Mapping, domain: Domain, entity: str) -> dict:
+    """The query with what its declaration leaves to the domain: a path's keys by name, and the key by which children point to the entity."""
+    q = dict(query)
+    q.setdefault("from", "self")
+    if q["from"] == "path":
+        steps, at = [], entity
+        for s in q["path"][:-1]:
+            fk, _, to = s.partition(":")
+            known = next((k for k in domain.entity(at).foreign_keys if fk == k.field or to and k.entity == to and fk.lower().endswith(f"_{to}".lower())), None)
+            steps.append(f"{known.field if known else fk}:{to or known.entity}.{known.target if known else 'ID'}" if "." not in to else s)
+            at = to.partition(".")[0] or known.entity
+        q["path"] = [*steps, q["path"][-1]]
+    elif q["from"] != "self" and not q.get("via"):
+        q["via"] = [k.field for k in domain.entity(q["from"]).foreign_keys if k.entity == entity]
+        if not q["via"]:
+            raise ValueError(f"{q['from']} has no key to {entity}")
+    return q
+
+
 def compile_feature(query: Mapping, df: DataFrame, data: Mapping[str, DataFrame], key: str, name: str, raw: bool = False) -> DataFrame:
     """df with the query's value as column name. Paths are 'FK:Entity' or 'FK:Entity.key' hops and the last field."""
     source = query["from"]

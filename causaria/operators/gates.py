@@ -163,15 +163,17 @@ def violations(name: str, category: str, df: DataFrame, bad: Column, counted: Co
 
 
 def name_gender(name: str, df: DataFrame, given: str, gender: str, catalogue: DataFrame) -> DataFrame:
-    """Names that the catalogue (name, gender: Female, Male or Unisex) knows as one gender's only, against the row's; others aren't counted."""
+    """Names that the catalogue (name, gender: Female, Male or Unisex) knows as one gender's only, against the row's; how many it doesn't know is told beside."""
     c = catalogue.groupBy(F.lower(F.trim("name")).alias("__name")).agg(F.collect_set("gender").alias("__g"))
     sure = c.where("size(__g) = 1 AND NOT array_contains(__g, 'Unisex')").select("__name", F.element_at("__g", 1).alias("__of"))
     joined = df.join(sure, F.lower(F.trim(df[given])) == F.col("__name"), "left")
-    return violations(name, "identity", joined, F.col("__of") != df[gender], F.col("__of").isNotNull() & df[gender].isNotNull())
+    known = F.col("__of").isNotNull() & df[gender].isNotNull()
+    c = joined.agg(F.count_if(known).alias("n"), F.count_if(known & (F.lower("__of") != F.lower(df[gender]))).alias("bad"), F.count_if(~known).alias("rest"))
+    return c.select(*gate(name, "identity", (F.col("bad") == 0) & (F.col("n") > 0), F.col("n"), "0", F.when(F.col("rest") > 0, F.format_string("%d, %d not classified", "bad", "rest")).otherwise(F.col("bad").cast("string"))))
 
 
-#: Titles and pronouns and the gender they go with.
-TITLES = {"mr": "Male", "sir": "Male", "mrs": "Female", "ms": "Female", "miss": "Female", "madam": "Female"}
+#: The titles that go with a gender, and the pronouns.
+TITLES = {t: "Male" for t in ("mr", "sir", "lord", "master")} | {t: "Female" for t in ("ms", "mrs", "miss", "madam", "dame", "lady")}
 PRONOUNS = {"he/him": "Male", "she/her": "Female"}
 
 
@@ -183,7 +185,7 @@ def words_of_gender(name: str, df: DataFrame, field: str, gender: Column, table:
     for w, g in table.items():
         hit = clean_name(df[field]) == w
         of = F.when(hit, F.lit(g)) if of is None else of.when(hit, F.lit(g))
-    return violations(name, "identity", df, of != gender, of.isNotNull() & gender.isNotNull())
+    return violations(name, "identity", df, F.lower(of) != F.lower(F.trim(gender)), of.isNotNull() & gender.isNotNull())
 
 
 def min_age(name: str, df: DataFrame, birth: Column, intake: Column, years: float = 18.0) -> DataFrame:

@@ -70,7 +70,7 @@ def condition_value(df: DataFrame, path: str, parents: list[tuple[str, DataFrame
     raise ValueError(f"no parent has {field}")
 
 
-def generated(df: DataFrame, key: str, fields: Mapping[str, Mapping], seed: int, catalogues: Mapping[str, Mapping[str, list]] | None = None) -> DataFrame:
+def generated(df: DataFrame, key: str, fields: Mapping[str, Mapping], seed: int, catalogues: Mapping[str, Mapping[str, list]] | None = None, parents: list[tuple[str, DataFrame, str]] | None = None) -> DataFrame:
     """df with generated fields, in order, later ones seeing earlier ones. Draws are keyed by row and field.
 
     A field is {kind: conditional, on, table}, {kind: catalogue, name, on?, map?},
@@ -84,9 +84,11 @@ def generated(df: DataFrame, key: str, fields: Mapping[str, Mapping], seed: int,
         u = uniform(s)
         kind = g["kind"]
         if kind == "conditional":
-            c = conditional(u, F.col(g["on"]), g["table"])
+            df = condition_value(df, g["on"], parents or [])
+            c = conditional(u, F.col("__condition"), g["table"])
         elif kind == "catalogue":
-            c = from_catalogue(u, F.col(g["on"]) if g.get("on") else None, (catalogues or {})[g["name"]], g.get("map"))
+            df = condition_value(df, g["on"], parents or []) if g.get("on") else df
+            c = from_catalogue(u, F.col("__condition") if g.get("on") else None, (catalogues or {})[g["name"]], g.get("map"))
         elif kind == "relativeDate":
             c = relative_date(g["anchor"], s, lambda st, g=g: normal(st, 3, float(g["mean"]), float(g.get("sd", 0))) if g.get("sd") else F.lit(float(g["mean"])), g.get("minAge"))
         elif kind == "values":
@@ -99,7 +101,7 @@ def generated(df: DataFrame, key: str, fields: Mapping[str, Mapping], seed: int,
             c = avatar_url(g["of"], g["style"], g["base"])
         else:
             raise ValueError(f"{name}: unknown generator {kind!r}")
-        df = df.withColumn(name, c)
+        df = df.withColumn(name, c).drop("__condition")
     return df
 
 
@@ -162,7 +164,7 @@ def rows(spark: SparkSession, domain: Domain, entity: Entity, n: int, seed: int,
         df = df.withColumn("__at", parent_index(F.col("i"), count, k)).join(numbered, "__at").drop("__at")
     names = [f.name for f in entity.fields]
     if "ID" in names:
-        df = df.withColumn("ID", entity_id(domain.namespace, entity.name, list(entity.business_key) or ["i"]))
+        df = df.withColumn("ID", entity_id(domain.namespace, entity.name, [k for k in entity.business_key if k != "ID"] or ["i"]))
     return df.select("i", *names)
 
 

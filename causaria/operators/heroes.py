@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import pin
-from ..model import Hero
-from .features import compile_feature, kind
+from ..model import Domain, Hero
+from .features import compile_feature, kind, resolved
 from .gates import gate
 
 
@@ -24,16 +24,17 @@ def match(df: DataFrame, heroes: list[Hero]) -> DataFrame:
     return df.withColumn("hero", F.lit(None).cast("string") if out is None else out)
 
 
-def pins(df: DataFrame, hero: Hero, data: Mapping[str, DataFrame], key: str = "ID") -> DataFrame:
+def pins(df: DataFrame, hero: Hero, data: Mapping[str, DataFrame], key: str = "ID", domain: Domain | None = None) -> DataFrame:
     """(place, held) of the hero's field and feature pins, over its row; no row gives no rows."""
     own, cols = match(df, [hero]).where("hero IS NOT NULL"), []
     for i, (what, _, of, op, expected) in enumerate(hero.pins):
         if what == "field":
             held = pin(op, own[of], expected, kind(df, of) == "number")
         elif what == "feature":
-            own = compile_feature(of, own, data, key, f"__f{i}", raw=True)
+            own = compile_feature(resolved(of, domain, hero.entity) if domain else of, own, data, key, f"__f{i}", raw=True)
             numeric = own.schema[f"__f{i}"].dataType.typeName() not in ("string", "boolean", "date")
-            held = pin(op, F.col(f"__f{i}"), expected, numeric)
+            seen = own.schema[f"__f{i}"].dataType.typeName() == "boolean" and isinstance(expected, int) and not isinstance(expected, bool)
+            held = pin(op, F.col(f"__f{i}").cast("int") if seen else F.col(f"__f{i}"), expected, numeric or seen)
         else:  # outcomes are conditioned on when they are drawn
             continue
         cols.append((i, held))
@@ -42,11 +43,11 @@ def pins(df: DataFrame, hero: Hero, data: Mapping[str, DataFrame], key: str = "I
     return own.select(F.inline(F.array(*[F.struct(F.lit(i).alias("place"), h.alias("held")) for i, h in cols])))
 
 
-def gates(data: Mapping[str, DataFrame], heroes: list[Hero]) -> list[DataFrame]:
+def gates(data: Mapping[str, DataFrame], heroes: list[Hero], domain: Domain | None = None) -> list[DataFrame]:
     """A gate per hero: exactly one row matches, and all its pins hold."""
     out = []
     for h in heroes:
         rows = match(data[h.entity], [h]).where("hero IS NOT NULL").select(F.lit(1).alias("n"), F.lit(True).alias("held"))
-        found = rows.union(pins(data[h.entity], h, data).select(F.lit(0), "held")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(~F.col("held")).alias("broken"))
+        found = rows.union(pins(data[h.entity], h, data, domain=domain).select(F.lit(0), "held")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(~F.col("held")).alias("broken"))
         out.append(found.select(*gate(f"hero {h.key}", "hero", (F.col("n") == 1) & (F.col("broken") == 0), F.col("n"), "1 row, 0 broken pins", F.format_string("%d rows, %d broken pins", "n", "broken"))))
     return out

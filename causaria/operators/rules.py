@@ -61,17 +61,27 @@ def date_window(source: DataFrame, date: Column, key: str, windows: DataFrame, w
     return out.withColumn("violated", F.col("__date").isNotNull() & bad).select(*source.columns, "violated")
 
 
-def text_contains(source: DataFrame, text: str, parts: list[Column], children: DataFrame | None = None, key: str | None = None, child_key: str | None = None, child_field: str | None = None) -> DataFrame:
-    """The text must contain every part and the field of every child row (by key), case aside; null parts ask for nothing."""
-    low, ok = F.lower(F.coalesce(source[text], F.lit(""))), F.lit(True)
+def text_contains(source: DataFrame, text: str, parts: list[Column], children: DataFrame | None = None, key: str | None = None, child_key: str | None = None, child_field: str | None = None, exact: bool = False) -> DataFrame:
+    """The text must contain every part and the field of every child row (by key), case aside unless exact; null and empty parts ask for nothing.
+
+    Each text meets its key's children one by one, in an aggregate that keeps a
+    flag: however many children a key has, none gathers them.
+    """
+    same = (lambda c: c) if exact else F.lower
+    low, ok = same(F.coalesce(source[text], F.lit(""))), F.lit(True)
     for p in parts:
-        ok = ok & F.coalesce(low.contains(F.lower(p.cast("string"))), F.lit(True))
+        ok = ok & F.coalesce(low.contains(same(F.trim(p.cast("string")))), F.lit(True))
     if children is None:
         return source.withColumn("violated", ~ok)
-    side = children.groupBy(norm(children[child_key]).alias("__c")).agg(F.collect_set(F.lower(filled(children[child_field]))).alias("__must"))
-    joined = source.join(side, norm(source[key]) == F.col("__c"), "left")
-    all_in = F.forall(F.coalesce("__must", F.array().cast("array<string>")), lambda v: low.contains(v))
-    return joined.withColumn("violated", ~(ok & all_in)).select(*source.columns, "violated")
+    own, theirs = pair(source, key, children, child_key)
+    must = children.select(theirs.alias("__c"), same(filled(F.trim(children[child_field].cast("string")))).alias("__must")).dropna().distinct()
+    marks = [F.xxhash64(low, F.lit(k)).alias(f"__h{k}") for k in (1, 2)]
+    texts = source.select(own.alias("__k"), *marks, low.alias("__t")).dropDuplicates(["__k", "__h1", "__h2"])
+    met = texts.join(must, F.col("__k") == F.col("__c")).groupBy("__k", "__h1", "__h2").agg(F.bool_and(F.col("__t").contains(F.col("__must"))).alias("__all"))
+    met = met.select(F.col("__k").alias("__mk"), F.col("__h1").alias("__m1"), F.col("__h2").alias("__m2"), "__all")
+    keyed = source.withColumns({"__ok": ok, "__k": own, "__h1": F.xxhash64(low, F.lit(1)), "__h2": F.xxhash64(low, F.lit(2))})
+    joined = keyed.join(met, (F.col("__k") == F.col("__mk")) & (F.col("__h1") == F.col("__m1")) & (F.col("__h2") == F.col("__m2")), "left")
+    return joined.withColumn("violated", ~(F.col("__ok") & F.coalesce("__all", F.lit(True)))).select(*source.columns, "violated")
 
 
 def tally(ballots: DataFrame, decision: str, vote: str, yes: str = "Yes", no: str = "No", abstain: str = "Abstain") -> DataFrame:
@@ -80,18 +90,18 @@ def tally(ballots: DataFrame, decision: str, vote: str, yes: str = "Yes", no: st
     return ballots.groupBy(norm(ballots[decision]).alias("__decision")).agg(F.count_if(v == yes).alias("yes"), F.count_if(v == no).alias("no"), F.count_if(v == abstain).alias("abstain"), F.count_if(~F.coalesce(v.isin(yes, no, abstain), F.lit(False))).alias("other"))
 
 
-def decide(rule: str = "majority", quorum: int = 1, tie: str = "Failed", count_abstain: bool = False) -> Column:
+def decide(rule: str = "majority", quorum: int = 1, tie: str = "Failed", count_abstain: bool = False, passed: str = OUTCOMES[0], failed: str = OUTCOMES[1]) -> Column:
     """The outcome of a tally: below quorum Failed; majority, two-thirds (of yes and no, and some yes) or unanimous (some yes, no no)."""
     yes, no, present = F.col("yes"), F.col("no"), F.col("yes") + F.col("no") + (F.col("abstain") if count_abstain else F.lit(0))
     if rule == "majority":
-        won = F.when(yes > no, OUTCOMES[0]).when(yes == no, tie).otherwise(OUTCOMES[1])
+        won = F.when(yes > no, passed).when(yes == no, tie).otherwise(failed)
     elif rule == "two-thirds":
-        won = F.when((yes >= 2 * no) & (yes > 0), OUTCOMES[0]).otherwise(OUTCOMES[1])
+        won = F.when((yes >= 2 * no) & (yes > 0), passed).otherwise(failed)
     elif rule == "unanimous":
-        won = F.when((no == 0) & (yes > 0), OUTCOMES[0]).otherwise(OUTCOMES[1])
+        won = F.when((no == 0) & (yes > 0), passed).otherwise(failed)
     else:
         raise ValueError(f"unknown decision rule {rule!r}")
-    return F.when(present < quorum, OUTCOMES[1]).otherwise(won)
+    return F.when(present < quorum, failed).otherwise(won)
 
 
 def ballots_outcome(decisions: DataFrame, key: str, outcome: str, ballots: DataFrame, decision: str, vote: str, **rule) -> DataFrame:

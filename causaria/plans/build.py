@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import Factor
-from ..operators import generate, heroes
+from ..functions.dates import cycle_field, day, timing
+from ..functions.keys import entity_id, norm, primary_key, uuid5
+from ..functions.rng import stream, uniform
+from ..model import Dial, Entity, Factor
+from ..operators import generate, heroes, patterns
+from ..operators.compose import ordinal
 from ..operators.delta import status_transitions
+from ..operators.features import compile_feature, resolved
 from ..sources import project as projects
 from ..sources import records, state
 from ..streaming import accumulate, ladders, simulate
-from .graph import entity_order
+from .graph import common_scope, entity_order
 from .plan import Plan, applied
 
 CHECKPOINT = "checkpoint.json"
@@ -44,16 +50,179 @@ def _catalogues(spark: SparkSession, p: projects.Project) -> dict:
     return {n: projects.buckets(c) for n, f in p.catalogues.items() if "bucket" in (c := projects.catalogue(spark, f)).columns}
 
 
-def generated(spark: SparkSession, p: projects.Project, volumes: Callable[[str], int], seed: int, first: dict[str, int] | None = None, parents: dict[str, DataFrame] | None = None, catalogues: dict | None = None) -> dict[str, DataFrame]:
-    """Rows of every entity in dependency order, each with what it points to made before."""
+def _windows(p: projects.Project) -> dict[str, dict]:
+    """Entities whose rows are role windows that a date-window rule declares: one for each parent and window."""
+    return {r["window"]: r for r in p.domain.rules if r["kind"] == "date-window" and r.get("roleWindows")}
+
+
+def _ballots(p: projects.Project) -> dict[str, dict]:
+    """Entities of ballots, by the rule that derives outcomes from them."""
+    return {r["ballots"]: r for r in p.domain.rules if r["kind"] == "outcome-derived-from-ballots"}
+
+
+def seats(spark: SparkSession, p: projects.Project, e: Entity, r: dict, parents: DataFrame, seed: int) -> DataFrame:
+    """A row for each parent and declared role window, each held by an actor of its own."""
+    fk = next(k for k in e.foreign_keys if k.entity in p.domain.entities)
+    start = lambda w: w.get("startDate") or f"{p.start_cycle + int(w.get('startOffsetYears', 0))}-01-01"
+    end = lambda w: w.get("endDate") or (f"{p.start_cycle + int(w.get('startOffsetYears', 0) + w['durationYears'])}-12-31" if w.get("durationYears") else None)
+    schedule = [{"__w": i, "__s": start(w), "__e": end(w)} for i, w in enumerate(r["roleWindows"])]
+    rows = generate.scheduled(parents.select(F.col(fk.target).alias(fk.field)), schedule)
+    place = F.concat_ws(":", F.col(fk.field).cast("string"), F.col("__w").cast("string"))
+    made = {fk.field: F.col(fk.field), r["startField"]: F.to_date("__s"), r["endField"]: F.to_date("__e"), r["windowKey"]: uuid5(p.domain.namespace, F.concat(F.lit("actor:"), place))}
+    return _filled(p, e, rows, made, place, seed)
+
+
+def _filled(p: projects.Project, e: Entity, rows: DataFrame, made: dict[str, Column], place: Column, seed: int) -> DataFrame:
+    """rows as the entity's: given columns, an id by place where the business key gives none, and all other fields by declaration."""
+    out = rows.select("*", F.xxhash64(place).alias("i"), place.alias("__place"))
+    for f in e.fields:
+        if f.name in made:
+            out = out.withColumn(f.name, made[f.name])
+        elif f.name != "ID":
+            out = out.withColumn(f.name, generate.value(f, e.name, seed, f"{p.start_cycle}-01-01"))
+    if "ID" in [f.name for f in e.fields]:
+        own = [k for k in e.business_key if k != "ID"]
+        out = out.withColumn("ID", entity_id(p.domain.namespace, e.name, own or ["__place"]))
+    return out.select(*[f.name for f in e.fields])
+
+
+def voted(p: projects.Project, r: dict, data: dict[str, DataFrame], seed: int) -> tuple[DataFrame, DataFrame]:
+    """(ballots, decisions): everyone who holds a role on a decision's day, of the body it belongs to, votes; outcomes follow from the tally.
+
+    The body is the nearest entity that decisions and roles both lead to; a
+    ballot's day is its decision's.
+    """
+    decision, ballot = p.domain.entity(r["source"]), p.domain.entity(r["ballots"])
+    cover = next(x for x in p.domain.rules if x["kind"] == "date-window" and x["source"] == ballot.name)
+    role, actor = p.domain.entity(cover["window"]), cover["windowKey"]
+    scope = common_scope(p.domain, decision.name, role.name)
+    if scope is None:
+        raise ValueError(f"{decision.name} and {role.name} lead to no entity in common")
+    rows = data[decision.name]
+    for i, (step, at) in enumerate(_steps(p, decision.name, scope[1])):
+        target = p.domain.entity(at)
+        own = data[at].select(norm(target.primary[0]).alias("__k"), *[F.col(k.field).alias(f"__to_{k.field}") for k in target.foreign_keys])
+        key = F.col(step) if i == 0 else F.col(f"__to_{step}")
+        rows = rows.withColumn("__at", norm(key)).drop(*[c for c in rows.columns if c.startswith("__to_")]).join(own, F.col("__at") == F.col("__k"), "left").withColumn("__scope", F.col("__at")).drop("__at", "__k")
+    dated_by = next(f.name for f in decision.fields if f.type == "date" and f.name not in ("CreatedAt", "UpdatedAt"))
+    # In days that no role covers nobody could vote: a decision stands on a day of its body's roles.
+    held = data[role.name].select(norm(scope[2][0]).alias("__scope_of"), F.col(actor).alias("__actor"), day(F.col(cover["startField"])).alias("__s"), day(F.col(cover["endField"])).alias("__e"))
+    events = rows.select(F.col(decision.primary[0]).alias("__event"), F.col("__scope"), day(F.col(dated_by)).alias("__day"))
+    eligible = patterns.temporal_role(events, F.col("__day"), "__scope", held, "__scope_of", "__actor", F.col("__s"), F.col("__e")).select("__event", "__day", "actor")
+    rate = float(r.get("abstainRate") or 0.0)
+    weights = r.get("weights") or {}
+    factor = next((f for f in p.rules.get("factors", ()) if f.entity == decision.name and r["outcomeField"] in f.outcome.get("where", {})), None)
+    rule = {"rule": r["rule"], "quorum": r["quorum"], "tie": r["tie"], "count_abstain": r["countAbstain"], "passed": r["passed"], "failed": r["failed"]}
+    target = approval(factor.target if factor else 0.5, eligible) if not weights else None
+    ballots, decided = patterns.scoped_decision(data[decision.name], decision.primary[0], eligible, "__event", "actor", seed, f"ballots:{decision.name}", (float(weights.get("Yes", 0.5)), float(weights.get("No", 0.5))), rate, target, **rule)
+    label = {"Yes": r["yes"], "No": r["no"], "Abstain": r["abstain"]}
+    vote = F.element_at(F.create_map(*[F.lit(x) for kv in label.items() for x in kv]), F.col("vote"))
+    place = F.concat_ws(":", F.col("__event").cast("string"), F.col("actor").cast("string"))
+    made = {r["decisionField"]: F.col("__event"), cover["key"]: F.col("actor"), r["voteField"]: vote, cover["dateField"]: F.col("__day")}
+    outcome = decided.withColumn(r["outcomeField"], F.col("outcome")).select(*data[decision.name].columns)
+    return _filled(p, ballot, ballots, made, place, seed), outcome
+
+
+def approval(share: float, eligible: DataFrame) -> float:
+    """The chance of a Yes at which a majority of the usual number of votes passes with the share: found by halving, as the chance of a majority rises with it."""
+    n = eligible.groupBy("__event").count().agg(F.percentile_approx("count", 0.5)).first()[0] or 1
+    low, high = 0.0, 1.0
+    for _ in range(40):
+        q = (low + high) / 2
+        passed = sum(math.comb(n, k) * q**k * (1 - q) ** (n - k) for k in range(n + 1) if 2 * k > n)
+        low, high = (q, high) if passed < share else (low, q)
+    return (low + high) / 2
+
+
+def _steps(p: projects.Project, entity: str, fields: list[str]) -> list[tuple[str, str]]:
+    out, at = [], entity
+    for f in fields:
+        at = next(k.entity for k in p.domain.entity(at).foreign_keys if k.field == f)
+        out.append((f, at))
+    return out
+
+
+def inside(p: projects.Project, name: str, df: DataFrame, data: dict[str, DataFrame], seed: int) -> DataFrame:
+    """df with the dates that rules bind to a window of what a row points to: some days after its start, within it."""
+    for r in p.domain.rules:
+        if r["kind"] == "date-window" and r["source"] == name and not r.get("link") and r["window"] in data and any(k.field == r["key"] and k.entity == r["window"] for k in p.domain.entity(name).foreign_keys):
+            key = p.domain.entity(name).primary[0]
+            w = data[r["window"]].select(norm(p.domain.entity(r["window"]).primary[0]).alias("__k"), day(F.col(r["startField"])).alias("__s"), day(F.col(r["endField"])).alias("__e"))
+            days = F.floor(timing(r.get("timing") or {"kind": "uniform", "min": 0, "max": 7}, stream(seed, F.col(key).cast("string"), f"window:{name}:")) + 0.5).cast("int")
+            at = F.least(F.coalesce("__e", F.date_add("__s", days)), F.date_add("__s", days))
+            df = df.join(w, norm(df[r["key"]]) == F.col("__k"), "left").withColumn(r["dateField"], F.coalesce(at, F.col(r["dateField"]))).drop("__k", "__s", "__e")
+    return df
+
+
+def windowed(p: projects.Project, e: Entity, df: DataFrame, seed: int) -> DataFrame:
+    """df whose windows end after they start: an end field gets days after the start's."""
+    names = [f.name for f in e.fields]
+    for start, end in (("StartDate", "EndDate"),):
+        if start in names and end in names:
+            days = F.floor(uniform(stream(seed, F.col(e.primary[0]).cast("string"), f"{end}:")) * 360).cast("int") + 5
+            df = df.withColumn(end, F.date_add(start, days))
+    return df
+
+
+def spread(p: projects.Project, e: Entity, df: DataFrame, seed: int) -> DataFrame:
+    """df with its rows dealt over the project's years, in proportion to the eras' unscoped multipliers of each year; without a field that dates rows as it is.
+
+    Years are quotas of the rows' order by hash, so that each has its share exactly.
+    """
+    dates = [f.name for f in e.fields if f.type == "date"]
+    field = e.cycle_field or cycle_field(df.schema, None)
+    if field is None or field not in dates:
+        return df
+    years = _cycles(p)
+    weight = {y: math.prod([m for era in p.rules.get("eras", ()) if y in era.cycles for n, m, w in era.volumes if n == e.name and w is None] or [1.0]) for y in years}
+    whole = sum(weight.values())
+    if not whole:
+        return df.limit(0)
+    n, ends, done = df.count(), [], 0.0
+    for y in years:
+        done += weight[y]
+        ends.append((y, int(n * done / whole + 0.5)))
+    out = ordinal(df.withColumn("__h", F.xxhash64(e.primary[0])), ["__h", e.primary[0]], "__n")
+    year = None
+    for y, end in ends:
+        year = F.when(F.col("__n") <= end, F.lit(y)) if year is None else year.when(F.col("__n") <= end, F.lit(y))
+    last = F.when(year == p.release.year, F.lit(p.release.timetuple().tm_yday)).otherwise(365)
+    at = F.date_add(F.make_date(year, F.lit(1), F.lit(1)), F.floor(uniform(stream(seed, F.col(e.primary[0]).cast("string"), "day:")) * last).cast("int"))
+    return out.withColumn(field, at).drop("__h", "__n")
+
+
+def generated(spark: SparkSession, p: projects.Project, volumes: Callable[[str], int], seed: int, first: dict[str, int] | None = None, parents: dict[str, DataFrame] | None = None, catalogues: dict | None = None, history: bool = False, window: tuple[date, date] | None = None) -> dict[str, DataFrame]:
+    """Rows of every entity in dependency order, each with what it points to made before.
+
+    Role windows and ballots are made by their rules, not by number; an entity
+    that each row of another must have gets as many rows as that has, at least.
+    history: rows are dealt over the project's years. window: a cycle's rows are
+    dated after its start, up to its end.
+    """
     data: dict[str, DataFrame] = {}
+    roles, polls = _windows(p), _ballots(p)
     for name in entity_order(p.domain):
         e, n = p.domain.entity(name), volumes(name)
+        known = {**(parents or {}), **{k: v.unionByName(parents[k], allowMissingColumns=True) if parents and k in parents else v for k, v in data.items()}}
+        if name in roles and any(k.entity in data for k in e.foreign_keys):
+            data[name] = seats(spark, p, e, roles[name], data[next(k.entity for k in e.foreign_keys if k.entity in data)], seed)
+            continue
+        if name in polls and any(x["kind"] == "date-window" and x["source"] == name for x in p.domain.rules):
+            continue  # voted() makes them
+        if name in roles:
+            continue
+        must = [k for k in e.foreign_keys if k.dependent and k.entity in data]
+        n = max([n, *[data[k.entity].count() for k in must]]) if n > 0 or must else n
         if n <= 0:
             continue
-        known = {**(parents or {}), **{k: v.unionByName(parents[k], allowMissingColumns=True) if parents and k in parents else v for k, v in data.items()}}
-        df = generate.rows(spark, p.domain, e, n, seed, known, f"{p.start_cycle}-01-01", (first or {}).get(name, 0) + 1).drop("i")
-        data[name] = records.decorated(df, e, e.primary[0], seed, catalogues) if any(f.generator for f in e.fields) else df
+        df = generate.rows(spark, p.domain, e, n, seed, {**known, **{k.entity: data[k.entity] for k in must}}, f"{p.start_cycle}-01-01", (first or {}).get(name, 0) + 1).drop("i")
+        if history:
+            df = windowed(p, e, spread(p, e, df, seed), seed)
+        elif window and (field := e.cycle_field or cycle_field(df.schema, None)) in [f.name for f in e.fields if f.type == "date"]:
+            at = F.floor(uniform(stream(seed, F.col(e.primary[0]).cast("string"), "day:")) * (window[1] - window[0]).days).cast("int") + 1
+            df = windowed(p, e, df.withColumn(field, F.date_add(F.lit(window[0]), at)), seed)
+        df = inside(p, name, df, known, seed)
+        data[name] = records.decorated(df, e, e.primary[0], seed, catalogues, [(k.field, known[k.entity], k.target) for k in e.foreign_keys if k.entity in known]) if any(f.generator for f in e.fields) else df
     return data
 
 
@@ -61,49 +230,187 @@ def _cycles(p: projects.Project) -> list[int]:
     return list(range(p.start_cycle, p.release.year + 1))
 
 
-def _unrolled(p: projects.Project, name: str, df: DataFrame, factors: list[Factor], seed: int) -> tuple[DataFrame, list[DataFrame]]:
-    """(df with its factors' outcomes of the last cycle and its ladders' states written to their fields, those states)."""
-    cycles, key = _cycles(p), p.domain.entity(name).primary[0]
-    span = len(cycles)
-    born = (F.pmod(F.xxhash64(key), F.lit(span)) + cycles[0]).cast("int")
-    people = heroes.match(df, [h for h in p.rules.get("heroes", ()) if h.entity == name]).withColumn("birth_cycle", born)
-    dials = p.rules.get("dials", [])
+def _of(p: projects.Project, kind: str, name: str) -> list:
+    return [x for x in p.rules.get(kind, ()) if x.entity == name]
+
+
+def injected(spark: SparkSession, p: projects.Project, data: dict[str, DataFrame], seed: int) -> dict[str, DataFrame]:
+    """data with a row for each hero that has none, and children that their feature pins ask for. No other row changes.
+
+    A hero's row is one of its entity, generated apart, with its own fields put in.
+    """
+    out = dict(data)
+    for i, h in enumerate(p.rules.get("heroes", ())):
+        if h.entity not in out:
+            continue
+        e = p.domain.entity(h.entity)
+        if heroes.match(out[h.entity], [h]).where("hero IS NOT NULL").limit(1).count():
+            continue
+        row = generate.rows(spark, p.domain, e, 1, seed, out, f"{p.start_cycle}-01-01", 1_000_000_000 + i).drop("i")
+        own = {**h.match, **h.fixed}
+        row = row.withColumns({k: F.lit(v).cast(row.schema[k].dataType) for k, v in own.items() if k in row.columns})
+        for kind, _, what, op, value in h.pins:
+            if kind == "field" and op == "eq" and what not in own and what in row.columns:
+                row = row.withColumn(what, F.lit(value).cast(row.schema[what].dataType))
+        row = simulate.saved(row.withColumn("ID", entity_id(p.domain.namespace, e.name, [k for k in e.business_key if k != "ID"] or [F.lit(h.key)])) if "ID" in row.columns else row)
+        out[h.entity] = out[h.entity].unionByName(row)
+        for j, (kind, _, q, op, value) in enumerate(h.pins):
+            if kind == "feature" and q["from"] in out and q.get("aggregation") in ("count", "exists") and op in ("eq", "gte", "gt"):
+                child = p.domain.entity(q["from"])
+                fk = next((k for k in child.foreign_keys if k.entity == h.entity), None)
+                n = (int(value) if q["aggregation"] == "count" else 1) + (op == "gt")
+                if fk is None or n <= 0:
+                    continue
+                kids = generate.rows(spark, p.domain, child, n, seed, out, f"{p.start_cycle}-01-01", 2_000_000_000 + 1000 * i + 100 * j).drop("i")
+                kids = kids.withColumn(fk.field, F.lit(row.first()[fk.target]))
+                kids = kids.withColumns({k: F.lit(v).cast(kids.schema[k].dataType) for k, v in (q.get("where") or {}).items()})
+                kids = simulate.saved(kids.select(*out[q["from"]].columns))
+                out[q["from"]] = out[q["from"]].unionByName(kids)
+                for grand in p.domain.entities.values():  # what every such row must have
+                    need = next((k for k in grand.foreign_keys if k.entity == child.name and k.dependent), None)
+                    if need and grand.name in out:
+                        extra = generate.rows(spark, p.domain, grand, n, seed, {**out, child.name: kids}, f"{p.start_cycle}-01-01", 2_000_000_000 + 1000 * i + 100 * j).drop("i")
+                        out[grand.name] = out[grand.name].unionByName(extra.select(*out[grand.name].columns))
+    return out
+
+
+def totalled(p: projects.Project, data: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """data whose headers' totals are the sums of the lines that depend on them."""
+    out = dict(data)
+    for e in p.domain.entities.values():
+        for k in e.foreign_keys:
+            if k.dependent and e.name in out and k.entity in out:
+                amount = next((c for c in ("ExtendedPrice", "LineTotal") if c in out[e.name].columns), None)
+                if amount and "TotalAmount" in out[k.entity].columns:
+                    names = out[k.entity].columns
+                    if {"Quantity", "UnitPrice"} <= set(out[e.name].columns):
+                        out[e.name] = out[e.name].withColumn(amount, F.round(F.col("Quantity") * F.col("UnitPrice"), 2))
+                    out[k.entity] = generate.rolled_up(out[k.entity], k.target, out[e.name], k.field, amount, "TotalAmount").select(*names)
+    return out
+
+
+def children_of_motifs(spark: SparkSession, p: projects.Project, name: str, people: DataFrame, data: dict[str, DataFrame], seed: int) -> dict[str, DataFrame]:
+    """data with the rows that motifs' members get of other entities, each cycle after their birth, times the eras' multipliers."""
+    out, key = dict(data), p.domain.entity(name).primary[0]
+    for m in _of(p, "motifs", name):
+        for child in m.children:
+            e = p.domain.entity(child)
+            fk = next((k for k in e.foreign_keys if k.entity == name), None)
+            if fk is None or child not in out:
+                continue
+            factor = {c: math.prod([x for era in p.rules.get("eras", ()) if c in era.cycles for n, x, w in era.volumes if n == child and w is None] or [1.0]) for c in _cycles(p)}
+            rows = simulate.motif_children(people, key, m, child, _cycles(p), seed, factor)
+            place = F.concat_ws(":", F.lit(m.id), F.col("key").cast("string"), F.col("cycle").cast("string"), F.col("place").cast("string"))
+            dated_by = e.cycle_field or cycle_field(out[child].schema, None)
+            made = {fk.field: F.col("key")}
+            if dated_by:
+                made[dated_by] = F.date_add(F.make_date("cycle", F.lit(1), F.lit(1)), F.pmod(F.xxhash64(place), F.lit(365)).cast("int"))
+            for k in e.foreign_keys:  # other parents, by hash
+                if k.field != fk.field and k.entity in out:
+                    numbered = simulate.saved(ordinal(out[k.entity].select(F.col(k.target).alias(f"__p_{k.field}")).withColumn("__h", F.xxhash64(f"__p_{k.field}")), ["__h", f"__p_{k.field}"], "__n"))
+                    rows = rows.withColumn("__n", F.pmod(F.xxhash64(place, F.lit(k.field)), F.lit(max(1, numbered.count()))) + 1).join(numbered.drop("__h"), "__n", "left").drop("__n")
+                    made[k.field] = F.col(f"__p_{k.field}")
+            whole = Entity(e.name, e.fields, e.foreign_keys, ())  # its business key may not tell such rows apart
+            new = simulate.saved(_filled(p, whole, rows, made, place, seed).select(*out[child].columns))
+            out[child] = out[child].unionByName(new)
+            for grand in p.domain.entities.values():
+                need = next((k for k in grand.foreign_keys if k.entity == child and k.dependent), None)
+                if need and grand.name in out and (n := new.count()):
+                    extra = generate.rows(spark, p.domain, grand, n, seed, {**out, child: new}, f"{p.start_cycle}-01-01", 3_000_000_000).drop("i")
+                    out[grand.name] = out[grand.name].unionByName(extra.select(*out[grand.name].columns))
+    return out
+
+
+def _unrolled(p: projects.Project, name: str, data: dict[str, DataFrame], factors: list[Factor], seed: int) -> tuple[dict[str, DataFrame], DataFrame | None, DataFrame]:
+    """(data with the entity's outcomes of the last cycle and its ladders' states written to their fields, those states, the entity's rows with what moved them)."""
+    df, e, cycles = data[name], p.domain.entity(name), _cycles(p)
+    key, own = e.primary[0], _of(p, "heroes", name)
+    dated_by = e.cycle_field or cycle_field(df.schema, None)
+    born = (F.pmod(F.xxhash64(key), F.lit(len(cycles))) + cycles[0]).cast("int")
+    if dated_by and e.name not in _windows(p):  # a dated row is born in its year
+        born = F.coalesce(F.least(F.greatest(F.year(day(df[dated_by])), F.lit(cycles[0])), F.lit(cycles[-1])), born).cast("int")
+    people = heroes.match(df, own)
+    for h in own:
+        if h.birth:
+            born = F.when(F.col("hero") == h.key, F.lit(int(h.birth))).otherwise(born)
+    people = people.withColumn("birth_cycle", born)
+    dials = p.rules.get("dials", []) or [Dial(n, 0.0, 0.0) for n in _dial_names(p, name)]
     people = simulate.with_dials(people, key, dials, seed) if dials else people
+    for h in own:
+        people = people.withColumns({d: F.when(F.col("hero") == h.key, F.lit(float(v))).otherwise(F.col(d)) for d, v in h.dials.items() if d in people.columns})
+    features = {}
+    for f in factors:
+        for i, a in enumerate(f.arrows):
+            if not a.dial:
+                people = compile_feature(resolved(a.feature, p.domain, name), people, data, key, f"__x_{f.id}_{i}")
+                people = people.withColumn(f"__x_{f.id}_{i}", F.col(f"`__x_{f.id}_{i}`").cast("double"))
+                features[f.id, i] = F.col(f"`__x_{f.id}_{i}`")
     people = simulate.saved(people)
-    motifs = [m for m in p.rules.get("motifs", ()) if m.entity == name]
+    motifs = _of(p, "motifs", name)
     people = simulate.sample_motifs(people, key, motifs, seed) if motifs else people.withColumn("motif", F.lit(None).cast("string"))
-    world = simulate.World(people, key, factors, seed, dials, p.rules.get("eras", []), motifs, [h for h in p.rules.get("heroes", ()) if h.entity == name])
-    out = people.drop("hero", "birth_cycle", "motif", *[d.name for d in dials])
-    if factors:
-        outcomes = simulate.saved(simulate.unroll(world, cycles))
+    world = simulate.World(people, key, factors, seed, dials, p.rules.get("eras", []), motifs, own, [x for x in _of(p, "ladders", name) if x.binding])
+    out = dict(data)
+    rows = people.select(*df.columns)
+    if factors or world.ladders:
+        outcomes = simulate.unroll(world, cycles, features)
+        outcomes = simulate.saved(outcomes) if outcomes is not None else None
+        fixed = people.where("hero IS NOT NULL").select(F.col(key).cast("string").alias("key"), _fixed(own).alias("fixed")) if own else None
+        values = {x.name: list(x.values) for x in e.fields}
+        derived = {r["outcomeField"] for r in p.domain.rules if r["kind"] == "outcome-derived-from-ballots" and r["source"] == name}
+        if factors and dated_by:  # a dated row tells of its own year, so that eras show in it
+            outcomes = outcomes.join(people.select(F.col(key).alias("key"), F.col("birth_cycle").alias("cycle")), ["key", "cycle"], "left_semi")
         for f in factors:
-            values = {x.name: list(x.values) for x in p.domain.entity(name).fields}
-            field = next(iter(f.outcome["where"]))
-            out = simulate.written_back(out, key, outcomes, f, values.get(field))
-    kept = []
-    for lad in p.rules.get("ladders", ()):
-        if lad.entity == name and lad.binding and lad.binding.get("field"):
-            states = ladders.enrol(people, key, lad, cycles[0], seed).withColumn("key", F.col("key").cast("string")).withColumn("dials", F.create_map().cast("map<string,double>"))
-            for c in cycles[1:]:
-                states = simulate.saved(ladders.step(states, lad, c).where("NOT exited").drop("from_state", "exited"))
-            kept.append(states)
-            out = ladders.bind(out, key, states, lad, lad.binding["field"])
-    return out, kept
+            if f.outcome.get("from", "self") == "self" and f.outcome.get("where") and not derived & set(f.outcome["where"]):
+                rows = simulate.written_back(rows, key, outcomes, f, values, fixed)
+        for lad in world.ladders:
+            mine = world.states.where(F.col("ladder") == lad.id)
+            if lad.binding.get("field"):
+                rows = ladders.bind(rows, key, mine, lad, lad.binding["field"], lad.binding.get("fixedFields"))
+            elif lad.binding.get("childEntity") in out:  # the state stands in the rows that point to the entity
+                child = p.domain.entity(lad.binding["childEntity"])
+                fk = next((k.field for k in child.foreign_keys if k.field == lad.binding["foreignKey"]), lad.binding["foreignKey"])
+                out[child.name] = ladders.bind(out[child.name], fk, mine, lad, lad.binding["stateField"], lad.binding.get("fixedFields"))
+    out[name] = rows
+    return out, world.states, people
+
+
+def _dial_names(p: projects.Project, name: str) -> list[str]:
+    """Dials that nothing declares but something names: they begin at 0 and move by what moves them."""
+    used = [a.dial for f in _of(p, "factors", name) for a in f.arrows if a.dial] + [d for h in _of(p, "heroes", name) for d in h.dials]
+    used += [d for m in _of(p, "motifs", name) for d in (*m.dials, *m.trajectory)]
+    used += [d for x in _of(p, "ladders", name) for s in x.states for d in (*s.dials, *s.effects, *s.exit_effects)]
+    return list(dict.fromkeys(used))
+
+
+def _fixed(own: list) -> Column:
+    out = F.array().cast("array<string>")
+    for h in own:
+        names = [*h.match, *h.fixed, *[w for kind, _, w, _, _ in h.pins if kind == "field"]]
+        out = F.when(F.col("hero") == h.key, F.array(*map(F.lit, names)).cast("array<string>")).otherwise(out)
+    return out
 
 
 def build(spark: SparkSession, p: projects.Project, seed: int = 42) -> Built:
     """The project's dataset, unrolled through its cycles; nothing is written."""
     volume = lambda n: int(p.params.get(f"volume_{n}", p.params.get("volume_default", 10)))
-    data = generated(spark, p, volume, seed, catalogues=_catalogues(spark, p))
+    data = generated(spark, p, volume, seed, catalogues=_catalogues(spark, p), history=True)
+    numbers = {n: volume(n) for n in data}
+    data = {n: simulate.saved(df) for n, df in injected(spark, p, data, seed).items()}
     states: DataFrame | None = None
     for name in list(data):
-        own = [f for f in p.rules.get("factors", ()) if f.entity == name]
-        if own or any(x.entity == name and x.binding for x in p.rules.get("ladders", ())):
-            data[name], kept = _unrolled(p, name, data[name], own, seed)
-            for k in kept:
-                states = k if states is None else states.unionByName(k)
-    counts = {n: volume(n) for n in data}
-    return Built(data, accumulate.Checkpoint(p.domain.name, seed, p.release.year, p.release, p.domain.namespace, counts), states)
+        own = [f for f in _of(p, "factors", name)]
+        if own or _of(p, "motifs", name) or any(x.binding for x in _of(p, "ladders", name)):
+            data, kept, people = _unrolled(p, name, data, own, seed)
+            data = children_of_motifs(spark, p, name, people, data, seed)
+            if kept is not None:
+                states = kept if states is None else states.unionByName(kept)
+    for r in _ballots(p).values():
+        if r["source"] in data and any(x["kind"] == "date-window" and x["source"] == r["ballots"] and x["window"] in data for x in p.domain.rules):
+            data[r["ballots"]], data[r["source"]] = voted(p, r, data, seed)
+    data = totalled(p, data)
+    if states is not None and "dials" not in states.columns:
+        states = states.withColumn("dials", F.create_map().cast("map<string,double>"))
+    return Built(data, accumulate.Checkpoint(p.domain.name, seed, p.release.year, p.release, p.domain.namespace, {n: numbers.get(n, 0) for n in data}), states)
 
 
 def write(p: projects.Project, built: Built) -> None:
@@ -144,19 +451,37 @@ def next_cycle(spark: SparkSession, p: projects.Project, plan: Plan | None = Non
     planned = applied(spark, plan, p.domain, data) if plan else {}
     seed = seed if seed is not None else prior.seed
     number = lambda n: accumulate.intake(n, p.params, p.rules.get("eras", []), end.year, plan.intake.get(n) if plan else None) if n in prior.counts else 0
-    new = generated(spark, p, number, seed, prior.counts, data, _catalogues(spark, p))
+    new = generated(spark, p, number, seed, prior.counts, data, _catalogues(spark, p), window=(start, end))
+    for r in _ballots(p).values():  # what is to be decided in the window and has no ballots yet
+        if r["source"] in new and r["ballots"] in data:
+            decision = p.domain.entity(r["source"])
+            fresh = {n: simulate.saved(new[n]) if n in new else None for n in p.domain.entities}
+            todo = fresh[r["source"]].join(data[r["ballots"]].select(norm(r["decisionField"]).alias("__b")), norm(decision.primary[0]) == F.col("__b"), "left_anti")
+            whole = {n: (df.unionByName(fresh[n], allowMissingColumns=True) if fresh.get(n) is not None else df) for n, df in data.items()}
+            new = {n: df for n, df in fresh.items() if df is not None}
+            new[r["ballots"]], new[r["source"]] = voted(p, r, {**whole, r["source"]: todo}, seed)
     for n, df in new.items():
         key = p.domain.entity(n).primary[0]
-        for f in (f for f in p.rules.get("factors", ()) if f.entity == n):
+        derived = {r["outcomeField"] for r in p.domain.rules if r["kind"] == "outcome-derived-from-ballots" and r["source"] == n}
+        for f in (f for f in p.rules.get("factors", ()) if f.entity == n and f.outcome.get("from", "self") == "self" and f.outcome.get("where") and not derived & set(f.outcome["where"])):
             shift = sum(e.factors.get(f.id, 0.0) for e in p.rules.get("eras", ()) if end.year in e.cycles)
             drawn = simulate.intake_draws(df, key, f, seed, prior.cycle + 1, shift).select(F.lit(0).alias("cycle"), F.lit(f.id).alias("factor"), F.col(key).alias("key"), "outcome")
             values = {x.name: list(x.values) for x in p.domain.entity(n).fields}
-            df = simulate.written_back(df, key, drawn, f, values.get(next(iter(f.outcome["where"]))))
+            df = simulate.written_back(df, key, drawn, f, values)
         new[n] = df
     for n, df in planned.items():
         new[n] = new[n].unionByName(df, allowMissingColumns=True) if n in new else df
     new = {n: simulate.saved(df) for n, df in new.items()}
     keys = {n: p.domain.entity(n).primary for n in prior.counts}
+    clashes = []
+    for n, df in new.items():
+        own = df.select(F.lower(primary_key(list(keys[n]))).alias("k"))
+        twice = own.groupBy("k").count().where("count > 1").count()
+        taken = own.join(data[n].select(F.lower(primary_key(list(keys[n]))).alias("k")), "k", "left_semi").count() if n in data else 0
+        clashes += [f"{n}: {twice} keys twice among new rows"] if twice else []
+        clashes += [f"{n}: {taken} new rows have keys that exist"] if taken else []
+    if clashes:
+        raise accumulate.ContinuityError("; ".join(clashes))
     pairs = {tuple(sorted((e.name, c.entity))) for e in p.domain.entities.values() for c in e.compositions if c.kind == "isA"}
     states, moved = _stepped(spark, p, data, prior.cycle, units)
     moved = {n: simulate.saved(df) for n, df in moved.items()}

@@ -8,28 +8,57 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import forms
 from ..functions.dates import cycle_field, day, row_year
-from ..model import Domain, Factor, Hero
+from ..functions.keys import norm
+from ..model import Domain, Entity, Factor, Hero
 from ..operators import eras, gates, rules
 from ..operators import heroes as hero_rows
-from ..operators.features import fall_through, self_feature
+from ..operators.features import compile_feature, fall_through, path, resolved, self_feature
+from ..operators.reversal import coherence as gates_of_reversal
+
+
+def _parent_field(df: DataFrame, hops: list, fields: list[str]) -> tuple[DataFrame, list[Column], str | None]:
+    """df with fields of what the path leads to, those columns, and the column of its key."""
+    if not hops:
+        return df, [df[f] for f in fields], None
+    out, names = df, []
+    for i, f in enumerate([*fields, hops[-1][2]]):
+        out = path(out, hops, f, f"__end{i}", raw=True)
+        names.append(f"__end{i}")
+    return out, [F.col(n) for n in names[:-1]], names[-1]
 
 
 def rule_gate(r: Mapping, data: Mapping[str, DataFrame]) -> DataFrame:
     """A declared relational rule's gate."""
     src, name = data[r["source"]], r.get("name", r["kind"])
+    hops = [(h["field"], data[h["entity"]], h.get("key", "ID")) for h in r.get("path", ())]
     if r["kind"] == "path-match":
-        hops = [(h["field"], data[h["entity"]], h.get("key", "ID")) for h in r["path"]]
         inc = r.get("inclusion")
-        return rules.gate_of(name, rules.path_match(src, hops, r["targetField"], r.get("sourceField"), data[inc["entity"]] if inc else None, tuple(inc["fields"]) if inc else None))
+        pool = fields = None
+        if inc and "item" in inc:
+            pool, fields = data[inc["entity"]].select(F.col(inc["item"]).alias(inc["sourceItem"]), F.col(inc["container"]).alias("__container")), (inc["sourceItem"], "__container")
+        elif inc:
+            pool, fields = data[inc["entity"]], tuple(inc["fields"])
+        return rules.gate_of(name, rules.path_match(src, hops, r["targetField"], r.get("sourceField"), pool, fields))
     if r["kind"] == "date-window":
-        w = data[r["window"]]
-        return rules.gate_of(name, rules.date_window(src, day(src[r["dateField"]]), r["key"], w, r["windowKey"], day(w[r["startField"]]), day(w[r["endField"]]), bool(r.get("requireWindow"))))
+        w, key = data[r["window"]], r["key"]
+        if link := r.get("link"):  # a row's window is that of what it is linked to, else its own key's
+            to = data[link["entity"]].select(norm(link["source"]).alias("__from"), norm(link["target"]).alias("__to")).dropna().dropDuplicates(["__from"])
+            own = norm(key) if key in src.columns else F.lit(None).cast("string")
+            src = src.join(to, norm(src["ID"]) == F.col("__from"), "left").withColumn("__key_of_window", F.coalesce("__to", own)).drop("__from", "__to")
+            key = "__key_of_window"
+        theirs = r["windowKey"] if r["windowKey"] in w.columns else "ID"
+        return rules.gate_of(name, rules.date_window(src, day(src[r["dateField"]]), key, w, theirs, day(w[r["startField"]]), day(w[r["endField"]]), bool(r.get("requireWindow"))))
     if r["kind"] == "text-contains-path":
         child = r.get("children")
-        parts = [src[f] for f in r.get("fields", ())]
-        return rules.gate_of(name, rules.text_contains(src, r["textField"], parts, data[child["entity"]] if child else None, r.get("key", "ID"), child["key"] if child else None, child["field"] if child else None))
-    options = {k: r[j] for k, j in (("rule", "rule"), ("quorum", "quorum"), ("tie", "tie"), ("count_abstain", "countAbstain"), ("yes", "yes"), ("no", "no"), ("abstain", "abstain")) if j in r}
+        rows, parts, key = _parent_field(src, hops, list(r.get("targetFields", ())))
+        parts += [rows[f] for f in r.get("fields", ())]
+        judged = rules.text_contains(rows, r["textField"], parts, data[child["entity"]] if child else None, key or r.get("key", "ID"), child["key"] if child else None, child["field"] if child else None, exact="targetFields" in r)
+        if key:  # a path that leads nowhere is a violation
+            judged = judged.withColumn("violated", F.col("violated") | F.col(key).isNull())
+        return rules.gate_of(name, judged)
+    options = {k: r[j] for k, j in (("rule", "rule"), ("quorum", "quorum"), ("tie", "tie"), ("count_abstain", "countAbstain"), ("yes", "yes"), ("no", "no"), ("abstain", "abstain"), ("passed", "passed"), ("failed", "failed")) if j in r}
     return rules.gate_of(name, rules.ballots_outcome(src, r.get("key", "ID"), r["outcomeField"], data[r["ballots"]], r["decisionField"], r["voteField"], **options))
 
 
@@ -92,28 +121,131 @@ def era_gates(domain: Domain, data: Mapping[str, DataFrame], ruleset: Mapping[st
     return out
 
 
-def validate(domain: Domain, data: Mapping[str, DataFrame], factors: list[Factor] = (), base: Mapping[str, DataFrame] | None = None, lookup_universe: DataFrame | None = None, heroes: list[Hero] = (), ruleset: Mapping[str, list] | None = None) -> DataFrame:
-    """Gates in order: heroes, closure, schema, factors, eras, coverage, lookups, rules, stability, composition. A rule of an unknown entity raises before any job."""
-    missing = [r["source"] for r in domain.rules if r["source"] not in data]
+def universe(domain: Domain, data: Mapping[str, DataFrame], catalogues: Mapping[str, DataFrame] | None = None) -> DataFrame | None:
+    """(entity, field, value) of all text that a lookup may name: of entities and catalogues."""
+    out = None
+    for name, df in {**(catalogues or {}), **data}.items():
+        fields = [f.name for f in df.schema if f.dataType.typeName() in ("string", "long", "integer", "double")]
+        if fields:
+            cells = df.select(F.explode(F.array(*[F.struct(F.lit(name).alias("entity"), F.lit(f).alias("field"), F.col(f"`{f}`").cast("string").alias("value")) for f in fields])).alias("c")).select("c.*").where("value IS NOT NULL")
+            out = cells if out is None else out.unionByName(cells)
+    return out
+
+
+def lookup_gates(domain: Domain, data: Mapping[str, DataFrame], known: DataFrame | None) -> list[DataFrame]:
+    """A gate for each entity with text. Cells are counted first: without any that starts with @lookup:, nothing of the universe is read."""
+    out = []
+    for n, e in domain.entities.items():
+        fields = [f.name for f in e.fields if n in data and f.type in ("string", "uuid") and f.name in data[n].columns]
+        if not fields:
+            continue
+        some = F.lit(False)
+        for f in fields:
+            some = some | F.coalesce(F.col(f).startswith("@lookup:"), F.lit(False))
+        if known is None or not data[n].where(some).limit(1).count():
+            empty = data[n].sparkSession.createDataFrame([], "entity string, field string, value string")
+            out.append(gates.lookups(f"{n}: lookups", data[n], fields, empty if known is None else known.limit(0)))
+        else:
+            out.append(gates.lookups(f"{n}: lookups", data[n], fields, known))
+    return out
+
+
+def _has(e: Entity, df: DataFrame, *names: str) -> str | None:
+    return next((f.name for f in e.fields if f.name in names and f.name in df.columns), None)
+
+
+def identity_gates(domain: Domain, data: Mapping[str, DataFrame], names: DataFrame | None = None) -> list[DataFrame]:
+    """Names, titles and pronouns against gender, and age at intake, for entities that have the fields."""
+    first, second, third, fourth = [], [], [], []
+    for n, df in data.items():
+        e = domain.entity(n)
+        gender = _has(e, df, "Gender")
+        if gender and names is not None and (given := _has(e, df, "FirstName")):
+            first.append(gates.name_gender(f"{n}: names and gender", df, given, gender, names))
+        if gender and (title := _has(e, df, "Prefix", "Salutation")):
+            second.append(gates.words_of_gender(f"{n}: titles and gender", df, title, df[gender], gates.TITLES))
+        if pronoun := _has(e, df, "PronounSet", "Pronouns"):
+            rows, of = df, df[gender] if gender else None
+            for k in () if gender else e.foreign_keys:
+                if k.entity in data and "Gender" in data[k.entity].columns:
+                    rows = path(df, [(k.field, data[k.entity], k.target)], "Gender", "__gender", raw=True)
+                    of = F.col("__gender")
+                    break
+            if of is not None:
+                third.append(gates.words_of_gender(f"{n}: pronouns and gender", rows, pronoun, of, gates.PRONOUNS))
+        if born := _has(e, df, "DateOfBirth", "DOB", "BirthDate"):
+            since, rows = [day(df[c]) for c in ("IntakeDate", "CreatedAt", "JoinDate") if c in df.columns], df
+            for other, k in ((o, k) for o in domain.entities.values() for k in o.foreign_keys if k.entity == n and o.name in data and o.name.endswith("Profile")):
+                dates = [day(data[other.name][c]) for c in ("JoinDate", "CreatedAt") if c in data[other.name].columns]
+                if dates:  # the earliest profile's date where the row has none
+                    least = data[other.name].select(norm(k.field).alias("__p"), F.coalesce(*dates).alias("__d")).groupBy("__p").agg(F.min("__d").alias("__joined"))
+                    rows = rows.join(least, norm(df[e.primary[0]]) == F.col("__p"), "left").drop("__p")
+                    since.append(F.col("__joined"))
+                    break
+            if since:
+                fourth.append(gates.min_age(f"{n}: age at intake", rows, day(df[born]), F.coalesce(*since)))
+    return first + second + third + fourth
+
+
+def reversal_gates(domain: Domain, data: Mapping[str, DataFrame]) -> list[DataFrame]:
+    """Coherence of cancellations, for an entity whose rows can reverse others and one of their lines."""
+    head = next((e for e in domain.entities.values() if e.name in data and _has(e, data[e.name], "ReversesOrderHeaderID")), None)
+    line = next((e for e in domain.entities.values() if e.name in data and _has(e, data[e.name], "ReversesOrderLineID")), None)
+    if head is None or line is None:
+        return []
+    h, ln = data[head.name], data[line.name]
+    to = next(k.field for k in line.foreign_keys if k.entity == head.name and k.field != "ReversesOrderHeaderID")
+    customer = next((k.field for k in head.foreign_keys if k.entity != head.name), head.primary[0])
+    dated_by = cycle_field(h.schema, head.cycle_field)
+    amount = _has(line, ln, "ExtendedPrice", "NetAmount", "GrossAmount", "Amount", "LineTotal")
+    both = h.select(norm(head.primary[0]).alias("id"), norm("ReversesOrderHeaderID").alias("link"), norm(customer).alias("customer"), day(h[dated_by]).alias("day"))
+    # A line is known by the line that it mirrors; a sale's line by itself.
+    lines = ln.select(norm(to).alias("order"), F.coalesce(norm("ReversesOrderLineID"), norm(line.primary[0])).alias("line"), F.col("Quantity").cast("double").alias("quantity"), F.col(amount).cast("double").alias("amount"))
+    return [gates_of_reversal(f"{head.name}: reversals", both.where("link IS NOT NULL"), both.where("link IS NULL").drop("link"), lines.join(both.where("link IS NOT NULL").select(F.col("id").alias("order")), "order", "left_semi"), lines)]
+
+
+def validate(domain: Domain, data: Mapping[str, DataFrame], factors: list[Factor] = (), base: Mapping[str, DataFrame] | None = None, lookup_universe: DataFrame | None = None, heroes: list[Hero] = (), ruleset: Mapping[str, list] | None = None, catalogues: Mapping[str, DataFrame] | None = None, names: DataFrame | None = None) -> DataFrame:
+    """Gates in order: heroes, closure, keys, factors, eras, coverage, lookups, rules, uniqueness and lengths, names, titles, pronouns, age, reversals, images, stability, composition.
+
+    catalogues: what foreign keys and lookups may point to beside entities.
+    names: a catalogue of given names (name, gender). A rule of an unknown
+    entity raises before any job.
+    """
+    also = dict(catalogues or {})
+    known = {**also, **data}
+    missing = sorted({n for r in domain.rules for n in forms.named(r) if n not in known})
     if missing:
         raise ValueError(f"rules need entities that are missing: {', '.join(missing)}")
     here = {n: e for n, e in domain.entities.items() if n in data}
-    out: list[DataFrame] = hero_rows.gates(data, list(heroes))
+    out: list[DataFrame] = hero_rows.gates(data, list(heroes), domain)
     for n, e in here.items():
         nullable = {f.name: f.nullable for f in e.fields}
-        out += [gates.fk_closure(f"{n}.{k.field}", data[n], k.field, data[k.entity], k.target, nullable.get(k.field, False)) for k in e.foreign_keys if k.entity in data]
+        for k in e.foreign_keys:
+            if k.entity in known:
+                keys = data[n].where(~F.coalesce(F.col(k.field).cast("string").startswith("@lookup:"), F.lit(False)))  # those are resolved by their own gate
+                out.append(gates.fk_closure(f"{n}.{k.field}", keys, k.field, known[k.entity], k.target if k.target in known[k.entity].columns else known[k.entity].columns[0], nullable.get(k.field, False)))
     for n, e in here.items():
         out.append(gates.schema_gates(n, data[n], e.primary, [f.name for f in e.fields if f.unique], {f.name: f.max_length for f in e.fields if f.max_length}))
-    for n in here:
+    for n, e in here.items():
         own = [f for f in factors if f.entity == n]
         if own:
-            out.append(gates.factor_gates(data[n], [(f.id, self_feature(data[n], f.outcome), f.target, f.tolerance) for f in own]))
+            rows, scored = data[n], []
+            for i, f in enumerate(own):
+                if f.outcome.get("from", "self") == "self":
+                    scored.append((f.id, self_feature(rows, f.outcome), f.target, f.tolerance))
+                else:
+                    rows = compile_feature(resolved(f.outcome, domain, n), rows, data, e.primary[0], f"__f{i}")
+                    scored.append((f.id, F.col(f"__f{i}").cast("double"), f.target, f.tolerance))
+            out.append(gates.factor_gates(rows, scored))
     out += era_gates(domain, data, ruleset) if ruleset else []
     for n, e in here.items():
         out += [gates.dependent_coverage(f"{k.entity} has {n}", data[k.entity], k.target, data[n], k.field) for k in e.foreign_keys if k.dependent and k.entity in data]
-    if lookup_universe is not None:
-        out += [gates.lookups(f"{n}: lookups", data[n], [f.name for f in e.fields if f.type in ("string", "uuid")], lookup_universe) for n, e in here.items() if any(f.type in ("string", "uuid") for f in e.fields)]
-    out += [rule_gate(r, data) for r in domain.rules]
+    out += lookup_gates(domain, data, lookup_universe if lookup_universe is not None else universe(domain, data, also))
+    out += [rule_gate(r, known) for r in domain.rules]
+    out += identity_gates(domain, data, names)
+    out += reversal_gates(domain, data)
+    for n, e in here.items():
+        out += [gates.distinctness(f"{n}.{f.name}: images", data[n], f.name) for f in e.fields if (f.generator or {}).get("kind") == "avatar"]
     if base is not None:
         out += [gates.corpus_stability(f"{n}: kept", base.get(n), data[n], e.primary) for n, e in here.items()]
     for n, e in here.items():

@@ -208,20 +208,32 @@ def date_window(t: Tables) -> DataFrame:
     return rules.date_window(t.lineitem, F.to_date("l_shipdate"), "l_orderkey", o, "o_orderkey", d, F.date_add(d, 120), require=True).select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "violated")
 
 
-def _roles_of(t: Tables, events: DataFrame) -> DataFrame:
-    roles = t.events.groupBy("user_id", "event_type").agg(F.to_date(F.min("ts")).alias("s"), F.date_sub(F.to_date(F.max("ts")), 5).alias("e"))
-    return patterns.temporal_role(events.select("event_id", "event_type", "ts"), F.to_date("ts"), "event_type", roles, "event_type", "user_id", F.col("s"), F.col("e")).select("event_id", "actor")
+def _roles(t: Tables) -> DataFrame:
+    return t.events.groupBy("user_id", "event_type").agg(F.to_date(F.min("ts")).alias("s"), F.date_sub(F.to_date(F.max("ts")), 5).alias("e"))
 
 
-@query("""WITH r AS (SELECT user_id, event_type, min(ts)::DATE AS s, max(ts)::DATE - 5 AS e FROM events GROUP BY ALL) SELECT DISTINCT ev.event_id, r.user_id AS actor FROM events ev JOIN r ON ev.event_type = r.event_type AND ev.ts::DATE BETWEEN s AND e WHERE ev.value > 95""")
+def _roles_of(t: Tables) -> DataFrame:
+    return patterns.temporal_role(t.events.select("event_id", "event_type", "ts"), F.to_date("ts"), "event_type", _roles(t), "event_type", "user_id", F.col("s"), F.col("e")).select("event_id", "actor")
+
+
+_ROLES_SQL = "WITH r AS (SELECT user_id, event_type, min(ts)::DATE AS s, max(ts)::DATE - 5 AS e FROM events GROUP BY ALL)"
+
+
+@query(f"""{_ROLES_SQL} SELECT ev.event_id, count(DISTINCT r.user_id)::BIGINT AS actors, sum(DISTINCT r.user_id)::BIGINT AS sum_of_actors, min(r.user_id) AS first_actor, max(r.user_id) AS last_actor FROM events ev JOIN r ON ev.event_type = r.event_type AND ev.ts::DATE BETWEEN s AND e GROUP BY ev.event_id""")
 def temporal_role(t: Tables) -> DataFrame:
-    """Of events with value > 95 alone, as the SQL has it; temporal_role_all is of all events."""
-    return _roles_of(t, t.events.where("value > 95"))
+    """All pairs of event and actor, by event: how many, and which by their sum, first and last."""
+    return _roles_of(t).groupBy("event_id").agg(F.count(F.lit(1)).alias("actors"), F.sum("actor").alias("sum_of_actors"), F.min("actor").alias("first_actor"), F.max("actor").alias("last_actor"))
 
 
 @query()
 def temporal_role_all(t: Tables) -> DataFrame:
-    return _roles_of(t, t.events)
+    return _roles_of(t)
+
+
+@query(f"""{_ROLES_SQL} SELECT ev.event_id, (SELECT count(*) FROM r WHERE ev.event_type = r.event_type AND ev.ts::DATE BETWEEN s AND e)::BIGINT AS actors FROM events ev""")
+def role_counts(t: Tables) -> DataFrame:
+    """How many actors each event could have, without their pairs."""
+    return patterns.role_counts(t.events.select("event_id", "event_type", "ts"), F.to_date("ts"), "event_type", _roles(t), "event_type", "user_id", F.col("s"), F.col("e")).select("event_id", "actors")
 
 
 @query("""WITH c AS (SELECT conv_id, list(DISTINCT lower(role)) AS must FROM conversations GROUP BY conv_id) SELECT conv_id, turn, NOT (contains(lower(text), 'the') AND list_bool_and(list_transform(must, lambda x: contains(lower(text), x)))) AS violated FROM conversations JOIN c USING (conv_id)""")

@@ -76,7 +76,9 @@ def load(path: str | Path) -> Project:
     domain = parse_domain({"namespace": m["uuidNamespace"], **read_json(root / m.get("domainPath", "domain.json"))})
     rules, params = rulesets(root / m.get("rulesetPath", "ruleset"))
     check_ruleset(rules, domain)
-    return Project(root, domain, m["startCycle"], date.fromisoformat(m["releaseDate"]), m["cycleUnit"], root / m.get("output", "data"), rules, params, find_catalogues(root, m.get("catalogs")))
+    output = m.get("output", "data")
+    output = output.get("metadataDir", "data") if isinstance(output, dict) else output
+    return Project(root, domain, m["startCycle"], date.fromisoformat(m["releaseDate"]), m["cycleUnit"], root / output, rules, params, find_catalogues(root, m.get("catalogs")))
 
 
 def catalogue(spark: SparkSession, path: str | Path) -> DataFrame:
@@ -100,3 +102,13 @@ def names(spark: SparkSession, female: list[str], male: list[str]) -> DataFrame:
     both = {x.lower() for x in female} & {x.lower() for x in male}
     rows = [(x, "Unisex" if x.lower() in both else g) for g, xs in (("Female", female), ("Male", male)) for x in xs]
     return spark.createDataFrame(rows, "name string, gender string").distinct()
+
+
+def given_names(catalogues: dict[str, DataFrame]) -> DataFrame | None:
+    """(name, gender) of the catalogue given-names, in rows of name and gender or in buckets by gender; None without one."""
+    df = catalogues.get("given-names")
+    if df is None:
+        return None
+    of = {c.lower(): c for c in df.columns}
+    name, gender = (of["value"], of["bucket"]) if "bucket" in of else (of["name"], of["gender"])
+    return df.select(F.col(name).alias("name"), F.initcap(gender).alias("gender"))

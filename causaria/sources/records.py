@@ -173,11 +173,11 @@ def append(domain: Domain, folder: str, new: dict[str, DataFrame], prior: dict[s
         df.write.mode("append").parquet(f"{folder}/{n}")
 
 
-def decorated(df: DataFrame, entity: Entity, key: str, seed: int, catalogues: dict | None = None) -> DataFrame:
+def decorated(df: DataFrame, entity: Entity, key: str, seed: int, catalogues: dict | None = None, parents: list | None = None) -> DataFrame:
     """df with the entity's generated fields filled."""
     from ..operators.generate import generated
 
-    return generated(df, key, {f.name: f.generator for f in entity.fields if f.generator}, seed, catalogues)
+    return generated(df, key, {f.name: f.generator for f in entity.fields if f.generator}, seed, catalogues, parents)
 
 
 def replaced(spark: SparkSession, path: str, df: DataFrame) -> None:

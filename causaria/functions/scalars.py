@@ -68,14 +68,19 @@ def gender_of(name: Name, female: list[str], male: list[str]) -> Column:
     return F.when(n.isin([x.lower() for x in female]), "Female").when(n.isin([x.lower() for x in male]), "Male").otherwise("Unknown")
 
 
-#: Words that don't count for a monogram's initials.
-STOP_WORDS = ("the", "of", "and", "for", "inc", "llc", "ltd", "co")
+#: The words that don't count for a monogram's initials, and its letters where no word does.
+STOP_WORDS = ("inc", "llc", "co", "corp", "ltd", "and", "&", "the", "of", "for")
+NO_INITIALS = "MC"
 PALETTE = ("#1b4965", "#5fa8d3", "#62b6cb", "#cae9ff", "#386641", "#6a994e", "#a7c957", "#bc4749")
 
 
 def initials(name: Name) -> Column:
-    words = F.filter(F.split(F.lower(F.trim(col(name))), r"\W+"), lambda w: (w != "") & ~w.isin(list(STOP_WORDS)))
-    return F.upper(F.concat_ws("", F.transform(F.slice(words, 1, 2), lambda w: F.substring(w, 1, 1))))
+    """The first letters of the first three words that count; of two if there are two; a lone word's first two letters. Commas and dots are left out."""
+    bare = F.trim(F.regexp_replace(F.coalesce(col(name).cast("string"), F.lit("")), "[,.]", ""))
+    words = F.filter(F.split(bare, r"\s+"), lambda w: (w != "") & ~F.lower(w).isin(list(STOP_WORDS)))
+    several = F.concat_ws("", F.transform(F.slice(words, 1, 3), lambda w: F.substring(w, 1, 1)))
+    found = F.when(F.size(words) >= 2, several).when(F.size(words) == 1, F.substring(F.element_at(words, 1), 1, 2))
+    return F.upper(F.coalesce(found, F.lit(NO_INITIALS)))
 
 
 def monogram(name: Name) -> Column:
@@ -89,6 +94,20 @@ def monogram(name: Name) -> Column:
     return F.concat(F.lit("data:image/svg+xml;base64,"), F.base64(F.encode(svg, "UTF-8")))
 
 
-def avatar_url(seed: Name, style: str, base: str) -> Column:
-    """The address at which a service draws an avatar for the seed."""
-    return F.concat(F.lit(f"{base.rstrip('/')}/{style}/svg?seed="), F.url_encode(col(seed).cast("string")))
+def avatar_url(seed: Name, style: str, base: str, trait: Name | None = None, traits: dict[str, dict] | None = None, default: str | None = None, background: str | None = None) -> Column:
+    """The address at which a service draws an avatar for the seed.
+
+    traits: a trait's value (Gender, say) -> options of the drawing, which go
+    into the address sorted by name, lists joined by commas; for a value that
+    isn't there those of default.
+    """
+    from urllib.parse import quote
+
+    query = lambda o: "".join(f"&{quote(str(k))}={quote(','.join(map(str, v)) if isinstance(v, list | tuple) else str(v).lower() if isinstance(v, bool) else str(v), safe='')}" for k, v in sorted(o.items()))
+    rest = F.lit(query((traits or {}).get(default, {})) if default else "")
+    options = None
+    for value, o in (traits or {}).items() if trait is not None else ():
+        hit = F.lower(col(trait).cast("string")) == value.lower()
+        options = F.when(hit, F.lit(query(o))) if options is None else options.when(hit, F.lit(query(o)))
+    tail = rest if options is None else options.otherwise(rest)
+    return F.concat(F.lit(f"{base.rstrip('/')}/{style}/svg?seed="), F.url_encode(col(seed).cast("string")), tail, F.lit(f"&backgroundColor={background.lstrip('#')}" if background else ""))

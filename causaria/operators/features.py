@@ -199,3 +199,16 @@ def fmt(text: str, at) -> Column:
 
     parts = [F.coalesce(at(p[1:-1]).cast("string"), F.lit("")) if p.startswith("{") and p.endswith("}") else F.lit(p) for p in re.split(r"(\{[\w.]+\})", text) if p]
     return F.concat(*parts) if parts else F.lit("")
+
+
+def last_rows(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The last n rows of an order, which must be total: a top-k, never a sort of all."""
+    return df.orderBy(*[F.col(c).desc() for c in order]).limit(n)
+
+
+def examples(judged: DataFrame, key: str, n: int = 3, by: list[str] = ()) -> DataFrame:
+    """How many rows are violated, and the first n keys of them in order: what a gate's message shows. Tasks send n keys each."""
+    bad = judged.where("violated")
+    first = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("__few")))), 1, n)
+    part = bad.groupBy(*by, F.spark_partition_id().alias("__p")).agg(F.count(F.lit(1)).alias("__n"), F.slice(F.array_sort(F.collect_set(F.col(key))), 1, n).alias("__few"))
+    return part.groupBy(*by).agg(F.sum("__n").alias("violations"), first.alias("examples"))

@@ -98,7 +98,7 @@ def generated(df: DataFrame, key: str, fields: Mapping[str, Mapping], seed: int,
         elif kind == "monogram":
             c = monogram(g["of"])
         elif kind == "avatar":
-            c = avatar_url(g["of"], g["style"], g["base"])
+            c = avatar_url(g["of"], g["style"], g["base"], g.get("trait"), g.get("traits"), g.get("default"), g.get("background"))
         else:
             raise ValueError(f"{name}: unknown generator {kind!r}")
         df = df.withColumn(name, c).drop("__condition")
@@ -201,21 +201,32 @@ def scheduled(parents: DataFrame, schedule: list[dict]) -> DataFrame:
 
 
 def seated(parents: DataFrame, key: str, candidates: DataFrame, actor: str, seats: int, seed: int, taken: DataFrame | None = None, pool: int = 64) -> DataFrame:
-    """(key, actor, seat): for each parent, seats actors not already seated with it, by keyed draws without replacement.
+    """(key, actor, seat): for each parent, seats actors not already seated with it, by keyed draws without replacement; all that are free, if those are fewer.
 
-    Candidates are dealt into buckets by hash; a parent draws from one bucket,
-    of about pool actors at least, so that no parent meets all candidates.
+    Candidates are dealt into buckets by hash. A parent draws from one bucket, of
+    about pool actors at least, and goes on to the next for the seats that are
+    left, so that no parent meets all candidates while seats can be filled.
     """
+    from ..streaming.simulate import saved
+
     n = candidates.count()
     buckets = max(1, n // max(pool, 4 * seats))
-    c = candidates.select(F.col(actor).alias("actor"), F.pmod(F.xxhash64(actor), F.lit(buckets)).alias("__b"))
-    p = parents.select(F.col(key).alias("key"), F.pmod(F.xxhash64(key), F.lit(buckets)).alias("__b"))
-    met = p.join(c, "__b")
-    if taken is not None:
-        met = met.join(taken.select(F.col(key).alias("key"), F.col(actor).alias("actor")), ["key", "actor"], "left_anti")
+    c = saved(candidates.select(F.col(actor).alias("actor")).distinct().withColumn("__b", F.pmod(F.xxhash64("actor"), F.lit(buckets))))
+    open_ = saved(parents.select(F.col(key).alias("key")).distinct().withColumns({"__b": F.pmod(F.xxhash64("key"), F.lit(buckets)), "left": F.lit(seats)}))
+    gone = None if taken is None else taken.select(F.col(key).alias("key"), F.col(actor).alias("actor")).distinct()
     u = keyed(seed, F.concat_ws(":", F.col("key").cast("string"), F.col("actor").cast("string")), 1, "seat:")
-    ranked = met.withColumn("seat", F.row_number().over(Window.partitionBy("key").orderBy(u, "actor"))).where(F.col("seat") <= seats)
-    return ranked.select(F.col("key").alias(key), F.col("actor").alias(actor), "seat")
+    out = None
+    for _ in range(buckets):
+        met = open_.join(c, "__b")
+        met = met.join(gone, ["key", "actor"], "left_anti") if gone is not None else met
+        ranked = met.withColumn("__r", F.row_number().over(Window.partitionBy("key").orderBy(u, "actor"))).where(F.col("__r") <= F.col("left"))
+        one = saved(ranked.select("key", "actor", (F.lit(seats) - F.col("left") + F.col("__r")).cast("int").alias("seat")))
+        out = one if out is None else out.unionByName(one)
+        filled = one.groupBy("key").agg(F.count(F.lit(1)).alias("__n"))
+        open_ = saved(open_.join(filled, "key", "left").select("key", F.pmod(F.col("__b") + 1, F.lit(buckets)).alias("__b"), (F.col("left") - F.coalesce("__n", F.lit(0))).cast("int").alias("left")).where("left > 0"))
+        if open_.isEmpty():
+            break
+    return out.select(F.col("key").alias(key), F.col("actor").alias(actor), "seat")
 
 
 def by_hash(df: DataFrame, id_: str, values: list) -> Column:

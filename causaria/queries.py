@@ -344,7 +344,7 @@ SELECT 'first name of part' AS name, count(*) > 0 AND count(*) FILTER (WHERE bad
 def name_catalogue(t: Tables) -> DataFrame:
     p = t.part.withColumn("given", F.split("p_name", " ")[0]).withColumn("gender", F.when(F.col("p_size") <= 25, "Female").otherwise("Male"))
     catalogue = p.where("p_size <= 25").select(F.col("given").alias("name"), F.lit("Female").alias("gender")).union(p.where("p_size > 45").select("given", F.lit("Male"))).distinct()
-    return gates.name_gender("first name of part", p, "given", "gender", catalogue).select(*GATE)
+    return gates.name_gender("first name of part", p, "given", "gender", catalogue).withColumn("actual", F.split("actual", ",").getItem(0)).select(*GATE)
 
 
 @query("""SELECT 'shipped in time' AS name, count(*) FILTER (WHERE (l_shipdate::DATE - o_orderdate::DATE) / 365.2425 < 0.05 - 0.001) = 0 AS passed, count(*)::BIGINT AS population_count, (count(*) FILTER (WHERE (l_shipdate::DATE - o_orderdate::DATE) / 365.2425 < 0.05 - 0.001))::VARCHAR AS actual FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
@@ -581,11 +581,20 @@ def undecided_events(t: Tables) -> DataFrame:
     return accumulate.undecided(t.events, "event_id", "ts", datetime.date(2024, 1, 5), datetime.date(2024, 1, 12), t.events.where("event_type = 'click'").select("event_id"), "event_id").select("event_id")
 
 
-@query("""SELECT c_custkey, upper(left('c', 1)) || upper(left(list_filter(regexp_split_to_array(lower(c_name), '\\W+'), lambda w: w <> '')[2], 1)) AS initials FROM customer""")
+_WORDS = "list_filter(regexp_split_to_array(trim(regexp_replace(n, '[,.]', '', 'g')), '\\s+'), lambda w: w <> '' AND lower(w) NOT IN ('inc', 'llc', 'co', 'corp', 'ltd', 'and', '&', 'the', 'of', 'for'))"
+
+
+@query(f"""WITH c AS (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN c_name WHEN 1 THEN 'The ' || c_mktsegment || ' of ' || c_name || ', Inc.' WHEN 2 THEN c_mktsegment || ' and ' || c_name || ' Box 7' WHEN 3 THEN 'x' ELSE 'the co.' END AS n FROM customer), w AS (SELECT c_custkey, {_WORDS} AS w FROM c)
+SELECT c_custkey, upper(CASE WHEN len(w) >= 2 THEN left(w[1], 1) || left(w[2], 1) || coalesce(left(w[3], 1), '') WHEN len(w) = 1 THEN left(w[1], 2) ELSE 'mc' END) AS initials FROM w""")
 def monogram_initials(t: Tables) -> DataFrame:
-    return t.customer.select("c_custkey", scalars.initials("c_name").alias("initials"))
+    k = F.col("c_custkey") % 5
+    name = F.when(k == 0, F.col("c_name")).when(k == 1, F.concat(F.lit("The "), "c_mktsegment", F.lit(" of "), "c_name", F.lit(", Inc."))).when(k == 2, F.concat("c_mktsegment", F.lit(" and "), "c_name", F.lit(" Box 7"))).when(k == 3, "x").otherwise("the co.")
+    return t.customer.select("c_custkey", scalars.initials(name).alias("initials"))
 
 
 @query("""SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey)::INT AS place FROM customer""")
 def ordered_children(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", F.row_number().over(Window.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"), "c_custkey")).alias("place"))
+
+
+from . import more_queries  # noqa: E402, F401  (registers its queries here)

@@ -25,9 +25,8 @@ from ..operators.compose import ordinal
 TOP_K = 10_000
 
 
-def saved(df: DataFrame, folder: str | None = None) -> DataFrame:
-    """df written to the cluster's shared folder and read back."""
-    spark = df.sparkSession
+def fresh(spark: SparkSession, kind: str, folder: str | None = None) -> str:
+    """A new path in the folder that the cluster shares: spark.checkpoint.dir, or a temporary one where that is unset and all runs on one machine."""
     base = folder or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         import tempfile
@@ -36,9 +35,14 @@ def saved(df: DataFrame, folder: str | None = None) -> DataFrame:
             raise ValueError("spark.checkpoint.dir names no folder that the cluster shares")
         base = f"file://{tempfile.mkdtemp(prefix='causaria-')}"
         spark.sparkContext.setCheckpointDir(base)
-    at = f"{base.rstrip('/')}/state-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """df written to the cluster's shared folder and read back."""
+    at = fresh(df.sparkSession, "state", folder)
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
 # Dials

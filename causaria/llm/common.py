@@ -53,6 +53,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that the cluster shares")
         where = f"file://{tempfile.mkdtemp(prefix='causaria-')}"
         spark.sparkContext.setCheckpointDir(where)
     return where
@@ -83,9 +85,28 @@ def staged(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables that this driver has staged and not yet dropped, in order.
+_staged: list[str] = []
+
+
+def mark() -> int:
+    """Where the list of staged tables stands now, for dropped()."""
+    return len(_staged)
+
+
+def dropped(spark: SparkSession, since: int, until: int) -> None:
+    """Deletes the tables staged from one mark up to another: nothing may read them any more."""
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for path in _staged[since:until]:
+        p = fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    del _staged[since:until]
+
+
 def tuned(spark: SparkSession) -> SparkSession:
     """Bounds the Arrow batches that Python sees, so that long texts don't fill a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")

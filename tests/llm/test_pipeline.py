@@ -4,7 +4,7 @@ from collections import Counter
 from hashlib import sha256
 
 import corpus_pipeline
-from causaria.llm import mixing, quality, toxicity
+from causaria.llm import common, mixing, quality, toxicity
 from causaria.llm.queries import table
 from tests.conftest import DATA
 from tests.llm.helpers import near_duplicates
@@ -30,6 +30,13 @@ def test_run_equals_plain_stages(spark):
     assert got == +want and len(got) > 50
 
 
+def test_run_drops_what_it_staged(spark, monkeypatch):
+    """After a run only its last stage's input is left, and, staged for the last stage, what it reads."""
+    monkeypatch.setattr(common, "_staged", [])
+    out = corpus_pipeline.run(spark, SF)
+    assert len(common._staged) == 1 and out.count() > 50
+
+
 def test_stages_keep_the_columns_and_shrink_or_repeat(spark):
     docs = table(spark, SF, "documents")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality", "near_dedup", "mixing", "bpe"]

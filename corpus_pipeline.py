@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from causaria.llm import bpe, minhash, mixing, quality, toxicity
-from causaria.llm.common import staged, tuned
+from causaria.llm.common import dropped, mark, staged, tuned
 from causaria.llm.queries import table, vocabulary
 
 
@@ -46,10 +46,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, in order."""
+    """The stages applied to documents, in order. What a stage staged, its input included, is dropped once its output is written."""
     docs = table(tuned(spark), sf_dir, "documents")
+    began = mark()
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = staged(docs)
+            dropped(spark, began, mark() - 1)
     return docs

@@ -20,30 +20,30 @@ NS = "6ba7b810-9dad-11d1-80b4-00c04fd430c8"
 def root(tmp_path):
     (tmp_path / "ruleset").mkdir()
     field = {"ID": {"type": "uuid", "isPrimaryKey": True}, "Name": {}, "CreatedAt": {"type": "date"}}
-    domain = {"name": "small", "entities": {"Organization": {"businessKey": ["Name"], "isImmutable": True, "fields": field}, "Person": {"businessKey": ["Name"], "fields": {**field, "CompanyID": {"type": "uuid", "nullable": True}, "Status": {}}, "foreignKeys": {"CompanyID": {"targetEntity": "Organization"}}}}}
-    rules = {"params": {"volume_default": 10, "intake_default": 2, "intake_Organization": 0}, "factors": [{"id": "active", "effect": "Person", "target": 0.85, "tolerance": 0.2, "outcome": {"where": {"Status": "Active"}, "otherwise": "Inactive"}}]}
+    domain = {"name": "coast", "entities": {"Lighthouse": {"businessKey": ["Name"], "isImmutable": True, "fields": field}, "Keeper": {"businessKey": ["Name"], "fields": {**field, "LighthouseID": {"type": "uuid", "nullable": True}, "Status": {}}, "foreignKeys": {"LighthouseID": {"targetEntity": "Lighthouse"}}}}}
+    rules = {"params": {"volume_default": 10, "intake_default": 2, "intake_Lighthouse": 0}, "factors": [{"id": "on_duty", "effect": "Keeper", "target": 0.7, "tolerance": 0.3, "outcome": {"where": {"Status": "OnDuty"}, "otherwise": "Away"}}]}
     (tmp_path / "project.json").write_text(json.dumps({"uuidNamespace": NS, "startCycle": 2024, "releaseDate": "2026-01-01", "cycleUnit": "week"}))
     (tmp_path / "domain.json").write_text(json.dumps(domain))
     (tmp_path / "ruleset" / "common.json").write_text(json.dumps(rules))
     return tmp_path
 
 
-def counts(spark, root, names=("Organization", "Person")):
+def counts(spark, root, names=("Lighthouse", "Keeper")):
     return {n: spark.read.parquet(f"{root}/data/{n}").count() for n in names}
 
 
 def test_build_accumulate_validate(spark, root, capsys):
-    assert main(["build", str(root)]) == 0 and counts(spark, root) == {"Organization": 10, "Person": 10}
+    assert main(["build", str(root)]) == 0 and counts(spark, root) == {"Lighthouse": 10, "Keeper": 10}
     assert main(["validate", str(root)]) == 0 and "gates passed" in capsys.readouterr().out
     before = {p: p.read_bytes() for p in Path(root, "data").rglob("*.parquet")}
-    ids = {r["ID"] for r in spark.read.parquet(f"{root}/data/Person").collect()}
-    assert main(["accumulate", str(root)]) == 0 and counts(spark, root) == {"Organization": 10, "Person": 12}
+    ids = {r["ID"] for r in spark.read.parquet(f"{root}/data/Keeper").collect()}
+    assert main(["accumulate", str(root)]) == 0 and counts(spark, root) == {"Lighthouse": 10, "Keeper": 12}
     assert all(p.read_bytes() == b for p, b in before.items())  # committed files are left alone
     assert main(["accumulate", str(root)]) == 0
-    people = spark.read.parquet(f"{root}/data/Person")
+    people = spark.read.parquet(f"{root}/data/Keeper")
     assert people.count() == 14 == people.select("ID").distinct().count() and ids <= {r["ID"] for r in people.collect()}
     assert str(runs.as_of(project.load(root))) == "2026-01-15" and main(["validate", str(root), "--base", str(root / "data")]) == 0
-    assert {r["Status"] for r in people.collect()} <= {"Active", "Inactive"}
+    assert {r["Status"] for r in people.collect()} <= {"OnDuty", "Away"}
 
 
 def test_builds_agree(spark, root):
@@ -71,9 +71,9 @@ def test_a_failed_cycle_leaves_the_state(spark, root, tmp_path):
 def test_planned_cycle(spark, root, tmp_path):
     main(["build", str(root)])
     plan = tmp_path / "plan.json"
-    plan.write_text(json.dumps({"asOf": "2026-01-08", "summary": "one", "intake": {"Person": 0}, "records": [{"entity": "Person", "fields": {"Name": "Zoe", "Status": "Active", "CreatedAt": "2026-01-05"}}]}))
+    plan.write_text(json.dumps({"asOf": "2026-01-08", "summary": "one", "intake": {"Keeper": 0}, "records": [{"entity": "Keeper", "fields": {"Name": "Tor", "Status": "OnDuty", "CreatedAt": "2026-01-05"}}]}))
     assert main(["accumulate", str(root), "--plan", str(plan)]) == 0
-    assert spark.read.parquet(f"{root}/data/Person").where("Name = 'Zoe'").count() == 1 and counts(spark, root)["Person"] == 11
+    assert spark.read.parquet(f"{root}/data/Keeper").where("Name = 'Tor'").count() == 1 and counts(spark, root)["Keeper"] == 11
 
 
 def test_heroes(spark):
@@ -99,14 +99,14 @@ def test_upsert_and_replace(spark, tmp_path):
 
 def test_ladders_go_on_between_cycles(spark, root):
     rules = json.loads((root / "ruleset" / "common.json").read_text())
-    rules["ladders"] = [{"id": "life", "entity": "Person", "share": 1.0, "binding": {"field": "Stage"}, "states": [{"name": "Trial", "duration": 3}, {"name": "Active", "duration": 1, "capacity": 4, "stored": "A"}, {"name": "Gone", "duration": 9}]}]
+    rules["ladders"] = [{"id": "life", "entity": "Keeper", "share": 1.0, "binding": {"field": "Stage"}, "states": [{"name": "Trial", "duration": 3}, {"name": "Active", "duration": 1, "capacity": 4, "stored": "A"}, {"name": "Gone", "duration": 9}]}]
     (root / "ruleset" / "common.json").write_text(json.dumps(rules))
     domain = json.loads((root / "domain.json").read_text())
-    domain["entities"]["Person"]["fields"]["Stage"] = {"nullable": True}
+    domain["entities"]["Keeper"]["fields"]["Stage"] = {"nullable": True}
     (root / "domain.json").write_text(json.dumps(domain))
     p = project.load(root)
     runs.write(p, runs.build(spark, p))
-    stage = lambda: {r["Stage"]: r["count"] for r in spark.read.parquet(f"{root}/data/Person").groupBy("Stage").count().collect()}
+    stage = lambda: {r["Stage"]: r["count"] for r in spark.read.parquet(f"{root}/data/Keeper").groupBy("Stage").count().collect()}
     assert stage() == {"Trial": 10}
     seen = []
     for _ in range(3):

@@ -38,11 +38,11 @@ from pyspark.sql import functions as F
 from .common import claim, memo, only
 
 #: Bytes of words kept with their tokens in each Python worker: so many of late, and as many before that; words met again are carried over.
-MEMO_BYTES = 50_000_000
+MEMO_BYTES = 32_000_000
 #: What a kept word takes beside its own bytes and labels; words longer than this many bytes aren't kept.
 WORD_BYTES, LONGEST_WORD = 260, 64
 #: Transitions kept: some 250 bytes each with the states they lead to.
-MAX_ARCS = 400_000
+MAX_ARCS = 320_000
 #: Instead of the token before a suffix: any token may come next, or none. Told apart where at most FEW tokens go on from the suffix.
 FREE, DEAD, FEW = -1, -2, 24
 #: Pairs of tokens kept with whether the token automaton has the arc.

@@ -46,8 +46,8 @@ STEMS = (4, 5, 6, 7)
 #: A feature is kept if its log odds of toxicity exceed LEAST_ODDS by SURE standard errors.
 LEAST_ODDS, SURE = 1.0, 2.5
 
-#: Words a worker keeps the hashes of; when full, the table starts anew.
-MEMO_WORDS = 200_000
+#: Words a worker keeps, when scoring and when hashing the sample (where each takes some 380 bytes); when full, the table starts anew.
+MEMO_WORDS, SAMPLE_WORDS = 200_000, 60_000
 _memo: dict[str, tuple[int, ...]] = memo({})
 _kept_memo: dict[str, tuple[int, ...]] = memo({})
 
@@ -68,7 +68,7 @@ def word_counts(text: str | None):
 
 def hashed(text: str | None) -> dict[int, int]:
     """Hashed lower-cased words (letters and digits) and stems of a text with their counts."""
-    if len(_memo) > MEMO_WORDS:
+    if len(_memo) > SAMPLE_WORDS:
         _memo.clear()
     out: dict[int, int] = {}
     for w, n in word_counts(text):

@@ -110,7 +110,7 @@ def blocks(html: str | None) -> list[Block]:
         nonlocal link_chars, at
         text = unescape(raw) if "&" in raw else raw
         leaves.append(text)
-        if at is None and not text.isspace():
+        if at is None and text.strip(" \t\n\v\f\r"):
             at = (stack[-1][1], stack[-1][2], stack[-1][5], len(stack)) if stack else (0, 0, 0, 0)
         if open_.get("a"):
             link_chars += len(text)

@@ -142,6 +142,7 @@ def test_blocks():
     assert [x.text for x in b] == ["T", "A&B éc d e", "fg", "hi", "k &am"] and 0 < b[3].linked < 1
     own = html_extract.bits("p", ' class="x y"')
     assert b[1].path & own[0] == own[0] and b[1].near & own[1] == own[1] and b[0].path & own[0] != own[0] and b[1].holder == b[2].holder != b[0].holder
+    assert [x.text for x in html_extract.blocks("<p>\x1f</p>\xa0<p>\u3000")] == ["\x1f", "\xa0", "\u3000"]  # white space to Python, none here
     assert html_extract.blocks(None) == [] and html_extract.blocks("<p> \n </p>") == [] and [x.text for x in html_extract.blocks("bare")] == ["bare"]
     deep = html_extract.blocks("<div>" * 3000 + "x" + "</div>" * 3000 + "<p>" + "y " * 200_000)
     assert [x.text[:1] for x in deep] == ["x", "y"] and len(deep[1].text) == 399_999

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html_extract, metric_join, minhash, mixing, quality, sql, toxicity, url_filter, warc
+from . import bpe, chat, html_extract, metric_join, minhash, mixing, quality, runs, sql, toxicity, url_filter, warc, whitening
 from .common import tuned
 
 
@@ -63,5 +63,16 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "order_turn", "order_index", "order_phase", "kind", "call_id", "status", "level", F.array_join("errors", ",").alias("errors"), "json")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_url_filter, op3_quality, op4_html, op5_minhash, op6_metric_join, op7_warc, op8_toxicity, op9_bpe, op10_chat)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components(table(tuned(spark), sf_dir, "embeddings"))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.runs(runs.planted(table(tuned(spark), sf_dir, "documents"))))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_mixing, op2_url_filter, op3_quality, op4_html, op5_minhash, op6_metric_join, op7_warc, op8_toxicity, op9_bpe, op10_chat, op11_whitening, op12_runs)
+}
 SQL = dict(sql.SQL)

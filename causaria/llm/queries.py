@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html_extract, metric_join, minhash, mixing, quality, runs, sql, toxicity, url_filter, warc, whitening
+from . import bpe, chat, html_extract, metric_join, minhash, mixing, quality, runs, sql, substrings, toxicity, url_filter, warc, whitening
 from .common import tuned
 
 
@@ -71,8 +71,12 @@ def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digests(runs.runs(runs.planted(table(tuned(spark), sf_dir, "documents"))))
 
 
+def op13_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(substrings.removed(table(tuned(spark), sf_dir, "documents")))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_mixing, op2_url_filter, op3_quality, op4_html, op5_minhash, op6_metric_join, op7_warc, op8_toxicity, op9_bpe, op10_chat, op11_whitening, op12_runs)
+    for f in (op1_mixing, op2_url_filter, op3_quality, op4_html, op5_minhash, op6_metric_join, op7_warc, op8_toxicity, op9_bpe, op10_chat, op11_whitening, op12_runs, op13_substrings)
 }
 SQL = dict(sql.SQL)

@@ -264,8 +264,14 @@ def links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     parts = at_home.mapInArrow(_parts(sides), "part long, own boolean, id long, mult long, unit binary")
     found = staged(parts.repartition("part").sortWithinPartitions("part", F.col("own").desc(), "id").mapInArrow(_joined(cosine, dims), "a long, b long, n long"))
     counts = found.where("n IS NOT NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-    edges = components(found.where("b IS NOT NULL").select("a", "b"))
-    nodes = staged(counts.join(edges.select(F.col("id").alias("rep"), "component"), "rep", "left"))
+    linked = found.where("b IS NOT NULL").select("a", "b")
+    # A vec_id whose rows stand for several classes ties them together.
+    stands = valid.join(small(classes, n), ["hi", "lo"]).select("vec_id", "rep")
+    several = staged(stands.groupBy("vec_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("vec_id"))
+    if n_several := several.count():
+        linked = linked.union(stands.where("rep <> vec_id").join(small(several, n_several), "vec_id").select(F.col("rep").alias("a"), F.col("vec_id").alias("b")).distinct())
+    edges = components(linked)
+    nodes = staged(counts.join(edges.select(F.col("id").alias("rep"), "component"), "rep", "full"))
     of = classes.join(small(nodes, n), "rep", "left").select("hi", "lo", (F.col("mult") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
     out = base.join(small(of, n), ["hi", "lo"], "left")
     linked = F.col("unit").isNotNull() & F.col("vec_id").isNotNull()

@@ -71,7 +71,7 @@ def bits(tag: str, attrs: str = "") -> tuple[int, int]:
     if (found := _named.get(key)) is None:
         names = [tag]
         for g in _NAMES.findall(attrs) if "=" in attrs else ():
-            for w in _NAME.findall("".join(g)[:500]):
+            for w in _NAME.findall("".join(g)):
                 names.append("." + w.lower())
                 if len(w) > 4:
                     names.append("~" + w[:4].lower())

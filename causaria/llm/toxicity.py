@@ -145,12 +145,15 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list[
 
     The labels are cut to the bound first, so that documents are only filtered
     by a broadcast of at most that many ids. Null labels and ids are left out;
-    an id labelled twice counts once, as toxic if any label says so.
+    an id labelled twice counts once, as toxic if any label says so; an id that
+    occurs twice gives one of its texts.
     """
     labels = only(labels, "doc_id", "toxic")
     ids = labels.select(F.col("doc_id").cast("long").alias("__id"), F.col("toxic").cast("int").alias("toxic")).dropna().groupBy("__id").agg(F.max("toxic").alias("toxic"))
     ids = first_by_hash(ids, "__id", rows, ids.count())
     one = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "__id")
+    # One row an id, however often it occurs: of its texts that of the smallest hash.
+    one = one.groupBy("__id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic"))
     found = one.select("text", "toxic").mapInArrow(_lists, "words binary, counts binary, toxic int").toLocalIterator()
     out = [Row(np.frombuffer(bytes(r[0]), np.int32), np.frombuffer(bytes(r[1]), np.int32), r[2] > 0) for r in found]
     return sorted(out, key=lambda r: (len(r.words), r.words.tobytes(), r.toxic))  # sums in one order, so that reruns agree

@@ -30,6 +30,7 @@ are its tokens. Decoding emits arc labels.
 from __future__ import annotations
 
 import json
+from array import array
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
@@ -43,6 +44,9 @@ MEMO_BYTES = 32_000_000
 WORD_BYTES, LONGEST_WORD = 260, 64
 #: Transitions kept: some 250 bytes each with the states they lead to.
 MAX_ARCS = 320_000
+
+#: Bytes of a word beyond which the bound is looked at inside it: fewer make no more arcs than that.
+LONG_PATH = 4096
 #: Instead of the token before a suffix: any token may come next, or none. Told apart where at most FEW tokens go on from the suffix.
 FREE, DEAD, FEW = -1, -2, 24
 #: Pairs of tokens kept with whether the token automaton has the arc.
@@ -208,6 +212,8 @@ class Automaton:
 
     def encode_word(self, word: bytes) -> list[int]:
         """The labels on the automaton's only path over word."""
+        if len(word) > LONG_PATH:
+            return self.encode_long(word)
         path, out, at = self.run(word), [], len(word) - 1
         while at >= 0:
             s = path[at]
@@ -216,6 +222,33 @@ class Automaton:
         out.reverse()
         return out
 
+    def encode_long(self, word: bytes) -> list[int]:
+        """The same for a word of any length: of the path only tokens and their sizes are kept, and the table starts anew inside the word when it is full."""
+        last, size, state = array("i"), array("i"), self.start
+        for b in word:
+            if self.arcs > self.max_arcs:
+                state = self.restarted(state)
+            state = state[b]
+            last.append(state.last)
+            size.append(state.size)
+        out, at = [], len(word) - 1
+        while at >= 0:
+            out.append(last[at])
+            at -= size[at]
+        out.reverse()
+        return out
+
+    def restarted(self, state: State) -> State:
+        """The table emptied but for a state, whose transitions are to be made anew."""
+        begins, last, size = state.begins, state.last, state.size
+        for s in self.states.values():  # states point to each other: what is dropped shall go at once
+            s.clear()
+        self.clear()
+        if begins != self.start.begins:
+            state = self.states[begins] = State(self, begins, last, size)
+            return state
+        return self.start
+
     def decode(self, ids) -> bytes:
         return b"".join(map(self.labels.__getitem__, ids))
 

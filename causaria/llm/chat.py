@@ -15,12 +15,10 @@ it refers to what comes later. Calls in or behind a cycle stay where they are.
 
 from __future__ import annotations
 
-from itertools import count
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, staged
+from .common import dropped, mark, only, staged
 
 #: Argument types of schemas and the variant types that fit them.
 TYPES = {"string": r"^STRING$", "integer": r"^BIGINT$", "number": r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$", "boolean": r"^BOOLEAN$", "array": r"^ARRAY<.*$", "object": r"^OBJECT<.*$"}
@@ -71,23 +69,75 @@ def placed(calls: DataFrame) -> DataFrame:
 
     A call's at is its own (the least of an id), or, where that isn't behind
     all it refers to, one place behind the last of those; in or behind a cycle
-    it stays. Each round joins the calls that have levels to what refers to them,
-    until one adds nothing: what is left then is in or behind a cycle.
+    it stays. Calls that refer to one other make chains, which are shortened
+    first (see shortened): what a chain of n calls needs is log2 n joins. The
+    calls that are left, with none or several references, get their places in
+    rounds, each a join of what the round before placed alone.
     """
+    began = mark()
+    spark = calls.sparkSession
     known = staged(calls.groupBy("conv_id", "id").agg(F.min("at").alias("at")))
     edges = calls.select("conv_id", "id", F.explode(F.array_distinct("refs")).alias("ref")).join(known.select("conv_id", F.col("id").alias("ref")), ["conv_id", "ref"], "left_semi")
     edges = staged(edges.distinct())
-    done = staged(known.join(edges.select("conv_id", "id"), ["conv_id", "id"], "left_anti").withColumn("level", F.lit(0)))
-    if edges.isEmpty():
-        return done
-    for level in count(1):
-        behind = F.struct("at.turn", (F.col("at.place") + 1).alias("place")).alias("behind")
-        waiting = edges.join(done.select("conv_id", F.col("id").alias("ref"), behind), ["conv_id", "ref"], "left").groupBy("conv_id", "id").agg(F.bool_and(F.col("behind").isNotNull()).alias("ready"), F.max("behind").alias("behind")).where("ready")
-        new = staged(waiting.join(done, ["conv_id", "id"], "left_anti").join(known, ["conv_id", "id"]).select("conv_id", "id", F.greatest("at", "behind").alias("at"), F.lit(level).alias("level")))
-        if new.isEmpty():
-            break
-        done = staged(done.union(new))
-    return done.union(known.join(done, ["conv_id", "id"], "left_anti").withColumn("level", F.lit(-1)))
+    degree = edges.groupBy("conv_id", "id").agg(F.count(F.lit(1)).alias("refs"), F.max("ref").alias("to"))
+    chained = shortened(known.join(degree.where("refs = 1"), ["conv_id", "id"]).select("conv_id", "id", "to", "at"))
+    # Several references: each leads, past its chain, to a call that isn't in one.
+    many = degree.where("refs > 1").select("conv_id", "id", "refs")
+    by = chained.select("conv_id", F.col("id").alias("ref"), "to", "at", "steps")
+    ways = edges.join(many, ["conv_id", "id"]).join(by, ["conv_id", "ref"], "left")
+    ways = staged(ways.select("conv_id", "id", "refs", F.coalesce("to", "ref").alias("to"), "at", (F.coalesce("steps", F.lit(0)) + 1).alias("steps")))
+    front = staged(known.join(degree.select("conv_id", "id"), ["conv_id", "id"], "left_anti").withColumn("level", F.lit(0)))
+    rounds, waiting = [front], None
+    deep = not ways.isEmpty()
+    while deep:
+        met = ways.join(front.select("conv_id", F.col("id").alias("to"), F.col("at").alias("of"), "level"), ["conv_id", "to"])
+        met = met.select("conv_id", "id", "refs", F.lit(1).alias("seen"), F.greatest(behind("at", 1), behind("of", "steps")).alias("at"), (F.col("level") + F.col("steps")).alias("level"))
+        met = met if waiting is None else met.union(waiting)
+        met = staged(met.groupBy("conv_id", "id", "refs").agg(F.sum("seen").alias("seen"), F.max("at").alias("at"), F.max("level").alias("level")))
+        front = staged(met.where("seen = refs").join(known.withColumnRenamed("at", "own"), ["conv_id", "id"]).select("conv_id", "id", F.greatest("own", "at").alias("at"), "level"))
+        waiting = met.where("seen < refs")
+        deep = not front.isEmpty()
+        rounds.append(front)
+    done = rounds[0]
+    for r in rounds[1:]:
+        done = done.union(r)
+    done = staged(done) if len(rounds) > 1 else done
+    ends = done.select("conv_id", F.col("id").alias("to"), F.col("at").alias("of"), "level")
+    along = chained.join(ends, ["conv_id", "to"]).select("conv_id", "id", F.greatest("at", behind("of", "steps")).alias("at"), (F.col("level") + F.col("steps")).alias("level"))
+    done = done.union(along)
+    out = staged(known.withColumnRenamed("at", "own").join(done, ["conv_id", "id"], "left").select("conv_id", "id", F.coalesce("at", "own").alias("at"), F.coalesce("level", F.lit(-1)).cast("int").alias("level")))
+    dropped(spark, began, mark() - 1)
+    return out
+
+
+def behind(at: str, steps: str | int) -> Column:
+    """The place so many steps behind a place; null of null."""
+    n = F.lit(steps) if isinstance(steps, int) else F.col(steps)
+    return F.when(F.col(at).isNotNull(), F.struct(F.col(f"{at}.turn").alias("turn"), (F.col(f"{at}.place") + n).cast("int").alias("place")))
+
+
+def shortened(one: DataFrame) -> DataFrame:
+    """(conv_id, id, to, at) of calls that refer to one other -> (conv_id, id, to, at, steps): where their chain ends, in a call that isn't among them.
+
+    A call's place is the later of at and steps behind the end's place. Pointers
+    are doubled until a round brings none to an end; those that still lead to a
+    chained call then go round in a cycle, and are left out.
+    """
+    chains = staged(one.withColumn("steps", F.lit(1)))
+    while True:
+        on = chains.select("conv_id", F.col("id").alias("to"), F.col("to").alias("next"), F.col("at").alias("of"), F.col("steps").alias("more"))
+        both = chains.join(on, ["conv_id", "to"], "left")
+        # The next call's place, as far as its own chain tells, and this one's steps behind it.
+        at = F.greatest("at", F.when(F.col("next").isNotNull(), behind("of", "steps")))
+        new = staged(both.select("conv_id", "id", F.coalesce("next", "to").alias("to"), at.alias("at"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("next").isNotNull().alias("open")))
+        open_ = new.where("open").count()
+        if not open_:
+            return chains
+        ends = new.join(chains.select("conv_id", F.col("id").alias("to")), ["conv_id", "to"], "left_anti")
+        arrived = ends.where("open").limit(1).count()
+        if not arrived:
+            return ends.drop("open")
+        chains = new.drop("open")
 
 
 def lines(messages: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]]) -> DataFrame:

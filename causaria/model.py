@@ -152,6 +152,8 @@ class Motif:
     ladder: tuple[str, str] | None = None
     #: (factor, arrow's name) -> the beta that its members have instead
     betas: dict[tuple[str, str], float] = field(default_factory=dict)
+    #: eras in which trajectory, overrides and betas act; none: always
+    eras: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -229,7 +231,7 @@ def parse_ruleset(d: dict) -> dict[str, list]:
     out["dials"] = [Dial(x["name"], x.get("mean", 0.0), x.get("stdDev", 1.0), x.get("annualWanderStdDev", 0.0), x.get("correlations", {})) for x in d.get("dials", ())]
     out["eras"] = [Era(tuple(x["cycles"]), x.get("name", ""), {a["factor"]: a["deltaIntercept"] for a in x.get("factorAdjustments", ())}, tuple((v["entity"], v["multiplier"], tuple(v["where"].items()) if v.get("where") else None) for v in x.get("volumeMultipliers", ()))) for x in d.get("eras", ())]
     out["heroes"] = [Hero(x["key"], x["entity"], x["match"], x.get("fixedFields", {}), x.get("dials", {}), tuple((p["kind"], p.get("cycle"), p["of"], p.get("op", "eq"), p.get("value")) for p in x.get("pins", ())), x.get("birthCycle"), tuple(map(tuple, x.get("ladders", ())))) for x in d.get("heroes", ())]
-    out["motifs"] = [Motif(x["id"], x["entity"], x["quota"]["value"], x["quota"].get("type", "count"), x["quota"].get("rounding", "round"), tuple(x.get("birthCycles", ())), bounds(x.get("dials", {})), x.get("trajectory", {}), x.get("fixedFields", {}), x.get("overrides", {}), {k: tuple(v) if isinstance(v, list) else (v, v) for k, v in x.get("childRates", {}).items()}, tuple(x["ladder"]) if x.get("ladder") else None, x.get("betas", {})) for x in d.get("motifs", ())]
+    out["motifs"] = [Motif(x["id"], x["entity"], x["quota"]["value"], x["quota"].get("type", "count"), x["quota"].get("rounding", "round"), tuple(x.get("birthCycles", ())), bounds(x.get("dials", {})), x.get("trajectory", {}), x.get("fixedFields", {}), x.get("overrides", {}), {k: tuple(v) if isinstance(v, list) else (v, v) for k, v in x.get("childRates", {}).items()}, tuple(x["ladder"]) if x.get("ladder") else None, x.get("betas", {}), tuple(x.get("eras", ()))) for x in d.get("motifs", ())]
     state = lambda s: State(s["name"], s["duration"], s.get("capacity"), tuple(s.get("prior", ())), s.get("minCyclesSinceBirth"), bounds(s.get("dials", {})), s.get("effects", {}), s.get("exitEffects", {}), s.get("stored"), s.get("factorEffects", {}))
     out["ladders"] = [Ladder(x["id"], x["entity"], tuple(map(state, x["states"])), x.get("share", 1.0), x.get("binding")) for x in d.get("ladders", ())]
     return out
@@ -242,6 +244,8 @@ def check_ruleset(rules: dict[str, list], domain: Domain) -> None:
             names = [r.entity] if hasattr(r, "entity") else [v[0] for v in r.volumes] if isinstance(r, Era) else []
             bad += [f"{kind}: unknown entity {n!r}" for n in names if n not in domain.entities]
     known = {f.id for f in rules.get("factors", ())}
+    eras = {e.name for e in rules.get("eras", ())}
+    bad += [f"motif {m.id}: unknown era {k!r}" for m in rules.get("motifs", ()) for k in m.eras if k not in eras]
     bad += [f"eras: unknown factor {k!r}" for e in rules.get("eras", ()) for k in e.factors if k not in known]
     if bad:
         raise ModelError(bad)

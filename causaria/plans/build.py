@@ -14,14 +14,15 @@ from pyspark.sql import functions as F
 from ..functions.dates import cycle_field, day, timing
 from ..functions.keys import entity_id, norm, primary_key, uuid5
 from ..functions.rng import stream, uniform
-from ..model import Dial, Entity, Factor
+from ..model import Dial, Entity, Factor, Ladder
 from ..operators import generate, heroes, patterns
 from ..operators.compose import ordinal
 from ..operators.delta import status_transitions
 from ..operators.features import compile_feature, resolved
+from ..sources import files, records, state
 from ..sources import project as projects
-from ..sources import records, state
 from ..streaming import accumulate, ladders, simulate
+from . import kin
 from .graph import common_scope, entity_order
 from .plan import Plan, applied
 
@@ -60,30 +61,41 @@ def _ballots(p: projects.Project) -> dict[str, dict]:
     return {r["ballots"]: r for r in p.domain.rules if r["kind"] == "outcome-derived-from-ballots"}
 
 
-def seats(spark: SparkSession, p: projects.Project, e: Entity, r: dict, parents: DataFrame, seed: int) -> DataFrame:
-    """A row for each parent and declared role window, each held by an actor of its own."""
-    fk = next(k for k in e.foreign_keys if k.entity in p.domain.entities)
+def seats(spark: SparkSession, p: projects.Project, e: Entity, r: dict, parents: DataFrame, seed: int, data: dict[str, DataFrame]) -> DataFrame:
+    """A row for each parent and declared role window, held by an actor.
+
+    Where the actor's field points to an entity, actors are drawn from its rows,
+    without replacement for a parent: windows that overlap are in different
+    slots, and a parent seats another actor in each slot, so that nobody holds
+    two of its seats at once, and who holds one may hold a later one. Slots
+    beyond the number of actors stay empty. Otherwise each seat has an actor of
+    its own, by id alone.
+    """
+    actor = next((k for k in e.foreign_keys if k.field == r["windowKey"] and k.entity in data), None)
+    fk = next(k for k in e.foreign_keys if k.entity in p.domain.entities and k is not actor)
     start = lambda w: w.get("startDate") or f"{p.start_cycle + int(w.get('startOffsetYears', 0))}-01-01"
     end = lambda w: w.get("endDate") or (f"{p.start_cycle + int(w.get('startOffsetYears', 0) + w['durationYears'])}-12-31" if w.get("durationYears") else None)
-    schedule = [{"__w": i, "__s": start(w), "__e": end(w)} for i, w in enumerate(r["roleWindows"])]
-    rows = generate.scheduled(parents.select(F.col(fk.target).alias(fk.field)), schedule)
+    windows = [(start(w), end(w)) for w in r["roleWindows"]]
+    schedule = [{"__w": i, "__s": s, "__e": t, "__slot": k} for i, ((s, t), k) in enumerate(zip(windows, kin.slots(windows), strict=True))]
+    bodies = parents.select(F.col(fk.target).alias(fk.field))
+    rows = generate.scheduled(bodies, schedule)
     place = F.concat_ws(":", F.col(fk.field).cast("string"), F.col("__w").cast("string"))
-    made = {fk.field: F.col(fk.field), r["startField"]: F.to_date("__s"), r["endField"]: F.to_date("__e"), r["windowKey"]: uuid5(p.domain.namespace, F.concat(F.lit("actor:"), place))}
+    made = {fk.field: F.col(fk.field), r["startField"]: F.to_date("__s"), r["endField"]: F.to_date("__e")}
+    if actor is None:
+        made[r["windowKey"]] = uuid5(p.domain.namespace, F.concat(F.lit("actor:"), place))
+    else:
+        drawn = generate.seated(bodies, fk.field, data[actor.entity].select(F.col(actor.target).alias("__actor")), "__actor", max(x["__slot"] for x in schedule) + 1, seed)
+        rows = rows.join(drawn.withColumn("__slot", F.col("seat") - 1).drop("seat"), [fk.field, "__slot"])
+        made[r["windowKey"]] = F.col("__actor")
     return _filled(p, e, rows, made, place, seed)
 
 
 def _filled(p: projects.Project, e: Entity, rows: DataFrame, made: dict[str, Column], place: Column, seed: int) -> DataFrame:
-    """rows as the entity's: given columns, an id by place where the business key gives none, and all other fields by declaration."""
-    out = rows.select("*", F.xxhash64(place).alias("i"), place.alias("__place"))
-    for f in e.fields:
-        if f.name in made:
-            out = out.withColumn(f.name, made[f.name])
-        elif f.name != "ID":
-            out = out.withColumn(f.name, generate.value(f, e.name, seed, f"{p.start_cycle}-01-01"))
-    if "ID" in [f.name for f in e.fields]:
-        own = [k for k in e.business_key if k != "ID"]
-        out = out.withColumn("ID", entity_id(p.domain.namespace, e.name, own or ["__place"]))
-    return out.select(*[f.name for f in e.fields])
+    return kin.filled(p.domain, e, rows, made, place, seed, _start(p))
+
+
+def _start(p: projects.Project) -> str:
+    return f"{p.start_cycle}-01-01"
 
 
 def voted(p: projects.Project, r: dict, data: dict[str, DataFrame], seed: int) -> tuple[DataFrame, DataFrame]:
@@ -104,7 +116,7 @@ def voted(p: projects.Project, r: dict, data: dict[str, DataFrame], seed: int) -
         own = data[at].select(norm(target.primary[0]).alias("__k"), *[F.col(k.field).alias(f"__to_{k.field}") for k in target.foreign_keys])
         key = F.col(step) if i == 0 else F.col(f"__to_{step}")
         rows = rows.withColumn("__at", norm(key)).drop(*[c for c in rows.columns if c.startswith("__to_")]).join(own, F.col("__at") == F.col("__k"), "left").withColumn("__scope", F.col("__at")).drop("__at", "__k")
-    dated_by = next(f.name for f in decision.fields if f.type == "date" and f.name not in ("CreatedAt", "UpdatedAt"))
+    dated_by = _decided_on(decision)
     # In days that no role covers nobody could vote: a decision stands on a day of its body's roles.
     held = data[role.name].select(norm(scope[2][0]).alias("__scope_of"), F.col(actor).alias("__actor"), day(F.col(cover["startField"])).alias("__s"), day(F.col(cover["endField"])).alias("__e"))
     events = rows.select(F.col(decision.primary[0]).alias("__event"), F.col("__scope"), day(F.col(dated_by)).alias("__day"))
@@ -123,17 +135,30 @@ def voted(p: projects.Project, r: dict, data: dict[str, DataFrame], seed: int) -
     return _filled(p, ballot, ballots, made, place, seed), outcome
 
 
+#: Votes beyond which the chance of a majority is the normal law's.
+MANY_VOTES = 1000
+
+
 def approval(share: float, eligible: DataFrame) -> float:
     """The chance of a Yes at which a majority of the usual number of votes passes with the share: found by halving, as the chance of a majority rises with it."""
     n = eligible.groupBy("__event").count().agg(F.percentile_approx("count", 0.5)).first()[0] or 1
     low, high = 0.0, 1.0
-    for _ in range(40):
+    for _ in range(50):
         q = (low + high) / 2
-        passed = sum(math.comb(n, k) * q**k * (1 - q) ** (n - k) for k in range(n + 1) if 2 * k > n)
-        low, high = (q, high) if passed < share else (low, q)
+        low, high = (q, high) if majority(n, q) < share else (low, q)
     return (low + high) / 2
 
 
+def majority(n: int, q: float) -> float:
+    """The chance that more than half of n votes are Yes, each with chance q: terms by their logarithms, or the normal law for many votes."""
+    if not 0 < q < 1:
+        return float(q >= 1)
+    if n > MANY_VOTES:
+        return math.erfc((n // 2 + 0.5 - n * q) / math.sqrt(2 * n * q * (1 - q))) / 2
+    whole, yes, no = math.lgamma(n + 1), math.log(q), math.log1p(-q)
+    return math.fsum(math.exp(whole - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * yes + (n - k) * no) for k in range(n // 2 + 1, n + 1))
+
+
 def _steps(p: projects.Project, entity: str, fields: list[str]) -> list[tuple[str, str]]:
     out, at = [], entity
     for f in fields:
@@ -164,6 +189,23 @@ def windowed(p: projects.Project, e: Entity, df: DataFrame, seed: int) -> DataFr
     return df
 
 
+def _weights(p: projects.Project, name: str, since: int | None = None) -> dict[int, float]:
+    """Each year's share of an entity's rows: the eras' unscoped multipliers of it."""
+    unscoped = lambda y: [m for era in p.rules.get("eras", ()) if y in era.cycles for n, m, w in era.volumes if n == name and w is None]
+    return {y: math.prod(unscoped(y) or [1.0]) for y in _cycles(p) if since is None or y >= since}
+
+
+def _dealt(p: projects.Project, name: str, place: Column, n: int, since: int | None = None) -> Column:
+    """The year of the row at a place (from 0) among n: years in order, each with its share of the rows."""
+    weight = _weights(p, name, since)
+    whole, done, year = sum(weight.values()), 0.0, None
+    for y, w in weight.items():
+        done += w
+        until = int(n * done / whole + 0.5) if whole else n
+        year = F.when(place < until, F.lit(y)) if year is None else year.when(place < until, F.lit(y))
+    return year.otherwise(F.lit(list(weight)[-1]))
+
+
 def spread(p: projects.Project, e: Entity, df: DataFrame, seed: int) -> DataFrame:
     """df with its rows dealt over the project's years, in proportion to the eras' unscoped multipliers of each year; without a field that dates rows as it is.
 
@@ -173,27 +215,20 @@ def spread(p: projects.Project, e: Entity, df: DataFrame, seed: int) -> DataFram
     field = e.cycle_field or cycle_field(df.schema, None)
     if field is None or field not in dates:
         return df
-    years = _cycles(p)
-    weight = {y: math.prod([m for era in p.rules.get("eras", ()) if y in era.cycles for n, m, w in era.volumes if n == e.name and w is None] or [1.0]) for y in years}
-    whole = sum(weight.values())
-    if not whole:
+    if not sum(_weights(p, e.name).values()):
         return df.limit(0)
-    n, ends, done = df.count(), [], 0.0
-    for y in years:
-        done += weight[y]
-        ends.append((y, int(n * done / whole + 0.5)))
     out = ordinal(df.withColumn("__h", F.xxhash64(e.primary[0])), ["__h", e.primary[0]], "__n")
-    year = None
-    for y, end in ends:
-        year = F.when(F.col("__n") <= end, F.lit(y)) if year is None else year.when(F.col("__n") <= end, F.lit(y))
+    year = _dealt(p, e.name, F.col("__n") - 1, df.count())
     last = F.when(year == p.release.year, F.lit(p.release.timetuple().tm_yday)).otherwise(365)
     at = F.date_add(F.make_date(year, F.lit(1), F.lit(1)), F.floor(uniform(stream(seed, F.col(e.primary[0]).cast("string"), "day:")) * last).cast("int"))
     return out.withColumn(field, at).drop("__h", "__n")
 
 
-def generated(spark: SparkSession, p: projects.Project, volumes: Callable[[str], int], seed: int, first: dict[str, int] | None = None, parents: dict[str, DataFrame] | None = None, catalogues: dict | None = None, history: bool = False, window: tuple[date, date] | None = None) -> dict[str, DataFrame]:
+def generated(spark: SparkSession, p: projects.Project, volumes: Callable[[str], int], seed: int, first: dict[str, int] | None = None, parents: dict[str, DataFrame] | None = None, catalogues: dict | None = None, history: bool = False, window: tuple[date, date] | None = None, numbered: dict[str, int] | None = None) -> dict[str, DataFrame]:
     """Rows of every entity in dependency order, each with what it points to made before.
 
+    first: the last ordinal that earlier cycles gave out; numbered gets the last of this one.
+
     Role windows and ballots are made by their rules, not by number; an entity
     that each row of another must have gets as many rows as that has, at least.
     history: rows are dealt over the project's years. window: a cycle's rows are
@@ -205,7 +240,10 @@ def generated(spark: SparkSession, p: projects.Project, volumes: Callable[[str],
         e, n = p.domain.entity(name), volumes(name)
         known = {**(parents or {}), **{k: v.unionByName(parents[k], allowMissingColumns=True) if parents and k in parents else v for k, v in data.items()}}
         if name in roles and any(k.entity in data for k in e.foreign_keys):
-            data[name] = seats(spark, p, e, roles[name], data[next(k.entity for k in e.foreign_keys if k.entity in data)], seed)
+            actor = roles[name]["windowKey"]
+            body = next((k.entity for k in e.foreign_keys if k.entity in data and k.field != actor), None)
+            if body is not None:
+                data[name] = seats(spark, p, e, roles[name], data[body], seed, known)
             continue
         if name in polls and any(x["kind"] == "date-window" and x["source"] == name for x in p.domain.rules):
             continue  # voted() makes them
@@ -215,7 +253,10 @@ def generated(spark: SparkSession, p: projects.Project, volumes: Callable[[str],
         n = max([n, *[data[k.entity].count() for k in must]]) if n > 0 or must else n
         if n <= 0:
             continue
-        df = generate.rows(spark, p.domain, e, n, seed, {**known, **{k.entity: data[k.entity] for k in must}}, f"{p.start_cycle}-01-01", (first or {}).get(name, 0) + 1).drop("i")
+        begin = (first or {}).get(name, 0)
+        if numbered is not None:
+            numbered[name] = begin + n
+        df = generate.rows(spark, p.domain, e, n, seed, {**known, **{k.entity: data[k.entity] for k in must}}, _start(p), begin + 1).drop("i")
         if history:
             df = windowed(p, e, spread(p, e, df, seed), seed)
         elif window and (field := e.cycle_field or cycle_field(df.schema, None)) in [f.name for f in e.fields if f.type == "date"]:
@@ -261,16 +302,14 @@ def injected(spark: SparkSession, p: projects.Project, data: dict[str, DataFrame
                 n = (int(value) if q["aggregation"] == "count" else 1) + (op == "gt")
                 if fk is None or n <= 0:
                     continue
-                kids = generate.rows(spark, p.domain, child, n, seed, out, f"{p.start_cycle}-01-01", 2_000_000_000 + 1000 * i + 100 * j).drop("i")
-                kids = kids.withColumn(fk.field, F.lit(row.first()[fk.target]))
+                made = {fk.field: F.lit(row.first()[fk.target])}
+                if on := kin.dated_by(child, out[child.name]):
+                    made[on] = F.date_add(F.make_date(_dealt(p, child.name, F.col("id"), n, h.birth), F.lit(1), F.lit(1)), F.pmod(F.xxhash64(F.lit(h.key), "id"), F.lit(365)).cast("int"))
+                place = F.concat_ws(":", F.lit(h.key), F.lit(str(j)), F.col("id").cast("string"))
+                kids = kin.belonging(p.domain, child, spark.range(n), made, place, out, seed, _start(p))
                 kids = kids.withColumns({k: F.lit(v).cast(kids.schema[k].dataType) for k, v in (q.get("where") or {}).items()})
                 kids = simulate.saved(kids.select(*out[q["from"]].columns))
-                out[q["from"]] = out[q["from"]].unionByName(kids)
-                for grand in p.domain.entities.values():  # what every such row must have
-                    need = next((k for k in grand.foreign_keys if k.entity == child.name and k.dependent), None)
-                    if need and grand.name in out:
-                        extra = generate.rows(spark, p.domain, grand, n, seed, {**out, child.name: kids}, f"{p.start_cycle}-01-01", 2_000_000_000 + 1000 * i + 100 * j).drop("i")
-                        out[grand.name] = out[grand.name].unionByName(extra.select(*out[grand.name].columns))
+                out = kin.added(out, {q["from"]: kids, **kin.dependents(p.domain, kids, child, out, seed, _start(p))})
     return out
 
 
@@ -301,23 +340,12 @@ def children_of_motifs(spark: SparkSession, p: projects.Project, name: str, peop
             factor = {c: math.prod([x for era in p.rules.get("eras", ()) if c in era.cycles for n, x, w in era.volumes if n == child and w is None] or [1.0]) for c in _cycles(p)}
             rows = simulate.motif_children(people, key, m, child, _cycles(p), seed, factor)
             place = F.concat_ws(":", F.lit(m.id), F.col("key").cast("string"), F.col("cycle").cast("string"), F.col("place").cast("string"))
-            dated_by = e.cycle_field or cycle_field(out[child].schema, None)
             made = {fk.field: F.col("key")}
-            if dated_by:
-                made[dated_by] = F.date_add(F.make_date("cycle", F.lit(1), F.lit(1)), F.pmod(F.xxhash64(place), F.lit(365)).cast("int"))
-            for k in e.foreign_keys:  # other parents, by hash
-                if k.field != fk.field and k.entity in out:
-                    numbered = simulate.saved(ordinal(out[k.entity].select(F.col(k.target).alias(f"__p_{k.field}")).withColumn("__h", F.xxhash64(f"__p_{k.field}")), ["__h", f"__p_{k.field}"], "__n"))
-                    rows = rows.withColumn("__n", F.pmod(F.xxhash64(place, F.lit(k.field)), F.lit(max(1, numbered.count()))) + 1).join(numbered.drop("__h"), "__n", "left").drop("__n")
-                    made[k.field] = F.col(f"__p_{k.field}")
-            whole = Entity(e.name, e.fields, e.foreign_keys, ())  # its business key may not tell such rows apart
-            new = simulate.saved(_filled(p, whole, rows, made, place, seed).select(*out[child].columns))
-            out[child] = out[child].unionByName(new)
-            for grand in p.domain.entities.values():
-                need = next((k for k in grand.foreign_keys if k.entity == child and k.dependent), None)
-                if need and grand.name in out and (n := new.count()):
-                    extra = generate.rows(spark, p.domain, grand, n, seed, {**out, child: new}, f"{p.start_cycle}-01-01", 3_000_000_000).drop("i")
-                    out[grand.name] = out[grand.name].unionByName(extra.select(*out[grand.name].columns))
+            if on := kin.dated_by(e, out[child]):
+                made[on] = F.date_add(F.make_date("cycle", F.lit(1), F.lit(1)), F.pmod(F.xxhash64(place), F.lit(365)).cast("int"))
+            # The business key may not tell such rows apart: their place does.
+            new = simulate.saved(kin.belonging(p.domain, e, rows, made, place, out, seed, _start(p)).select(*out[child].columns))
+            out = kin.added(out, {child: new, **kin.dependents(p.domain, new, e, out, seed, _start(p))})
     return out
 
 
@@ -364,14 +392,23 @@ def _unrolled(p: projects.Project, name: str, data: dict[str, DataFrame], factor
                 rows = simulate.written_back(rows, key, outcomes, f, values, fixed)
         for lad in world.ladders:
             mine = world.states.where(F.col("ladder") == lad.id)
-            if lad.binding.get("field"):
-                rows = ladders.bind(rows, key, mine, lad, lad.binding["field"], lad.binding.get("fixedFields"))
-            elif lad.binding.get("childEntity") in out:  # the state stands in the rows that point to the entity
-                child = p.domain.entity(lad.binding["childEntity"])
-                fk = next((k.field for k in child.foreign_keys if k.field == lad.binding["foreignKey"]), lad.binding["foreignKey"])
-                out[child.name] = ladders.bind(out[child.name], fk, mine, lad, lad.binding["stateField"], lad.binding.get("fixedFields"))
+            held, by, field = bound_to(p, lad) or (None, None, None)
+            if held == name:
+                rows = ladders.bind(rows, by, mine, lad, field, lad.binding.get("fixedFields"))
+            elif held in out:  # the state stands in the rows that point to the entity
+                out[held] = ladders.bind(out[held], by, mine, lad, field, lad.binding.get("fixedFields"))
     out[name] = rows
-    return out, world.states, people
+    return out, _with_dials(world), people
+
+
+def _with_dials(w: simulate.World) -> DataFrame | None:
+    """The ladders' states with the dials that their entities ended with, which the next cycle's prerequisites are about."""
+    if w.states is None:
+        return None
+    names = [d.name for d in w.dials]
+    table = F.create_map(*[x for d in names for x in (F.lit(d), F.col(d).cast("double"))]) if names else F.create_map().cast("map<string,double>")
+    ended = w.ended if w.ended is not None else w.population
+    return simulate.saved(w.states.join(ended.select(F.col(w.key).cast("string").alias("key"), table.alias("dials")), "key"))
 
 
 def _dial_names(p: projects.Project, name: str) -> list[str]:
@@ -393,9 +430,10 @@ def _fixed(own: list) -> Column:
 def build(spark: SparkSession, p: projects.Project, seed: int = 42) -> Built:
     """The project's dataset, unrolled through its cycles; nothing is written."""
     volume = lambda n: int(p.params.get(f"volume_{n}", p.params.get("volume_default", 10)))
-    data = generated(spark, p, volume, seed, catalogues=_catalogues(spark, p), history=True)
-    numbers = {n: volume(n) for n in data}
-    data = {n: simulate.saved(df) for n, df in injected(spark, p, data, seed).items()}
+    numbers: dict[str, int] = {}
+    data = generated(spark, p, volume, seed, catalogues=_catalogues(spark, p), history=True, numbered=numbers)
+    data = injected(spark, p, data, seed)
+    data = {n: simulate.saved(df) for n, df in kin.aligned(p.domain, data, data).items()}
     states: DataFrame | None = None
     for name in list(data):
         own = [f for f in _of(p, "factors", name)]
@@ -407,10 +445,10 @@ def build(spark: SparkSession, p: projects.Project, seed: int = 42) -> Built:
     for r in _ballots(p).values():
         if r["source"] in data and any(x["kind"] == "date-window" and x["source"] == r["ballots"] and x["window"] in data for x in p.domain.rules):
             data[r["ballots"]], data[r["source"]] = voted(p, r, data, seed)
-    data = totalled(p, data)
-    if states is not None and "dials" not in states.columns:
-        states = states.withColumn("dials", F.create_map().cast("map<string,double>"))
-    return Built(data, accumulate.Checkpoint(p.domain.name, seed, p.release.year, p.release, p.domain.namespace, {n: numbers.get(n, 0) for n in data}), states)
+    data = {n: simulate.saved(df) for n, df in totalled(p, data).items()}
+    data = {n: simulate.saved(df) if df is not data[n] else df for n, df in kin.aligned(p.domain, data, data).items()}
+    counts = {n: df.count() for n, df in data.items()}
+    return Built(data, accumulate.Checkpoint(p.domain.name, seed, p.release.year, p.release, p.domain.namespace, counts, numbers), states)
 
 
 def write(p: projects.Project, built: Built) -> None:
@@ -427,19 +465,49 @@ def _states(p: projects.Project, cycle: int) -> str:
 
 
 def _stepped(spark: SparkSession, p: projects.Project, data: dict[str, DataFrame], cycle: int, by: int) -> tuple[DataFrame | None, dict[str, DataFrame]]:
-    """(ladders' states a cycle on, rows of entities whose bound fields they change)."""
-    bound = [x for x in p.rules.get("ladders", ()) if x.binding and x.binding.get("field") and x.entity in data]
-    if not bound or not Path(_states(p, cycle)).exists():
+    """(ladders' states a cycle on, rows of the entities whose bound fields they change: the ladder's own, or those that point to it)."""
+    bound = [x for x in p.rules.get("ladders", ()) if x.binding and x.entity in data]
+    if not bound:
         return None, {}
+    if not files.exists(spark, _states(p, cycle)):
+        raise accumulate.ContinuityError(f"{_states(p, cycle)}: the ladders' states are missing")
     states, out, rows = spark.read.parquet(_states(p, cycle)), None, {}
     for lad in bound:
         own = simulate.saved(ladders.step(states, lad, cycle + 1, by).where("NOT exited").drop("from_state", "exited"))
         out = own if out is None else out.unionByName(own)
-        df = rows.get(lad.entity, data[lad.entity])
-        rows[lad.entity] = ladders.bind(df, p.domain.entity(lad.entity).primary[0], own, lad, lad.binding["field"])
+        if (where := bound_to(p, lad)) and where[0] in data:
+            name, key, field = where
+            rows[name] = ladders.bind(rows.get(name, data[name]), key, own, lad, field, lad.binding.get("fixedFields"))
     return out, rows
 
 
+def bound_to(p: projects.Project, lad: Ladder) -> tuple[str, str, str] | None:
+    """(entity, its field that holds the ladder's entity's key, its field for the state)."""
+    b = lad.binding or {}
+    if b.get("field"):
+        return lad.entity, p.domain.entity(lad.entity).primary[0], b["field"]
+    if b.get("childEntity"):
+        keys = p.domain.entity(b["childEntity"]).foreign_keys
+        return b["childEntity"], next((k.field for k in keys if k.field == b["foreignKey"]), b["foreignKey"]), b["stateField"]
+    return None
+
+
+def _open(p: projects.Project, r: dict, data: dict[str, DataFrame], start: date, end: date) -> DataFrame | None:
+    """Committed rows of a rule's decisions that fall into the window and have no ballot yet; none of an entity whose rows never change."""
+    decision = p.domain.entity(r["source"])
+    on = _decided_on(decision)
+    if decision.immutable or r["source"] not in data or r["ballots"] not in data:
+        return None
+    key = decision.primary[0]
+    rows = data[r["source"]].withColumn("__k", norm(key))
+    ballots = data[r["ballots"]].select(norm(r["decisionField"]).alias("__b"))
+    return accumulate.undecided(rows, "__k", on, start, end, ballots, "__b").drop("__k")
+
+
+def _decided_on(decision: Entity) -> str:
+    return next(f.name for f in decision.fields if f.type == "date" and f.name not in ("CreatedAt", "UpdatedAt"))
+
+
 def next_cycle(spark: SparkSession, p: projects.Project, plan: Plan | None = None, seed: int | None = None, units: int = 1) -> Cycle:
     """One cycle on the project's committed state. All guards have passed when it returns, and nothing is written."""
     prior = state.load_checkpoint(Path(p.output) / CHECKPOINT)
@@ -451,15 +519,30 @@ def next_cycle(spark: SparkSession, p: projects.Project, plan: Plan | None = Non
     planned = applied(spark, plan, p.domain, data) if plan else {}
     seed = seed if seed is not None else prior.seed
     number = lambda n: accumulate.intake(n, p.params, p.rules.get("eras", []), end.year, plan.intake.get(n) if plan else None) if n in prior.counts else 0
-    new = generated(spark, p, number, seed, prior.counts, data, _catalogues(spark, p), window=(start, end))
-    for r in _ballots(p).values():  # what is to be decided in the window and has no ballots yet
-        if r["source"] in new and r["ballots"] in data:
-            decision = p.domain.entity(r["source"])
-            fresh = {n: simulate.saved(new[n]) if n in new else None for n in p.domain.entities}
-            todo = fresh[r["source"]].join(data[r["ballots"]].select(norm(r["decisionField"]).alias("__b")), norm(decision.primary[0]) == F.col("__b"), "left_anti")
-            whole = {n: (df.unionByName(fresh[n], allowMissingColumns=True) if fresh.get(n) is not None else df) for n, df in data.items()}
-            new = {n: df for n, df in fresh.items() if df is not None}
-            new[r["ballots"]], new[r["source"]] = voted(p, r, {**whole, r["source"]: todo}, seed)
+    numbers: dict[str, int] = {}
+    new = generated(spark, p, number, seed, prior.first(), data, _catalogues(spark, p), window=(start, end), numbered=numbers)
+    decided: dict[str, DataFrame] = {}
+    for r in _ballots(p).values():  # what is to be decided in the window and has no ballots yet, new or committed
+        if r["ballots"] not in data or not any(x["kind"] == "date-window" and x["source"] == r["ballots"] for x in p.domain.rules):
+            continue
+        new = {n: simulate.saved(df) for n, df in new.items()}
+        waiting = _open(p, r, data, start, end)
+        todo = [df for df in (new.get(r["source"]), waiting) if df is not None]
+        if not todo:
+            continue
+        todo = simulate.saved(todo[0] if len(todo) == 1 else todo[0].unionByName(todo[1], allowMissingColumns=True))
+        whole = {n: (df.unionByName(new[n], allowMissingColumns=True) if n in new else df) for n, df in data.items()}
+        new[r["ballots"]], outcomes = voted(p, r, {**whole, r["source"]: todo}, seed)
+        key = p.domain.entity(r["source"]).primary[0]
+        outcomes = simulate.saved(outcomes)
+        if r["source"] in new:
+            new[r["source"]] = outcomes.join(new[r["source"]].select(key), key, "left_semi")
+        if waiting is not None:
+            of = outcomes.join(waiting.select(key), key, "left_semi").select(F.col(key).alias("__k"), F.col(r["outcomeField"]).alias("__o"))
+            rows = decided.get(r["source"], data[r["source"]])
+            columns = rows.columns
+            told = F.when(F.col("__k").isNotNull(), F.col("__o")).otherwise(F.col(r["outcomeField"]))
+            decided[r["source"]] = simulate.saved(rows.join(of, rows[key] == F.col("__k"), "left").withColumn(r["outcomeField"], told).select(*columns))
     for n, df in new.items():
         key = p.domain.entity(n).primary[0]
         derived = {r["outcomeField"] for r in p.domain.rules if r["kind"] == "outcome-derived-from-ballots" and r["source"] == n}
@@ -469,6 +552,9 @@ def next_cycle(spark: SparkSession, p: projects.Project, plan: Plan | None = Non
             values = {x.name: list(x.values) for x in p.domain.entity(n).fields}
             df = simulate.written_back(df, key, drawn, f, values)
         new[n] = df
+    new = {n: simulate.saved(df) for n, df in new.items()}
+    known = {n: df.unionByName(new[n], allowMissingColumns=True) if n in new else df for n, df in {**data, **decided}.items()}
+    new = kin.aligned(p.domain, totalled(p, new), known)
     for n, df in planned.items():
         new[n] = new[n].unionByName(df, allowMissingColumns=True) if n in new else df
     new = {n: simulate.saved(df) for n, df in new.items()}
@@ -483,16 +569,16 @@ def next_cycle(spark: SparkSession, p: projects.Project, plan: Plan | None = Non
     if clashes:
         raise accumulate.ContinuityError("; ".join(clashes))
     pairs = {tuple(sorted((e.name, c.entity))) for e in p.domain.entities.values() for c in e.compositions if c.kind == "isA"}
-    states, moved = _stepped(spark, p, data, prior.cycle, units)
-    moved = {n: simulate.saved(df) for n, df in moved.items()}
+    states, moved = _stepped(spark, p, {**data, **decided}, prior.cycle, units)
+    moved = {**decided, **{n: simulate.saved(df) for n, df in moved.items()}}
     now = {n: moved.get(n, data[n]) for n in data}
     current = {n: now[n].unionByName(new[n], allowMissingColumns=True) if n in new else now[n] for n in data}
     found = accumulate.cycle(data, current, keys, {n for n in data if p.domain.entity(n).immutable}, pairs)
     added = {n: df.count() for n, df in new.items()}
-    fields = {x.entity: x.binding["field"] for x in p.rules.get("ladders", ()) if x.entity in moved}
-    transitions = [status_transitions(found[n], n, f, prior.cycle + 1) for n, f in fields.items()]
+    fields = {(to[0], to[2]) for x in p.rules.get("ladders", ()) if (to := bound_to(p, x)) and to[0] in moved}
+    transitions = [status_transitions(found[n], n, f, prior.cycle + 1) for n, f in sorted(fields)]
     updated = {n: df for n, df in moved.items() if found[n].where("change = 'changed'").limit(1).count()}
-    return Cycle(new, updated, states, transitions, accumulate.committed(prior, end, added))
+    return Cycle(new, updated, states, transitions, accumulate.committed(prior, end, added, numbers))
 
 
 def commit(spark: SparkSession, p: projects.Project, cycle: Cycle, prior: dict[str, DataFrame]) -> None:

@@ -24,7 +24,7 @@ def load_checkpoint(path: str | Path) -> Checkpoint | None:
         return None
     try:
         d = json.loads(p.read_text())
-        return Checkpoint(d["domain"], int(d["seed"]), int(d["cycle"]), date.fromisoformat(d["as_of"]), d["namespace"], {k: int(v) for k, v in d["counts"].items()})
+        return Checkpoint(d["domain"], int(d["seed"]), int(d["cycle"]), date.fromisoformat(d["as_of"]), d["namespace"], {k: int(v) for k, v in d["counts"].items()}, {k: int(v) for k, v in d.get("numbered", {}).items()})
     except (ValueError, KeyError, TypeError, AttributeError) as e:
         raise CheckpointError(f"{p}: {type(e).__name__}: {e}") from e
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 from datetime import date, timedelta
 
 from pyspark.sql import DataFrame
@@ -31,7 +31,13 @@ class Checkpoint:
     cycle: int
     as_of: date
     namespace: str
+    #: rows of each entity
     counts: dict[str, int]
+    #: the last ordinal given out for each: rows that belong to others have none, so counts may run ahead
+    numbered: dict[str, int] = field(default_factory=dict)
+
+    def first(self) -> dict[str, int]:
+        return {n: max(self.counts.get(n, 0), self.numbered.get(n, 0)) for n in {*self.counts, *self.numbered}}
 
 
 def advanced(d: date, unit: str, n: int = 1) -> date:
@@ -113,9 +119,9 @@ def cycle(prior: dict[str, DataFrame], new: dict[str, DataFrame], keys: dict[str
     return out
 
 
-def committed(checkpoint: Checkpoint, as_of: date, added: dict[str, int]) -> Checkpoint:
+def committed(checkpoint: Checkpoint, as_of: date, added: dict[str, int], numbered: dict[str, int] | None = None) -> Checkpoint:
     counts = {k: checkpoint.counts.get(k, 0) + added.get(k, 0) for k in {*checkpoint.counts, *added}}
-    return replace(checkpoint, cycle=checkpoint.cycle + 1, as_of=as_of, counts=counts)
+    return replace(checkpoint, cycle=checkpoint.cycle + 1, as_of=as_of, counts=counts, numbered={**checkpoint.numbered, **(numbered or {})})
 
 
 def stream_cycles(frames: DataFrame, run: Callable[[DataFrame, int], None], checkpoint_dir: str):

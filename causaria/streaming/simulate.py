@@ -151,8 +151,15 @@ class World:
     motifs: list[Motif] = field(default_factory=list)
     heroes: list[Hero] = field(default_factory=list)
     ladders: list[Ladder] = field(default_factory=list)
-    #: set by unroll(): who stands on which ladder after the last cycle
+    #: set by unroll(): who stands on which ladder after the last cycle, and everyone with the dials they ended with
     states: DataFrame | None = None
+    ended: DataFrame | None = None
+
+
+def acting(motifs: list[Motif], eras: list[Era], cycle: int) -> list[Motif]:
+    """Motifs that move their members in a cycle: those that name no eras, or one that is on."""
+    on = {e.name for e in eras if cycle in e.cycles}
+    return [m for m in motifs if not m.eras or on & set(m.eras)]
 
 
 def score(f: Factor, features: dict[tuple[str, int], Column], motifs: list[Motif] = (), ladders: list[Ladder] = ()) -> Column:
@@ -219,10 +226,12 @@ def climbed(w: World, people: DataFrame, states: DataFrame, cycle: int) -> tuple
     return people, states
 
 
-def unroll(world: World, cycles: list[int], features: dict[tuple[str, int], Column] | None = None) -> DataFrame:
-    """(cycle, factor, key, probability, outcome) of everyone alive, cycle by cycle.
+def unroll(world: World, cycles: list[int], features: dict[tuple[str, int], Column] | None = None) -> DataFrame | None:
+    """(cycle, factor, key, probability, outcome) of everyone alive, cycle by cycle; None without factors, where only dials and ladders move.
 
-    Per cycle: dials wander and follow motifs' trajectories; ladders are
+    Per cycle: dials wander and follow the trajectories of the motifs that act
+    in it (those that name no era, or one that is on; overrides and betas
+    alike); ladders are
     climbed, by the dials as they then are, and move them; each factor's scores are calibrated to its target over those who are no heroes and have
     no override (over all without override if none is left), all factors in one
     aggregate a round; the eras' shifts are added; then the keyed draws are
@@ -230,20 +239,23 @@ def unroll(world: World, cycles: list[int], features: dict[tuple[str, int], Colu
     """
     w, key = world, world.key
     people, out = w.population, None
-    overrides = {(m.id, f): p for m in w.motifs for f, p in m.overrides.items()}
     pins = {(h.key, c, str(what)): expected for h in w.heroes for kind, c, what, _, expected in h.pins if kind == "outcome"}
     w.states = enrolled(w, cycles[0]) if w.ladders else None
     for cycle in cycles:
+        motifs = acting(w.motifs, w.eras, cycle)
+        overrides = {(m.id, f): p for m in motifs for f, p in m.overrides.items()}
         moves = {}
         for d in w.dials:
             move = wander(F.col(key), d, cycle, w.seed) if d.wander else F.lit(0.0)
-            for m in w.motifs:
+            for m in motifs:
                 if d.name in m.trajectory:
                     move = move + F.when(F.col("motif") == m.id, float(m.trajectory[d.name])).otherwise(0.0)
             moves[d.name] = F.when(F.col("birth_cycle") < cycle, F.col(d.name) + move).otherwise(F.col(d.name))
         people = saved(people.withColumns(moves)) if moves else people
         if w.ladders and cycle > cycles[0]:
             people, w.states = climbed(w, people, w.states, cycle)
+        if not w.factors:
+            continue
         alive = people.where(F.col("birth_cycle") <= cycle)
         for lad in w.ladders:
             on = w.states.where(F.col("ladder") == lad.id).select(F.col("key").alias("__k"), F.col("state").alias(f"__state_{lad.id}"))
@@ -252,7 +264,7 @@ def unroll(world: World, cycles: list[int], features: dict[tuple[str, int], Colu
         for f in w.factors:
             pinned = [m for m, fid in overrides if fid == f.id]
             open_ = ~F.coalesce(F.col("motif").isin(pinned), F.lit(False)) if pinned and "motif" in people.columns else F.lit(True)
-            free[f.id] = (score(f, features or {}, w.motifs, w.ladders), open_)
+            free[f.id] = (score(f, features or {}, motifs, w.ladders), open_)
         counts = alive.agg(*[F.count_if(o & F.col("hero").isNull()).alias(f"c{i}") for i, (_, o) in enumerate(free.values())]).first()
         b = intercepts(alive, {fid: (s, next(x.target for x in w.factors if x.id == fid), (o & F.col("hero").isNull()) if counts[f"c{i}"] else o) for i, (fid, (s, o)) in enumerate(free.items())})
         for f in w.factors:
@@ -270,6 +282,7 @@ def unroll(world: World, cycles: list[int], features: dict[tuple[str, int], Colu
             outcome = F.when(met, outcome).otherwise(F.raise_error(F.concat(F.lit(f"{f.id} in {cycle}: no draw meets the pin of "), F.col("hero"))).cast("boolean"))
             one = alive.select(F.lit(cycle).alias("cycle"), F.lit(f.id).alias("factor"), F.col(key).alias("key"), p.alias("probability"), outcome.alias("outcome"))
             out = one if out is None else out.unionByName(one)
+    w.ended = people
     return out
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 from .plans import build as runs
 from .plans import plan as plans
 from .plans.validate import summary, validate
-from .sources import project, records, state
+from .sources import files, project, records, state, versions
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -21,7 +21,7 @@ def main(argv: list[str] | None = None) -> int:
     a.add_argument("--seed", type=int, help="42 for a build; a cycle goes on with the state's")
     a.add_argument("--plan", type=Path, help="an authored plan for the cycle")
     a.add_argument("--units", type=int, default=1, help="cycle units that the window spans")
-    a.add_argument("--base", help="a folder of the version that all rows of must still be there")
+    a.add_argument("--base", help="the version that all rows of must still be there: a folder, or a version of the project's log (a number or name, main~1 for the one before), of which the common ancestor with main is taken")
     o = a.parse_args(argv)
     spark, p = SparkSession.builder.appName("causaria").getOrCreate(), project.load(o.project)
     if o.command == "build":
@@ -43,9 +43,11 @@ def main(argv: list[str] | None = None) -> int:
             if any(f.generator for f in e.fields):
                 records.replaced(spark, f"{p.output}/{n}", records.decorated(df, e, e.primary[0], o.seed if o.seed is not None else 42, cats))
         return 0
-    base = {n: state.base(spark, o.base, n)[0] for n in data} if o.base else None
+    bases: dict = {}
+    if o.base:
+        bases = {n: state.base(spark, o.base, n) for n in data} if files.exists(spark, o.base) else versions.base(spark, str(p.output), o.base, list(data))
     also = {n: project.catalogue(spark, f) for n, f in p.catalogues.items()}
-    found = validate(p.domain, data, p.rules.get("factors", []), base, heroes=p.rules.get("heroes", []), ruleset=p.rules, catalogues=also, names=project.given_names(also))
+    found = validate(p.domain, data, p.rules.get("factors", []), {n: b for n, (b, _) in bases.items()} if o.base else None, heroes=p.rules.get("heroes", []), ruleset=p.rules, catalogues=also, names=project.given_names(also), base_errors={n: e for n, (_, e) in bases.items() if e})
     print(summary(found))
     return int(found.where("NOT passed").count() > 0)
 

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import dates, keys, rng, scalars
-from .model import Arrow, Factor, Hero, Ladder, Motif, State
+from .model import Arrow, Composition, Domain, Entity, Factor, Field, ForeignKey, Hero, Ladder, Motif, State
 from .operators import calibrate, features, gates, generate, heroes, rules
 from .queries import GATE, NAMESPACE, SEED, Tables, query, sql_fnv, sql_keyed, sql_uniform
-from .sources import records
+from .sources import appending, records
 from .streaming import accumulate, ladders, simulate
 
 #: The query's own literals.
@@ -203,17 +203,22 @@ def pronouns_and_parent(t: Tables) -> DataFrame:
     return gates.words_of_gender("pronouns", rows, "pronoun", F.col("__gender"), gates.PRONOUNS).select(*GATE)
 
 
-@query("SELECT (SELECT count(*) FROM orders) = 0 OR 2 = 1 AS any_empty, 1::BIGINT AS passed, 1::BIGINT AS failed, ((SELECT count(*) FROM orders) + (SELECT count(*) FROM lineitem))::BIGINT AS examined")
+_KEYS = (("orders", "o_orderkey"), ("lineitem", "l_orderkey, l_linenumber"), ("customer", "c_custkey"))
+_KEYED = " UNION ALL ".join(f"SELECT (SELECT count(*) FROM {t})::BIGINT AS n, (SELECT count(*) FROM (SELECT 1 FROM {t} GROUP BY {k} HAVING count(*) > 1)) = 0 AS ok" for t, k in _KEYS)
+
+
+@query(f"SELECT (count(*) FILTER (WHERE ok))::BIGINT AS passed, (count(*) FILTER (WHERE NOT ok))::BIGINT AS failed, sum(n)::BIGINT AS examined FROM ({_KEYED})")
 def gate_report(t: Tables) -> DataFrame:
-    """A passing gate (orders' key) and a failing one (lines' key) rolled up."""
-    both = gates.all_gates([gates.schema_gates("orders", t.orders, ["o_orderkey"]), gates.schema_gates("lineitem", t.lineitem, ["l_orderkey", "l_linenumber"])])
-    return gates.report(both).withColumn("any_empty", F.lit(False))
+    """The key gates of three tables rolled up."""
+    found = [gates.schema_gates(n, df, k) for n, df, k in (("orders", t.orders, ["o_orderkey"]), ("lineitem", t.lineitem, ["l_orderkey", "l_linenumber"]), ("customer", t.customer, ["c_custkey"]))]
+    return gates.report(gates.all_gates(found))
 
 
-@query("SELECT 'customer' AS entity, count(*)::BIGINT AS n, min(c_custkey)::VARCHAR AS first, max(c_custkey)::VARCHAR AS last FROM customer UNION ALL SELECT 'orders', count(*), min(o_orderkey)::VARCHAR, max(o_orderkey)::VARCHAR FROM orders")
+@query("SELECT 'customer' AS entity, count(*)::BIGINT AS n, count(DISTINCT c_custkey)::BIGINT AS active FROM customer UNION ALL SELECT 'lineitem', count(*), (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)) FROM lineitem UNION ALL SELECT 'orders', count(*), count(DISTINCT o_orderkey) FROM orders")
 def entity_counts(t: Tables) -> DataFrame:
-    count = lambda name, df, key: df.agg(F.lit(name).alias("entity"), F.count(F.lit(1)).alias("n"), F.min(key).cast("string").alias("first"), F.max(key).cast("string").alias("last"))
-    return count("customer", t.customer, "c_custkey").unionByName(count("orders", t.orders, "o_orderkey"))
+    """What a checkpoint holds of each entity: its rows, and its ids, each once."""
+    keys_ = {"customer": ["c_custkey"], "lineitem": ["l_orderkey", "l_linenumber"], "orders": ["o_orderkey"]}
+    return accumulate.counted({"customer": t.customer, "lineitem": t.lineitem, "orders": t.orders}, keys_)
 
 
 @query("SELECT n_nationkey, (SELECT count(*) FROM (SELECT c_custkey FROM customer WHERE c_nationkey = n_nationkey UNION SELECT c_custkey FROM customer WHERE (c_custkey * 7) % 25 = n_nationkey))::BIGINT AS linked FROM nation")
@@ -243,15 +248,47 @@ def wrapped_round_trip(t: Tables) -> DataFrame:
     return records.read_wrapped(t.spark, path, df.schema, ["c_custkey"], "Customer")
 
 
+def _shop(t: Tables) -> Domain:
+    """Customers whose orders live inside them."""
+    of = lambda df: tuple(Field(f.name) for f in df.schema)
+    held = (Composition("collection", "Order", "o_custkey"),)
+    customer = Entity("Customer", (Field("c_custkey", primary=True), *of(t.customer.select("c_name", "c_acctbal"))), (), ("c_custkey",), held)
+    order = Entity("Order", (Field("o_orderkey", primary=True), *of(t.orders.select("o_custkey", "o_totalprice"))), (ForeignKey("o_custkey", "Customer", "c_custkey"),), ("o_orderkey",))
+    return Domain("shop", NAMESPACE, {"Customer": customer, "Order": order})
+
+
+_NEWCOMER = "c_mktsegment = 'MACHINERY'"
+
+
+@query(
+    "SELECT 'customer' AS kind, c_custkey::BIGINT AS id, NULL::BIGINT AS parent, CASE WHEN c_acctbal < 0 AND c_mktsegment <> 'MACHINERY' THEN 0 ELSE c_acctbal END AS value FROM customer "
+    "UNION ALL SELECT 'order', o_orderkey, o_custkey, o_totalprice FROM orders"
+)
+def wrapped_append(t: Tables) -> DataFrame:
+    """Customers with their orders before 1999 as committed files; then those of one segment appended, later orders put into committed and new customers alike, and overdrawn balances of committed ones set to 0; all read back."""
+    d, path = _shop(t), simulate.fresh(t.spark, "appended")
+    c = t.customer.select("c_custkey", "c_name", "c_acctbal", F.expr(_NEWCOMER).alias("__new"))
+    o = t.orders.select("o_orderkey", "o_custkey", "o_totalprice", F.col("o_orderdate").alias("__d")).join(c.select(F.col("c_custkey").alias("o_custkey"), "__new"), "o_custkey")
+    late = F.col("__new") | (F.col("__d") >= "1999-01-01")
+    row = lambda df: df.select("o_orderkey", "o_custkey", "o_totalprice")
+    records.write(d, {"Customer": c.where("NOT __new").drop("__new"), "Order": row(o.where(~late))}, path, json=True)
+    paid = c.where("NOT __new AND c_acctbal < 0").select("c_custkey", "c_name", F.lit(0.0).alias("c_acctbal"))
+    appending.append(t.spark, d, path, {"Customer": c.where("__new").drop("__new"), "Order": row(o.where(late))}, {"Customer": paid})
+    kinds = {"Customer": c.drop("__new").schema, "Order": row(o).schema}
+    found = appending.read(t.spark, d, path, kinds)
+    customers = found["Customer"].select(F.lit("customer").alias("kind"), F.col("c_custkey").cast("long").alias("id"), F.lit(None).cast("long").alias("parent"), F.col("c_acctbal").alias("value"))
+    return customers.unionByName(found["Order"].select(F.lit("order").alias("kind"), F.col("o_orderkey").cast("long").alias("id"), F.col("o_custkey").cast("long").alias("parent"), F.col("o_totalprice").alias("value")))
+
+
 @query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderdate < TIMESTAMP '2000-01-01' UNION ALL SELECT o_orderkey, 'N' FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01'")
 def prior_and_new(t: Tables) -> DataFrame:
     """Committed rows with a cycle's new files beside them."""
-    path = f"{simulate.fresh(t.spark, 'appended')}/orders"
+    path, d = simulate.fresh(t.spark, "appended"), Domain("shop", NAMESPACE, {"orders": Entity("orders", (Field("o_orderkey", primary=True), Field("o_orderstatus")))})
     o = t.orders.select("o_orderkey", "o_orderstatus", "o_orderdate")
-    old = o.where("o_orderdate < '2000-01-01'").select("o_orderkey", "o_orderstatus")
-    old.write.parquet(path)
-    o.where("o_orderdate >= '2000-01-01'").select("o_orderkey", F.lit("N").alias("o_orderstatus")).write.mode("append").parquet(path)
-    return t.spark.read.parquet(path)
+    old = {"orders": o.where("o_orderdate < '2000-01-01'").select("o_orderkey", "o_orderstatus")}
+    records.write(d, old, path)
+    records.append(d, path, {"orders": o.where("o_orderdate >= '2000-01-01'").select("o_orderkey", F.lit("N").alias("o_orderstatus"))}, old)
+    return records.read(t.spark, d, path)["orders"]
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
@@ -275,8 +312,8 @@ def avatar_addresses(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", scalars.avatar_url("c_custkey", "toon", "https://faces.example/", trait, {"female": {"hair": ["long", "bob"]}, "male": {"beard": True}}, "male", "#ffeecc").alias("url"))
 
 
-@query("SELECT event_id, user_id FROM events WHERE ts::DATE > DATE '2024-01-10' AND ts::DATE <= DATE '2024-01-20' ORDER BY ts, event_id LIMIT 25")
+@query(f"SELECT event_id, user_id FROM events WHERE ts::DATE > DATE '2024-01-10' AND ts::DATE <= DATE '2024-01-20' AND event_id NOT IN (SELECT min(event_id) FROM events GROUP BY user_id, ts::DATE) ORDER BY ts, event_id LIMIT 25")
 def first_undecided(t: Tables) -> DataFrame:
-    """The first of a window's events that nothing has decided."""
-    none = t.events.select("event_id").limit(0)
-    return accumulate.undecided(t.events, "event_id", "ts", datetime.date(2024, 1, 10), datetime.date(2024, 1, 20), none, "event_id", 25).select("event_id", "user_id")
+    """The first of a window's events that nothing has decided: each user's first event of a day is."""
+    decided = t.events.groupBy("user_id", F.to_date("ts").alias("d")).agg(F.min("event_id").alias("event_id"))
+    return accumulate.undecided(t.events, "event_id", "ts", datetime.date(2024, 1, 10), datetime.date(2024, 1, 20), decided, "event_id", 25).select("event_id", "user_id")

@@ -77,27 +77,22 @@ def parts(rows: DataFrame, order: list[str], size: int, last_part: int = 0, last
     return ordinal(rows, order, "__n").withColumn("part", at(F.col("__n"))).drop("__n")
 
 
-def ordinal(rows: DataFrame, order: list[str], name: str, buckets: int = 256) -> DataFrame:
+def ordinal(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     """rows with their 1-based place in the order, which must be total.
 
-    Quantiles of the first key (of a bounded sample, if it is no number) cut
-    rows into buckets; the buckets' counts, at most buckets + 1 of them, are
-    summed on the driver, and places within each come from a window on it. A
-    first key with one value for all rows makes one bucket.
+    Rows are dealt into ranges of the whole order, so that a first key of one
+    value is cut by the next, and sorted within them; what is written then has
+    each row's range and place in it, and the ranges' counts, a row a range,
+    are summed on the driver.
     """
-    from pyspark.sql import Window
-
-    first, kind = F.col(order[0]), rows.schema[order[0]].dataType.typeName()
-    if kind in ("integer", "long", "double", "float", "short"):
-        first = first.cast("double")
-        cuts = rows.agg(F.percentile_approx(first, [i / buckets for i in range(1, buckets)], 10 * buckets)).first()[0] or []
-    else:
-        some = sorted(r[0] for r in rows.select(order[0]).where(first.isNotNull()).orderBy(F.xxhash64(order[0])).limit(8 * buckets).collect())
-        cuts = some[8::8]
-    cuts = sorted(set(cuts))
-    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= first)) if cuts else F.lit(0)
-    rows = rows.withColumn("__b", F.when(first.isNull(), -1).otherwise(bucket))
-    counts = {r["__b"]: r["count"] for r in rows.groupBy("__b").count().collect()}
-    before = [sum(n for b, n in counts.items() if b < k) for k in range(-1, len(cuts) + 1)]
-    place = F.row_number().over(Window.partitionBy("__b").orderBy(*order))
-    return rows.withColumn(name, place + F.element_at(F.array(*[F.lit(b).cast("long") for b in before]), F.col("__b") + 2)).drop("__b")
+    from ..streaming.simulate import saved
+
+    dealt = saved(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id()))
+    part = F.shiftright("__m", 33).cast("int")
+    counts = {r["b"]: r["n"] for r in dealt.groupBy(part.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    before, starts = 0, []
+    for b in range(max(counts, default=-1) + 1):
+        starts.append(before)
+        before += counts.get(b, 0)
+    start = F.element_at(F.array(*[F.lit(b).cast("long") for b in starts or [0]]), part + 1)
+    return dealt.withColumn(name, start + F.col("__m").bitwiseAND((1 << 33) - 1) + 1).drop("__m")

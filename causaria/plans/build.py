@@ -19,7 +19,7 @@ from ..operators import generate, heroes, patterns
 from ..operators.compose import ordinal
 from ..operators.delta import status_transitions
 from ..operators.features import compile_feature, resolved
-from ..sources import files, records, state
+from ..sources import files, records, state, versions
 from ..sources import project as projects
 from ..streaming import accumulate, ladders, simulate
 from . import kin
@@ -447,7 +447,7 @@ def build(spark: SparkSession, p: projects.Project, seed: int = 42) -> Built:
             data[r["ballots"]], data[r["source"]] = voted(p, r, data, seed)
     data = {n: simulate.saved(df) for n, df in totalled(p, data).items()}
     data = {n: simulate.saved(df) if df is not data[n] else df for n, df in kin.aligned(p.domain, data, data).items()}
-    counts = {n: df.count() for n, df in data.items()}
+    counts = {r["entity"]: r["n"] for r in accumulate.counted(data, {n: list(p.domain.entity(n).primary) for n in data}).collect()}
     return Built(data, accumulate.Checkpoint(p.domain.name, seed, p.release.year, p.release, p.domain.namespace, counts, numbers), states)
 
 
@@ -455,6 +455,10 @@ def write(p: projects.Project, built: Built) -> None:
     """Data first, the checkpoint last."""
     records.write(p.domain, built.data, str(p.output), mode="overwrite")
     Path(p.output).mkdir(parents=True, exist_ok=True)
+    spark = SparkSession.active()
+    files.delete(spark, f"{p.output}/{versions.LOG}")  # a build begins a history of its own
+    files.delete(spark, f"{p.output}/{versions.KEPT}")
+    versions.commit(spark, str(p.output), list(built.data), note=f"built as of {built.checkpoint.as_of}")
     if built.states is not None:
         built.states.write.mode("overwrite").parquet(_states(p, built.checkpoint.cycle))
     state.save_checkpoint(Path(p.output) / CHECKPOINT, built.checkpoint)
@@ -583,9 +587,9 @@ def next_cycle(spark: SparkSession, p: projects.Project, plan: Plan | None = Non
 
 def commit(spark: SparkSession, p: projects.Project, cycle: Cycle, prior: dict[str, DataFrame]) -> None:
     """Changed entities in place, new rows as new files, states, and the checkpoint last."""
-    for n, df in cycle.updated.items():
-        records.replaced(spark, f"{p.output}/{n}", df)
-    records.append(p.domain, str(p.output), cycle.new, {n: cycle.updated.get(n, df) for n, df in prior.items()})
+    moved = {n: versions.replace(spark, str(p.output), n, df) for n, df in cycle.updated.items()}
+    records.append(p.domain, str(p.output), cycle.new, {n: spark.read.parquet(f"{p.output}/{n}") if n in moved else df for n, df in prior.items()})
+    versions.commit(spark, str(p.output), list(cycle.checkpoint.counts), moved=moved, note=f"cycle {cycle.checkpoint.cycle} as of {cycle.checkpoint.as_of}")
     if cycle.states is not None:
         cycle.states.write.mode("overwrite").parquet(_states(p, cycle.checkpoint.cycle))
     state.save_checkpoint(Path(p.output) / CHECKPOINT, cycle.checkpoint)

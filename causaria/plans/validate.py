@@ -204,10 +204,12 @@ def reversal_gates(domain: Domain, data: Mapping[str, DataFrame]) -> list[DataFr
     return [gates_of_reversal(f"{head.name}: reversals", both.where("link IS NOT NULL"), both.where("link IS NULL").drop("link"), lines.join(both.where("link IS NOT NULL").select(F.col("id").alias("order")), "order", "left_semi"), lines)]
 
 
-def validate(domain: Domain, data: Mapping[str, DataFrame], factors: list[Factor] = (), base: Mapping[str, DataFrame] | None = None, lookup_universe: DataFrame | None = None, heroes: list[Hero] = (), ruleset: Mapping[str, list] | None = None, catalogues: Mapping[str, DataFrame] | None = None, names: DataFrame | None = None) -> DataFrame:
+def validate(domain: Domain, data: Mapping[str, DataFrame], factors: list[Factor] = (), base: Mapping[str, DataFrame] | None = None, lookup_universe: DataFrame | None = None, heroes: list[Hero] = (), ruleset: Mapping[str, list] | None = None, catalogues: Mapping[str, DataFrame] | None = None, names: DataFrame | None = None, base_errors: Mapping[str, str] | None = None) -> DataFrame:
     """Gates in order: heroes, closure, keys, factors, eras, coverage, lookups, rules, uniqueness and lengths, names, titles, pronouns, age, reversals, images, stability, composition.
 
     catalogues: what foreign keys and lookups may point to beside entities.
+    base: the version that all rows of must still be there, by entity; one
+    that is missing is skipped, one of base_errors fails its gate.
     names: a catalogue of given names (name, gender). A rule of an unknown
     entity raises before any job.
     """
@@ -247,7 +249,7 @@ def validate(domain: Domain, data: Mapping[str, DataFrame], factors: list[Factor
     for n, e in here.items():
         out += [gates.distinctness(f"{n}.{f.name}: images", data[n], f.name) for f in e.fields if (f.generator or {}).get("kind") == "avatar"]
     if base is not None:
-        out += [gates.corpus_stability(f"{n}: kept", base.get(n), data[n], e.primary) for n, e in here.items()]
+        out += [gates.corpus_stability(f"{n}: kept", base.get(n), data[n], e.primary, (base_errors or {}).get(n)) for n, e in here.items()]
     for n, e in here.items():
         for c in e.compositions:
             if c.entity in data:

@@ -50,6 +50,29 @@ def folders(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory() and not s.getPath().getName().startswith(("_", ".")))
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    fs, p = _at(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p))
+
+
+def data(spark: SparkSession, path: str) -> list[str]:
+    """A table's data files, by their paths below its folder; none where it isn't there."""
+    fs, p = _at(spark, path)
+    if not fs.exists(p):
+        return []
+    out, found, base = [], fs.listFiles(p, True), fs.getFileStatus(p).getPath().toString()
+    while found.hasNext():
+        f = found.next().getPath().toString()[len(base) + 1 :]
+        if not any(part.startswith(("_", ".")) for part in f.split("/")):
+            out.append(f)
+    return sorted(out)
+
+
+def mkdirs(spark: SparkSession, path: str) -> None:
+    fs, p = _at(spark, path)
+    fs.mkdirs(p)
+
+
 def move(spark: SparkSession, path: str, to: str) -> None:
     """A rename; a path that isn't there is none."""
     fs, p = _at(spark, path)
@@ -58,13 +81,41 @@ def move(spark: SparkSession, path: str, to: str) -> None:
         raise OSError(f"{path}: can't be moved to {to}")
 
 
-def swap(spark: SparkSession, live: str, beside: str) -> None:
-    """beside in place of live, by two renames: a driver lost between them leaves live's rows in live.old, and recovered() puts them back."""
+def partitions(spark: SparkSession, path: str, name: str) -> list[tuple[str, str]]:
+    """(value, file) of a folder written by partitions of one column, each of one file."""
+    fs, p = _at(spark, path)
+    out = []
+    for d in fs.listStatus(p):
+        if d.isDirectory() and d.getPath().getName().startswith(f"{name}="):
+            value = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(d.getPath().getName()[len(name) + 1 :])
+            (made,) = [f.getPath().toString() for f in fs.listStatus(d.getPath()) if f.getPath().getName().startswith("part-")]
+            out.append((value, made))
+    return sorted(out)
+
+
+def replace(spark: SparkSession, source: str, to: str) -> None:
+    """source in place of to, by a rename; a source that is gone has been moved before."""
+    fs, s = _at(spark, source)
+    _, t = _at(spark, to)
+    if not fs.exists(s):
+        return
+    fs.mkdirs(t.getParent())
+    fs.delete(t, False)
+    if not fs.rename(s, t):
+        raise OSError(f"{source}: can't be moved to {to}")
+
+
+def swap(spark: SparkSession, live: str, beside: str, keep: str | None = None) -> None:
+    """beside in place of live, by two renames: a driver lost between them leaves live's rows in live.old, and recovered() puts them back. keep: where those rows go in the end, instead of being deleted."""
     old = f"{live.rstrip('/')}.old"
     delete(spark, old)
     move(spark, live, old)
     move(spark, beside, live)
-    delete(spark, old)
+    if keep is None:
+        delete(spark, old)
+    else:
+        mkdirs(spark, keep.rsplit("/", 1)[0])
+        move(spark, old, keep)
 
 
 def recovered(spark: SparkSession, live: str) -> None:

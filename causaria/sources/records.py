@@ -19,13 +19,14 @@ PART_ROWS = 5000
 SIDECAR, ORDER = "_entity.json", "_order.json"
 
 
-def read_wrapped(spark: SparkSession, path: str, schema: StructType, key: list[str], entity: str | None = None) -> DataFrame:
+def read_wrapped(spark: SparkSession, path: str, schema: StructType, key: list[str], entity: str | None = None, placed: bool = False) -> DataFrame:
     """Rows of files that each hold an array of {primaryKey, fields}, or one such record a line.
 
     A file that doesn't parse, one that is neither, or an element without
     either part fails the read; an empty file or array has no rows. Where
     entity is given, the folder's sidecar must name it. Files are parsed whole:
-    write() puts at most PART_ROWS records in one.
+    write() puts at most PART_ROWS records in one. placed: also the file
+    (__file) and the place in it (__at) of each.
     """
     from pyspark.sql.types import StructField
 
@@ -33,13 +34,14 @@ def read_wrapped(spark: SparkSession, path: str, schema: StructType, key: list[s
         check_sidecar(spark, path, entity)
     element = StructType([StructField("primaryKey", StructType([schema[k] for k in key])), StructField("fields", StructType([f for f in schema if f.name not in key]))])
     text = F.regexp_replace("value", r"^[\s\x{FEFF}]+|\s+$", "")
-    files = spark.read.text(path, wholetext=True).select(text.alias("text")).where("text <> ''")
+    files = spark.read.text(path, wholetext=True).select(text.alias("text"), F.col("_metadata.file_path").alias("__file")).where("text <> ''")
     lines = F.filter(F.split("text", r"[\r\n]+"), lambda x: F.trim(x) != "")
     arrays = F.when(F.col("text").rlike(r"(?s)^\[.*\]$"), F.array("text")).when(F.col("text").startswith("{"), F.transform(lines, lambda x: F.concat(F.lit("["), x, F.lit("]")))).otherwise(F.raise_error(F.lit(f"{path}: a file that is neither an array nor records")).cast("array<string>"))
-    rows = files.select(F.explode(arrays).alias("array")).select(F.explode(F.from_json("array", ArrayType(element), {"mode": "FAILFAST"})).alias("row"))
+    rows = files.select("__file", F.posexplode(arrays).alias("__line", "array")).select("__file", "__line", F.posexplode(F.from_json("array", ArrayType(element), {"mode": "FAILFAST"})).alias("__at", "row"))
     part = lambda x: F.when(F.col(f"row.{x}").isNull(), F.raise_error(F.lit(f"{path}: an element without {x}"))).otherwise(F.col(f"row.{x}"))
-    rows = rows.select(part("primaryKey").alias("primaryKey"), part("fields").alias("fields"))
-    return rows.select(*[F.col(f"primaryKey.{k}") for k in key], *[F.col(f"fields.{f.name}") for f in schema if f.name not in key])
+    where = ["__file", (F.col("__line") + F.col("__at")).cast("long").alias("__at")] if placed else []
+    rows = rows.select(part("primaryKey").alias("primaryKey"), part("fields").alias("fields"), *where)
+    return rows.select(*[F.col(f"primaryKey.{k}") for k in key], *[F.col(f"fields.{f.name}") for f in schema if f.name not in key], *[F.col(c) for c in ("__file", "__at") if placed])
 
 
 def wrapped(df: DataFrame, key: list[str]) -> DataFrame:
@@ -132,13 +134,24 @@ def orphan_counts(domain: Domain, data: dict[str, DataFrame]) -> dict[str, DataF
     return out
 
 
+def of_two_kinds(domain: Domain, data: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """For each entity with several extensions, the keys that more than one of them has: a row is of one kind."""
+    out = {}
+    for e in domain.entities.values():
+        kinds = {c.entity: (data[c.entity], domain.entity(c.entity).primary[0]) for c in e.compositions if c.kind == "isA" and c.entity in data}
+        if len(kinds) > 1:
+            out[e.name] = compose.overlapping_extensions(kinds)
+    return out
+
+
 def write(domain: Domain, data: dict[str, DataFrame], folder: str, mode: str = "errorifexists", json: bool = False, year: dict[str, str] | None = None) -> list[str]:
     """All root entities under folder, at most PART_ROWS records a file in JSON; returns their names in dependency order.
 
-    Orphans stop it before anything is written. Parquet may be partitioned by a
+    Orphans, and rows that two extensions claim, stop it before anything is written. Parquet may be partitioned by a
     year column, so that windows of cycles prune.
     """
     bad = [f"{n}: {k} rows without a parent" for n, df in orphan_counts(domain, data).items() if (k := df.count())]
+    bad += [f"{n}: {k} rows are of two kinds" for n, df in of_two_kinds(domain, data).items() if (k := df.count())]
     if bad:
         raise ValueError("; ".join(bad))
     whole = nested(domain, data) if json else {n: data[n] for n in data}

@@ -69,6 +69,16 @@ def intake(entity: str, params: dict, eras: list[Era], cycle: int, planned: int
     return math.floor(n + 0.5)
 
 
+def counted(data: dict[str, DataFrame], keys: dict[str, list[str]]) -> DataFrame:
+    """(entity, n, active): rows of each entity, and how many ids they have."""
+    out = None
+    for name, df in data.items():
+        key = primary_key([F.col(k).cast("string") for k in keys[name]])
+        one = df.select(key.alias("id")).groupBy("id").count().agg(F.lit(name).alias("entity"), F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.count("id").alias("active"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def undecided(events: DataFrame, key: str, date_field: str, start: date, end: date, decided: DataFrame, decided_key: str, limit: int | None = None) -> DataFrame:
     """Events of the window that no decision names, by date; the first so many if asked."""
     d = F.to_date(date_field)

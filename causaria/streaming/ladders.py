@@ -3,13 +3,14 @@
 Without capacities and exit effects an entity's progress depends on its own row
 alone, and `closed_form` gives any cycle's state as one expression. With them
 the order of entities matters: an exit frees a place for a later entity of the
-same cycle. `step` runs that kernel exactly, one ladder a group; capacities
-bound what such a group must remember, not what it reads: it streams through
-entities in enrolment order.
+same cycle. `kernel` says so row by row; `step` gives the same by a scan over
+stretches of that order, in parallel (see admitted).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,43 +83,159 @@ def kernel(ladder: Ladder, cycle: int, step: int = 1, occupied: dict[str, int] |
     return run
 
 
-STEPPED = "key string, ladder string, state string, tenure int, enter_cycle int, born int, from_state string, exited boolean, dials map<string,double>"
+def lets_in(s: State, state: Column, born: Column, cycle: int, dials: Column) -> Column:
+    """allowed() as a column."""
+    ok = F.lit(True)
+    if s.prior:
+        ok = ok & state.isin(list(s.prior))
+    if s.min_cycles is not None:
+        ok = ok & (F.lit(cycle) - born >= s.min_cycles)
+    for d, (low, high) in s.dials.items():
+        v = dials[d]
+        ok = ok & v.isNotNull() & (F.lit(True) if low is None else v >= low) & (F.lit(True) if high is None else v <= high)
+    return F.coalesce(ok, F.lit(False))
+
+
+#: Candidates that one task of a capacity's scan replays.
+SCANNED = 100_000
+
+
+def fills(events: Iterable[bool], occupied: int, capacity: int) -> Iterator[bool]:
+    """Whether each event is a success: True is an arrival, which succeeds while there is room, False a departure."""
+    for arrives in events:
+        if not arrives:
+            occupied -= 1
+            yield True
+        elif occupied < capacity:
+            occupied += 1
+            yield True
+        else:
+            yield False
+
+
+def summary(events: Iterable[bool], capacity: int) -> tuple[int, int]:
+    """(a, c): what a stretch of events makes of an occupancy x that isn't above the capacity, min(x + a, c)."""
+    a, c = 0, 1 << 60
+    for arrives in events:
+        a, c = (a + 1, min(c + 1, capacity)) if arrives else (a - 1, c - 1)
+    return a, c
+
+
+def admitted(due: DataFrame, ladder: Ladder, occupied: dict[str, int]) -> DataFrame:
+    """(n, place): of those that are due to move, by their place in the order of enrolment, those that do.
+
+    due: n, place (of the state they are in), all that time and prerequisites
+    let go. Whether one leaves a state doesn't depend on who enters it, so the
+    states are taken from the last to the first: who leaves the next state is
+    known then, and in the order of enrolment arrivals meet the room that
+    departures before them have left. A stretch of that order acts on an
+    occupancy as min(x + a, c), and such functions compose: stretches of
+    SCANNED candidates are summed up in parallel, chained on the driver, a pair
+    of numbers each, and replayed in parallel. A state above its capacity lets
+    nobody in until so many have left that it isn't.
+    """
+    last = len(ladder.states) - 1
+    moved = due.where(F.col("place") == last).select("n", "place")  # off the ladder's end, whoever is there
+    out = moved
+    for place in range(last, 0, -1):
+        s = ladder.states[place]
+        arrive = due.where(F.col("place") == place - 1).select("n", "place")
+        if s.capacity is not None:
+            arrive = _through(arrive, moved, s.capacity, occupied.get(s.name, 0))
+        moved = arrive
+        out = out.unionByName(moved)
+    return out
+
+
+def _through(arrive: DataFrame, leave: DataFrame, capacity: int, occupied: int) -> DataFrame:
+    """The arrivals that find room."""
+    import pandas as pd
+
+    from ..operators.compose import ordinal
+    from .simulate import saved
+
+    events = arrive.withColumn("arrives", F.lit(True)).unionByName(leave.withColumn("arrives", F.lit(False))).withColumn("chunk", F.floor(F.col("n") / SCANNED))
+    events = saved(events)
+    over = max(0, occupied - capacity)
+    begin = -1
+    if over:  # the departure that makes it just full
+        gone = ordinal(events.where("NOT arrives").select("n"), ["n"], "k").where(F.col("k") == over).first()
+        if gone is None:
+            return arrive.limit(0)
+        begin = gone["n"]
+    open_ = events.where(F.col("n") > begin)
+
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, c = summary(pdf.sort_values("n")["arrives"].tolist(), capacity)
+        return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "a": [a], "c": [c]})
+
+    x, at = min(occupied, capacity), {}
+    for r in sorted(open_.groupBy("chunk").applyInPandas(sums, "chunk long, a long, c long").collect()):
+        at[r["chunk"]] = x
+        x = min(x + r["a"], r["c"])
+
+    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("n")
+        done = list(fills(pdf["arrives"].tolist(), at[int(pdf["chunk"].iloc[0])], capacity))
+        return pdf[pd.Series(done, index=pdf.index) & pdf["arrives"]][["n", "place"]]
+
+    return saved(open_.groupBy("chunk").applyInPandas(replay, "n long, place int"))
 
 
 def step(states: DataFrame, ladder: Ladder, cycle: int, by: int = 1, order: str = "key") -> DataFrame:
-    """states (with dials map<string,double>) of one ladder after a cycle.
+    """states (with dials map<string,double>) of one ladder after a cycle; see kernel() for the rules.
 
-    A ladder without capacities is stepped row by row in whatever partitions
-    there are. With capacities, occupancy is order-dependent by definition, so
-    its rows pass through one task in order of enrolment, streamed.
+    Tenure grows by `by`; who has stayed a state's duration moves on if the
+    next state lets it in and has room, in order of enrolment (born, then key).
+    All but room is a matter of the row alone.
     """
+    from ..operators.compose import ordinal
+
     own = states.where(F.col("ladder") == ladder.id)
-    limited = any(s.capacity is not None for s in ladder.states)
-    counts = {r["state"]: r["count"] for r in own.groupBy("state").count().collect()} if limited else {}
-    ordered = own.repartition(1).sortWithinPartitions("born", order) if limited else own
-
-    def run(batches):
-        import pandas as pd
-
-        go = kernel(ladder, cycle, by, counts)
-
-        def rows():
-            for pdf in batches:
-                for r in pdf.to_dict("records"):
-                    d = r["dials"]
-                    yield {**r, "dials": dict(d) if d is not None else {}}
-
-        chunk = []
-        for r in go(rows()):
-            chunk.append(r)
-            if len(chunk) == 5000:
-                yield pd.DataFrame(chunk)
-                chunk = []
-        if chunk:
-            yield pd.DataFrame(chunk)
-
-    cols = [F.col("key").cast("string").alias("key"), "ladder", "state", F.col("tenure").cast("int").alias("tenure"), F.col("enter_cycle").cast("int").alias("enter_cycle"), F.col("born").cast("int").alias("born"), "dials"]
-    return ordered.select(*cols).mapInPandas(run, STEPPED)
+    cols = [F.col("key").cast("string").alias("key"), "ladder", "state", F.col("tenure").cast("int").alias("tenure"), F.col("enter_cycle").cast("int").alias("enter_cycle"), F.col("born").cast("int").alias("born"), F.coalesce("dials", F.create_map().cast("map<string,double>")).alias("dials")]
+    own = own.select(*cols)
+    place, due = F.lit(None).cast("int"), F.lit(False)
+    for i, s in enumerate(ladder.states):
+        here = F.col("state") == s.name
+        place = F.when(here, F.lit(i)).otherwise(place)
+        nxt = ladder.states[i + 1] if i + 1 < len(ladder.states) else None
+        goes = F.lit(True) if nxt is None else lets_in(nxt, F.col("state"), F.col("born"), cycle, F.col("dials"))
+        due = F.when(here, (F.col("tenure") + by >= s.duration) & goes).otherwise(due)
+    own = own.withColumns({"place": place, "due": due, "tenure": F.col("tenure") + by})
+    if any(s.capacity is not None for s in ladder.states):
+        counts = {r["state"]: r["count"] for r in own.groupBy("state").count().collect()}
+        ranked = ordinal(own, ["born", order], "n")
+        found = admitted(ranked.where("due").select("n", "place"), ladder, counts).select(F.col("n").alias("__n")).withColumn("__moves", F.lit(True))
+        own = ranked.join(found, F.col("n") == F.col("__n"), "left").withColumn("moves", F.coalesce("__moves", F.lit(False)))
+    else:
+        own = own.withColumn("moves", F.col("due"))
+    return own.select(*_moved(ladder, cycle))
+
+
+def _moved(ladder: Ladder, cycle: int) -> list[Column]:
+    """The columns of a step: where a row moves, its next state's, with what leaving and entering do to its dials."""
+    last = len(ladder.states) - 1
+    moves, ends = F.col("moves"), F.col("moves") & (F.col("place") == last)
+    on = moves & ~ends
+    dials = F.col("dials")
+    for effects in (lambda i: ladder.states[i].exit_effects, lambda i: ladder.states[i + 1].effects if i < last else {}):
+        for i in range(last + 1):
+            if effects(i):
+                change = F.create_map(*[F.lit(x) for d, v in effects(i).items() for x in (d, float(v))])
+                sum_ = F.map_zip_with(dials, change, lambda _, a, b: F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0)))
+                dials = F.when(moves & (F.col("place") == i), sum_).otherwise(dials)
+    names = F.array(*[F.lit(s.name) for s in ladder.states])
+    return [
+        F.col("key"),
+        F.col("ladder"),
+        F.when(on, F.element_at(names, F.least(F.col("place") + 2, F.lit(last + 1)))).otherwise(F.col("state")).alias("state"),
+        F.when(on, F.lit(0)).otherwise(F.col("tenure")).cast("int").alias("tenure"),
+        F.when(on, F.lit(cycle)).otherwise(F.col("enter_cycle")).cast("int").alias("enter_cycle"),
+        F.col("born"),
+        F.col("state").alias("from_state"),
+        ends.alias("exited"),
+        dials.alias("dials"),
+    ]
 
 
 def occupancy(states: DataFrame) -> DataFrame:

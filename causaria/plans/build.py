@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import date
 from pathlib import Path
 
@@ -19,12 +20,12 @@ from ..operators import generate, heroes, patterns
 from ..operators.compose import ordinal
 from ..operators.delta import status_transitions
 from ..operators.features import compile_feature, resolved
-from ..sources import files, records, state, versions
+from ..sources import files, journal, records, state, versions
 from ..sources import project as projects
 from ..streaming import accumulate, ladders, simulate
 from . import kin
 from .graph import common_scope, entity_order
-from .plan import Plan, applied
+from .plan import Plan, applied, parse
 
 CHECKPOINT = "checkpoint.json"
 
@@ -514,6 +515,7 @@ def _decided_on(decision: Entity) -> str:
 
 def next_cycle(spark: SparkSession, p: projects.Project, plan: Plan | None = None, seed: int | None = None, units: int = 1) -> Cycle:
     """One cycle on the project's committed state. All guards have passed when it returns, and nothing is written."""
+    recovered(spark, p)
     prior = state.load_checkpoint(Path(p.output) / CHECKPOINT)
     if prior is None:
         raise accumulate.ContinuityError(f"{p.output}: no checkpoint to go on from")
@@ -585,14 +587,77 @@ def next_cycle(spark: SparkSession, p: projects.Project, plan: Plan | None = Non
     return Cycle(new, updated, states, transitions, accumulate.committed(prior, end, added, numbers))
 
 
-def commit(spark: SparkSession, p: projects.Project, cycle: Cycle, prior: dict[str, DataFrame]) -> None:
-    """Changed entities in place, new rows as new files, states, and the checkpoint last."""
-    moved = {n: versions.replace(spark, str(p.output), n, df) for n, df in cycle.updated.items()}
-    records.append(p.domain, str(p.output), cycle.new, {n: spark.read.parquet(f"{p.output}/{n}") if n in moved else df for n, df in prior.items()})
-    versions.commit(spark, str(p.output), list(cycle.checkpoint.counts), moved=moved, note=f"cycle {cycle.checkpoint.cycle} as of {cycle.checkpoint.as_of}")
+def commit(spark: SparkSession, p: projects.Project, cycle: Cycle, prior: dict[str, DataFrame], batch: int | None = None) -> None:
+    """Changed entities in place, new rows as new files, states, and the checkpoint last: all or nothing.
+
+    Everything is written beside the state, then a journal names the renames
+    that put it in place. Whoever is lost before the journal has changed
+    nothing; after it, recovered() makes what is left of them.
+    """
+    recovered(spark, p)
+    out = str(p.output)
+    beside, version = f"{out}/_pending", max(versions.ids(spark, out), default=0) + 1
+    files.delete(spark, beside)
+    records.check_parents(p.domain, cycle.new, {n: cycle.updated.get(n, df) for n, df in prior.items()})
+    moves: list[tuple[str, str, str]] = []
+    kept: dict[str, str] = {}
+    for n, df in cycle.updated.items():
+        df.write.parquet(f"{beside}/changed/{n}")
+        kept[n] = f"{versions.KEPT}/{version}/{n}"
+        moves += [(journal.KEEP, f"{out}/{n}", f"{out}/{kept[n]}"), (journal.MOVE, f"{beside}/changed/{n}", f"{out}/{n}")]
+    for n, df in cycle.new.items():
+        df.write.parquet(f"{beside}/new/{n}")
+        moves += [(journal.MOVE, f"{beside}/new/{n}/{f}", f"{out}/{n}/{f}") for f in files.data(spark, f"{beside}/new/{n}")]
     if cycle.states is not None:
-        cycle.states.write.mode("overwrite").parquet(_states(p, cycle.checkpoint.cycle))
-    state.save_checkpoint(Path(p.output) / CHECKPOINT, cycle.checkpoint)
+        cycle.states.write.parquet(f"{beside}/states")
+        moves.append((journal.MOVE, f"{beside}/states", _states(p, cycle.checkpoint.cycle)))
+    checkpoint = replace(cycle.checkpoint, batch=cycle.checkpoint.batch if batch is None else batch)
+    files.write_text(spark, f"{beside}/{CHECKPOINT}", state.dumped(checkpoint))
+    moves.append((journal.MOVE, f"{beside}/{CHECKPOINT}", f"{out}/{CHECKPOINT}"))
+    note = f"cycle {checkpoint.cycle} as of {checkpoint.as_of}"
+    journal.begin(spark, out, moves, beside, {"version": version, "tables": list(checkpoint.counts), "moved": kept, "note": note})
+    recovered(spark, p)
+
+
+def recovered(spark: SparkSession, p: projects.Project) -> bool:
+    """Puts in place what a lost commit has journalled; True if there was such a one. To be called before the state is read."""
+    out = str(p.output)
+
+    def told(then: dict) -> None:
+        if then["version"] not in versions.ids(spark, out):
+            versions.commit(spark, out, then["tables"], moved=then["moved"], note=then["note"])
+
+    return journal.play(spark, out, told)
+
+
+def cycle_of_batch(p: projects.Project):
+    """What a stream of authored plans (value: a plan's JSON, or empty for a cycle without one) runs for each micro-batch: one cycle a plan, each batch once.
+
+    The number of the batch is in the checkpoint, which is put in place with
+    the data: a batch that Spark runs again, for the stream was lost before it
+    could note it, adds nothing.
+    """
+
+    def run(df: DataFrame, batch: int) -> None:
+        spark = df.sparkSession
+        recovered(spark, p)
+        prior = state.load_checkpoint(Path(p.output) / CHECKPOINT)
+        if prior is not None and prior.batch is not None and batch <= prior.batch:
+            return
+        told = [r["value"] for r in df.select("value").limit(2).collect()]
+        if len(told) != 1:
+            raise accumulate.ContinuityError(f"batch {batch}: {'no' if not told else 'more than one'} plan; a batch is one cycle")
+        plan = parse(json.loads(told[0])) if told[0].strip() else None
+        done = next_cycle(spark, p, plan)
+        commit(spark, p, done, records.read(spark, p.domain, str(p.output), list(prior.counts)), batch)
+
+    return run
+
+
+def stream_plans(spark: SparkSession, p: projects.Project, folder: str, checkpoint_dir: str):
+    """A streaming query that runs a cycle for each plan file of a folder that it hasn't run, oldest first, one a micro-batch."""
+    frames = spark.readStream.option("wholetext", True).option("maxFilesPerTrigger", 1).text(folder)
+    return accumulate.stream_cycles(frames, cycle_of_batch(p), checkpoint_dir)
 
 
 def as_of(p: projects.Project) -> date | None:

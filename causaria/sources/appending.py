@@ -27,10 +27,7 @@ from ..model import Domain
 from ..operators import compose
 from ..plans.graph import composed, directories, insert_directory
 from ..streaming.simulate import saved
-from . import files, records
-
-JOURNAL = "_journal.json"
-
+from . import files, journal, records
 
 def nested_schemas(spark: SparkSession, domain: Domain, flat: dict[str, StructType]) -> dict[str, StructType]:
     """The schema of each directory's records, with what they hold."""
@@ -39,7 +36,7 @@ def nested_schemas(spark: SparkSession, domain: Domain, flat: dict[str, StructTy
 
 def read(spark: SparkSession, domain: Domain, folder: str, flat: dict[str, StructType]) -> dict[str, DataFrame]:
     """Every entity's rows out of a folder of wrapped directories, after playing an append's journal forward."""
-    play(spark, folder)
+    journal.play(spark, folder)
     return records.flat(domain, {n: x.drop("__file", "__at") for n, x in indexed(spark, domain, folder, flat).items()})
 
 
@@ -84,7 +81,7 @@ def append(spark: SparkSession, domain: Domain, folder: str, new: dict[str, Data
     new row whose key is committed, and a changed one whose key isn't, stop it
     before anything is written.
     """
-    play(spark, folder)
+    journal.play(spark, folder)
     changed = changed or {}
     kinds = {n: df.schema for n, df in {**changed, **new}.items()}
     kinds = {n: kinds.get(n) or domain.entity(n).schema() for n in domain.entities}
@@ -139,32 +136,20 @@ def append(spark: SparkSession, domain: Domain, folder: str, new: dict[str, Data
         parts.select(text.alias("value"), F.element_at(F.split("__to", "/"), -1).alias("name")).repartition("name").write.partitionBy("name").option("maxRecordsPerFile", 1).text(f"{beside}/{root}")
         if held is None:
             files.write_text(spark, f"{beside}/{root}/{records.SIDECAR}", json.dumps({"entity": root, "primaryKey": e.primary}))
-            moves.append([f"{beside}/{root}/{records.SIDECAR}", f"{folder}/{root}/{records.SIDECAR}"])
+            moves.append((journal.MOVE, f"{beside}/{root}/{records.SIDECAR}", f"{folder}/{root}/{records.SIDECAR}"))
             order = insert_directory(order, domain, root)
         for name, made in files.partitions(spark, f"{beside}/{root}", "name"):
             to = f"{folder}/{root}/{name if name.endswith('.txt') else name + '.txt'}"
-            moves.append([made, to])
+            moves.append((journal.MOVE, made, to))
             written.append(to)
     if moves:
         files.write_text(spark, f"{beside}/{records.ORDER}", json.dumps({"directoryOrder": order}))
-        moves.append([f"{beside}/{records.ORDER}", f"{folder}/{records.ORDER}"])
-        files.write_text(spark, f"{folder}/{JOURNAL}", json.dumps({"moves": moves, "beside": beside}))
-        play(spark, folder)
+        moves.append((journal.MOVE, f"{beside}/{records.ORDER}", f"{folder}/{records.ORDER}"))
+        journal.begin(spark, folder, moves, beside)
+        journal.play(spark, folder)
     return written
 
 
-def play(spark: SparkSession, folder: str) -> None:
-    """Makes the moves of a journal that an append has left; without one nothing is done."""
-    at = f"{folder}/{JOURNAL}"
-    if not files.exists(spark, at):
-        return
-    journal = json.loads(files.read_text(spark, at))
-    for source, to in journal["moves"]:
-        files.replace(spark, source, to)
-    files.delete(spark, at)
-    files.delete(spark, journal["beside"])
-
-
 def _order(spark: SparkSession, folder: str, domain: Domain) -> list[str]:
     at = f"{folder}/{records.ORDER}"
     return json.loads(files.read_text(spark, at))["directoryOrder"] if files.exists(spark, at) else []

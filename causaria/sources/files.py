@@ -94,13 +94,13 @@ def partitions(spark: SparkSession, path: str, name: str) -> list[tuple[str, str
 
 
 def replace(spark: SparkSession, source: str, to: str) -> None:
-    """source in place of to, by a rename; a source that is gone has been moved before."""
+    """source (a file or folder) in place of to, by a rename; a source that is gone has been moved before."""
     fs, s = _at(spark, source)
     _, t = _at(spark, to)
     if not fs.exists(s):
         return
     fs.mkdirs(t.getParent())
-    fs.delete(t, False)
+    fs.delete(t, True)
     if not fs.rename(s, t):
         raise OSError(f"{source}: can't be moved to {to}")
 

@@ -176,14 +176,19 @@ def read(spark: SparkSession, domain: Domain, folder: str, entities: list[str] |
 
 def append(domain: Domain, folder: str, new: dict[str, DataFrame], prior: dict[str, DataFrame]) -> None:
     """New rows as new files beside the committed ones. A new row of a composed entity must find its parent among prior or new rows."""
+    check_parents(domain, new, prior)
+    for n, df in new.items():
+        df.write.mode("append").parquet(f"{folder}/{n}")
+
+
+def check_parents(domain: Domain, new: dict[str, DataFrame], prior: dict[str, DataFrame]) -> None:
+    """Raises where a new row of a composed entity has no parent among prior or new rows."""
     data = {n: prior[n].unionByName(new[n], allowMissingColumns=True) if n in prior else new[n] for n in new}
     parents = {n: data.get(n, prior.get(n)) for n in {*data, *prior}}
     for e in domain.entities.values():
         for c in e.compositions:
             if c.kind == "collection" and c.entity in new and (k := compose.orphans(new[c.entity], c.field, parents[e.name], e.primary[0]).count()):
                 raise ValueError(f"{c.entity}: {k} new rows without a parent")
-    for n, df in new.items():
-        df.write.mode("append").parquet(f"{folder}/{n}")
 
 
 def decorated(df: DataFrame, entity: Entity, key: str, seed: int, catalogues: dict | None = None, parents: list | None = None) -> DataFrame:

@@ -24,16 +24,20 @@ def load_checkpoint(path: str | Path) -> Checkpoint | None:
         return None
     try:
         d = json.loads(p.read_text())
-        return Checkpoint(d["domain"], int(d["seed"]), int(d["cycle"]), date.fromisoformat(d["as_of"]), d["namespace"], {k: int(v) for k, v in d["counts"].items()}, {k: int(v) for k, v in d.get("numbered", {}).items()})
+        return Checkpoint(d["domain"], int(d["seed"]), int(d["cycle"]), date.fromisoformat(d["as_of"]), d["namespace"], {k: int(v) for k, v in d["counts"].items()}, {k: int(v) for k, v in d.get("numbered", {}).items()}, d.get("batch"))
     except (ValueError, KeyError, TypeError, AttributeError) as e:
         raise CheckpointError(f"{p}: {type(e).__name__}: {e}") from e
 
 
+def dumped(c: Checkpoint) -> str:
+    return json.dumps({**asdict(c), "as_of": c.as_of.isoformat()}, sort_keys=True)
+
+
 def save_checkpoint(path: str | Path, c: Checkpoint) -> None:
     """In one step: a reader sees the old one or the new one."""
     p = Path(path)
     tmp = p.with_suffix(".tmp")
-    tmp.write_text(json.dumps({**asdict(c), "as_of": c.as_of.isoformat()}, sort_keys=True))
+    tmp.write_text(dumped(c))
     os.replace(tmp, p)
 
 

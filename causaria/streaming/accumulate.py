@@ -35,6 +35,8 @@ class Checkpoint:
     counts: dict[str, int]
     #: the last ordinal given out for each: rows that belong to others have none, so counts may run ahead
     numbered: dict[str, int] = field(default_factory=dict)
+    #: the last micro-batch of a stream that was committed
+    batch: int | None = None
 
     def first(self) -> dict[str, int]:
         return {n: max(self.counts.get(n, 0), self.numbered.get(n, 0)) for n in {*self.counts, *self.numbered}}
@@ -135,7 +137,11 @@ def committed(checkpoint: Checkpoint, as_of: date, added: dict[str, int], number
 
 
 def stream_cycles(frames: DataFrame, run: Callable[[DataFrame, int], None], checkpoint_dir: str):
-    """A streaming query that runs a cycle for each micro-batch of a stream; available data, then stop."""
+    """A streaming query that runs a cycle for each micro-batch of a stream; available data, then stop.
+
+    A batch that was cut short is run again under its own number: run must
+    know what it has committed (plans.build.cycle_of_batch does).
+    """
     return frames.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start()
 
 

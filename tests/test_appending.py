@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from causaria.model import parse_domain
-from causaria.sources import appending, files, records
+from causaria.sources import appending, files, journal, records
 from tests.worlds import FIELD, TEXT, entity
 
 DOMAIN = parse_domain(
@@ -97,7 +97,7 @@ def test_what_is_wrong_stops_it_before_a_byte(spark, reef):
     with pytest.raises(ValueError) as e:
         appending.append(spark, DOMAIN, folder, {"Coral": frame(spark, "Coral", [{"ID": "x", "Kind": "k", "ReefID": "gone"}, {"ID": "c1", "Kind": "k", "ReefID": "r01"}])}, {"Reef": frame(spark, "Reef", [{"ID": "zz", "Name": "n"}])})
     assert set(str(e.value).split("; ")) == {"Coral: 1 new rows have keys that exist", "Reef: 1 changed rows aren't there", "Coral: 1 rows without a parent"}
-    assert digests(folder) == before and not files.exists(spark, f"{folder}/{appending.JOURNAL}")
+    assert digests(folder) == before and not files.exists(spark, f"{folder}/{journal.JOURNAL}")
     assert appending.append(spark, DOMAIN, folder, {}) == []
 
 
@@ -117,10 +117,10 @@ def test_a_lost_driver_is_made_good(spark, reef, monkeypatch):
     with pytest.raises(KeyboardInterrupt):
         appending.append(spark, DOMAIN, folder, new, part_rows=4)
     monkeypatch.setattr(files, "replace", real)
-    assert files.exists(spark, f"{folder}/{appending.JOURNAL}") and digests(folder) != before
+    assert files.exists(spark, f"{folder}/{journal.JOURNAL}") and digests(folder) != before
     got = appending.read(spark, DOMAIN, folder, KINDS)
     assert got["Reef"].count() == 17 and got["Coral"].count() == 16
-    assert not files.exists(spark, f"{folder}/{appending.JOURNAL}") and not list(Path(folder).glob("_append*"))
+    assert not files.exists(spark, f"{folder}/{journal.JOURNAL}") and not list(Path(folder).glob("_append*"))
 
 
 def test_rows_of_two_kinds_stop_a_write(spark, reef, tmp_path):

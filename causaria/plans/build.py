@@ -23,7 +23,7 @@ from ..operators.features import compile_feature, resolved
 from ..sources import files, journal, records, state, versions
 from ..sources import project as projects
 from ..streaming import accumulate, ladders, simulate
-from . import kin, reversals
+from . import kin, reversals, suppression
 from .graph import common_scope, entity_order
 from .plan import Plan, applied, parse
 
@@ -446,6 +446,7 @@ def build(spark: SparkSession, p: projects.Project, seed: int = 42) -> Built:
     for r in _ballots(p).values():
         if r["source"] in data and any(x["kind"] == "date-window" and x["source"] == r["ballots"] and x["window"] in data for x in p.domain.rules):
             data[r["ballots"]], data[r["source"]] = voted(p, r, data, seed)
+    data = suppression.suppressed(p.domain, data, p.rules.get("eras", []), seed)
     data = {n: simulate.saved(df) for n, df in reversals.cohered(p.domain, totalled(p, data)).items()}
     data = {n: simulate.saved(df) if df is not data[n] else df for n, df in kin.aligned(p.domain, data, data).items()}
     counts = {r["entity"]: r["n"] for r in accumulate.counted(data, {n: list(p.domain.entity(n).primary) for n in data}).collect()}

@@ -130,9 +130,12 @@ def test_open_decisions_are_made(spark, rescue):
     assert failed(p, after) == set()
     assert after["Proposal"].where("ID LIKE 'late-%' AND Result IN ('Agreed', 'Refused')").count() == 5
     assert after["Hand"].where("ProposalID LIKE 'late-%'").count() >= 10
-    flipped = {**after, "Budget": after["Budget"].withColumn("Result", F.when(F.col("Result") == "Refused", "Agreed").otherwise("Refused"))}
-    lost = {**after, "Slip": after["Slip"].withColumn("RescuerID", F.lit("stranger")), "Drill": after["Drill"].withColumn("DrillDate", F.date_add("DrillDate", 900))}
-    assert "budgets as voted" in failed(p, flipped) and {"slips of those in the chair", "drills in season"} <= failed(p, lost)
+    bad = {
+        "Budget": after["Budget"].withColumn("Result", F.when(F.col("Result") == "Refused", "Agreed").otherwise("Refused")),
+        "Slip": after["Slip"].withColumn("RescuerID", F.lit("stranger")),
+        "Drill": after["Drill"].withColumn("DrillDate", F.date_add("DrillDate", 900)),
+    }
+    assert {"budgets as voted", "slips of those in the chair", "drills in season"} <= failed(p, {**after, **bad})
 
 
 def test_votes_of_a_million(spark):

@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 from ..functions.dates import within
 from ..functions.keys import filled, norm, pair
 from .features import path
-from .gates import gate
+from .gates import gate, violations
 
 OUTCOMES = ("Passed", "Failed")
 
 
-def gate_of(name: str, judged: DataFrame) -> DataFrame:
-    """No source row violates the rule; no rows pass."""
+def gate_of(name: str, judged: DataFrame, key: str | None = None) -> DataFrame:
+    """No source row violates the rule; no rows pass. key: what the message names offenders by."""
+    if key is not None and key in judged.columns:
+        return violations(name, "rule", judged, F.col("violated"), empty_fails=False, key=F.col(key)).withColumn("expected", F.lit("0 violations"))
     c = judged.agg(F.count(F.lit(1)).alias("n"), F.count_if("violated").alias("bad"))
     return c.select(*gate(name, "rule", F.col("bad") == 0, F.col("n"), "0 violations", F.col("bad")))
 

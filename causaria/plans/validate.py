@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import forms
 from ..functions.dates import cycle_field, day, row_year
-from ..functions.keys import norm
+from ..functions.keys import lookup_parts, norm
 from ..model import Domain, Entity, Factor, Hero
 from ..operators import eras, gates, rules
 from ..operators import heroes as hero_rows
@@ -31,7 +31,7 @@ def _parent_field(df: DataFrame, hops: list, fields: list[str]) -> tuple[DataFra
 
 def rule_gate(r: Mapping, data: Mapping[str, DataFrame]) -> DataFrame:
     """A declared relational rule's gate."""
-    src, name = data[r["source"]], r.get("name", r["kind"])
+    src, name, by = data[r["source"]], r.get("name", r["kind"]), r.get("key", "ID") if r["kind"] != "date-window" else "ID"
     hops = [(h["field"], data[h["entity"]], h.get("key", "ID")) for h in r.get("path", ())]
     if r["kind"] == "path-match":
         inc = r.get("inclusion")
@@ -40,7 +40,7 @@ def rule_gate(r: Mapping, data: Mapping[str, DataFrame]) -> DataFrame:
             pool, fields = data[inc["entity"]].select(F.col(inc["item"]).alias(inc["sourceItem"]), F.col(inc["container"]).alias("__container")), (inc["sourceItem"], "__container")
         elif inc:
             pool, fields = data[inc["entity"]], tuple(inc["fields"])
-        return rules.gate_of(name, rules.path_match(src, hops, r["targetField"], r.get("sourceField"), pool, fields))
+        return rules.gate_of(name, rules.path_match(src, hops, r["targetField"], r.get("sourceField"), pool, fields), by)
     if r["kind"] == "date-window":
         w, key = data[r["window"]], r["key"]
         if link := r.get("link"):  # a row's window is that of what it is linked to, else its own key's
@@ -49,7 +49,7 @@ def rule_gate(r: Mapping, data: Mapping[str, DataFrame]) -> DataFrame:
             src = src.join(to, norm(src["ID"]) == F.col("__from"), "left").withColumn("__key_of_window", F.coalesce("__to", own)).drop("__from", "__to")
             key = "__key_of_window"
         theirs = r["windowKey"] if r["windowKey"] in w.columns else "ID"
-        return rules.gate_of(name, rules.date_window(src, day(src[r["dateField"]]), key, w, theirs, day(w[r["startField"]]), day(w[r["endField"]]), bool(r.get("requireWindow"))))
+        return rules.gate_of(name, rules.date_window(src, day(src[r["dateField"]]), key, w, theirs, day(w[r["startField"]]), day(w[r["endField"]]), bool(r.get("requireWindow"))), by)
     if r["kind"] == "text-contains-path":
         child = r.get("children")
         rows, parts, key = _parent_field(src, hops, list(r.get("targetFields", ())))
@@ -57,9 +57,9 @@ def rule_gate(r: Mapping, data: Mapping[str, DataFrame]) -> DataFrame:
         judged = rules.text_contains(rows, r["textField"], parts, data[child["entity"]] if child else None, key or r.get("key", "ID"), child["key"] if child else None, child["field"] if child else None, exact="targetFields" in r)
         if key:  # a path that leads nowhere is a violation
             judged = judged.withColumn("violated", F.col("violated") | F.col(key).isNull())
-        return rules.gate_of(name, judged)
+        return rules.gate_of(name, judged, by)
     options = {k: r[j] for k, j in (("rule", "rule"), ("quorum", "quorum"), ("tie", "tie"), ("count_abstain", "countAbstain"), ("yes", "yes"), ("no", "no"), ("abstain", "abstain"), ("passed", "passed"), ("failed", "failed")) if j in r}
-    return rules.gate_of(name, rules.ballots_outcome(src, r.get("key", "ID"), r["outcomeField"], data[r["ballots"]], r["decisionField"], r["voteField"], **options))
+    return rules.gate_of(name, rules.ballots_outcome(src, r.get("key", "ID"), r["outcomeField"], data[r["ballots"]], r["decisionField"], r["voteField"], **options), by)
 
 
 def dated(domain: Domain, name: str, df: DataFrame) -> tuple[Column | None, str]:
@@ -121,32 +121,40 @@ def era_gates(domain: Domain, data: Mapping[str, DataFrame], ruleset: Mapping[st
     return out
 
 
-def universe(domain: Domain, data: Mapping[str, DataFrame], catalogues: Mapping[str, DataFrame] | None = None) -> DataFrame | None:
-    """(entity, field, value) of all text that a lookup may name: of entities and catalogues."""
+def universe(domain: Domain, data: Mapping[str, DataFrame], catalogues: Mapping[str, DataFrame] | None = None, named: set[tuple[str | None, str | None]] | None = None) -> DataFrame | None:
+    """(entity, field, value) of all text that a lookup may name: of entities and catalogues. named: only the (entity, field) pairs, in lower case, that lookups do name; one without a name may mean any field."""
     out = None
+    wanted = lambda n, f: named is None or (None, None) in named or (n.lower(), f.lower()) in named
     for name, df in {**(catalogues or {}), **data}.items():
-        fields = [f.name for f in df.schema if f.dataType.typeName() in ("string", "long", "integer", "double")]
+        fields = [f.name for f in df.schema if f.dataType.typeName() in ("string", "long", "integer", "double") and wanted(name, f.name)]
         if fields:
             cells = df.select(F.explode(F.array(*[F.struct(F.lit(name).alias("entity"), F.lit(f).alias("field"), F.col(f"`{f}`").cast("string").alias("value")) for f in fields])).alias("c")).select("c.*").where("value IS NOT NULL")
             out = cells if out is None else out.unionByName(cells)
     return out
 
 
-def lookup_gates(domain: Domain, data: Mapping[str, DataFrame], known: DataFrame | None) -> list[DataFrame]:
-    """A gate for each entity with text. Cells are counted first: without any that starts with @lookup:, nothing of the universe is read."""
+def names_of(df: DataFrame, fields: list[str], known: Mapping[str, DataFrame]) -> set[tuple[str | None, str | None]]:
+    """The (entity, field) pairs, in lower case, that the lookups of these fields name and that are known: as many as there are declared fields at most. (None, None) stands for lookups without a name."""
+    e, f, v = lookup_parts("cell")
+    cells = df.select(F.explode(F.array(*[df[x].cast("string") for x in fields])).alias("cell")).where("cell LIKE '@lookup:%'")
+    fields_of = [(n.lower(), x.lower()) for n, t in known.items() for x in t.columns]
+    real = df.sparkSession.createDataFrame(fields_of, "e string, f string").distinct()
+    pairs = cells.select(F.lower(e).alias("e"), F.lower(f).alias("f"), v.isNotNull().alias("one")).where("one").groupBy("e", "f").agg(F.count(F.lit(1)).alias("n"))
+    bare = pairs.where("e IS NULL").select("e", "f")
+    return {(r["e"], r["f"]) for r in pairs.join(F.broadcast(real), ["e", "f"], "left_semi").select("e", "f").unionByName(bare).collect()}
+
+
+def lookup_gates(domain: Domain, data: Mapping[str, DataFrame], known: DataFrame | None, catalogues: Mapping[str, DataFrame] | None = None) -> list[DataFrame]:
+    """A gate for each entity with text. What lookups name is gathered first: of known, or else of data and catalogues, only that is read, and nothing without a lookup."""
     out = []
+    all_of = {**(catalogues or {}), **data}
     for n, e in domain.entities.items():
         fields = [f.name for f in e.fields if n in data and f.type in ("string", "uuid") and f.name in data[n].columns]
         if not fields:
             continue
-        some = F.lit(False)
-        for f in fields:
-            some = some | F.coalesce(F.col(f).startswith("@lookup:"), F.lit(False))
-        if known is None or not data[n].where(some).limit(1).count():
-            empty = data[n].sparkSession.createDataFrame([], "entity string, field string, value string")
-            out.append(gates.lookups(f"{n}: lookups", data[n], fields, empty if known is None else known.limit(0)))
-        else:
-            out.append(gates.lookups(f"{n}: lookups", data[n], fields, known))
+        where = known if known is not None else universe(domain, data, catalogues, names_of(data[n], fields, all_of))
+        empty = data[n].sparkSession.createDataFrame([], "entity string, field string, value string")
+        out.append(gates.lookups(f"{n}: lookups", data[n], fields, empty if where is None else where))
     return out
 
 
@@ -163,7 +171,7 @@ def identity_gates(domain: Domain, data: Mapping[str, DataFrame], names: DataFra
         if gender and names is not None and (given := _has(e, df, "FirstName")):
             first.append(gates.name_gender(f"{n}: names and gender", df, given, gender, names))
         if gender and (title := _has(e, df, "Prefix", "Salutation")):
-            second.append(gates.words_of_gender(f"{n}: titles and gender", df, title, df[gender], gates.TITLES))
+            second.append(gates.words_of_gender(f"{n}: titles and gender", df, title, df[gender], gates.TITLES, df[e.primary[0]]))
         if pronoun := _has(e, df, "PronounSet", "Pronouns"):
             rows, of = df, df[gender] if gender else None
             for k in () if gender else e.foreign_keys:
@@ -172,7 +180,7 @@ def identity_gates(domain: Domain, data: Mapping[str, DataFrame], names: DataFra
                     of = F.col("__gender")
                     break
             if of is not None:
-                third.append(gates.words_of_gender(f"{n}: pronouns and gender", rows, pronoun, of, gates.PRONOUNS))
+                third.append(gates.words_of_gender(f"{n}: pronouns and gender", rows, pronoun, of, gates.PRONOUNS, F.col(e.primary[0])))
         if born := _has(e, df, "DateOfBirth", "DOB", "BirthDate"):
             since, rows = [day(df[c]) for c in ("IntakeDate", "CreatedAt", "JoinDate") if c in df.columns], df
             for other, k in ((o, k) for o in domain.entities.values() for k in o.foreign_keys if k.entity == n and o.name in data and o.name.endswith("Profile")):
@@ -183,7 +191,7 @@ def identity_gates(domain: Domain, data: Mapping[str, DataFrame], names: DataFra
                     since.append(F.col("__joined"))
                     break
             if since:
-                fourth.append(gates.min_age(f"{n}: age at intake", rows, day(df[born]), F.coalesce(*since)))
+                fourth.append(gates.min_age(f"{n}: age at intake", rows, day(df[born]), F.coalesce(*since), key=df[e.primary[0]]))
     return first + second + third + fourth
 
 
@@ -222,12 +230,12 @@ def validate(domain: Domain, data: Mapping[str, DataFrame], factors: list[Factor
     out: list[DataFrame] = hero_rows.gates(data, list(heroes), domain)
     for n, e in here.items():
         nullable = {f.name: f.nullable for f in e.fields}
-        for k in e.foreign_keys:
-            if k.entity in known:
-                keys = data[n].where(~F.coalesce(F.col(k.field).cast("string").startswith("@lookup:"), F.lit(False)))  # those are resolved by their own gate
-                out.append(gates.fk_closure(f"{n}.{k.field}", keys, k.field, known[k.entity], k.target if k.target in known[k.entity].columns else known[k.entity].columns[0], nullable.get(k.field, False)))
+        to = lambda k: k.target if k.target in known[k.entity].columns else known[k.entity].columns[0]
+        closed = [(f"{n}.{k.field}", k.field, known[k.entity], to(k), nullable.get(k.field, False)) for k in e.foreign_keys if k.entity in known]
+        if closed:
+            out.append(gates.closure_gates(data[n], closed))
     for n, e in here.items():
-        out.append(gates.schema_gates(n, data[n], e.primary, [f.name for f in e.fields if f.unique], {f.name: f.max_length for f in e.fields if f.max_length}))
+        out.append(gates.schema_gates_with_examples(n, data[n], e.primary, [f.name for f in e.fields if f.unique], {f.name: f.max_length for f in e.fields if f.max_length}))
     for n, e in here.items():
         own = [f for f in factors if f.entity == n]
         if own:
@@ -241,20 +249,20 @@ def validate(domain: Domain, data: Mapping[str, DataFrame], factors: list[Factor
             out.append(gates.factor_gates(rows, scored))
     out += era_gates(domain, data, ruleset) if ruleset else []
     for n, e in here.items():
-        out += [gates.dependent_coverage(f"{k.entity} has {n}", data[k.entity], k.target, data[n], k.field) for k in e.foreign_keys if k.dependent and k.entity in data]
-    out += lookup_gates(domain, data, lookup_universe if lookup_universe is not None else universe(domain, data, also))
+        out += [gates.dependent_coverage(f"{k.entity} has {n}", data[k.entity], k.target, data[n], k.field, few=3) for k in e.foreign_keys if k.dependent and k.entity in data]
+    out += lookup_gates(domain, data, lookup_universe, also)
     out += [rule_gate(r, known) for r in domain.rules]
     out += identity_gates(domain, data, names)
     out += reversal_gates(domain, data)
     for n, e in here.items():
         out += [gates.distinctness(f"{n}.{f.name}: images", data[n], f.name) for f in e.fields if (f.generator or {}).get("kind") == "avatar"]
     if base is not None:
-        out += [gates.corpus_stability(f"{n}: kept", base.get(n), data[n], e.primary, (base_errors or {}).get(n)) for n, e in here.items()]
+        out += [gates.corpus_stability(f"{n}: kept", base.get(n), data[n], e.primary, (base_errors or {}).get(n), few=3) for n, e in here.items()]
     for n, e in here.items():
         for c in e.compositions:
             if c.entity in data:
                 inner = domain.entity(c.entity)
-                made = {"isA": lambda c=c, e=e, n=n, inner=inner: gates.is_a(f"{c.entity} is a {n}", data[c.entity], inner.primary[0], data[n], e.primary[0]), "collection": lambda c=c, e=e, n=n: gates.collection(f"{c.entity} in {n}", data[c.entity], c.field, data[n], e.primary[0]), "embed": lambda c=c, n=n, inner=inner: gates.embed(f"{n} embeds {c.entity}", data[n], c.field, data[c.entity], inner.primary[0])}
+                made = {"isA": lambda c=c, e=e, n=n, inner=inner: gates.is_a(f"{c.entity} is a {n}", data[c.entity], inner.primary[0], data[n], e.primary[0], few=3), "collection": lambda c=c, e=e, n=n: gates.collection(f"{c.entity} in {n}", data[c.entity], c.field, data[n], e.primary[0], few=3), "embed": lambda c=c, n=n, inner=inner: gates.embed(f"{n} embeds {c.entity}", data[n], c.field, data[c.entity], inner.primary[0], few=3)}
                 out.append(made[c.kind]())
     return gates.all_gates(out)
 
@@ -262,5 +270,5 @@ def validate(domain: Domain, data: Mapping[str, DataFrame], factors: list[Factor
 def summary(found: DataFrame) -> str:
     """A line a gate, then the totals; for people."""
     rows = found.orderBy(F.col("passed"), "category", "name").collect()
-    lines = [f"{'PASS' if r['passed'] else 'FAIL'} {r['category']}: {r['name']} (expected {r['expected']}, actual {r['actual']}, n={r['population_count']})" for r in rows]
+    lines = [f"{'PASS' if r['passed'] else 'FAIL'} {r['category']}: {r['name']} (expected {r['expected']}, actual {r['actual']}, n={r['population_count']})" + (f": {r['message']}" if not r["passed"] and r["message"] else "") for r in rows]
     return "\n".join([*lines, f"{sum(r['passed'] for r in rows)} of {len(rows)} gates passed"])

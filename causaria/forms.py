@@ -135,21 +135,21 @@ def field(v: Mapping) -> dict:
     out = {**v, "unique": bool(v.get("unique", v.get("uniqueness") == "generated")), "generator": generator(v.get("generator"))}
     if v.get("logo") is not None:
         out["generator"] = {"kind": "monogram", "of": v["logo"].get("nameField", "Name")}
-    elif v.get("avatar") is not None and v["avatar"].get("base"):
+    elif v.get("avatar") is not None:
         a = v["avatar"]
-        out["generator"] = {"kind": "avatar", "of": a.get("seedField", "ID"), "style": a.get("style", "toon-head"), "base": a["base"], "trait": a.get("traitField"), "traits": a.get("traits"), "default": a.get("defaultTrait"), "background": a.get("backgroundColor")}
+        out["generator"] = {"kind": "avatar", "of": a.get("seedField", "ID"), "style": a.get("style", "toon-head"), "base": a.get("base"), "trait": a.get("traitField"), "traits": a.get("traits"), "default": a.get("defaultTrait"), "background": a.get("backgroundColor")}
     return out
 
 
-def compositions(entities: Mapping[str, Mapping]) -> dict[str, list[tuple[str, str, str]]]:
-    """By holder: (kind, entity held, foreign key). An isA may stand with the parent or, naming its parent, with the child."""
-    out: dict[str, list[tuple[str, str, str]]] = {n: [] for n in entities}
+def compositions(entities: Mapping[str, Mapping]) -> dict[str, list[tuple]]:
+    """By holder: (kind, entity held, foreign key), of an isA also its selector. An isA may stand with the parent or, naming its parent, with the child."""
+    out: dict[str, list[tuple]] = {n: [] for n in entities}
     for name, e in entities.items():
         c = e.get("composition") or {}
         is_a = c.get("isA") or []
         for x in [is_a] if isinstance(is_a, Mapping) else is_a:
             if x.get("parentEntity"):
-                out.setdefault(x["parentEntity"], []).append(("isA", name, "ID"))
+                out.setdefault(x["parentEntity"], []).append(("isA", name, "ID", x.get("when")))
             else:
                 out[name].append(("isA", x["entity"], x.get("field", "ID")))
         for kind, plural in (("collection", "collections"), ("embed", "embeds")):

@@ -83,6 +83,11 @@ def initials(name: Name) -> Column:
     return F.upper(F.coalesce(found, F.lit(NO_INITIALS)))
 
 
+def image_uri(svg: Column) -> Column:
+    """A drawing as a base64 data URI, in one line."""
+    return F.concat(F.lit("data:image/svg+xml;base64,"), F.translate(F.base64(F.encode(svg, "UTF-8")), "\r\n", ""))
+
+
 def monogram(name: Name) -> Column:
     """A small SVG with the name's initials, its colour and shape by hash, as a base64 data URI."""
     from .rng import fnv
@@ -91,7 +96,33 @@ def monogram(name: Name) -> Column:
     colour = F.element_at(F.array(*map(F.lit, PALETTE)), (h % len(PALETTE) + 1).cast("int"))
     shape = F.element_at(F.array(F.lit('<circle cx="32" cy="32" r="32"'), F.lit('<rect width="64" height="64"'), F.lit('<rect width="64" height="64" rx="12"')), (F.shiftright(h, 8) % 3 + 1).cast("int"))
     svg = F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 64 64">'), shape, F.lit(' fill="'), colour, F.lit('"/><text x="32" y="40" text-anchor="middle" font-size="24" fill="#fff">'), initials(name), F.lit("</text></svg>"))
-    return F.concat(F.lit("data:image/svg+xml;base64,"), F.base64(F.encode(svg, "UTF-8")))
+    return image_uri(svg)
+
+
+#: Rows and columns of a glyph's left half with its middle; the right half mirrors the left.
+GLYPH_ROWS, GLYPH_HALF = 5, 3
+
+
+def glyph(seed: Name, ground: str | None = None) -> Column:
+    """A drawing of a seed's own that needs no service, as a base64 data URI: five rows of squares, mirrored, in a colour, on a pale ground.
+
+    All comes from the seed's MD5: a digit says whether a square is filled (15
+    digits), six are the colour, three the ground where none is given. Equal
+    seeds, up to case and blanks around them, have equal drawings; of 100,000
+    seeds two are drawn alike once in some 400,000 sets. A null seed counts as empty.
+    """
+    digits = F.md5(F.lower(F.trim(F.coalesce(col(seed).cast("string"), F.lit("")))))
+    squares = []
+    for k in range(GLYPH_ROWS * GLYPH_HALF):
+        row, x = divmod(k, GLYPH_HALF)
+        mirrored = "" if x == GLYPH_HALF - 1 else f"M{2 * GLYPH_HALF - 2 - x} {row}h1v1h-1z"
+        squares.append(F.when(F.substring(digits, k + 1, 1) >= "8", F.lit(f"M{x} {row}h1v1h-1z{mirrored}")).otherwise(F.lit("")))
+    colour = F.substring(digits, 16, 6)
+    # A ground's digits are c to f: pale enough for any colour to stand out.
+    pale = F.concat(*[F.translate(F.substring(digits, 22 + i, 1), "0123456789ab", "cdefcdefcdef") for i in range(3)])
+    back = F.lit(ground.lstrip("#")) if ground else pale
+    svg = F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg" viewBox="-1 -1 7 7"><path d="M-1-1h7v7h-7z" fill="#'), back, F.lit('"/><path d="'), *squares, F.lit('" fill="#'), colour, F.lit('"/></svg>'))
+    return image_uri(svg)
 
 
 def avatar_url(seed: Name, style: str, base: str, trait: Name | None = None, traits: dict[str, dict] | None = None, default: str | None = None, background: str | None = None) -> Column:

@@ -50,6 +50,8 @@ class Composition:
     kind: str
     entity: str
     field: str
+    #: for isA: the parent's field that says which kind a row is, where that is known
+    when: str | None = None
 
 
 @dataclass(frozen=True)

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from .functions import dates, keys, rng, scalars
 from .model import Arrow, Composition, Domain, Entity, Factor, Field, ForeignKey, Hero, Ladder, Motif, State
 from .operators import calibrate, features, gates, generate, heroes, rules
-from .queries import GATE, NAMESPACE, SEED, Tables, query, sql_fnv, sql_keyed, sql_uniform
-from .sources import appending, records
+from .queries import FKS, GATE, NAMESPACE, SEED, Tables, query, sql_fnv, sql_keyed, sql_uniform
+from .sources import appending, host, records
 from .streaming import accumulate, ladders, simulate
 
 #: The query's own literals.
@@ -317,3 +317,66 @@ def first_undecided(t: Tables) -> DataFrame:
     """The first of a window's events that nothing has decided: each user's first event of a day is."""
     decided = t.events.groupBy("user_id", F.to_date("ts").alias("d")).agg(F.min("event_id").alias("event_id"))
     return accumulate.undecided(t.events, "event_id", "ts", datetime.date(2024, 1, 10), datetime.date(2024, 1, 20), decided, "event_id", 25).select("event_id", "user_id")
+
+
+_SQUARES = " || ".join(f"CASE WHEN substr(h, {3 * r + x + 1}, 1) >= '8' THEN 'M{x} {r}h1v1h-1z{'' if x == 2 else f'M{4 - x} {r}h1v1h-1z'}' ELSE '' END" for r in range(5) for x in range(3))
+_GLYPH = f"""'<svg xmlns="http://www.w3.org/2000/svg" viewBox="-1 -1 7 7"><path d="M-1-1h7v7h-7z" fill="#' || translate(substr(h, 22, 3), '0123456789ab', 'cdefcdefcdef') || '"/><path d="' || {_SQUARES} || '" fill="#' || substr(h, 16, 6) || '"/></svg>'"""
+
+
+@query(f"SELECT c_custkey, 'data:image/svg+xml;base64,' || to_base64(encode({_GLYPH})) AS image FROM (SELECT c_custkey, md5(lower(c_name)) AS h FROM customer)")
+def avatar_glyphs(t: Tables) -> DataFrame:
+    """Each customer's drawing, made here."""
+    return t.customer.select("c_custkey", scalars.glyph("c_name").alias("image"))
+
+
+@query("SELECT 'event images' AS name, count(DISTINCT user_id) >= 0.99 * count(*) AS passed, count(*)::BIGINT AS population_count, round(count(DISTINCT user_id) / count(*), 6)::DOUBLE AS share FROM events UNION ALL SELECT 'customer images', count(DISTINCT c_custkey) >= 0.99 * count(*), count(*), round(count(DISTINCT c_custkey) / count(*), 6) FROM customer")
+def glyph_distinctness(t: Tables) -> DataFrame:
+    """The gate on images by their decoded content: events show their users', customers their own."""
+    drawn = [gates.distinctness("event images", t.events.select(scalars.glyph("user_id").alias("image")), "image"), gates.distinctness("customer images", t.customer.select(scalars.glyph("c_name").alias("image")), "image")]
+    return gates.all_gates(drawn).select("name", "passed", "population_count", F.col("actual").cast("double").alias("share"))
+
+
+_PROFILED = {"customer": ("c_custkey", "c_name*", "c_nationkey", "c_acctbal", "c_mktsegment*"), "documents": ("doc_id", "text*", "lang*", "source*", "n_chars"), "orders": ("o_orderkey", "o_custkey", "o_orderstatus*", "o_totalprice", "o_orderdate", "o_orderpriority*")}
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS entity, {i} AS place, '{c.rstrip('*')}' AS name, count(*)::BIGINT AS rows, count(*) FILTER (WHERE {c.rstrip('*')} IS NULL)::BIGINT AS nulls, {f'max(length({c[:-1]}))::BIGINT' if c.endswith('*') else 'NULL::BIGINT'} AS longest FROM {t}" for t, cs in _PROFILED.items() for i, c in enumerate(cs)))
+def profiled_fields(t: Tables) -> DataFrame:
+    """Fields of three tables as a host's metadata would list them: nulls and longest texts by one reading of each."""
+    return host.profile({n: t[n] for n in _PROFILED}).select("entity", "place", "name", "rows", "nulls", "longest")
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS entity, '{f}' AS field, '{p}' AS target, '{k}' AS target_field, count(*)::BIGINT AS examined, (count(*) FILTER (WHERE {f} NOT IN (SELECT {k} FROM {p})))::BIGINT AS dangling FROM {c}" for c, f, p, k in FKS))
+def found_links(t: Tables) -> DataFrame:
+    """Fields that are called like another table's key, and how many of their values are none: foreign keys found in data."""
+    names = {n: t[n] for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")}
+    return host.links(names, {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey"})
+
+
+_OVERDRAWN = "SELECT c_custkey FROM customer WHERE c_acctbal >= 0"
+_CHEAP = "SELECT p_partkey FROM part WHERE p_size <= 45"
+
+
+def _sql_closure(name: str, child: str, field: str, pool: str) -> str:
+    bad = f"SELECT {field}::VARCHAR AS k, count(*) AS n FROM {child} WHERE {field} NOT IN ({pool}) GROUP BY 1"
+    return f"SELECT '{name}' AS name, (SELECT count(*) FROM ({bad})) = 0 AS passed, (SELECT count(*) FROM {child})::BIGINT AS population_count, '{name}: ' || coalesce((SELECT sum(n) FROM ({bad})), 0)::BIGINT || ' dangling' || coalesce((SELECT ', such as ' || array_to_string(list_sort(list(k))[1:3], ', ') FROM (SELECT min(k) AS k FROM ({bad}) GROUP BY left(md5(k), 3)) HAVING count(*) > 0), '') AS message"
+
+
+@query(f"{_sql_closure('lineitem.l_partkey', 'lineitem', 'l_partkey', _CHEAP)} UNION ALL {_sql_closure('lineitem.l_orderkey', 'lineitem', 'l_orderkey', 'SELECT o_orderkey FROM orders')} UNION ALL {_sql_closure('orders.o_custkey', 'orders', 'o_custkey', _OVERDRAWN)}")
+def closure_examples(t: Tables) -> DataFrame:
+    """Closure gates, one reading for both keys of a line; those that fail name three values that lead nowhere."""
+    lines = [("lineitem.l_partkey", "l_partkey", t.part.where("p_size <= 45"), "p_partkey", False), ("lineitem.l_orderkey", "l_orderkey", t.orders, "o_orderkey", False)]
+    found = [gates.closure_gates(t.lineitem, lines), gates.closure_gates(t.orders, [("orders.o_custkey", "o_custkey", t.customer.where("c_acctbal >= 0"), "c_custkey", False)])]
+    return gates.all_gates(found).select("name", "passed", "population_count", "message")
+
+
+_REPEATED = "SELECT k, count(*) AS n FROM (SELECT o_custkey::VARCHAR || '|' || o_orderpriority AS k FROM orders) GROUP BY 1"
+_LONG = "SELECT l, count(*) AS n FROM (SELECT o_custkey::VARCHAR || '|' || o_orderpriority AS l FROM orders WHERE length(o_orderpriority) > 8) GROUP BY 1"
+
+
+@query(
+    f"SELECT 'orders: primary key' AS name, max(n) = 1 AS passed, sum(n)::BIGINT AS population_count, 'orders: primary key: 0 missing, ' || (sum(n) - count(*))::BIGINT || ' duplicate' || coalesce((SELECT ', such as ' || array_to_string(list_sort(list(k))[1:3], ', ') FROM (SELECT min(lower(k)) AS k FROM ({_REPEATED}) WHERE n > 1 GROUP BY left(md5(lower(k)), 3)) HAVING count(*) > 0), '') AS message FROM ({_REPEATED}) "
+    f"UNION ALL SELECT 'orders.o_orderpriority: length', count(*) = 0, (SELECT count(*) FROM orders), 'orders.o_orderpriority: length: ' || coalesce(sum(n), 0)::BIGINT || coalesce((SELECT ', such as ' || array_to_string(list_sort(list(k))[1:3], ', ') FROM (SELECT min(l) AS k FROM ({_LONG}) GROUP BY left(md5(l), 3)) HAVING count(*) > 0), '') FROM ({_LONG})"
+)
+def schema_examples(t: Tables) -> DataFrame:
+    """A customer and priority as the key of orders, and priorities of at most 8 characters: both fail, and name some that do."""
+    return gates.schema_gates_with_examples("orders", t.orders, ["o_custkey", "o_orderpriority"], [], {"o_orderpriority": 8}).select("name", "passed", "population_count", "message")

@@ -75,9 +75,10 @@ def generated(df: DataFrame, key: str, fields: Mapping[str, Mapping], seed: int,
 
     A field is {kind: conditional, on, table}, {kind: catalogue, name, on?, map?},
     {kind: relativeDate, anchor, mean, sd?, minAge?}, {kind: values, values,
-    weights?} (fills nulls and empties only), or {kind: monogram | avatar, ...}.
+    weights?} (fills nulls and empties only), or {kind: monogram | avatar, of, ...};
+    an avatar without a service's base is a glyph of our own.
     """
-    from ..functions.scalars import avatar_url, monogram
+    from ..functions.scalars import avatar_url, glyph, monogram
 
     for name, g in fields.items():
         s = stream(seed, F.col(key).cast("string"), f"{name}:")
@@ -97,6 +98,8 @@ def generated(df: DataFrame, key: str, fields: Mapping[str, Mapping], seed: int,
                 c = F.coalesce(F.nullif(F.col(name), F.lit("")), c)
         elif kind == "monogram":
             c = monogram(g["of"])
+        elif kind == "avatar" and not g.get("base"):
+            c = glyph(g["of"], g.get("background"))
         elif kind == "avatar":
             c = avatar_url(g["of"], g["style"], g["base"], g.get("trait"), g.get("traits"), g.get("default"), g.get("background"))
         else:

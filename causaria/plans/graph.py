@@ -90,6 +90,26 @@ def directories(domain: Domain) -> list[str]:
     return [n for n in entity_order(domain) if n not in inside]
 
 
+def held_loops(domain: Domain) -> list[list[str]]:
+    """Loops of entities that hold one another, from their first by name and back to it: at least one of every knot. A collection of one's own kind is a tree of rows and no loop."""
+    found, done = [], set()
+    for start in sorted(domain.entities):
+        path, todo = [], [(start, False)]
+        while todo:
+            n, left = todo.pop()
+            if left:
+                done.add(path.pop())
+            elif n in path:
+                ring = path[path.index(n) :]
+                least = ring.index(min(ring))
+                found.append([*ring[least:], *ring[:least], min(ring)])
+            elif n not in done and n in domain.entities:
+                path.append(n)
+                todo.append((n, True))
+                todo += [(c.entity, False) for c in domain.entities[n].compositions if (c.kind, c.entity) != ("collection", n)]
+    return [loop for i, loop in enumerate(found) if loop not in found[:i]]
+
+
 def ancestors(domain: Domain, name: str) -> set[str]:
     """All entities reached by foreign keys."""
     out: set[str] = set()

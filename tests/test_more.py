@@ -80,3 +80,31 @@ def test_schedules_are_no_join(spark):
     out = generate.scheduled(spark.range(3).toDF("id"), [{"role": "chair", "start": 2021}, {"role": "clerk", "start": 2022}])
     assert out.count() == 6 and out.columns == ["id", "role", "start"] and "Join" not in out._jdf.queryExecution().executedPlan().toString()
     assert generate.scheduled(spark.range(3), []).count() == 0
+
+
+def test_glyphs_are_one_a_seed_and_well_formed(spark):
+    import base64
+    from xml.etree import ElementTree
+
+    from causaria.functions.scalars import glyph
+    from causaria.operators import gates, generate
+
+    df = spark.createDataFrame([(" Ada ",), ("ada",), ("Bo",), ("",), (None,)], "n string")
+    images = [r["g"] for r in df.select(glyph("n").alias("g")).collect()]
+    assert images[0] == images[1] != images[2] and images[3] == images[4]
+    for i in images:
+        ground, drawing = ElementTree.fromstring(base64.b64decode(i.split(",", 1)[1]))
+        assert ground.get("fill").strip("#cdef") == "" and len(drawing.get("fill")) == 7
+        cells = {(int(c.split(" ")[0]), int(c.split(" ")[1][0])) for c in drawing.get("d").split("M")[1:]}
+        assert cells == {(4 - x, y) for x, y in cells} and all(0 <= x < 5 and 0 <= y < 5 for x, y in cells)
+    many = spark.range(100000).select(glyph("id", "#fed").alias("g"))
+    assert gates.distinctness("x", many, "g").first()["actual"] == "1.0"
+    made = generate.generated(df, "n", {"Face": {"kind": "avatar", "of": "n"}}, 1)
+    assert [r["Face"] for r in made.collect()] == images
+
+
+def test_periods_grow_with_events():
+    from causaria.operators.patterns import EVENTS_A_PERIOD, period_days
+
+    assert period_days(365, 10) == 365 and period_days(1, 0) == 1
+    assert period_days(365, 100 * EVENTS_A_PERIOD) == 4 and period_days(3650, 10**9) == 1

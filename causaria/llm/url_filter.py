@@ -4,7 +4,9 @@ Level 0 is a Bloom filter of the listed keys. Over the complete universe of
 keys, some that aren't listed pass it by mistake: level 1 encodes those, level
 2 the listed keys that level 1 holds by mistake, and so on, until a level makes
 no mistake. A key of the universe is listed exactly if the first level that
-doesn't hold it has an odd number. Membership thus needs no join.
+doesn't hold it has an odd number. Membership thus needs no join: a first
+cascade knows the listed names among all domains, a second one the hosts that
+are in such a domain among all hosts.
 
 The universe is dealt into shards by hash, and each shard builds a cascade of
 its own in one task: one shuffle of distinct keys, whatever the levels.
@@ -156,15 +158,11 @@ def build(universe: DataFrame) -> tuple[DataFrame, int]:
     return staged(keys.withColumn("shard", F.pmod("a", F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(_build, "shard int, filter binary")), shards
 
 
-def _look_up(filters: dict[int, bytes], shards: int):
-    cascades: dict[int, Cascade] = {}
-
+def _look_up(filters, shards: int):
     def run(batches):
         import pyarrow as pa
 
-        for s, data in filters.items():
-            if s not in cascades:
-                cascades[s] = Cascade.load(data)
+        cascades = {s: Cascade.load(data) for s, data in filters.value.items()}
         for batch in batches:
             a, b = (batch.column(batch.num_columns - 2 + i).to_numpy(zero_copy_only=False) for i in (0, 1))
             at, found = a % shards, np.zeros(len(a), bool)
@@ -195,7 +193,8 @@ def member(df: DataFrame, key: Column, filters: DataFrame, shards: int, broadcas
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "listed boolean"])
     keyed = df.select("*", a.alias("a"), b.alias("b"))
     if (filters.agg(F.sum(F.length("filter"))).first()[0] or 0) <= broadcast_bytes:
-        return keyed.mapInArrow(_look_up({r[0]: bytes(r[1]) for r in filters.collect()}, shards), schema)
+        sent = df.sparkSession.sparkContext.broadcast({r[0]: bytes(r[1]) for r in filters.collect()})
+        return keyed.mapInArrow(_look_up(sent, shards), schema)
     keyed = keyed.withColumn("shard", F.pmod("a", F.lit(shards)).cast("int"))
     fullest = keyed.groupBy("shard").count().agg(F.max("count")).first()[0] or 0
     salts = max(1, -(-fullest // shard_rows))
@@ -209,18 +208,28 @@ def domains(names=LISTED_NAMES, at=LISTED_AT) -> list[str]:
     return [f"{n}.{d}" for n in names for d in at]
 
 
+def within(host_: Column, longest: int) -> Column:
+    """The host, if it has at most so many characters, and the domains it is in that do: a host's end is looked at, however long it is."""
+    end = F.right(host_, F.lit(longest + 1))
+    dots = F.filter(F.sequence(F.lit(1), F.length(end)), lambda i: F.substring(end, i, F.lit(1)) == ".")
+    above = F.transform(dots, lambda i: F.substring(end, i + 1, F.length(end)))
+    return F.when(F.length(host_) == 0, F.array().cast("array<string>")).when(F.length(host_) <= longest, F.array_append(above, host_)).otherwise(above)
+
+
 def flagged(hosts: DataFrame, listed: DataFrame) -> DataFrame:
-    """(key, listed) for each distinct host: whether it, or a domain it is in, is among listed's keys.
+    """(key, listed) for each host: whether it, or a domain it is in, is among listed's keys.
 
-    What the cascade is built from, over hosts, each once. Both sides are
-    shuffled by domain; one that many hosts are in is split by AQE's skew join,
-    which splits the left side of a semi-join.
+    By a cascade of its own, without a join: its level 0 holds the listed
+    names, its universe is they and all domains that hosts are in. A domain
+    longer than the longest listed name can't be listed and isn't made.
     """
-    dots = F.array_append(F.transform(F.filter(F.sequence(F.lit(1), F.length("key")), lambda i: F.substring("key", i, F.lit(1)) == "."), lambda i: i + 1), F.lit(1))
-    inside = hosts.where("key <> ''").select("key", F.explode(dots).alias("at")).select("key", F.expr("substring(key, at)").alias("domain"))
-    known = listed.select(F.col(listed.columns[0]).cast("string").alias("domain")).where("domain <> ''").distinct()
-    hit = inside.join(known, "domain", "left_semi").select("key").distinct().withColumn("hit", F.lit(True))
-    return hosts.where("key IS NOT NULL").join(hit, "key", "left").select("key", F.coalesce("hit", F.lit(False)).alias("listed"))
+    known = listed.select(F.col(listed.columns[0]).cast("string").alias("key")).where("key <> ''")
+    longest = known.agg(F.max(F.length("key"))).first()[0] or 0
+    hosts = staged(hosts.where("key IS NOT NULL").select("key"))
+    inside = hosts.select("key", F.explode(within(F.col("key"), longest)).alias("domain"))
+    names = inside.select(F.col("domain").alias("key"), F.lit(False).alias("listed")).unionByName(known.withColumn("listed", F.lit(True)))
+    found = member(inside, F.col("domain"), *build(names)).select("key", "listed")
+    return found.unionByName(hosts.withColumn("listed", F.lit(False))).groupBy("key").agg(F.max("listed").alias("listed"))
 
 
 def judge(pages: DataFrame, rules=RULES, listed: DataFrame | None = None) -> DataFrame:

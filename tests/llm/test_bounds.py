@@ -6,7 +6,7 @@ from functools import lru_cache
 
 from pyspark.sql import functions as F
 
-from causaria.llm import bpe, chat, common, html_extract, metric_join, toxicity
+from causaria.llm import bpe, chat, common, html_extract, metric_join, toxicity, url_filter
 from causaria.llm.queries import vocabulary
 
 
@@ -113,3 +113,24 @@ def test_a_chain_of_a_thousand_calls(spark):
     assert time.perf_counter() - began < 120
     assert got == {("x", f"c{k}"): k for k in range(n)} | {("y", i): -1 for _, i, _ in loop}
     assert common.mark() - before == 1  # what was staged on the way is gone
+
+
+def test_listed_domains_are_found_without_a_join(spark):
+    rng = random.Random(8)
+    label = lambda: rng.choice(["a", "b", "\u00e9\u00e9", "x-1", ""])
+    hosts = sorted({".".join(label() for _ in range(rng.randrange(1, 7))) for _ in range(600)}) + ["a" * 50, "." * 40 + "b"]
+    for names in (["a.b", "x-1", "\u00e9\u00e9.a", "a" * 50], ["b"], [".", "..b"], [], ["", None], ["q" * 300, "a.b"]):
+        listed = spark.createDataFrame([(n,) for n in names + names[:1]], "name string")
+        found = url_filter.flagged(spark.createDataFrame([(h,) for h in [*hosts, None]], "key string"), listed)
+        assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+        want = {h: any(n and (h == n or h.endswith("." + n)) for n in names) for h in hosts}
+        got = {r["key"]: r["listed"] for r in found.collect()}
+        assert got == want
+
+
+def test_a_host_of_very_many_dots(spark):
+    long = "x." * 200000
+    df = spark.createDataFrame([(1, f"http://{long}spam-farm.com/"), (2, f"http://{long}good.com/"), (3, f"http://{long}")], "page_id int, url string")
+    start = time.time()
+    assert {r["page_id"]: r["verdict"] for r in url_filter.judge(df, rules=()).collect()} == {1: "block", 2: "allow", 3: "allow"}
+    assert time.time() - start < 60

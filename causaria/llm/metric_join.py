@@ -8,15 +8,18 @@ j: so y is copied to every cell i for which that holds, and, tighter, whose
 bisecting plane with its home is within r of y. Each home vector then finds all
 its partners in its own cell, and cells join independently.
 
-Equal vectors are one node with a multiplicity. A cell's join is a grid of
-tasks: home vectors are dealt to its rows, all of the cell's vectors to its
-columns, and a task streams its column past its row, so memory is bounded
-whatever a cell holds. Links are counted, not listed: a task emits a count for
-each of its home vectors and at most a few links per vector it has seen.
+Equal vectors are one node with a multiplicity. Nothing is copied, though: a
+cell's vectors are packed into blocks, each written once with the cells that
+any of its vectors would be copied to, and a join takes pairs of blocks of one
+cell, or of two that each hold a vector for the other's. Of two cells' blocks
+only such vectors are compared. Every task of the join reads two parts of the
+table of blocks and streams their pairs, so disk grows with the vectors alone,
+and memory is bounded by a part. Links are counted, not listed: a task emits a
+count for each vector that has any, and links enough to connect what it saw.
 
 How many pivots pay is estimated on the sample. Vectors spread evenly over a
 sphere of many dimensions lie near every bisecting plane: there each further
-pivot copies more than it saves, and few or one is the estimate's choice.
+pivot moves more than it saves, and few or one is the estimate's choice.
 """
 
 from __future__ import annotations
@@ -24,16 +27,17 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
-from .common import components, first_by_hash, only, small, staged
+from .common import components, dropped, first_by_hash, mark, only, small, staged
 
 COSINE = 0.95
 #: Vectors that pivots are chosen on, by hash of the id, and pivots at most. Both only steer cost.
 SAMPLE_ROWS, MAX_PIVOTS = 4096, 1024
-#: Comparisons of one task, about, and home vectors of one at most.
-TASK_PAIRS, TASK_ROWS = 100_000_000, 16_384
-#: What the estimate of cost takes a comparison of 64 components and a moved row to cost, in seconds.
-PAIR_COST, ROW_COST = 6e-9, 2e-5
+#: Comparisons of one pair of blocks, about, and blocks of one file of them.
+TASK_PAIRS, FILE_BLOCKS = 4096**2, 2
+#: What the estimate of cost takes a comparison of 64 components and a row that moves to a task to cost, in seconds.
+PAIR_COST, ROW_COST = 6e-9, 2e-6
 #: Added to the radius, so that rounding loses no link.
 SLACK = 1e-9
 
@@ -54,50 +58,52 @@ def unit(rows: list, dims: int) -> tuple[np.ndarray, np.ndarray]:
     return out, ok
 
 
-def _units(dims: int):
+def _valid(dims: int):
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            u, ok = unit(batch.column(1).to_pylist(), dims)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array([x.tobytes() if k else None for x, k in zip(u, ok, strict=True)], pa.binary())], ["vec_id", "hi", "lo", "unit"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(unit(batch.column(1).to_pylist(), dims)[1])], ["vec_id", "hi", "lo", "ok"])
 
     return run
 
 
 def choose_pivots(sample: np.ndarray, n: int, radius: float) -> np.ndarray:
-    """Cluster centres of the sample, as many as make the estimated number of comparisons least."""
+    """Cluster centres of one half of the sample, as many as make the cost least that the other half leads to expect: a half's own centres lie nearer to it."""
     if len(sample) < 2:
         return sample[:1]
+    fit, sample = sample[::2], sample[1::2]
     rng, best = np.random.default_rng(7), None
     for k in (1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024):
-        if k > min(MAX_PIVOTS, max(1, len(sample) // 4)):
+        if k > min(MAX_PIVOTS, max(1, len(fit) // 2)):
             break
-        p = sample[rng.choice(len(sample), k, replace=False)].copy()
+        p = fit[rng.choice(len(fit), k, replace=False)].copy()
         for _ in range(8):
-            home = (sample @ p.T).argmax(1)
+            home = (fit @ p.T).argmax(1)
             for c in range(k):
-                centre = sample[home == c].sum(0)
+                centre = fit[home == c].sum(0)
                 if (size := np.linalg.norm(centre)) > 0:
                     p[c] = centre / size
         home, copies = cells(sample, p, radius)
-        own, other = np.bincount(home, minlength=k) * (n / len(sample)), copies.sum(0) * (n / len(sample))
-        sides = np.array([side(a, b) for a, b in zip(own, other, strict=True)])
-        cost = (own * (own + other)).sum() * PAIR_COST + ((2 * own + other) * sides).sum() * ROW_COST + n * k * PAIR_COST
+        own = np.bincount(home, minlength=k) * (n / len(sample))
+        # How many of each cell's vectors the others' may meet.
+        reach = (home == np.arange(k)[:, None]).astype(np.float32) @ copies.astype(np.float32) * (n / len(sample))
+        blocks, meet = np.array([n_blocks(x) for x in own]), (reach > 0) & (reach.T > 0) | np.eye(k, dtype=bool)
+        cost = ((own**2).sum() + (reach * reach.T).sum()) / 2 * PAIR_COST + (meet * np.outer(own, blocks)).sum() * ROW_COST + 2 * n * k * PAIR_COST
         if best is None or cost < 0.95 * best[0]:
             best = (cost, p)
     return best[1]
 
 
-def side(own: float, other: float) -> int:
-    """Rows, and columns, of a cell's grid of tasks."""
-    return max(1, int(np.ceil(np.sqrt(own * (own + other) / TASK_PAIRS))), int(np.ceil(own / TASK_ROWS)))
+def n_blocks(own: float) -> int:
+    """Blocks of a cell of so many vectors."""
+    return max(1, int(np.ceil(own / np.sqrt(TASK_PAIRS))))
 
 
-def cells(x: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-    """(home cell of each unit vector, whether it is copied to each other cell)."""
+def cells(x: np.ndarray, pivots: np.ndarray, radius: float, at: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(home cell of each unit vector, whether it is copied to each other cell). at: where all of them have been found to be at home, as rounding may tell a tie otherwise."""
     d2 = np.maximum((x**2).sum(1)[:, None] + (pivots**2).sum(1) - 2 * x @ pivots.T, 0)
-    home = d2.argmin(1)
+    home = d2.argmin(1) if at is None else np.full(len(x), at)
     own = d2[np.arange(len(x)), home][:, None]
     apart = np.sqrt(np.maximum((pivots**2).sum(1)[:, None] + (pivots**2).sum(1) - 2 * pivots @ pivots.T, 0))[home]
     reach = radius + SLACK
@@ -106,134 +112,158 @@ def cells(x: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndarray,
     return home, copied
 
 
-def _assigned(pivots: np.ndarray, radius: float):
+def _homes(pivots: np.ndarray, radius: float):
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            x = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float64).reshape(batch.num_rows, -1)
-            home, copied = cells(x, pivots, radius) if len(x) else (np.zeros(0, np.int64), np.zeros((0, 1), bool))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home.astype(np.int32)), pa.array([np.flatnonzero(c).tolist() for c in copied], pa.list_(pa.int32()))], [*batch.schema.names, "home", "others"])
+            x, _ = unit(batch.column(0).to_pylist(), pivots.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(cells(x, pivots, radius)[0].astype(np.int32))], ["home"])
 
     return run
 
 
-def _matrix(column, dims: int) -> np.ndarray:
-    """A binary column of doubles as a matrix, without a copy: all its values have one length."""
-    if not len(column):
-        return np.zeros((0, dims))
-    start = np.frombuffer(column.buffers()[1], np.int32, 1, 4 * column.offset)[0]
-    return np.frombuffer(column.buffers()[2], np.float64, len(column) * dims, start).reshape(len(column), dims)
-
-
-class _Task:
-    """One task's home vectors and what they have met."""
-
-    def __init__(self, least: float):
-        self.least, self.held, self.ids = least, [], None
-
-    def begin(self):
-        self.ids = np.concatenate([h[0] for h in self.held]) if self.held else np.zeros(0, np.int64)
-        self.x = np.concatenate([h[1] for h in self.held]) if self.held else np.zeros((0, 1))
-        self.x32, self.place = self.x.astype(np.float32), {i: k for k, i in enumerate(self.ids.tolist())}
-        self.counts, self.label = np.zeros(len(self.ids), np.int64), np.arange(len(self.ids))
-
-    def meet(self, ids, mult, y):
-        """Counts links of home vectors with these; returns links enough to connect what they connect.
-
-        Single precision finds who may be near, double precision decides.
-        """
-        a, b = [], []
-        for s in range(0, len(ids) if len(self.ids) else 0, 512):
-            ids2, mult2, some = ids[s : s + 512], mult[s : s + 512], y[s : s + 512]
-            near = self.x32 @ some.astype(np.float32).T >= np.float32(self.least - 1e-4)
-            for j, i in enumerate(ids2.tolist()):
-                if (k := self.place.get(i)) is not None:
-                    near[k, j] = False
-            cols = np.flatnonzero(near.any(0))
-            if not len(cols):
-                continue
-            rows = np.flatnonzero(near[:, cols].any(1))
-            hit = (self.x[rows] @ some[cols].T >= self.least) & near[np.ix_(rows, cols)]
-            self.counts[rows] += (hit * mult2[cols]).sum(1)
-            for j in np.flatnonzero(hit.any(0)):
-                mine = rows[hit[:, j]]
-                labels, first = np.unique(self.label[mine], return_index=True)
-                a += self.ids[mine[first]].tolist()
-                b += [ids2[cols[j]]] * len(first)
-                if len(labels) > 1:  # home vectors that were apart meet through this one
-                    self.label[np.isin(self.label, labels)] = labels[0]
-        return a, b
-
-
-def _joined(least: float, dims: int):
-    """Rows sorted by part, home vectors first: (part, own, id, mult, unit) -> (a, b, n): counts have b null, links n null."""
+def _dealt(pivots: np.ndarray, radius: float, blocks: dict[int, int]):
+    """Every vector to a block of its home cell: (id, mult, embedding) -> also block, in front."""
 
     def run(batches):
         import pyarrow as pa
 
-        def table(a, b, n):
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (a, b, n)], ["a", "b", "n"])
+        for batch in batches:
+            x, _ = unit(batch.column(2).to_pylist(), pivots.shape[1])
+            home = cells(x, pivots, radius)[0]
+            n = np.array([blocks.get(c, 1) for c in home.tolist()], np.uint64)
+            dealt = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
+            yield pa.RecordBatch.from_arrays([pa.array((home << 32) + (dealt % n).astype(np.int64)), *batch.columns], ["block", *batch.schema.names])
+
+    return run
+
 
-        def close():
-            if task.ids is None:
-                task.begin()
-            return table(task.ids, [None] * len(task.ids), task.counts)
+def _packed(pivots: np.ndarray, radius: float):
+    """Rows sorted by block -> one row a block: its cell, the other cells that it may hold a vector for, and its vectors."""
 
-        part, task = None, _Task(least)
+    def run(batches):
+        import pyarrow as pa
+
+        def row(block, held):
+            ids, mult, x = (np.concatenate(c) for c in zip(*held, strict=True))
+            near = np.flatnonzero(cells(x, pivots, radius, block >> 32)[1].any(0)).tolist()
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([block >> 32], pa.int32()), pa.array([near], pa.list_(pa.int32())), *[pa.array([c.tobytes()], pa.binary()) for c in (ids, mult, x)]], ["block", "cell", "near", "ids", "mult", "units"])
+
+        block, held = None, []
         for batch in batches:
-            parts, own, ids, mult = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-            x = _matrix(batch.column(4), dims)
-            cuts = np.flatnonzero((parts[1:] != parts[:-1]) | (own[1:] != own[:-1])) + 1
-            for at, to in zip([0, *cuts], [*cuts, len(parts)], strict=True):
+            of, ids, mult = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            x, _ = unit(batch.column(3).to_pylist(), pivots.shape[1])
+            cuts = np.flatnonzero(of[1:] != of[:-1]) + 1
+            for at, to in zip([0, *cuts], [*cuts, len(of)], strict=True):
                 if at == to:
                     continue
-                if parts[at] != part:
-                    if part is not None:
-                        yield close()
-                    part, task = parts[at], _Task(least)
-                if own[at]:
-                    task.held.append((ids[at:to].copy(), x[at:to].copy()))
-                else:
-                    if task.ids is None:
-                        task.begin()
-                    a, b = task.meet(ids[at:to], mult[at:to], x[at:to])
-                    yield table(a, b, [None] * len(a))
-        if part is not None:
-            yield close()
+                if of[at] != block:
+                    if held:
+                        yield row(block, held)
+                    block, held = int(of[at]), []
+                held.append((ids[at:to].copy(), mult[at:to].copy(), x[at:to]))
+        if held:
+            yield row(block, held)
 
     return run
 
 
-def _parts(sides: dict[int, int]):
-    """Every vector to one row of its home's grid, as home vector, and to one column of each grid it is in, to be met."""
+class _Block:
+    """A block's vectors, and how many links each has found."""
+
+    def __init__(self, cell: int, ids, mult, units, dims: int):
+        self.cell, self.ids, self.mult, self.x = cell, ids, mult, units.reshape(-1, dims)
+        self.x32, self.counts = self.x.astype(np.float32), np.zeros(len(ids), np.int64)
+
+
+def _meet(a: _Block, b: _Block, rows, cols, least: float):
+    """Counts the links between these rows of a and columns of b; returns links enough to connect what they connect.
+
+    Single precision finds who may be near, double precision decides.
+    """
+    out, label = [], np.arange(len(rows))
+    x32 = a.x32[rows]
+    for s in range(0, len(cols) if len(rows) else 0, 512):
+        some = cols[s : s + 512]
+        near = x32 @ b.x32[some].T >= np.float32(least - 1e-4)
+        at = np.flatnonzero(near.any(0))
+        if not len(at):
+            continue
+        mine = np.flatnonzero(near[:, at].any(1))
+        hit = (a.x[rows[mine]] @ b.x[some[at]].T >= least) & near[np.ix_(mine, at)]
+        hit &= a.ids[rows[mine]][:, None] != b.ids[some[at]]
+        a.counts[rows[mine]] += (hit * b.mult[some[at]]).sum(1)
+        if a is not b:
+            b.counts[some[at]] += (hit * a.mult[rows[mine]][:, None]).sum(0)
+        for j in np.flatnonzero(hit.any(0)):
+            linked = mine[hit[:, j]]
+            labels, first = np.unique(label[linked], return_index=True)
+            out += [(i, int(b.ids[some[at[j]]])) for i in a.ids[rows[linked[first]]].tolist()]
+            if len(labels) > 1:  # vectors that were apart meet through this one
+                label[np.isin(label, labels)] = labels[0]
+    return out
+
+
+def _joined(least: float, pivots: np.ndarray, radius: float):
+    """Pairs of blocks -> (a, b, n): counts have b null, links n null. A task holds the vectors of one block and, of all it reads, ids and counts."""
+    dims = pivots.shape[1]
 
     def run(batches):
         import pyarrow as pa
 
+        def table(a, b, n):
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (a, b, n)], ["a", "b", "n"])
+
+        def read(batch, at, k, known):
+            name = batch.column(at)[k].as_py()
+            if known is not None and known[0] == name:
+                return known
+            cell, ids, mult, units = (batch.column(at + c)[k] for c in (1, 2, 3, 4))
+            block = _Block(cell.as_py(), *[np.frombuffer(c.as_buffer(), t).copy() for c, t in ((ids, np.int64), (mult, np.int64), (units, np.float64))], dims)
+            block.counts = counts.setdefault(name, (block.ids, block.counts))[1]
+            return name, block
+
+        def root(i):
+            while (up := parent.setdefault(i, i)) != i:
+                parent[i] = i = parent[up]
+            return i
+
+        counts, parent, held = {}, {}, None
         for batch in batches:
-            ids, home = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 3))
-            dealt = ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
-            others = batch.column(4)
-            n_others = np.array([len(o) for o in others.to_pylist()], np.int64)
-            rows = np.concatenate([np.arange(len(ids)), np.repeat(np.arange(len(ids)), n_others)])
-            cell = np.concatenate([home, others.flatten().to_numpy(zero_copy_only=False)]).astype(np.int64)
-            g = np.array([sides.get(c, 0) for c in cell.tolist()], np.int64)
-            out = []
-            for own, r, c, n in ((True, rows[: len(ids)], cell[: len(ids)], g[: len(ids)]), (False, rows, cell, g)):
-                each = np.repeat(np.arange(len(r)), n)
-                k = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)  # 0 .. n - 1 for each row
-                mine = ((dealt[r[each]] >> np.uint64(0 if own else 16)) % n[each].astype(np.uint64)).astype(np.int64)
-                line, column = (mine, k) if own else (k, mine)
-                out.append((r[each], (c[each] << 40) + (line << 20) + column, np.full(len(each), own)))
-            at, part, own = (np.concatenate(x) for x in zip(*out, strict=True))
-            for s in range(0, len(at), 8192):
-                some = pa.array(at[s : s + 8192])
-                yield pa.RecordBatch.from_arrays([pa.array(part[s : s + 8192]), pa.array(own[s : s + 8192]), batch.column(0).take(some), batch.column(1).take(some), batch.column(2).take(some)], ["part", "own", "id", "mult", "unit"])
+            for k in range(batch.num_rows):
+                held = read(batch, 0, k, held)
+                a, b = held[1], read(batch, 5, k, held)[1]
+                rows, cols = np.arange(len(a.ids)), np.arange(len(b.ids))
+                if a.cell != b.cell:
+                    rows, cols = (np.flatnonzero(cells(u.x, pivots[[u.cell, v.cell]], radius, 0)[1].any(1)) for u, v in ((a, b), (b, a)))
+                links = []
+                for i, j in _meet(a, b, rows, cols, least):
+                    u, v = root(i), root(j)
+                    if u != v:
+                        parent[max(u, v)] = min(u, v)
+                        links.append((i, j))
+                if links:
+                    yield table(*zip(*links, strict=True), [None] * len(links))
+        for ids, n in counts.values():
+            some = np.flatnonzero(n)
+            if len(some):
+                yield table(ids[some], [None] * len(some), n[some])
 
     return run
 
 
+def _pairs(blocks: DataFrame) -> DataFrame:
+    """Every pair of blocks that may hold a link, once, and every block with itself: a join that reads the table of blocks and shuffles nothing.
+
+    Which of two comes first is by their sum's parity, so that all tasks have as many pairs.
+    """
+    one, other = (blocks.select(*[F.col(c).alias(f"{side}_{c}") for c in ("block", "cell", "ids", "mult", "units", "near")]) for side in "ab")
+    order = F.expr("a_block = b_block OR ((a_block + a_cell + b_block + b_cell) % 2 = 0) = (a_block < b_block)")
+    near = F.expr("a_cell = b_cell OR array_contains(a_near, b_cell) AND array_contains(b_near, a_cell)")
+    return one.hint("shuffle_replicate_nl").join(other, order & near).drop("a_near", "b_near")
+
+
 def links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors (vec_id, embedding).
 
@@ -247,22 +277,37 @@ def links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     if not 0 < cosine <= 1:
         raise ValueError(f"cosine must be in (0, 1]: {cosine}")
     radius = float(np.sqrt(max(2 - 2 * cosine, 0)))
-    raw = only(vectors, "vec_id", "embedding").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    spark, raw = vectors.sparkSession, only(vectors, "vec_id", "embedding")
+    # Rows move as they came: floats take half of what doubles do.
+    kept = "array<float>" if raw.schema["embedding"].dataType == ArrayType(FloatType()) else "array<double>"
+    raw = raw.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kept).alias("embedding"))
     dims = max(1, raw.agg(F.max(F.size("embedding"))).first()[0] or 0)
-    base = staged(raw.select("vec_id", "embedding", F.xxhash64("embedding", F.lit(1)).alias("hi"), F.xxhash64("embedding", F.lit("b")).alias("lo")).mapInArrow(_units(dims), "vec_id long, hi long, lo long, unit binary"))
-    valid = base.where("unit IS NOT NULL AND vec_id IS NOT NULL")
+    wide = F.col("embedding").cast("array<double>")
+    raw = raw.select("vec_id", "embedding", F.xxhash64(wide, F.lit(1)).alias("hi"), F.xxhash64(wide, F.lit("b")).alias("lo"))
+    base = staged(raw.mapInArrow(_valid(dims), "vec_id long, hi long, lo long, ok boolean"))
+    valid = base.where("ok AND vec_id IS NOT NULL")
     classes = staged(valid.groupBy("hi", "lo").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult")))
     n = classes.count()
-    one = valid.join(small(classes, n), ["hi", "lo"]).where("vec_id = rep").select(F.col("rep").alias("id"), "mult", "unit").dropDuplicates(["id", "unit"])
-    one = staged(one)
-    sample = [np.frombuffer(r[0], np.float64) for r in first_by_hash(one, "id", SAMPLE_ROWS, n).select("unit").collect()]
-    pivots = choose_pivots(np.array(sample).reshape(-1, dims), n, radius) if sample else np.zeros((1, dims))
-    at_home = staged(one.select("id", "mult", "unit").mapInArrow(_assigned(pivots, radius), "id long, mult long, unit binary, home int, others array<int>"))
-    own = {r["home"]: r["count"] for r in at_home.groupBy("home").count().collect()}  # a row a pivot
-    other = {r["c"]: r["count"] for r in at_home.select(F.explode("others").alias("c")).groupBy("c").count().collect()}
-    sides = {c: side(k, other.get(c, 0)) for c, k in own.items()}
-    parts = at_home.mapInArrow(_parts(sides), "part long, own boolean, id long, mult long, unit binary")
-    found = staged(parts.repartition("part").sortWithinPartitions("part", F.col("own").desc(), "id").mapInArrow(_joined(cosine, dims), "a long, b long, n long"))
+    one = raw.join(small(classes, n), ["hi", "lo"]).where("vec_id = rep").select(F.col("rep").alias("id"), "mult", "embedding", "hi", "lo")
+    if valid.join(small(classes, n), ["hi", "lo"]).where("vec_id = rep").count() > n:  # rows that are alike
+        one = one.dropDuplicates(["id", "hi", "lo"])
+    some = first_by_hash(classes.select(F.col("rep").alias("id"), "hi", "lo"), "id", SAMPLE_ROWS, n)
+    sample, _ = unit([r[0] for r in one.join(F.broadcast(some), ["id", "hi", "lo"]).orderBy(F.xxhash64("id"), "id", "hi", "lo").select("embedding").collect()], dims)
+    pivots = choose_pivots(sample, n, radius) if len(sample) else np.zeros((1, dims))
+    own = {0: n} if len(pivots) == 1 else {r["home"]: r["count"] for r in one.select("embedding").mapInArrow(_homes(pivots, radius), "home int").groupBy("home").count().collect()}  # a row a pivot
+    blocks = {c: n_blocks(k) for c, k in own.items()}
+    dealt = one.select("id", "mult", "embedding").mapInArrow(_dealt(pivots, radius, blocks), f"block long, id long, mult long, embedding {kept}")
+    packed = dealt.repartition(max(1, -(-sum(blocks.values()) // FILE_BLOCKS)), "block").sortWithinPartitions("block", "id")
+    since = mark()
+    packed = staged(packed.mapInArrow(_packed(pivots, radius), "block long, cell int, near array<int>, ids binary, mult binary, units binary"))
+    name, few = "spark.sql.execution.arrow.maxRecordsPerBatch", "2"  # pairs of blocks are some MB each
+    before = spark.conf.get(name)
+    spark.conf.set(name, few)
+    try:
+        found = staged(_pairs(packed).mapInArrow(_joined(cosine, pivots, radius), "a long, b long, n long"))
+    finally:
+        spark.conf.set(name, before)
+    dropped(spark, since, since + 1)
     counts = found.where("n IS NOT NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     linked = found.where("b IS NOT NULL").select("a", "b")
     # A vec_id whose rows stand for several classes ties them together.
@@ -274,6 +319,6 @@ def links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     nodes = staged(counts.join(edges.select(F.col("id").alias("rep"), "component"), "rep", "full"))
     of = classes.join(small(nodes, n), "rep", "left").select("hi", "lo", (F.col("mult") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
     out = base.join(small(of, n), ["hi", "lo"], "left")
-    linked = F.col("unit").isNotNull() & F.col("vec_id").isNotNull()
+    linked = F.col("ok") & F.col("vec_id").isNotNull()
     component = F.when(linked, F.col("component")).otherwise(F.col("vec_id"))
     return out.select("vec_id", F.when(linked, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

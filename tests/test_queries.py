@@ -3,6 +3,9 @@ from datetime import timedelta
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from causaria.operators import patterns
 from causaria.queries import QUERIES, SQL
 from tests.conftest import DATA
 from tests.sqlcheck import both
@@ -44,3 +47,24 @@ def test_temporal_role_takes_all_events(spark):
     got = [tuple(r) for r in QUERIES["temporal_role_all"](spark, folder).select("event_id", "actor").collect()]
     assert sorted(got) == sorted(want)
     assert {e for e, _ in want} & {e["event_id"] for e in events if e["value"] <= 95}
+
+
+def test_temporal_role_makes_no_pairs(spark, monkeypatch):
+    def pairs(*_):
+        raise AssertionError("pairs")
+
+    monkeypatch.setattr(patterns, "temporal_role", pairs)
+    assert QUERIES["temporal_role"](spark, f"{DATA}/sf0.001").count() > 0
+
+
+def test_role_totals_equal_pairs(spark):
+    """Windows of any length, open ones, some that overlap; keys of several days, where actors count once."""
+    day = "date_add(DATE '2020-02-27', CAST(pmod(xxhash64(id, {}), {}) AS INT))"
+    events = spark.range(400).selectExpr("id % 350 AS k", "if(id = 9, NULL, substr('xyzX', 1 + CAST(id % 4 AS INT), 1)) AS of", f"if(id = 7, NULL, {day.format(1, 700)}) AS d")
+    roles = spark.range(300).selectExpr("id % 90 AS who", "substr('xyz', 1 + CAST(id % 3 AS INT), 1) AS of", f"if(id % 50 = 3, NULL, {day.format(2, 800)}) AS s", f"if(id % 60 = 4, NULL, {day.format(3, 800)}) AS e")
+    figures = [f("actor") for f in (F.count_distinct, F.sum_distinct, F.min, F.max)]
+    args = [F.col("d"), "of", roles, "of", "who", F.col("s"), F.col("e")]
+    want = patterns.temporal_role(events, *args).groupBy("k").agg(*figures)
+    got = patterns.role_totals(events, "k", *args)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 300
+    assert patterns.role_totals(events.where("false"), "k", *args).count() == 0

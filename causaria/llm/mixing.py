@@ -155,6 +155,13 @@ def position(word: Column, schedules=SCHEDULES) -> Column:
     return out
 
 
+def ordered(rows: DataFrame, schedules=SCHEDULES) -> DataFrame:
+    """Rows of plan() in training order: a row for each copy (copy, from 0, and position), range-sorted by position; a document without copies is one row of neither, at the end."""
+    out = rows.withColumn("copy", F.explode_outer(F.when(F.col("copies") > 0, F.expr("sequence(0, copies - 1)"))))
+    at = F.when(F.col("copy").isNotNull(), position(F.col("source_size") * F.col("copy") + F.col("start"), schedules))
+    return out.withColumn("position", at).sort(F.col("position").asc_nulls_last(), "doc_id", "source", "start")
+
+
 def placed(rows: DataFrame, key: str) -> DataFrame:
     """rows with __place, their number (from 0) among those of one key, however many: rows are written with an id first, and counted within the parts of the table and over parts."""
     rows = staged(rows.withColumn("__row", F.monotonically_increasing_id()))

@@ -21,7 +21,9 @@ def vocabulary() -> str:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.plan(table(tuned(spark), sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", F.round("first_position", 6).alias("first_position"))
+    """Every document, in the training order of its first copy; those without one at the end."""
+    order = mixing.ordered(mixing.plan(table(tuned(spark), sf_dir, "documents"))).where("coalesce(copy, 0) = 0")
+    return order.select("doc_id", "size", "source_size", "target", "taken", "copies", F.round("position", 6).alias("first_position"))
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

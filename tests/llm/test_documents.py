@@ -23,6 +23,23 @@ def rows(df):
 # Mixing
 
 
+def test_the_query_returns_documents_in_training_order(spark):
+    from causaria.llm.queries import QUERIES
+    from tests.conftest import DATA
+
+    folder = f"{DATA}/sf0.001"
+    got = QUERIES["op1_mixing"](spark, folder)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" in plan
+    at = [r["first_position"] for r in got.collect()]
+    n = sum(x is not None for x in at)
+    assert len(at) > n > 100 or len(at) == n
+    assert at[:n] == sorted(at[:n]) and not any(x is not None for x in at[n:])
+    d = spark.read.parquet(f"{folder}/documents.parquet")
+    order = mixing.ordered(mixing.plan(d)).where("copy IS NOT NULL").select("doc_id")
+    assert [r[0] for r in order.collect()] == [r[0] for r in mixing.mix(d).select("doc_id").collect()]
+
+
 def test_mixing_targets_and_edges(spark):
     got = rows(mixing.plan(docs(spark, EDGE)))
     assert len(got) == len(EDGE)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,13 +34,13 @@ def with_embed(parent: DataFrame, fk: str, child: DataFrame, child_key: str, nam
     return parent.join(side, norm(parent[fk]) == F.col("__e"), "left").drop("__e")
 
 
-def without_collection(parent: DataFrame, key: str, name: str, fk: str) -> DataFrame:
-    """The child rows of a collection, with the foreign key from their parent."""
-    return parent.select(F.col(key).alias(fk), F.inline(name))
+def without_collection(parent: DataFrame, key: str, name: str, fk: str, carry: Sequence[str] = ()) -> DataFrame:
+    """The child rows of a collection, with the foreign key from their parent, and its columns in carry."""
+    return parent.select(F.col(key).alias(fk), F.inline(name), *carry)
 
 
-def without_extension(parent: DataFrame, key: str, name: str, child_key: str) -> DataFrame:
-    return parent.where(F.col(name).isNotNull()).select(F.col(key).alias(child_key), f"{name}.*")
+def without_extension(parent: DataFrame, key: str, name: str, child_key: str, carry: Sequence[str] = ()) -> DataFrame:
+    return parent.where(F.col(name).isNotNull()).select(F.col(key).alias(child_key), f"{name}.*", *carry)
 
 
 def without_embed(parent: DataFrame, name: str, child_key: str) -> DataFrame:

@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+from urllib.parse import unquote
+
+from pyspark import SparkContext
 from pyspark.sql import SparkSession
 
 
+@lru_cache(maxsize=1)
+def _hadoop(context: SparkContext):
+    """The path class and the configuration, looked up once: a lookup costs more than a rename."""
+    return context._jvm.org.apache.hadoop.fs.Path, context._jsc.hadoopConfiguration()
+
+
 def _at(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(str(path))
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+    new, conf = _hadoop(spark.sparkContext)
+    p = new(str(path))
+    return p.getFileSystem(conf), p
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -84,13 +94,16 @@ def move(spark: SparkSession, path: str, to: str) -> None:
 def partitions(spark: SparkSession, path: str, name: str) -> list[tuple[str, str]]:
     """(value, file) of a folder written by partitions of one column, each of one file."""
     fs, p = _at(spark, path)
-    out = []
-    for d in fs.listStatus(p):
-        if d.isDirectory() and d.getPath().getName().startswith(f"{name}="):
-            value = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(d.getPath().getName()[len(name) + 1 :])
-            (made,) = [f.getPath().toString() for f in fs.listStatus(d.getPath()) if f.getPath().getName().startswith("part-")]
-            out.append((value, made))
-    return sorted(out)
+    out, base, paths = {}, fs.getFileStatus(p).getPath().toString(), spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.stat2Paths
+    for at in paths(fs.listStatus(paths(fs.listStatus(p)))):  # all folders' files by one call
+        f = at.toString()
+        folder, _, file = f[len(base) + 1 :].rpartition("/")
+        if folder.startswith(f"{name}=") and file.startswith("part-"):
+            value = unquote(folder[len(name) + 1 :])
+            if value in out:
+                raise ValueError(f"{path}/{folder}: more than one file")
+            out[value] = f
+    return sorted(out.items())
 
 
 def replace(spark: SparkSession, source: str, to: str) -> None:

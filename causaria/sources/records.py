@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json as json_
+from collections import Counter
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
@@ -33,10 +35,11 @@ def read_wrapped(spark: SparkSession, path: str, schema: StructType, key: list[s
     if entity is not None:
         check_sidecar(spark, path, entity)
     element = StructType([StructField("primaryKey", StructType([schema[k] for k in key])), StructField("fields", StructType([f for f in schema if f.name not in key]))])
-    text = F.regexp_replace("value", r"^[\s\x{FEFF}]+|\s+$", "")
-    files = spark.read.text(path, wholetext=True).select(text.alias("text"), F.col("_metadata.file_path").alias("__file")).where("text <> ''")
+    space = " \t\n\x0b\f\r"
+    text = F.rtrim(F.ltrim("value", F.lit(space + "\ufeff")), F.lit(space))
+    files = spark.read.text(path, wholetext=True).select(text.alias("text"), F.col("_metadata.file_path").alias("__file"))
     lines = F.filter(F.split("text", r"[\r\n]+"), lambda x: F.trim(x) != "")
-    arrays = F.when(F.col("text").rlike(r"(?s)^\[.*\]$"), F.array("text")).when(F.col("text").startswith("{"), F.transform(lines, lambda x: F.concat(F.lit("["), x, F.lit("]")))).otherwise(F.raise_error(F.lit(f"{path}: a file that is neither an array nor records")).cast("array<string>"))
+    arrays = F.when(F.col("text") == "", F.array().cast("array<string>")).when(F.col("text").startswith("[") & F.col("text").endswith("]"), F.array("text")).when(F.col("text").startswith("{"), F.transform(lines, lambda x: F.concat(F.lit("["), x, F.lit("]")))).otherwise(F.raise_error(F.lit(f"{path}: a file that is neither an array nor records")).cast("array<string>"))
     rows = files.select("__file", F.posexplode(arrays).alias("__line", "array")).select("__file", "__line", F.posexplode(F.from_json("array", ArrayType(element), {"mode": "FAILFAST"})).alias("__at", "row"))
     part = lambda x: F.when(F.col(f"row.{x}").isNull(), F.raise_error(F.lit(f"{path}: an element without {x}"))).otherwise(F.col(f"row.{x}"))
     where = ["__file", (F.col("__line") + F.col("__at")).cast("long").alias("__at")] if placed else []
@@ -55,14 +58,34 @@ def write_wrapped(df: DataFrame, path: str, entity: str, key: list[str], mode: s
     Absent values are left out of a record, as the reader takes them for null.
     A part is gathered in one task, and holds PART_ROWS records at most.
     """
-    numbered = compose.ordinal(df, key, "__n").withColumn("__part", F.floor((F.col("__n") - 1) / PART_ROWS))
-    record = F.struct(F.struct(*[F.col(k) for k in key]).alias("primaryKey"), F.struct(*[F.col(c) for c in df.columns if c not in key]).alias("fields"))
-    parts = numbered.groupBy("__part").agg(F.array_sort(F.collect_list(F.struct("__n", F.to_json(record).alias("json")))).alias("rows"))
-    text = F.concat(F.lit("["), F.array_join(F.transform("rows", lambda r: r["json"]), ",\n"), F.lit("]"))
-    parts.select(text.alias("value")).write.mode(mode).option("maxRecordsPerFile", 1).text(path)
+    write_numbered(compose.ordinal(df, key, "__n"), path, entity, key, mode)
+
+
+def write_numbered(df: DataFrame, path: str, entity: str, key: list[str], mode: str = "errorifexists") -> None:
+    """The same of rows whose places in the order are there (__n), each once.
+
+    A record is a line of its file. All parts but the last are full, and a task
+    has its parts in order, so that a file ends where PART_ROWS lines are written.
+    """
+    numbered = df.withColumn("__part", F.floor((F.col("__n") - 1) / PART_ROWS))
+    lines = laid(numbered, ["__part"], ["__n"], key).select("value")
+    lines.write.mode(mode).option("maxRecordsPerFile", PART_ROWS).text(path)
     files.write_text(df.sparkSession, f"{path}/{SIDECAR}", json_.dumps({"entity": entity, "primaryKey": key}))
 
 
+def laid(df: DataFrame, by: list[str], order: list[str], key: list[str]) -> DataFrame:
+    """The lines (value) of files that each hold an array of one group's records, with by: sorted by group and order, which must be total.
+
+    Columns of by and order are no fields.
+    """
+    w = Window.partitionBy(*by).orderBy(*order)
+    fields = [c for c in df.columns if c not in (*key, *by, *order)]
+    record = F.struct(F.struct(*[F.col(k) for k in key]).alias("primaryKey"), F.struct(*[F.col(c) for c in fields]).alias("fields"))
+    ends = df.withColumns({"__first": F.row_number().over(w) == 1, "__last": F.lead(F.lit(1)).over(w).isNull()})
+    line = F.concat(F.when(F.col("__first"), "[").otherwise(""), F.to_json(record), F.when(F.col("__last"), "]").otherwise(","))
+    return ends.sortWithinPartitions(*by, *order).select(line.alias("value"), *by)
+
+
 def check_sidecar(spark: SparkSession, path: str, entity: str) -> None:
     """Raises unless the folder's sidecar is there and names the entity."""
     at = f"{path.rstrip('/')}/{SIDECAR}"
@@ -100,19 +123,35 @@ def nested(domain: Domain, data: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return out
 
 
-def flat(domain: Domain, nested_: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """The inverse of nested: every entity's rows, keys put back from their parents, each row once."""
+def shared(domain: Domain) -> set[str]:
+    """Entities whose rows may stand in several places: those that are embedded or held in two ways, and all that they hold."""
+    held = [c for e in domain.entities.values() for c in e.compositions]
+    ways = Counter(c.entity for c in held)
+    out: set[str] = set()
+    more = {c.entity for c in held if c.kind == "embed" or ways[c.entity] > 1}
+    while more:
+        out |= more
+        more = {c.entity for n in more for c in domain.entity(n).compositions} - out
+    return out
+
+
+def flat(domain: Domain, nested_: dict[str, DataFrame], carry: Sequence[str] = ()) -> dict[str, DataFrame]:
+    """The inverse of nested: every entity's rows, keys put back from their parents, those that may stand in several places each once.
+
+    carry: columns of a record that go with all its rows, but for those of such entities.
+    """
     out: dict[str, DataFrame] = {}
+    many = shared(domain)
 
     def unpack(name: str, df: DataFrame) -> None:
         e = domain.entity(name)
         held = [c for c in e.compositions if c.entity in df.columns]
         for c in held:
-            inner = domain.entity(c.entity)
+            inner, along = domain.entity(c.entity), () if c.entity in many else carry
             if c.kind == "collection":
-                child = compose.without_collection(df, e.primary[0], c.entity, c.field)
+                child = compose.without_collection(df, e.primary[0], c.entity, c.field, along)
             elif c.kind == "isA":
-                child = compose.without_extension(df, e.primary[0], c.entity, inner.primary[0])
+                child = compose.without_extension(df, e.primary[0], c.entity, inner.primary[0], along)
             else:
                 child = compose.without_embed(df, c.entity, inner.primary[0])
             unpack(c.entity, child)
@@ -121,7 +160,7 @@ def flat(domain: Domain, nested_: dict[str, DataFrame]) -> dict[str, DataFrame]:
 
     for name, df in nested_.items():
         unpack(name, df)
-    return {n: d.dropDuplicates(domain.entity(n).primary) for n, d in out.items()}
+    return {n: d.dropDuplicates(domain.entity(n).primary) if n in many else d for n, d in out.items()}
 
 
 def orphan_counts(domain: Domain, data: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -154,11 +193,14 @@ def write(domain: Domain, data: dict[str, DataFrame], folder: str, mode: str = "
     bad += [f"{n}: {k} rows are of two kinds" for n, df in of_two_kinds(domain, data).items() if (k := df.count())]
     if bad:
         raise ValueError("; ".join(bad))
-    whole = nested(domain, data) if json else {n: data[n] for n in data}
+    # Records are numbered before they hold anything, but where an extension's rows could make one twice.
+    early = {n for n in directories(domain) if json and n in data and not any(c.kind == "isA" for c in domain.entity(n).compositions)}
+    data = {n: compose.ordinal(df, domain.entity(n).primary, "__n") if n in early else df for n, df in data.items()}
+    whole = nested(domain, data) if json else data
     order = [n for n in directories(domain) if n in whole] + [n for n in whole if n in composed(domain)]
     for n in order:
         if json:
-            write_wrapped(whole[n], f"{folder}/{n}", n, domain.entity(n).primary, mode)
+            (write_numbered if n in early else write_wrapped)(whole[n], f"{folder}/{n}", n, domain.entity(n).primary, mode)
             continue
         w = whole[n].write.mode(mode)
         if year and n in year:

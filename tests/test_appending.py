@@ -127,3 +127,49 @@ def test_rows_of_two_kinds_stop_a_write(spark, reef, tmp_path):
     _, data = reef
     with pytest.raises(ValueError, match="Reef: 1 rows are of two kinds"):
         records.write(DOMAIN, {**data, "Barrier": frame(spark, "Barrier", [{"ID": "R01", "Length": 1.0}])}, str(tmp_path / "other"), json=True)
+
+
+def test_records_are_parsed_once_for_all_that_they_hold(spark, reef):
+    folder, data = reef
+    got = appending.read(spark, DOMAIN, folder, KINDS)
+    for n, df in data.items():
+        plan = got[n]._jdf.queryExecution().executedPlan().toString()
+        assert "FileScan parquet" in plan and "FileScan text" not in plan, n
+        assert got[n].count() == df.count(), n
+
+
+def test_a_child_that_moves_stands_once(spark, reef):
+    folder, data = reef
+    changed = {"Coral": frame(spark, "Coral", [{"ID": "c0", "Kind": "horn", "ReefID": "r09"}])}
+    appending.append(spark, DOMAIN, folder, {}, changed, part_rows=4)
+    held = [(r["primaryKey"]["ID"], c["ID"], c["Kind"], [p["ID"] for p in c["Polyp"]]) for f in (Path(folder) / "Reef").glob("*.txt") for r in json.loads(f.read_text()) for c in r["fields"]["Coral"]]
+    assert [h for h in held if h[1] == "c0"] == [("r09", "c0", "horn", ["p0"])] and len(held) == 15
+    got = appending.read(spark, DOMAIN, folder, KINDS)
+    assert rows(got["Coral"].select(*KINDS["Coral"].names)) == rows(data["Coral"].where("ID <> 'c0'").unionByName(changed["Coral"]))
+    assert got["Polyp"].count() == 6
+
+
+def test_embedded_rows_find_their_records(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(records, "PART_ROWS", 2)
+    keys = {"PortID": {"fieldName": "PortID", "targetEntity": "Port", "targetField": "ID"}}
+    d = parse_domain({"name": "sea", "namespace": DOMAIN.namespace, "entities": {"Ship": {"fields": {"ID": {"type": "uuid", "isPrimaryKey": True}, "PortID": TEXT, "Name": TEXT}, "foreignKeys": keys, "composition": {"embeds": [{"entity": "Port", "field": "PortID"}]}}, "Port": {"fields": {"ID": {"type": "uuid", "isPrimaryKey": True}, "Town": TEXT}}}})
+    ship = lambda *r: spark.createDataFrame(list(r), "ID string, PortID string, Name string")
+    port = lambda *r: spark.createDataFrame(list(r), "ID string, Town string")
+    folder, kinds = str(tmp_path / "sea"), {"Ship": ship(("0", "0", "")).schema, "Port": port(("0", "")).schema}
+    records.write(d, {"Ship": ship(*[(f"{i}", f"{i % 2}", f"s{i}") for i in range(4)], ("4", None, "none"), ("5", "1", "s5")), "Port": port(("0", "a"), ("1", "b"))}, folder, json=True)
+    before = digests(folder)
+    # A new ship in a committed port, a committed ship sent to a new port, a committed port renamed.
+    appending.append(spark, d, folder, {"Ship": ship(("90", "0", "t")), "Port": port(("7", "new"))}, {"Ship": ship(("4", "7", "s4")), "Port": port(("0", "A"))}, part_rows=2)
+    held = {r["primaryKey"]["ID"]: (r["fields"].get("Port") or {}).get("Town") for f in (tmp_path / "sea" / "Ship").glob("*.txt") for r in json.loads(f.read_text())}
+    assert held == {"0": "A", "1": "b", "2": "A", "3": "b", "4": "new", "5": "b", "90": "A"} and len(digests(folder)) == len(before) + 1
+    got = appending.read(spark, d, folder, kinds)
+    assert rows(got["Port"]) == rows(port(("0", "A"), ("1", "b"), ("7", "new"))) and got["Ship"].count() == 7
+    with pytest.raises(ValueError, match="^Port: 1 rows without a parent$"):
+        appending.append(spark, d, folder, {"Port": port(("8", "nobody's"))})
+
+
+def test_partitions_are_found_by_their_values(spark, tmp_path):
+    at = str(tmp_path / "by [one] {column}")
+    spark.createDataFrame([("x", "a:b%2F c.txt"), ("y", "é=z")], "value string, n string").repartition(1).write.partitionBy("n").text(at)
+    found = files.partitions(spark, at, "n")
+    assert [v for v, _ in found] == ["a:b%2F c.txt", "é=z"] and [files.read_text(spark, f) for _, f in found] == ["x\n", "y\n"]
